@@ -56,6 +56,16 @@ def first_brace_span(c) -> Column:
     return F.nullif(F.regexp_extract(_c(c), "(?s)\\{.*\\}", 0), F.lit(""))
 
 
+def strict_parse_json(c) -> Column:
+    """Parse JSON text to VARIANT like ``JSON.parse``: NULL unless the whole
+    text is exactly one valid JSON value. (``try_parse_json`` alone accepts
+    trailing text after the first value; the array-wrap length check rejects
+    that and a second top-level value.)"""
+    s = _c(c)
+    one = F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1
+    return F.when(one, F.try_parse_json(s))
+
+
 def email_clean(c) -> tuple[Column, Column]:
     """Return ``(clean, valid)``: lower(trim(e)) when it matches the rule,
     else NULL and ``valid = false``."""

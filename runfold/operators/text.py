@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runfold.constants import (FAILED_PREFIX, NO_DISCOVERY_TEXT, NO_SUMMARY_TEXT, SEARCH_CAP,
                                TOOL_OUTPUT_PREFIX, WEB_RESULTS)
 from runfold.functions.text import (drop_think_blocks, first_brace_span, js_trim, lower_contains_any,
-                                    strip_fences)
+                                    strict_parse_json, strip_fences)
 from runfold.operators.scan import DEFAULT_WIDTH, ordered_concat as _ordered_concat
 
 # FIXED VALUES: the strategy line appended under the plan summary.
@@ -32,7 +32,7 @@ def llm_json_extract(df: DataFrame, raw: str = "raw") -> DataFrame:
     there is none) and ``parsed`` (VARIANT; NULL when not valid JSON)."""
     return (df.withColumn("cleaned", clean_model_text(F.col(raw)))
               .withColumn("json_text", first_brace_span("cleaned"))
-              .withColumn("parsed", F.try_parse_json(F.col("json_text"))))
+              .withColumn("parsed", strict_parse_json(F.col("json_text"))))
 
 
 # ------------------------------------------------------------------ X2
@@ -176,11 +176,11 @@ def numbered_topk(df: DataFrame, score: str, tiebreak: str, title: Column, url:
     """K1: top ``k`` by score (ties by ``tiebreak``), numbered from 1 and
     formatted ``[i] title\\nURL: url\\nSnippet: text\\n``. Planned as one
     TakeOrderedAndProject: each task keeps ``k`` rows."""
-    top = (df.select(F.col(score).alias("score"), F.col(tiebreak).alias("id"),
+    top = (df.select(F.col(score).cast("bigint").alias("score"), F.col(tiebreak).alias("id"),
                      title.alias("title"), url.alias("url"), snippet.alias("snippet"))
              .orderBy(F.col("score").desc(), F.col("id").asc()).limit(k))
     w = Window.orderBy(F.col("score").desc(), F.col("id").asc())
-    return (top.withColumn("rank", F.row_number().over(w))
+    return (top.withColumn("rank", F.row_number().over(w).cast("bigint"))
                .withColumn("result", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"),
                                               F.lit("\nURL: "), F.col("url"), F.lit("\nSnippet: "), F.col("snippet"),
                                               F.lit("\n"))))

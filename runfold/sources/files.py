@@ -45,10 +45,11 @@ def write_csv(df: DataFrame, path: str) -> str:
 # ------------------------------------------------------------ S3 text lines
 def text_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """``(path, content)``: one row per file under ``root``, recursively."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    # the keyword (not .option) is needed: text() would reset wholetext to False
+    return r.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def split_lines(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -56,7 +57,7 @@ def split_lines(df: DataFrame, path: str = "path", content: str = "content") ->
     (a trailing newline gives a last empty line, as ``split("\\n")`` does)."""
     return df.select(F.col(path).alias("path"),
                      F.posexplode(F.split(F.col(content), "\n", -1)).alias("pos", "line")) \
-             .select("path", (F.col("pos") + 1).alias("line_no"), "line")
+             .select("path", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def text_line_scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
