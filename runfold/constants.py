@@ -67,8 +67,9 @@ EXECUTED_TASK_TEXT = "Executed Task."
 TOOL_OUTPUT_PREFIX = "[Discovery Tool Output]: "
 FAILED_PREFIX = "Command failed:"
 
-# JavaScript's String.prototype.trim strips this class (ECMAScript WhiteSpace
-# and LineTerminator); Spark's trim strips only spaces. Written with \x{..}
-# escapes that both Java regexes and RE2 accept.
-JS_WS_CLASS = ("[\\t\\n\\x{0B}\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-               "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]")
+# JavaScript's String.prototype.trim strips these code points (ECMAScript
+# WhiteSpace and LineTerminator); Spark's trim strips only spaces.
+JS_WS_CODEPOINTS = ([0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680]
+                    + list(range(0x2000, 0x200B))
+                    + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+JS_WS_CHARS = "".join(chr(c) for c in JS_WS_CODEPOINTS)

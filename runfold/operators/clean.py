@@ -59,13 +59,16 @@ def high_value_summary(orders: DataFrame, customer: DataFrame, threshold: float
     """A2 (our rule): orders over ``threshold`` per market segment: count,
     exact total, average, maximum and the largest customer by value.
 
-    The filter runs before the join and is pushed into the order scan; the
-    join is on ``custkey`` (customers can be large: no forced broadcast)."""
+    The filter is pushed into the order scan and orders are summed per
+    customer before the join on ``custkey`` (customers can be large: no
+    forced broadcast; AQE may still pick one from runtime sizes)."""
     o = orders.where(F.col("o_totalprice") > threshold).select("o_custkey", "o_totalprice")
-    j = o.join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     amt = F.col("o_totalprice").cast("decimal(18,2)")
-    per_cust = (j.groupBy("c_mktsegment", "o_custkey")
-                 .agg(F.count(F.lit(1)).alias("n"), F.sum(amt).alias("s"), F.max("o_totalprice").alias("m")))
+    # pre-aggregate per customer before the join: the join sees one row per
+    # customer, not one per order
+    per_order_cust = (o.groupBy("o_custkey")
+                       .agg(F.count(F.lit(1)).alias("n"), F.sum(amt).alias("s"), F.max("o_totalprice").alias("m")))
+    per_cust = per_order_cust.join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     return (per_cust.groupBy("c_mktsegment")
             .agg(F.sum("n").alias("n_orders"),
                  F.sum("s").cast("decimal(38,2)").alias("total_value"),

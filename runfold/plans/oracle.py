@@ -7,7 +7,7 @@ no entry here (the driver then checks rows only).
 
 from __future__ import annotations
 
-from runfold.constants import (BLOCKED_COMMANDS, IGNORED_NAMES, JS_WS_CLASS, NO_DISCOVERY_TEXT,
+from runfold.constants import (BLOCKED_COMMANDS, IGNORED_NAMES, JS_WS_CODEPOINTS, NO_DISCOVERY_TEXT,
                                NO_SUMMARY_TEXT, TOOL_OUTPUT_PREFIX, WORKFLOW_EDGES)
 from runfold.functions.text import EMAIL_PATTERN
 from runfold.operators.registry import LOCAL_TOOL_GROUPS, ROLE_RULES
@@ -20,8 +20,11 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_WS = "concat(" + ", ".join(f"chr({c})" for c in JS_WS_CODEPOINTS) + ")"
+
+
 def js_trim(x: str) -> str:
-    return f"regexp_replace({x}, '^{JS_WS_CLASS}+|{JS_WS_CLASS}+$', '', 'g')"
+    return f"trim({x}, {_WS})"
 
 
 def values(rows, cols) -> str:

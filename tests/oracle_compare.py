@@ -89,6 +89,7 @@ def main(argv):
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
     spark = get_spark("local[8]", 8)
+    spark.conf.set("spark.ui.showConsoleProgress", "false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     from runfold.plans import QUERIES
