@@ -14,7 +14,8 @@ from runfold.constants import (ACK_TIMEOUT_SECONDS, ALLOWED_PATHS, BLOCKED_COMMA
                                IGNORED_NAMES, NOT_ALLOWED_EXTENSIONS, READ_ONLY_FILES)
 from runfold.functions.paths import basename, dirname, extname, is_within, resolve_path
 from runfold.functions.text import js_trim
-from runfold.operators.common import BROADCAST_MAX_ROWS, bounded_broadcast
+from runfold.operators.common import BROADCAST_MAX_ROWS
+from runfold.operators.scan import Run, running
 
 # FIXED VALUES: the refusal texts, in the order the checks run.
 REASON_TRAVERSAL = "Path traversal detected."
@@ -206,27 +207,34 @@ def remove_by_target(rules: DataFrame, removals: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ J8
 def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id: str, req_ts: str,
-                      ans_id: str, ans_ts: str, timeout_seconds: int = ACK_TIMEOUT_SECONDS) -> DataFrame:
+                      ans_id: str, ans_ts: str, timeout_seconds: int = ACK_TIMEOUT_SECONDS,
+                      width_seconds: int | None = None) -> DataFrame:
     """Match each request to the earliest answer of the same key within
     ``[req_ts, req_ts + timeout]``; unanswered requests are denied.
 
-    Range join done as an equi join on (key, time bucket of ``timeout``
-    seconds): each request probes its own bucket and the next, so a key with
-    a huge history never meets all its answers in one task."""
+    Written as an as-of join, not a range join: requests and answers are put
+    in one time-ordered stream per key and a backwards (suffix) scan carries
+    "the next answer at or after this row" to every request; the request keeps
+    it if it is within the time-out. No request × answer pairs are formed, so a
+    key with a huge, dense history costs O(rows), and the scan is bucketed by
+    time so one key never lands in one task."""
     T = int(timeout_seconds)
-    sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    rq = requests.select(F.col(req_id).alias("__rid"), F.col(key).alias("__k"), F.col(req_ts).alias("__rts"))
-    an = answers.select(F.col(ans_id).alias("__aid"), F.col(key).alias("__k"), F.col(ans_ts).alias("__ats"))
-    rqb = rq.withColumn("__b", F.explode(F.array(F.floor(sec("__rts") / T), F.floor(sec("__rts") / T) + 1)))
-    anb = an.withColumn("__b", F.floor(sec("__ats") / T))
-    cond = ["__k", "__b"]
-    m = (rqb.join(anb, cond)
-            .where((F.col("__ats") >= F.col("__rts"))
-                   & (F.col("__ats") <= F.col("__rts") + F.expr(f"INTERVAL {T} SECONDS"))))
-    best = (m.groupBy("__rid")
-             .agg(F.min_by(F.struct(F.col("__aid").alias("aid"), F.col("__ats").alias("ats")),
-                           F.struct(F.col("__ats"), F.col("__aid"))).alias("__best")))
-    out = requests.join(best.withColumnRenamed("__rid", req_id), req_id, "left")
+    W = int(width_seconds or max(T, 1) * 12)
+    rq = requests.select(F.col(key).alias("__k"), F.col(req_ts).alias("__ts"), F.lit(0).alias("__kind"),
+                         F.col(req_id).alias("__id"))
+    an = answers.select(F.col(key).alias("__k"), F.col(ans_ts).alias("__ts"), F.lit(1).alias("__kind"),
+                        F.col(ans_id).alias("__id"))
+    u = rq.unionByName(an).withColumn(
+        "__ans", F.when(F.col("__kind") == 1, F.struct(F.col("__id").alias("aid"), F.col("__ts").alias("ats"))))
+    # at equal times the request sorts first, so an answer at req_ts counts
+    bucket = F.floor(F.unix_seconds(F.col("__ts").cast("timestamp")) / W)
+    s = running(u, ["__k"], ["__ts", "__kind", "__id"], [Run("__next", "last_nonnull", "__ans")],
+                bucket=bucket, descending=True)
+    best = (s.where(F.col("__kind") == 0)
+             .select(F.col("__id").alias(req_id),
+                     F.when(F.col("__next.ats") <= F.col("__ts") + F.expr(f"INTERVAL {T} SECONDS"),
+                            F.col("__next")).alias("__best")))
+    out = requests.join(best, req_id, "left")
     return (out.withColumn("answer_id", F.col("__best.aid"))
                .withColumn("answer_ts", F.col("__best.ats"))
                .withColumn("decision", F.when(F.col("__best").isNotNull(), "allow").otherwise("deny"))

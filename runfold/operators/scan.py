@@ -44,28 +44,41 @@ def _bucket(order: str, width: int) -> Column:
     return F.expr(f"`{order}` div {int(width)}")
 
 
-def running(df: DataFrame, keys: list[str], order: str, runs: list[Run],
-            width: int = DEFAULT_WIDTH, bucketed: bool = True) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order, runs: list[Run],
+            width: int = DEFAULT_WIDTH, bucketed: bool = True, bucket: Column | None = None,
+            descending: bool = False) -> DataFrame:
     """Add one column per ``Run`` holding the fold of all rows of the same
-    key up to and including this row, in ``order`` (numeric, unique per key).
+    key up to and including this row.
+
+    ``order`` is a column name or a list of names (lexicographic, unique per
+    key). ``bucket`` is a numeric column, non-decreasing along ``order``; by
+    default ``order div width`` (single numeric order). ``descending=True``
+    folds from the last row backwards (a suffix scan: "the next … at or after
+    this row").
     """
+    orders = [order] if isinstance(order, str) else list(order)
+    ocols = [F.col(c).desc() if descending else F.col(c).asc() for c in orders]
     if not bucketed:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*keys).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
         out = df
         for r in runs:
             out = out.withColumn(r.out, _plain(r, w))
         return out
 
-    d = df.withColumn(_B, _bucket(order, width))
-    o = F.col(order)
+    if bucket is None:
+        if len(orders) != 1:
+            raise ValueError("a composite order needs an explicit bucket column")
+        bucket = _bucket(orders[0], width)
+    d = df.withColumn(_B, bucket)
+    o = F.struct(*[F.col(c) for c in orders]) if len(orders) > 1 else F.col(orders[0])
+    pick = F.min_by if descending else F.max_by
     summary_aggs = []
     for i, r in enumerate(runs):
         n = f"__rf_s{i}"
         if r.kind == "last_nonnull":
-            summary_aggs.append(F.max_by(F.col(r.col), F.when(F.col(r.col).isNotNull(), o)).alias(n))
+            summary_aggs.append(pick(F.col(r.col), F.when(F.col(r.col).isNotNull(), o)).alias(n))
         elif r.kind == "last_where":
-            summary_aggs.append(F.max_by(F.struct(F.col(r.col).alias("v")),
-                                         F.when(F.col(r.flag), o)).alias(n))
+            summary_aggs.append(pick(F.struct(F.col(r.col).alias("v")), F.when(F.col(r.flag), o)).alias(n))
         elif r.kind == "sum":
             summary_aggs.append(F.sum(F.col(r.col)).alias(n))
         elif r.kind == "count":
@@ -74,17 +87,18 @@ def running(df: DataFrame, keys: list[str], order: str, runs: list[Run],
             raise ValueError(f"unknown run kind {r.kind}")
     summary = d.groupBy(*keys, _B).agg(*summary_aggs)
 
-    wk = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    border = F.col(_B).desc() if descending else F.col(_B).asc()
+    wk = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for i, r in enumerate(runs):
-        s = F.col(f"__rf_s{i}")
+        s_ = F.col(f"__rf_s{i}")
         if r.kind in ("last_nonnull", "last_where"):
-            carry_cols.append(F.last(s, ignorenulls=True).over(wk).alias(f"__rf_c{i}"))
+            carry_cols.append(F.last(s_, ignorenulls=True).over(wk).alias(f"__rf_c{i}"))
         else:
-            carry_cols.append(F.sum(s).over(wk).alias(f"__rf_c{i}"))
+            carry_cols.append(F.sum(s_).over(wk).alias(f"__rf_c{i}"))
     carry = summary.select(*keys, _B, *carry_cols)
 
-    wb = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(*keys, _B).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
     inner = d
     for i, r in enumerate(runs):
         inner = inner.withColumn(f"__rf_i{i}", _plain(r, wb, wrap=True))

@@ -88,8 +88,9 @@ def main(argv):
     from runfold.session import get_spark
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
+    from pyspark.sql import SparkSession
+    SparkSession.builder.config("spark.ui.showConsoleProgress", "false").config("spark.ui.enabled", "false")
     spark = get_spark("local[8]", 8)
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     from runfold.plans import QUERIES

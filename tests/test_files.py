@@ -11,8 +11,12 @@ def test_text_line_scan_and_grep(spark, tmp_path):
     (d / "sub").mkdir(parents=True)
     (d / "a.txt").write_text("hello\n  find me@mail12  \n")
     (d / "sub" / "b.txt").write_text("x\r\nmail@mail3 here")
+    (d / "empty.txt").write_text("")
     lines = files.text_line_scan(spark, str(d))
     assert lines.count() == 5                           # trailing newline → last empty line
+    whole = files.text_line_scan(spark, str(d), whole_files=True)
+    cols = ["path", "line_no", "line"]
+    assert sorted(map(tuple, lines.select(cols).collect())) == sorted(map(tuple, whole.select(cols).collect()))
     g = text.regex_grep(lines, "@mail[0-9]+")
     got = sorted(r.match.split("/")[-1] for r in g.collect())
     assert got == ["a.txt:2: find me@mail12", "b.txt:2: mail@mail3 here"]
@@ -104,3 +108,19 @@ def test_csv_roundtrip_keeps_spaces(spark, tmp_path):
     p = files.write_csv(df, str(tmp_path / "csv"))
     back = files.csv_scan(spark, p, columns=["id", "customer_email", "amount"]).first()
     assert back["customer_email"] == " a@b.co " and back["amount"] == " 1.50"
+
+
+def test_line_scan_of_a_file_split_across_tasks(spark, tmp_path):
+    d = tmp_path / "big"
+    d.mkdir()
+    body = "".join(f"line {i} {'x' * (i % 50)}\n" for i in range(20000))
+    (d / "big.txt").write_text(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")    # force many splits of one file
+    try:
+        lines = files.text_line_scan(spark, str(d))
+        got = {r.line_no: r.line for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = body.split("\n")
+    assert len(got) == len(want) and all(got[i + 1] == want[i] for i in range(len(want)))
