@@ -220,25 +220,24 @@ def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id:
     time so one key never lands in one task."""
     T = int(timeout_seconds)
     W = int(width_seconds or max(T, 1) * 12)
-    rq = requests.select(F.col(key).alias("__k"), F.col(req_ts).alias("__ts"), F.lit(0).alias("__kind"),
+    req_cols = requests.columns
+    rq = requests.select(*req_cols, F.col(key).alias("__k"), F.col(req_ts).alias("__ts"), F.lit(0).alias("__kind"),
                          F.col(req_id).alias("__id"))
     an = answers.select(F.col(key).alias("__k"), F.col(ans_ts).alias("__ts"), F.lit(1).alias("__kind"),
                         F.col(ans_id).alias("__id"))
-    u = rq.unionByName(an).withColumn(
+    # request columns ride along in the union (NULL on answer rows), so the
+    # result needs no join back to the requests
+    u = rq.unionByName(an, allowMissingColumns=True).withColumn(
         "__ans", F.when(F.col("__kind") == 1, F.struct(F.col("__id").alias("aid"), F.col("__ts").alias("ats"))))
     # at equal times the request sorts first, so an answer at req_ts counts
     bucket = F.floor(F.unix_seconds(F.col("__ts").cast("timestamp")) / W)
     s = running(u, ["__k"], ["__ts", "__kind", "__id"], [Run("__next", "last_nonnull", "__ans")],
                 bucket=bucket, descending=True)
-    best = (s.where(F.col("__kind") == 0)
-             .select(F.col("__id").alias(req_id),
-                     F.when(F.col("__next.ats") <= F.col("__ts") + F.expr(f"INTERVAL {T} SECONDS"),
-                            F.col("__next")).alias("__best")))
-    out = requests.join(best, req_id, "left")
-    return (out.withColumn("answer_id", F.col("__best.aid"))
-               .withColumn("answer_ts", F.col("__best.ats"))
-               .withColumn("decision", F.when(F.col("__best").isNotNull(), "allow").otherwise("deny"))
-               .drop("__best"))
+    best = F.when(F.col("__next.ats") <= F.col("__ts") + F.expr(f"INTERVAL {T} SECONDS"), F.col("__next"))
+    return (s.where(F.col("__kind") == 0)
+             .select(*req_cols,
+                     best.getField("aid").alias("answer_id"), best.getField("ats").alias("answer_ts"),
+                     F.when(best.isNotNull(), "allow").otherwise("deny").alias("decision")))
 
 
 # ------------------------------------------------------------------ S6

@@ -130,25 +130,32 @@ def first_last_match(df: DataFrame, key: str = "conv_id", order: str = "turn", r
 def keyword_assert(df: DataFrame, text: str, checks: dict[str, list[str]]) -> DataFrame:
     """F8: one flag per check (case-blind any-of over its words) and
     ``passed`` = all checks true."""
-    out = df
-    for name, words in checks.items():
-        out = out.withColumn(name, lower_contains_any(text, words))
+    low = df.withColumn("__low", F.lower(F.col(text)))        # lower-case each text once
+    flags = [_contains_any(F.col("__low"), words).alias(name) for name, words in checks.items()]
+    out = low.select(*df.columns, *flags)
     passed = F.lit(True)
     for name in checks:
         passed = passed & F.col(name)
     return out.withColumn("passed", passed)
 
 
+def _contains_any(low: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(low, F.lit(w.lower()))
+    return out
+
+
 def error_classify(df: DataFrame, text: str = "text") -> DataFrame:
     """``failed`` if the text starts with ``Command failed:``;
     ``not_found`` for the entity-not-found family; ``error`` if it mentions
     an error; else ``ok``."""
-    t = F.col(text)
+    t, low = F.col(text), F.col("__low")
     cls = (F.when(F.startswith(t, F.lit(FAILED_PREFIX)), F.lit("failed"))
-            .when(lower_contains_any(t, NOT_FOUND_WORDS), F.lit("not_found"))
-            .when(lower_contains_any(t, ["error"]), F.lit("error"))
+            .when(_contains_any(low, NOT_FOUND_WORDS), F.lit("not_found"))
+            .when(_contains_any(low, ["error"]), F.lit("error"))
             .otherwise(F.lit("ok")))
-    return df.withColumn("error_class", cls)
+    return df.withColumn("__low", F.lower(t)).withColumn("error_class", cls).drop("__low")
 
 
 # ------------------------------------------------------------------ F1 / K2

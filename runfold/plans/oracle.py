@@ -521,3 +521,28 @@ e AS (SELECT conv_id, unnest(calls) AS tool FROM c)
 SELECT conv_id, tool, count(*) AS n_calls FROM e GROUP BY conv_id, tool
 UNION ALL
 SELECT conv_id, NULL AS tool, 0 AS n_calls FROM c GROUP BY conv_id HAVING sum(len(calls)) = 0"""
+
+# ------------------------------------------------------------ sources and streams with table twins
+ORACLE["resolve_source"] = "SELECT * FROM orders"
+
+ORACLE["incremental_copy"] = "SELECT * FROM events"
+
+ORACLE["update_stream"] = f"""WITH {STATE_LOG}
+SELECT session_id, seq, node, deployment_status AS status, current_step AS step, execution_strategy AS strategy,
+  validation_errors AS errors FROM state_log"""
+
+ORACLE["streaming_state"] = f"""WITH {STATE_LOG}
+SELECT session_id,
+  coalesce(arg_max(current_step, seq) FILTER (WHERE current_step IS NOT NULL), 'reception') AS current_step,
+  coalesce(arg_max(execution_strategy, seq) FILTER (WHERE execution_strategy IS NOT NULL), 'PENDING') AS execution_strategy,
+  coalesce(arg_max(deployment_status, seq) FILTER (WHERE deployment_status IS NOT NULL), 'PENDING') AS deployment_status,
+  arg_max_null(validation_errors, seq) FILTER (WHERE has_validation_errors) AS validation_errors,
+  CAST(sum({RETRY_INC}) AS BIGINT) AS retry_count
+FROM state_log GROUP BY session_id"""
+
+ORACLE["poll_until_terminal"] = """WITH runs AS (
+  SELECT o_custkey AS job, o_orderkey AS run_id, o_orderdate AS ts,
+    CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'P' THEN 'SUCCEEDED' ELSE 'RUNNING' END AS status FROM orders)
+SELECT job, arg_max(status, {'ts': ts, 'id': run_id}) AS latest_status, min(ts) AS first_seen, max(ts) AS last_seen,
+  count(*) AS n_polls, arg_max(status, {'ts': ts, 'id': run_id}) IN ('SUCCEEDED', 'FAILED') AS is_terminal
+FROM runs GROUP BY job"""
