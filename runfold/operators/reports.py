@@ -18,11 +18,11 @@ def pass_score(results: DataFrame, suite: str, success: str = "success") -> Data
 def tool_call_count(messages: DataFrame, run: str, calls: Column) -> DataFrame:
     """A4: tool calls per run and tool, runs with no call kept (``tool``
     NULL, ``n_calls`` 0). ``calls`` is an ARRAY<STRING> of tool names per
-    message. Counted with partial aggregates after ``explode_outer``."""
-    e = messages.select(F.col(run), F.explode_outer(calls).alias("tool"))
-    per_tool = e.groupBy(run, "tool").agg(F.count("tool").alias("n_calls"))
-    has_any = per_tool.groupBy(run).agg(F.max("n_calls").alias("__m"))
-    # drop the NULL-tool row of runs that did call something
-    return (per_tool.join(has_any, run)
-                    .where(F.col("tool").isNotNull() | (F.col("__m") == 0))
-                    .drop("__m"))
+    message. Two partial aggregates and a union; no join."""
+    m = messages.select(F.col(run), calls.alias("__calls"))
+    per_tool = (m.select(run, F.explode("__calls").alias("tool"))
+                 .groupBy(run, "tool").agg(F.count(F.lit(1)).alias("n_calls")))
+    idle = (m.groupBy(run).agg(F.sum(F.coalesce(F.size("__calls"), F.lit(0))).alias("__n"))
+             .where(F.col("__n") == 0)
+             .select(run, F.lit(None).cast("string").alias("tool"), F.lit(0).cast("bigint").alias("n_calls")))
+    return per_tool.unionByName(idle)

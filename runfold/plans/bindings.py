@@ -474,17 +474,21 @@ SETTINGS_DEFAULTS = [
 LOAD_MERGE_SECTIONS = ["safety", "allowList"]
 
 
+def _setting(section, key, value):
+    return F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"),
+                    (value if not isinstance(value, str) else F.lit(value)).alias("value"))
+
+
 def _loaded_settings(spark, sf):
+    """Each customer's loaded settings layer: one of three override shapes,
+    chosen by key (every customer has a layer; nothing is filtered out)."""
     c = tb.table(spark, sf, "customer")
     k = F.col("c_custkey")
-    a = c.where(k % 3 == 0).select(k.alias("tenant"), F.inline(F.array(
-        F.struct(F.lit("preferences").alias("section"), F.lit("confirmationMode").alias("key"), F.lit("auto").alias("value")),
-        F.struct(F.lit("preferences").alias("section"), F.lit("theme").alias("key"), F.lit("dark").alias("value")))))
-    b = c.where(k % 3 == 1).select(k.alias("tenant"), F.lit("safety").alias("section"),
-                                   F.lit("blockedCommands").alias("key"), F.lit('["sudo"]').alias("value"))
-    d = c.where(k % 3 == 2).select(k.alias("tenant"), F.lit("pulumi").alias("section"),
-                                   F.lit("stack").alias("key"), F.col("c_mktsegment").alias("value"))
-    return a.unionByName(b).unionByName(d)
+    layer = (F.when(k % 3 == 0, F.array(_setting("preferences", "confirmationMode", "auto"),
+                                        _setting("preferences", "theme", "dark")))
+              .when(k % 3 == 1, F.array(_setting("safety", "blockedCommands", '["sudo"]')))
+              .otherwise(F.array(_setting("pulumi", "stack", F.col("c_mktsegment")))))
+    return c.select(k.alias("tenant"), F.inline(layer))
 
 
 @q("layered_defaults")

@@ -487,10 +487,13 @@ SELECT s_suppkey, concat('s3://', bucket, '/', key) AS uri, starts_with(key, con
 
 ORACLE["layered_defaults"] = f"""WITH dflt AS {values(B.SETTINGS_DEFAULTS, ['section', 'key', 'value'])},
 loaded AS (
-  SELECT c_custkey AS tenant, 'preferences' AS section, 'confirmationMode' AS key, 'auto' AS value FROM customer WHERE c_custkey % 3 = 0
-  UNION ALL SELECT c_custkey, 'preferences', 'theme', 'dark' FROM customer WHERE c_custkey % 3 = 0
-  UNION ALL SELECT c_custkey, 'safety', 'blockedCommands', '["sudo"]' FROM customer WHERE c_custkey % 3 = 1
-  UNION ALL SELECT c_custkey, 'pulumi', 'stack', c_mktsegment FROM customer WHERE c_custkey % 3 = 2),
+  SELECT tenant, s.section AS section, s.key AS key, s.value AS value FROM (
+    SELECT c_custkey AS tenant, unnest(CASE
+      WHEN c_custkey % 3 = 0 THEN [{'section': 'preferences', 'key': 'confirmationMode', 'value': 'auto'},
+                                   {'section': 'preferences', 'key': 'theme', 'value': 'dark'}]
+      WHEN c_custkey % 3 = 1 THEN [{'section': 'safety', 'key': 'blockedCommands', 'value': '["sudo"]'}]
+      ELSE [{'section': 'pulumi', 'key': 'stack', 'value': c_mktsegment}] END) AS s
+    FROM customer)),
 replaced AS (SELECT DISTINCT tenant, section FROM loaded
   WHERE section NOT IN ({', '.join(lit(s) for s in B.LOAD_MERGE_SECTIONS)})),
 base AS (SELECT c.c_custkey AS tenant, d.section, d.key, d.value, 0 AS layer FROM customer c, dflt d
