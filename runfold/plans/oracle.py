@@ -489,10 +489,10 @@ ORACLE["layered_defaults"] = f"""WITH dflt AS {values(B.SETTINGS_DEFAULTS, ['sec
 loaded AS (
   SELECT tenant, s.section AS section, s.key AS key, s.value AS value FROM (
     SELECT c_custkey AS tenant, unnest(CASE
-      WHEN c_custkey % 3 = 0 THEN [{'section': 'preferences', 'key': 'confirmationMode', 'value': 'auto'},
-                                   {'section': 'preferences', 'key': 'theme', 'value': 'dark'}]
-      WHEN c_custkey % 3 = 1 THEN [{'section': 'safety', 'key': 'blockedCommands', 'value': '["sudo"]'}]
-      ELSE [{'section': 'pulumi', 'key': 'stack', 'value': c_mktsegment}] END) AS s
+      WHEN c_custkey % 3 = 0 THEN [{{'section': 'preferences', 'key': 'confirmationMode', 'value': 'auto'}},
+                                   {{'section': 'preferences', 'key': 'theme', 'value': 'dark'}}]
+      WHEN c_custkey % 3 = 1 THEN [{{'section': 'safety', 'key': 'blockedCommands', 'value': '["sudo"]'}}]
+      ELSE [{{'section': 'pulumi', 'key': 'stack', 'value': c_mktsegment}}] END) AS s
     FROM customer)),
 replaced AS (SELECT DISTINCT tenant, section FROM loaded
   WHERE section NOT IN ({', '.join(lit(s) for s in B.LOAD_MERGE_SECTIONS)})),
