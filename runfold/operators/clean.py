@@ -78,9 +78,13 @@ def high_value_summary(orders: DataFrame, customer: DataFrame, threshold: float
 
 
 def validation_report(clean: DataFrame, dataset: str, amount: str = "amount",
-                      email_valid: str = "email_valid") -> DataFrame:
+                      email_valid: str = "email_valid", runs: DataFrame | None = None) -> DataFrame:
     """One row per dataset in one aggregation pass: rows, issues found,
-    exact total, value range, status and a suggested remedy."""
+    exact total, value range, status and a suggested remedy.
+
+    With ``runs(dataset, run_id, ts, status)`` (job polls), each dataset also
+    gets its execution status (latest poll) and processing time (first to
+    last poll, seconds), joined on the dataset key."""
     bad_email = F.count_if(~F.col(email_valid))
     bad_amount = F.count_if(F.col(amount).isNull())
     rep = clean.groupBy(dataset).agg(
@@ -98,4 +102,11 @@ def validation_report(clean: DataFrame, dataset: str, amount: str = "amount",
                .otherwise(F.concat_ws("; ",
                                       F.when(F.col("n_bad_email") > 0, F.lit("quarantine rows with invalid e-mail")),
                                       F.when(F.col("n_bad_amount") > 0, F.lit("fix non-numeric amounts at the source")))))
-    return rep.withColumn("status", status).withColumn("issues", issues).withColumn("remedy", remedy)
+    rep = rep.withColumn("status", status).withColumn("issues", issues).withColumn("remedy", remedy)
+    if runs is not None:
+        ex = (runs.groupBy(dataset)
+                  .agg(F.max_by(F.col("status"), F.struct("ts", "run_id")).alias("execution_status"),
+                       ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
+                        / F.lit(1000000)).cast("bigint").alias("processing_seconds")))
+        rep = rep.join(ex, dataset, "left")
+    return rep

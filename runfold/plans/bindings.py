@@ -66,7 +66,9 @@ def high_value_summary(spark, sf):
 @q("validation_report")
 def validation_report(spark, sf):
     c = clean.clean_amount_date(clean.clean_email(tb.raw_customers(spark, sf)), "amount", None)
-    return clean.validation_report(c, "c_nationkey")
+    cust = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("job"), "c_nationkey")
+    runs = tb.job_runs(spark, sf).join(cust, "job")
+    return clean.validation_report(c, "c_nationkey", runs=runs)
 
 
 # ============================================================ run-state log

@@ -207,13 +207,18 @@ r AS (SELECT c_nationkey, count(*) AS n_rows, count(*) FILTER (WHERE NOT email_v
         CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount, CAST(min(amount) AS DECIMAL(38,2)) AS min_amount,
         CAST(max(amount) AS DECIMAL(38,2)) AS max_amount
       FROM c GROUP BY c_nationkey)
-SELECT *, CASE WHEN n_bad_email + n_bad_amount = 0 THEN 'PASSED'
+SELECT r.*, CASE WHEN n_bad_email + n_bad_amount = 0 THEN 'PASSED'
     WHEN (n_bad_email + n_bad_amount) * 10 < n_rows THEN 'WARNING' ELSE 'FAILED' END AS status,
   n_bad_email + n_bad_amount AS issues,
   CASE WHEN n_bad_email + n_bad_amount = 0 THEN 'none' ELSE concat_ws('; ',
     CASE WHEN n_bad_email > 0 THEN 'quarantine rows with invalid e-mail' END,
-    CASE WHEN n_bad_amount > 0 THEN 'fix non-numeric amounts at the source' END) END AS remedy
-FROM r"""
+    CASE WHEN n_bad_amount > 0 THEN 'fix non-numeric amounts at the source' END) END AS remedy,
+  x.execution_status, x.processing_seconds
+FROM r LEFT JOIN (
+  SELECT c_nationkey, arg_max(CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'P' THEN 'SUCCEEDED' ELSE 'RUNNING' END,
+      {{'ts': o_orderdate, 'id': o_orderkey}}) AS execution_status,
+    date_diff('second', min(o_orderdate), max(o_orderdate)) AS processing_seconds
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey) x USING (c_nationkey)"""
 
 # ------------------------------------------------------------ run-state log
 ORACLE["state_append"] = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
