@@ -106,3 +106,10 @@ def lower_contains_all(c, words) -> Column:
     for w in words:
         out = out & F.contains(s, F.lit(w.lower()))
     return out
+
+
+def join_text_blocks(blocks, sep: str = "\n") -> Column:
+    """A6 inside one value: keep the ``type = 'text'`` blocks of an
+    ARRAY<STRUCT<type, text>> and join their texts with ``sep``."""
+    kept = F.filter(_c(blocks), lambda b: b.getField("type") == "text")
+    return F.array_join(F.transform(kept, lambda b: b.getField("text")), sep)

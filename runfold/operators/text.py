@@ -126,6 +126,12 @@ def first_last_match(df: DataFrame, key: str = "conv_id", order: str = "turn", r
     return out.drop("__first")
 
 
+def first_where(df: DataFrame, key: str, order: str, cond: Column, value: str, out: str = "first_match") -> DataFrame:
+    """W6, general form: per key, ``value`` of the first row (in ``order``)
+    where ``cond`` holds; NULL when none does. One partial aggregate."""
+    return df.groupBy(key).agg(F.min_by(F.col(value), F.when(cond, F.col(order))).alias(out))
+
+
 # ------------------------------------------------------------------ F8 / F9
 def keyword_assert(df: DataFrame, text: str, checks: dict[str, list[str]]) -> DataFrame:
     """F8: one flag per check (case-blind any-of over its words) and

@@ -234,3 +234,18 @@ def test_upsert_last_wins(spark):
     regs = spark.createDataFrame([("t", 1, "old"), ("t", 5, "new"), ("u", 2, "only")], "name string, seq long, v string")
     r = {x.name: (x.v, x.overwrites) for x in registry.upsert_last_wins(regs).collect()}
     assert r == {"t": ("new", 1), "u": ("only", 0)}
+
+
+def test_join_text_blocks_keeps_text_only(spark):
+    from runfold.functions.text import join_text_blocks
+    df = spark.createDataFrame([([("text", "a"), ("image", "x"), ("text", "b")],)],
+                               "blocks array<struct<type:string,text:string>>")
+    assert df.select(join_text_blocks("blocks").alias("t")).first()["t"] == "a\nb"
+
+
+def test_first_where_finds_first_python_file(spark):
+    files = spark.createDataFrame([(1, 0, "__main__.py"), (1, 1, "README.md"), (1, 2, "etl_job.py"), (1, 3, "z.py"),
+                                   (2, 0, "__main__.py")], "ws long, pos long, name string")
+    cond = F.col("name").endswith(".py") & (F.col("name") != "__main__.py")
+    r = {x.ws: x.first_match for x in text.first_where(files, "ws", "pos", cond, "name").collect()}
+    assert r == {1: "etl_job.py", 2: None}
