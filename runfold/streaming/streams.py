@@ -27,10 +27,20 @@ DEFAULT_TRIGGER = {"availableNow": True}
 def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     """A file stream of one table's Parquet files (schema from the table)."""
     schema = tb.table(spark, sf_dir, name).schema
-    r = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return parquet_stream(spark, sf_dir, schema, f"{name}.parquet", max_files)
+
+
+def parquet_stream(spark: SparkSession, src: str, schema, glob: str | None = None,
+                   max_files: int | None = None, recursive: bool = False) -> DataFrame:
+    """A Parquet file stream over ``src`` with a fixed schema."""
+    r = spark.readStream.format("parquet").schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.load(sf_dir)
+    return r.load(src)
 
 
 def _run(writer, trigger: dict | None):
@@ -69,11 +79,19 @@ def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
 
 
 # ------------------------------------------------------------------ S7
+def copy_new_files(source: DataFrame, dst: str, checkpoint: str, trigger: dict | None = None) -> DataFrame:
+    """Move the files of a file stream that are new since the last run
+    from one store to another (Parquet). Rerun with the same ``dst`` and
+    ``checkpoint``: files already copied are skipped, exactly once."""
+    _run(source.writeStream.format("parquet").option("path", dst)
+         .option("checkpointLocation", checkpoint).outputMode("append"), trigger)
+    return source.sparkSession.read.parquet(dst)
+
+
 def incremental_copy(spark: SparkSession, sf_dir: str, name: str, trigger: dict | None = None) -> DataFrame:
-    """Move new files of a table from one store to another (Parquet),
-    exactly once via the checkpoint; returns the copy."""
-    out = _append_sink(file_stream(spark, sf_dir, name), f"copy-{name}", trigger)
-    return spark.read.parquet(out)
+    """S7 for one table, to a fresh destination: returns the copy."""
+    return copy_new_files(file_stream(spark, sf_dir, name), staging_path(spark, f"copy-{name}"),
+                          staging_path(spark, f"copy-{name}-ckpt"), trigger)
 
 
 # ------------------------------------------------------------------ ST1

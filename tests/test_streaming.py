@@ -71,3 +71,20 @@ def test_stream_ack_join_equals_batch_below_watermark(spark):
     old_batch = batch.where(F.col("req_ts") < F.lit(cut).cast("timestamp"))
     assert _rows(old_got, cols) == _rows(old_batch, cols)
     assert got.count() <= batch.count()
+
+
+def test_copy_new_files_is_incremental(spark, tmp_path):
+    from runfold.session import staging_path
+    src = tmp_path / "src"
+    ev = tb.table(spark, SF_SMALL, "events")
+    ev.where("event_id < 500").write.parquet(str(src / "b1"))
+    dst, ck = staging_path(spark, "copy-dst"), staging_path(spark, "copy-ck")
+
+    def stream():
+        return streams.parquet_stream(spark, str(src), ev.schema, "*.parquet", recursive=True)
+
+    n1 = streams.copy_new_files(stream(), dst, ck).count()
+    ev.where("event_id >= 500").write.parquet(str(src / "b2"))
+    second = streams.copy_new_files(stream(), dst, ck)
+    assert n1 == 500 and second.count() == ev.count()
+    assert second.select("event_id").distinct().count() == ev.count()       # nothing copied twice
