@@ -228,7 +228,8 @@ def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id:
     # request columns ride along in the union (NULL on answer rows), so the
     # result needs no join back to the requests
     u = rq.unionByName(an, allowMissingColumns=True).withColumn(
-        "__ans", F.when(F.col("__kind") == 1, F.struct(F.col("__id").alias("aid"), F.col("__ts").alias("ats"))))
+        "__ans", F.when((F.col("__kind") == 1) & F.col("__k").isNotNull(),      # NULL keys never match
+                        F.struct(F.col("__id").alias("aid"), F.col("__ts").alias("ats"))))
     # at equal times the request sorts first, so an answer at req_ts counts
     bucket = F.floor(F.unix_seconds(F.col("__ts").cast("timestamp")) / W)
     s = running(u, ["__k"], ["__ts", "__kind", "__id"], [Run("__next", "last_nonnull", "__ans")],

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_WIDTH = 1 << 16
 _B = "__bucket"
+_K = "__key"
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,10 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
         if len(orders) != 1:
             raise ValueError("a composite order needs an explicit bucket column")
         bucket = _bucket(orders[0], width)
-    d = df.withColumn(_B, bucket)
+    # one non-null struct key: NULL keys group (and join) together, as they do
+    # in a plain window partition
+    user_keys, keys = keys, [_K]
+    d = df.withColumn(_B, bucket).withColumn(_K, F.struct(*[F.col(k) for k in user_keys]))
     o = F.struct(*[F.col(c) for c in orders]) if len(orders) > 1 else F.col(orders[0])
     pick = F.min_by if descending else F.max_by
     summary_aggs = []
@@ -112,7 +116,7 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
         else:
             v = ic + F.coalesce(cc, F.lit(0))
         joined = joined.withColumn(r.out, v)
-    return joined.drop(_B, *[c for c in joined.columns if c.startswith("__rf_")])
+    return joined.drop(_B, _K, *[c for c in joined.columns if c.startswith("__rf_")])
 
 
 def _plain(r: Run, w, wrap: bool = False) -> Column:
@@ -140,11 +144,12 @@ def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
         for c in names:
             out = out.withColumn(prefix + c, F.lead(c).over(w))
         return out
-    d = df.withColumn(_B, _bucket(order, width))
+    user_keys, keys = keys, [_K]
+    d = df.withColumn(_B, _bucket(order, width)).withColumn(_K, F.struct(*[F.col(k) for k in user_keys]))
     wb = Window.partitionBy(*keys, _B).orderBy(order)
     for c in names:
         d = d.withColumn("__n_" + c, F.lead(c).over(wb))
-    firsts = (df.withColumn(_B, _bucket(order, width))
+    firsts = (df.withColumn(_B, _bucket(order, width)).withColumn(_K, F.struct(*[F.col(k) for k in user_keys]))
                 .groupBy(*keys, _B)
                 .agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("__f")))
     wk = Window.partitionBy(*keys).orderBy(_B)
@@ -153,7 +158,7 @@ def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
     has_in = F.col("__n_" + order).isNotNull()
     for c in names:
         j = j.withColumn(prefix + c, F.when(has_in, F.col("__n_" + c)).otherwise(F.col("__nf").getField(c)))
-    return j.drop(_B, "__nf", *["__n_" + c for c in names])
+    return j.drop(_B, _K, "__nf", *["__n_" + c for c in names])
 
 
 def ordered_concat(df: DataFrame, keys: list[str], order: str, text: str, sep: str,
