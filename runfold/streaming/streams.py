@@ -7,8 +7,9 @@ off. ``trigger`` defaults to ``availableNow`` (process what is there, then
 stop); pass ``{"processingTime": "30 seconds"}`` for a live poll.
 
 Aggregations run in ``update`` mode; each micro-batch of changed groups is
-appended with its batch id, and readers take the latest row per key (the
-table stays append-only, which survives executor loss and reruns).
+written to its own ``batch_id=N`` folder (overwritten if the batch is
+retried), and readers take the latest row per key, so executor loss or a
+rerun never duplicates or loses a batch.
 """
 
 from __future__ import annotations
@@ -64,7 +65,9 @@ def _update_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
     out, ck = staging_path(spark, name), staging_path(spark, name + "-ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out)
+        # one folder per micro-batch, overwritten on retry: a re-run batch
+        # replaces its own output instead of appending a second copy
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     _run(df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ck).outputMode("update"), trigger)
     return out
@@ -72,7 +75,7 @@ def _update_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
 
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Read an update-mode sink: the newest row of every key."""
-    d = spark.read.parquet(path)
+    d = spark.read.parquet(path)          # batch_id comes from the folder names
     others = [c for c in d.columns if c not in keys and c != "batch_id"]
     return (d.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("__r"))
              .select(*keys, *[F.col("__r").getField(c).alias(c) for c in others]))
