@@ -9,8 +9,9 @@ one key, and stitch the buckets back together with a small per-bucket summary:
 1. summarise each (key, bucket) with partial aggregates (map-side combined);
 2. an exclusive running fold over the bucket summaries of each key gives the
    *carry-in* of every bucket (one row per bucket, not per event);
-3. a window per (key, bucket) gives the in-bucket running value, which is
-   combined with the carry-in.
+3. each carry-in is added to its bucket as a leading "seed" row, and one
+   window per (key, bucket) folds seed + rows: the full rows are shuffled
+   once, never joined back, and NULL keys group as in a plain window.
 
 This is the classic two-level parallel prefix scan, written with built-in
 aggregates and windows only. The width is a tuning knob, not a cap: every row
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_WIDTH = 1 << 16
 _B = "__bucket"
-_K = "__key"
+_SEED = "__seed"
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
     key). ``bucket`` is a numeric column, non-decreasing along ``order``; by
     default ``order div width`` (single numeric order). ``descending=True``
     folds from the last row backwards (a suffix scan: "the next … at or after
-    this row").
+    this row"). NULL keys form one group, as in a plain window.
     """
     orders = [order] if isinstance(order, str) else list(order)
     ocols = [F.col(c).desc() if descending else F.col(c).asc() for c in orders]
@@ -70,53 +71,59 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
         if len(orders) != 1:
             raise ValueError("a composite order needs an explicit bucket column")
         bucket = _bucket(orders[0], width)
-    # one non-null struct key: NULL keys group (and join) together, as they do
-    # in a plain window partition
-    user_keys, keys = keys, [_K]
-    d = df.withColumn(_B, bucket).withColumn(_K, F.struct(*[F.col(k) for k in user_keys]))
-    o = F.struct(*[F.col(c) for c in orders]) if len(orders) > 1 else F.col(orders[0])
-    pick = F.min_by if descending else F.max_by
-    summary_aggs = []
+    d = df.withColumn(_B, bucket)
+    # the per-row input of each fold
     for i, r in enumerate(runs):
-        n = f"__rf_s{i}"
         if r.kind == "last_nonnull":
-            summary_aggs.append(pick(F.col(r.col), F.when(F.col(r.col).isNotNull(), o)).alias(n))
+            x = F.col(r.col)
         elif r.kind == "last_where":
-            summary_aggs.append(pick(F.struct(F.col(r.col).alias("v")), F.when(F.col(r.flag), o)).alias(n))
+            x = F.when(F.col(r.flag), F.struct(F.col(r.col).alias("v")))
         elif r.kind == "sum":
-            summary_aggs.append(F.sum(F.col(r.col)).alias(n))
+            x = F.col(r.col)
         elif r.kind == "count":
-            summary_aggs.append(F.count(F.lit(1)).alias(n))
+            x = F.lit(1).cast("bigint")
         else:
             raise ValueError(f"unknown run kind {r.kind}")
-    summary = d.groupBy(*keys, _B).agg(*summary_aggs)
+        d = d.withColumn(f"__rf_x{i}", x)
 
-    border = F.col(_B).desc() if descending else F.col(_B).asc()
-    wk = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = []
+    # 1. bucket summaries: partial aggregates, combined map-side
+    o = F.struct(*[F.col(c) for c in orders]) if len(orders) > 1 else F.col(orders[0])
+    pick = F.min_by if descending else F.max_by
+    aggs = []
     for i, r in enumerate(runs):
-        s_ = F.col(f"__rf_s{i}")
+        x = F.col(f"__rf_x{i}")
         if r.kind in ("last_nonnull", "last_where"):
-            carry_cols.append(F.last(s_, ignorenulls=True).over(wk).alias(f"__rf_c{i}"))
+            aggs.append(pick(x, F.when(x.isNotNull(), o)).alias(f"__rf_x{i}"))
         else:
-            carry_cols.append(F.sum(s_).over(wk).alias(f"__rf_c{i}"))
-    carry = summary.select(*keys, _B, *carry_cols)
+            aggs.append(F.sum(x).alias(f"__rf_x{i}"))
+    summary = d.groupBy(*keys, _B).agg(*aggs)
 
-    wb = Window.partitionBy(*keys, _B).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
-    inner = d
+    # 2. carry-in of each bucket: fold of the earlier buckets (one row per bucket)
+    border = F.col(_B).desc() if descending else F.col(_B).asc()
+    wk = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
+    carry = []
     for i, r in enumerate(runs):
-        inner = inner.withColumn(f"__rf_i{i}", _plain(r, wb, wrap=True))
-    joined = inner.join(carry, [*keys, _B], "left")
+        x = F.col(f"__rf_x{i}")
+        carry.append((F.last(x, ignorenulls=True) if r.kind in ("last_nonnull", "last_where")
+                      else F.sum(x)).over(wk).alias(f"__rf_x{i}"))
+    seeds = summary.select(*keys, _B, *carry, F.lit(0).alias(_SEED))
+
+    # 3. each bucket's carry-in enters its window partition as a first "seed"
+    #    row, so the in-bucket running fold includes it: no join back, and the
+    #    full rows are shuffled once, on (key, bucket)
+    u = d.withColumn(_SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
+    wb = (Window.partitionBy(*keys, _B).orderBy(F.col(_SEED).asc(), *ocols)
+                .rowsBetween(Window.unboundedPreceding, 0))
     for i, r in enumerate(runs):
-        ic, cc = F.col(f"__rf_i{i}"), F.col(f"__rf_c{i}")
+        x = F.col(f"__rf_x{i}")
         if r.kind == "last_nonnull":
-            v = F.coalesce(ic, cc)
+            v = F.last(x, ignorenulls=True).over(wb)
         elif r.kind == "last_where":
-            v = F.coalesce(ic, cc).getField("v")
+            v = F.last(x, ignorenulls=True).over(wb).getField("v")
         else:
-            v = ic + F.coalesce(cc, F.lit(0))
-        joined = joined.withColumn(r.out, v)
-    return joined.drop(_B, _K, *[c for c in joined.columns if c.startswith("__rf_")])
+            v = F.coalesce(F.sum(x).over(wb), F.lit(0))
+        u = u.withColumn(r.out, v)
+    return u.where(F.col(_SEED) == 1).drop(_B, _SEED, *[f"__rf_x{i}" for i in range(len(runs))])
 
 
 def _plain(r: Run, w, wrap: bool = False) -> Column:
@@ -136,7 +143,9 @@ def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
                   width: int = DEFAULT_WIDTH, bucketed: bool = True,
                   prefix: str = "next_") -> DataFrame:
     """Add ``next_<col>`` (the value on the following row of the same key, or
-    NULL on the last row) and ``next_<order>``, without one task per key."""
+    NULL on the last row) and ``next_<order>``, without one task per key:
+    the first row of the next bucket enters each bucket's window partition
+    as a trailing seed row, so ``lead`` reaches across the bucket edge."""
     names = [*cols, order]
     if not bucketed:
         w = Window.partitionBy(*keys).orderBy(order)
@@ -144,21 +153,16 @@ def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
         for c in names:
             out = out.withColumn(prefix + c, F.lead(c).over(w))
         return out
-    user_keys, keys = keys, [_K]
-    d = df.withColumn(_B, _bucket(order, width)).withColumn(_K, F.struct(*[F.col(k) for k in user_keys]))
-    wb = Window.partitionBy(*keys, _B).orderBy(order)
-    for c in names:
-        d = d.withColumn("__n_" + c, F.lead(c).over(wb))
-    firsts = (df.withColumn(_B, _bucket(order, width)).withColumn(_K, F.struct(*[F.col(k) for k in user_keys]))
-                .groupBy(*keys, _B)
-                .agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("__f")))
-    wk = Window.partitionBy(*keys).orderBy(_B)
-    nxt = firsts.select(*keys, _B, F.lead("__f").over(wk).alias("__nf"))
-    j = d.join(nxt, [*keys, _B], "left")
-    has_in = F.col("__n_" + order).isNotNull()
+    d = df.withColumn(_B, _bucket(order, width))
+    firsts = d.groupBy(*keys, _B).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("__f"))
+    nxt = firsts.select(*keys, _B, F.lead("__f").over(Window.partitionBy(*keys).orderBy(_B)).alias("__nf"))
+    seeds = (nxt.where(F.col("__nf").isNotNull())
+                .select(*keys, _B, *[F.col("__nf").getField(c).alias(c) for c in names], F.lit(1).alias(_SEED)))
+    u = d.withColumn(_SEED, F.lit(0)).unionByName(seeds, allowMissingColumns=True)
+    wb = Window.partitionBy(*keys, _B).orderBy(F.col(_SEED).asc(), F.col(order).asc())
     for c in names:
-        j = j.withColumn(prefix + c, F.when(has_in, F.col("__n_" + c)).otherwise(F.col("__nf").getField(c)))
-    return j.drop(_B, _K, "__nf", *["__n_" + c for c in names])
+        u = u.withColumn(prefix + c, F.lead(c).over(wb))
+    return u.where(F.col(_SEED) == 0).drop(_B, _SEED)
 
 
 def ordered_concat(df: DataFrame, keys: list[str], order: str, text: str, sep: str,
