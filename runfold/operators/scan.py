@@ -165,16 +165,25 @@ def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
     return u.where(F.col(_SEED) == 0).drop(_B, _SEED)
 
 
+CONCAT_WIDTH = 1024
+
+
 def ordered_concat(df: DataFrame, keys: list[str], order: str, text: str, sep: str,
-                   out: str = "text", width: int = DEFAULT_WIDTH) -> DataFrame:
-    """One string per key: ``text`` joined by ``sep`` in ``order`` (NULL texts
-    skipped). Built in two levels, per (key, bucket) then per key, so the sort
-    of a hot key is spread over many tasks."""
+                   out: str = "text", width: int = CONCAT_WIDTH, whole: bool = False) -> DataFrame:
+    """Texts joined by ``sep`` in ``order`` per key (NULL texts skipped).
+
+    Default: the joined text in ordered *parts*, one row per (key, part) with
+    ``part = order div width``; joining the parts in part order with ``sep``
+    gives the whole text. Each part holds at most ``width`` rows, so no task
+    builds one unbounded string for a hot key. ``whole=True`` adds a second
+    level that joins the parts into one string per key (bounded keys only)."""
     lvl1 = (df.withColumn(_B, _bucket(order, width))
               .where(F.col(text).isNotNull())
               .groupBy(*keys, _B)
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
-                                            lambda x: x.getField("t")), sep).alias("__part")))
+                                            lambda x: x.getField("t")), sep).alias(out)))
+    if not whole:
+        return lvl1.withColumnRenamed(_B, "part")
     return (lvl1.groupBy(*keys)
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(_B).alias("o"), F.col("__part").alias("t")))),
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(_B).alias("o"), F.col(out).alias("t")))),
                                               lambda x: x.getField("t")), sep).alias(out)))

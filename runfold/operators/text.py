@@ -9,7 +9,7 @@ from runfold.constants import (FAILED_PREFIX, NO_DISCOVERY_TEXT, NO_SUMMARY_TEXT
                                TOOL_OUTPUT_PREFIX, WEB_RESULTS)
 from runfold.functions.text import (drop_think_blocks, first_brace_span, js_trim, lower_contains_any,
                                     strict_parse_json, strip_fences)
-from runfold.operators.scan import DEFAULT_WIDTH, ordered_concat as _ordered_concat
+from runfold.operators.scan import CONCAT_WIDTH, DEFAULT_WIDTH, ordered_concat as _ordered_concat
 
 # FIXED VALUES: the strategy line appended under the plan summary.
 STRATEGY_LINE = ("\n\n✅ **Strategy Selected:** `{s}`\n⚙️ **Status:** Architecture map "
@@ -76,28 +76,33 @@ def role_filter_remap(df: DataFrame, role: str = "role") -> DataFrame:
 
 
 def ordered_concat(df: DataFrame, key: str, order: str, text: str, sep: str = "\n",
-                   out: str = "text", width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Texts joined in order with ``sep`` per key (NULL texts skipped)."""
-    return _ordered_concat(df, [key], order, text, sep, out, width)
+                   out: str = "text", width: int = CONCAT_WIDTH, whole: bool = False) -> DataFrame:
+    """Texts joined in order with ``sep`` per key (NULL texts skipped),
+    as ordered parts ``(key, part, text)`` of at most ``width`` rows each
+    (``whole=True``: one string per key, for bounded keys)."""
+    return _ordered_concat(df, [key], order, text, sep, out, width, whole)
 
 
 def conversation_format(df: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
-                        text: str = "text", width: int = DEFAULT_WIDTH) -> DataFrame:
-    """X11: role-tagged transcript per conversation (``role: text`` lines)."""
+                        text: str = "text", width: int = CONCAT_WIDTH, whole: bool = False) -> DataFrame:
+    """X11: role-tagged transcript per conversation (``role: text`` lines),
+    in ordered parts like ``ordered_concat``."""
     f = role_filter_remap(df.select(key, order, role, text), role)
     f = f.withColumn("__line", F.concat(F.col(role), F.lit(": "), F.col(text)))
-    return ordered_concat(f, key, order, "__line", "\n", "transcript", width)
+    return ordered_concat(f, key, order, "__line", "\n", "transcript", width, whole)
 
 
 def tool_output_context(df: DataFrame, is_tool: Column, key: str = "conv_id", order: str = "turn",
-                        text: str = "text", width: int = DEFAULT_WIDTH) -> DataFrame:
-    """per key, tool messages prefixed and joined by newline; a fixed
-    text when the key has none (``x || default``: empty counts as none)."""
-    keys = df.select(key).distinct()
-    t = (df.where(is_tool).select(key, order, F.concat(F.lit(TOOL_OUTPUT_PREFIX), F.col(text)).alias("__t")))
-    agg = ordered_concat(t, key, order, "__t", "\n", "__ctx", width)
-    return (keys.join(agg, key, "left")
-                .select(key, F.coalesce(F.nullif(F.col("__ctx"), F.lit("")), F.lit(NO_DISCOVERY_TEXT)).alias("context")))
+                        text: str = "text", width: int = CONCAT_WIDTH) -> DataFrame:
+    """per key, tool messages prefixed and joined by newline, in ordered
+    parts; a key with no tool message (or only empty ones: ``x || default``)
+    gets one part 0 holding the fixed default text."""
+    t = df.where(is_tool).select(key, order, F.concat(F.lit(TOOL_OUTPUT_PREFIX), F.col(text)).alias("__t"))
+    parts = ordered_concat(t, key, order, "__t", "\n", "context", width)
+    has = parts.groupBy(key).agg(F.lit(True).alias("__has"))
+    idle = (df.select(key).distinct().join(has, key, "left_anti")
+              .select(key, F.lit(0).cast("bigint").alias("part"), F.lit(NO_DISCOVERY_TEXT).alias("context")))
+    return parts.unionByName(idle)
 
 
 # ------------------------------------------------------------------ W4 / W6

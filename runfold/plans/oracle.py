@@ -401,19 +401,25 @@ ORACLE["truncate_with_length"] = """SELECT doc_id, CASE WHEN length(text) > 500
 ORACLE["namespaced_name"] = f"""WITH {TOOL_CATALOG}
 SELECT seq, concat(regexp_replace(brand, '[^a-zA-Z0-9_-]', '_', 'g'), '_', tool) AS name FROM tool_catalog"""
 
-ORACLE["conversation_format"] = """SELECT conv_id, string_agg(concat(r, ': ', text), chr(10) ORDER BY turn) AS transcript
+ORACLE["conversation_format"] = """SELECT conv_id, turn // 1024 AS part,
+  string_agg(concat(r, ': ', text), chr(10) ORDER BY turn) AS transcript
 FROM (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS r
-      FROM conversations WHERE role IS DISTINCT FROM 'system') GROUP BY conv_id"""
+      FROM conversations WHERE role IS DISTINCT FROM 'system') GROUP BY conv_id, turn // 1024"""
 
-ORACLE["ordered_concat"] = """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"""
+ORACLE["ordered_concat"] = """SELECT conv_id, turn // 1024 AS part, string_agg(text, chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id, turn // 1024"""
 
 ORACLE["role_filter_remap"] = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, text
 FROM conversations WHERE role IS DISTINCT FROM 'system'"""
 
-ORACLE["tool_output_context"] = f"""SELECT conv_id, coalesce(nullif(
-    string_agg(concat({lit(TOOL_OUTPUT_PREFIX)}, text), chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), ''),
-  {lit(NO_DISCOVERY_TEXT)}) AS context
-FROM conversations GROUP BY conv_id"""
+ORACLE["tool_output_context"] = f"""WITH parts AS (
+  SELECT conv_id, turn // 1024 AS part,
+    string_agg(concat({lit(TOOL_OUTPUT_PREFIX)}, text), chr(10) ORDER BY turn) AS context
+  FROM conversations WHERE role = 'system' GROUP BY conv_id, turn // 1024)
+SELECT * FROM parts
+UNION ALL
+SELECT DISTINCT conv_id, 0 AS part, {lit(NO_DISCOVERY_TEXT)} AS context FROM conversations c
+WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.conv_id = c.conv_id)"""
 
 
 def _any(col: str, words) -> str:

@@ -31,7 +31,7 @@ def test_next_in_group_bucketed_equals_plain(spark):
 
 def test_ordered_concat_two_levels(spark):
     c = tb.table(spark, SF_SMALL, "conversations")
-    a = text.ordered_concat(c, "conv_id", "turn", "text", width=2)
+    a = text.ordered_concat(c, "conv_id", "turn", "text", width=2, whole=True)
     b = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
                                                           lambda x: x["text"]), "\n").alias("text"))
     assert _rows(a, ["conv_id", "text"]) == _rows(b, ["conv_id", "text"])
@@ -77,3 +77,13 @@ def test_ack_join_equals_plain_range_join(spark):
                                  & (F.col("a.ats") <= F.col("r.ts") + F.expr("INTERVAL 300 SECONDS")))
                 .groupBy("r.event_id").agg(F.min_by("a.aid", F.struct("a.ats", "a.aid")).alias("answer_id")))
     assert _rows(got.where("answer_id IS NOT NULL"), ["event_id", "answer_id"]) == _rows(plain, ["event_id", "answer_id"])
+
+
+def test_ordered_concat_parts_rebuild_the_whole(spark):
+    c = tb.table(spark, SF_SMALL, "conversations")
+    parts = text.ordered_concat(c, "conv_id", "turn", "text", width=3)
+    rebuilt = parts.groupBy("conv_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    whole = text.ordered_concat(c, "conv_id", "turn", "text", whole=True)
+    assert _rows(rebuilt, ["conv_id", "text"]) == _rows(whole, ["conv_id", "text"])
+    assert parts.groupBy("conv_id", "part").count().where("count > 1").count() == 0
