@@ -219,7 +219,9 @@ def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id:
     key with a huge, dense history costs O(rows), and the scan is bucketed by
     time so one key never lands in one task."""
     T = int(timeout_seconds)
-    W = int(width_seconds or max(T, 1) * 12)
+    # time buckets of one time-out each: a bucket holds only the rows of one
+    # key within ``T`` seconds, however hot the key is overall
+    W = int(width_seconds or max(T, 1))
     req_cols = requests.columns
     rq = requests.select(*req_cols, F.col(key).alias("__k"), F.col(req_ts).alias("__ts"), F.lit(0).alias("__kind"),
                          F.col(req_id).alias("__id"))
