@@ -157,10 +157,23 @@ def stream_ack_join_df(events: DataFrame, watermark: str = "10 minutes",
     return req.join(ans, cond, "leftOuter").select("req_id", "req_user", "req_ts", "ans_id", "ans_ts")
 
 
+def stream_ack_earliest_df(events: DataFrame, watermark: str = "10 minutes",
+                           timeout_seconds: int = ACK_TIMEOUT_SECONDS) -> DataFrame:
+    """J8 on a stream: the interval join, then the earliest answer per
+    request (a second stateful operator, evicted by the request watermark)."""
+    j = stream_ack_join_df(events, watermark, timeout_seconds)
+    best = (j.groupBy("req_id", "req_user", "req_ts")
+             .agg(F.min_by(F.struct(F.col("ans_id").alias("aid"), F.col("ans_ts").alias("ats")),
+                           F.struct("ans_ts", "ans_id")).alias("b")))
+    return best.select("req_id", "req_user", "req_ts", F.col("b.aid").alias("answer_id"),
+                       F.col("b.ats").alias("answer_ts"),
+                       F.when(F.col("b.aid").isNotNull(), "allow").otherwise("deny").alias("decision"))
+
+
 def stream_ack_join(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
-    """ST4: request/answer streams joined within the time-out; requests with
-    no answer come out (as denied) once the watermark passes them. Rows newer
-    than the final watermark stay in state until more data arrives."""
-    out = _append_sink(stream_ack_join_df(file_stream(spark, sf_dir, "events")), "ack-join", trigger)
-    d = spark.read.parquet(out)
-    return d.withColumn("decision", F.when(F.col("ans_id").isNotNull(), "allow").otherwise("deny"))
+    """ST4: request/answer streams joined within the time-out, earliest answer
+    per request; requests with no answer come out (denied) once the watermark
+    passes them. Rows newer than the final watermark stay in state until more
+    data arrives."""
+    out = _append_sink(stream_ack_earliest_df(file_stream(spark, sf_dir, "events")), "ack-join", trigger)
+    return spark.read.parquet(out)
