@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Rows allowed on a side we broadcast from user input; beyond it the join is
-# left to the planner (sort-merge or shuffle hash), never forced.
+# planned another way (never forced).
 BROADCAST_MAX_ROWS = 200_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check is one cheap ``limit(max_rows + 1).count()``; a larger side is
-    returned unhinted so the planner (and AQE, with runtime sizes) chooses."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def at_most(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` provably has at most ``max_rows`` rows: one cheap
+    ``limit(max_rows + 1).count()`` that stops reading past the bound."""
+    return df.limit(max_rows + 1).count() <= max_rows

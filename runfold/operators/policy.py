@@ -14,7 +14,7 @@ from runfold.constants import (ACK_TIMEOUT_SECONDS, ALLOWED_PATHS, BLOCKED_COMMA
                                IGNORED_NAMES, NOT_ALLOWED_EXTENSIONS, READ_ONLY_FILES)
 from runfold.functions.paths import basename, dirname, extname, is_within, resolve_path
 from runfold.functions.text import js_trim
-from runfold.operators.common import BROADCAST_MAX_ROWS
+from runfold.operators.common import BROADCAST_MAX_ROWS, at_most
 from runfold.operators.scan import Run, running
 
 # FIXED VALUES: the refusal texts, in the order the checks run.
@@ -142,8 +142,7 @@ def allowlist_match(requests: DataFrame, rules: DataFrame, category: str = "cate
     request side, so the join is a plain hash/sort-merge semi join."""
     r = rules.select(F.col("category").alias("__rc"), F.col("operation").alias("__ro"),
                      F.col("target").alias("__rt"))
-    small = r.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    if small:
+    if at_most(r, max_broadcast_rows):
         cond = _rule_match_condition(F.col(category), F.col(operation), F.col(target),
                                      F.col("__rc"), F.col("__ro"), F.col("__rt"))
         return requests.join(F.broadcast(r), cond, "left_semi")

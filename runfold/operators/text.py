@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from runfold.constants import (FAILED_PREFIX, NO_DISCOVERY_TEXT, NO_SUMMARY_TEXT, SEARCH_CAP,
                                TOOL_OUTPUT_PREFIX, WEB_RESULTS)
-from runfold.functions.text import (drop_think_blocks, first_brace_span, js_trim, lower_contains_any,
-                                    strict_parse_json, strip_fences)
+from runfold.functions.text import drop_think_blocks, first_brace_span, js_trim, strict_parse_json, strip_fences
 from runfold.operators.scan import CONCAT_WIDTH, DEFAULT_WIDTH, ordered_concat as _ordered_concat
 
 # FIXED VALUES: the strategy line appended under the plan summary.
