@@ -113,3 +113,9 @@ def join_text_blocks(blocks, sep: str = "\n") -> Column:
     ARRAY<STRUCT<type, text>> and join their texts with ``sep``."""
     kept = F.filter(_c(blocks), lambda b: b.getField("type") == "text")
     return F.array_join(F.transform(kept, lambda b: b.getField("text")), sep)
+
+
+def rewind_array(history, index) -> Column:
+    """W4 inside one value: the first ``index + 1`` items of an array."""
+    idx = F.col(index) if isinstance(index, str) else F.lit(int(index))
+    return F.slice(_c(history), 1, idx + 1)

@@ -249,3 +249,19 @@ def test_first_where_finds_first_python_file(spark):
     cond = F.col("name").endswith(".py") & (F.col("name") != "__main__.py")
     r = {x.ws: x.first_match for x in text.first_where(files, "ws", "pos", cond, "name").collect()}
     assert r == {1: "etl_job.py", 2: None}
+
+
+def test_ansi_bad_text_becomes_null_not_failure(spark):
+    """Trap T5: ANSI is on; cleaning uses try_ casts, so bad rows survive as NULL."""
+    from runfold.operators import clean as cl
+    df = spark.createDataFrame([("1", " 12.50 ", "2024-02-30"), ("2", "abc", "2024-01-05")],
+                               "id string, amount string, date string")
+    r = {x.id: x for x in cl.clean_amount_date(df).collect()}
+    assert str(r["1"].amount) == "12.50" and r["1"].date is None
+    assert r["2"].amount is None and str(r["2"].date) == "2024-01-05"
+
+
+def test_rewind_array(spark):
+    from runfold.functions.text import rewind_array
+    df = spark.createDataFrame([(["a", "b", "c", "d"],)], "h array<string>")
+    assert df.select(rewind_array("h", 1).alias("r")).first()["r"] == ["a", "b"]
