@@ -118,13 +118,19 @@ def variable_resolution(entries: DataFrame, env: DataFrame, value: str = "value"
     value (``''`` when absent); other values are kept. ``unresolved`` flags a
     reference whose variable is absent or empty. Equi join on the name."""
     v = F.col(value)
-    is_ref = F.startswith(v, F.lit("$"))
-    d = entries.withColumn("__ref", F.when(is_ref, F.substring(v, 2, 1 << 30)))
+    is_ref = F.coalesce(F.startswith(v, F.lit("$")), F.lit(False))
+    # only references take part in the join: literal values (often most rows)
+    # would all share a NULL join key and land in one shuffle partition
+    refs = entries.where(is_ref).withColumn("__ref", F.substring(v, 2, 1 << 30))
     e = env.select(F.col(env_name).alias("__ref"), F.col(env_value).alias("__val"))
-    d = d.join(e, "__ref", "left")
-    return (d.withColumn("resolved", F.when(is_ref, F.coalesce(F.col("__val"), F.lit(""))).otherwise(v))
-             .withColumn("unresolved", is_ref & F.nullif(F.col("__val"), F.lit("")).isNull())
-             .drop("__ref", "__val"))
+    resolved = (refs.join(e, "__ref", "left")
+                    .withColumn("resolved", F.coalesce(F.col("__val"), F.lit("")))
+                    .withColumn("unresolved", F.nullif(F.col("__val"), F.lit("")).isNull())
+                    .drop("__ref", "__val"))
+    literals = (entries.where(~is_ref)
+                       .withColumn("resolved", v)
+                       .withColumn("unresolved", F.lit(False)))
+    return resolved.unionByName(literals)
 
 
 # ------------------------------------------------------------------ X8

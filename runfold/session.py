@@ -42,6 +42,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, shuffle_bytes: int, partition_bytes: int = 256 << 20) -> int:
+    """Size the initial shuffle partition count for a job that shuffles about
+    ``shuffle_bytes``: one partition per ``partition_bytes`` (so each fits in
+    executor memory and spills little), with AQE coalescing small ones and
+    splitting skewed ones at run time. Returns the count set."""
+    n = max(1, -(-int(shuffle_bytes) // int(partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(partition_bytes)))
+    return n
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates and checkpoints.
 
