@@ -196,8 +196,13 @@ def numbered_topk(df: DataFrame, score: str, tiebreak: str, title: Column, url:
     top = (df.select(F.col(score).cast("bigint").alias("score"), F.col(tiebreak).alias("id"),
                      title.alias("title"), url.alias("url"), snippet.alias("snippet"))
              .orderBy(F.col("score").desc(), F.col("id").asc()).limit(k))
-    w = Window.orderBy(F.col("score").desc(), F.col("id").asc())
-    return (top.withColumn("rank", F.row_number().over(w).cast("bigint"))
-               .withColumn("result", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"),
-                                              F.lit("\nURL: "), F.col("url"), F.lit("\nSnippet: "), F.col("snippet"),
-                                              F.lit("\n"))))
+    # number the (at most k) winners: sort them as one small array and
+    # posexplode, instead of an unpartitioned window
+    ranked = (top.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "id", "score", "title",
+                                                            "url", "snippet"))).alias("__top"))
+                 .select(F.posexplode("__top").alias("__pos", "__r"))
+                 .select((F.col("__pos") + 1).cast("bigint").alias("rank"), "__r.id", "__r.score", "__r.title",
+                         "__r.url", "__r.snippet"))
+    return ranked.withColumn("result", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"),
+                                                F.lit("\nURL: "), F.col("url"), F.lit("\nSnippet: "), F.col("snippet"),
+                                                F.lit("\n")))
