@@ -117,6 +117,9 @@ def _probe_files(batches):
                 local = p[len("file:"):] if p.startswith("file:") and not p.startswith("file://") else p
                 if local.startswith("file://"):
                     local = local[len("file://"):]
+                for hadoop_scheme in ("s3a://", "s3n://"):        # Hadoop names for the same store
+                    if local.startswith(hadoop_scheme):
+                        local = "s3://" + local[len(hadoop_scheme):]
                 if "://" in local:
                     fs, rel = pafs.FileSystem.from_uri(local)
                 else:
@@ -132,8 +135,11 @@ def _probe_files(batches):
 def binary_detect(listing: DataFrame) -> DataFrame:
     """``is_binary``: a NUL byte in the first 4,000 bytes, or unreadable.
 
-    Reads only the probe bytes of each file (``binaryFile`` would load whole
-    bodies); the listing is spread over tasks, one small read per file."""
+    Reads only the probe bytes of each file: ``binaryFile`` would load whole
+    bodies, which for a large corpus is the whole corpus in I/O. The listing
+    is spread over tasks (Arrow batches into ``mapInPandas``), one small
+    ranged read per file through Arrow's file systems (local, S3, HDFS, GCS).
+    For a BINARY column already in a table, use ``binary_detect_content``."""
     return listing.select("path", "length").mapInPandas(
         _probe_files, "path string, length bigint, is_binary boolean")
 
