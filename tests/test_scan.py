@@ -87,3 +87,20 @@ def test_ordered_concat_parts_rebuild_the_whole(spark):
     whole = text.ordered_concat(c, "conv_id", "turn", "text", whole=True)
     assert _rows(rebuilt, ["conv_id", "text"]) == _rows(whole, ["conv_id", "text"])
     assert parts.groupBy("conv_id", "part").count().where("count > 1").count() == 0
+
+
+def test_hot_key_is_split_across_buckets(spark):
+    """One session holding almost every row: the bucketed fold equals the
+    plain window, and no (key, bucket) window partition exceeds the width."""
+    n, width = 20000, 256
+    df = (spark.range(n).select(F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(F.lit(1)).alias("k"),
+                                F.col("id").alias("seq"),
+                                F.when(F.col("id") % 13 == 0, F.col("id").cast("string")).alias("v"),
+                                (F.col("id") % 3).alias("n")))
+    runs = [scan.Run("last", "last_nonnull", "v"), scan.Run("s", "sum", "n"), scan.Run("c", "count")]
+    a = scan.running(df, ["k"], "seq", runs, width=width)
+    b = scan.running(df, ["k"], "seq", runs, bucketed=False)
+    cols = ["k", "seq", "last", "s", "c"]
+    assert _rows(a, cols) == _rows(b, cols)
+    biggest = df.groupBy("k", F.expr(f"seq div {width}")).count().agg(F.max("count")).first()[0]
+    assert biggest <= width
