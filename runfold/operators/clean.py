@@ -106,7 +106,6 @@ def validation_report(clean: DataFrame, dataset: str, amount: str = "amount",
     if runs is not None:
         ex = (runs.groupBy(dataset)
                   .agg(F.max_by(F.col("status"), F.struct("ts", "run_id")).alias("execution_status"),
-                       ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
-                        / F.lit(1000000)).cast("bigint").alias("processing_seconds")))
+                       F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).cast("bigint").alias("processing_seconds")))
         rep = rep.join(ex, dataset, "left")
     return rep

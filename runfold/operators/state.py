@@ -241,8 +241,7 @@ def job_latest_status(runs: DataFrame, job: str = "job", ts: str = "ts", tiebrea
                 .agg(F.max_by(F.col(status), o).alias("latest_status"),
                      F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"),
                      F.count(F.lit(1)).alias("n_polls"))
+                # whole seconds between wall-clock times, independent of the session time zone
                 .withColumn("processing_seconds",
-                            (F.unix_micros(F.col("last_seen").cast("timestamp"))
-                             - F.unix_micros(F.col("first_seen").cast("timestamp"))) / F.lit(1000000))
-                .withColumn("processing_seconds", F.col("processing_seconds").cast("bigint"))
+                            F.timestamp_diff("SECOND", F.col("first_seen"), F.col("last_seen")).cast("bigint"))
                 .withColumn("is_terminal", F.col("latest_status").isin(*terminal)))
