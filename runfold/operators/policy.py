@@ -99,13 +99,16 @@ def command_policy(df: DataFrame, command: str = "command", tokens: list[str] =
     last ``&&`` segment; ``all_segments=True`` (ours) checks the whole line."""
     cmd = F.col(command)
     actual = actual_command(cmd)
-    checked = F.lower(cmd if all_segments else actual)
-    toks = F.array(*[F.lit(t.lower()) for t in tokens])
-    hit = F.filter(toks, lambda t: F.contains(checked, t))
-    return (df.withColumn("segment", actual)
-              .withColumn("base_command", base_command(actual))
-              .withColumn("blocked_token", F.try_element_at(hit, F.lit(1)))
-              .withColumn("blocked", F.size(hit) > 0))
+    d = df.withColumn("segment", actual).withColumn("__checked", F.lower(cmd if all_segments else F.col("segment")))
+    # first listed token contained in the checked text, as one CASE chain
+    # (stays in generated code; a lambda over an array would not)
+    first_hit = F.lit(None).cast("string")
+    for t in reversed(tokens):
+        first_hit = F.when(F.contains(F.col("__checked"), F.lit(t.lower())), F.lit(t.lower())).otherwise(first_hit)
+    return (d.withColumn("base_command", base_command(F.col("segment")))
+             .withColumn("blocked_token", first_hit)
+             .withColumn("blocked", F.col("blocked_token").isNotNull())
+             .drop("__checked"))
 
 
 # ------------------------------------------------------------------ F5
