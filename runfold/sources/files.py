@@ -106,32 +106,6 @@ def object_listing(spark: SparkSession, root: str, glob: str | None = None) -> D
 
 
 # ------------------------------------------------------- F2 binary detect
-def _probe_files(batches):
-    import pandas as pd
-    import pyarrow.fs as pafs
-
-    for pdf in batches:
-        flags = []
-        for p in pdf["path"]:
-            try:
-                local = p[len("file:"):] if p.startswith("file:") and not p.startswith("file://") else p
-                if local.startswith("file://"):
-                    local = local[len("file://"):]
-                for hadoop_scheme in ("s3a://", "s3n://"):        # Hadoop names for the same store
-                    if local.startswith(hadoop_scheme):
-                        local = "s3://" + local[len(hadoop_scheme):]
-                if "://" in local:
-                    fs, rel = pafs.FileSystem.from_uri(local)
-                else:
-                    fs, rel = pafs.LocalFileSystem(), local
-                with fs.open_input_stream(rel) as f:
-                    head = f.read(BINARY_PROBE_BYTES)
-                flags.append(b"\x00" in head)
-            except Exception:
-                flags.append(True)  # unreadable counts as binary
-        yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "is_binary": flags})
-
-
 def binary_detect(listing: DataFrame) -> DataFrame:
     """``is_binary``: a NUL byte in the first 4,000 bytes, or unreadable.
 
@@ -140,8 +114,36 @@ def binary_detect(listing: DataFrame) -> DataFrame:
     is spread over tasks (Arrow batches into ``mapInPandas``), one small
     ranged read per file through Arrow's file systems (local, S3, HDFS, GCS).
     For a BINARY column already in a table, use ``binary_detect_content``."""
-    return listing.select("path", "length").mapInPandas(
-        _probe_files, "path string, length bigint, is_binary boolean")
+    n_bytes = BINARY_PROBE_BYTES
+
+    # defined here so it is shipped to the Python workers by value: they need
+    # no copy of this package on their path
+    def probe(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        for pdf in batches:
+            flags = []
+            for p in pdf["path"]:
+                try:
+                    local = p[len("file:"):] if p.startswith("file:") and not p.startswith("file://") else p
+                    if local.startswith("file://"):
+                        local = local[len("file://"):]
+                    for hadoop_scheme in ("s3a://", "s3n://"):        # Hadoop names for the same store
+                        if local.startswith(hadoop_scheme):
+                            local = "s3://" + local[len(hadoop_scheme):]
+                    if "://" in local:
+                        fs, rel = pafs.FileSystem.from_uri(local)
+                    else:
+                        fs, rel = pafs.LocalFileSystem(), local
+                    with fs.open_input_stream(rel) as f:
+                        head = f.read(n_bytes)
+                    flags.append(b"\x00" in head)
+                except Exception:
+                    flags.append(True)  # unreadable counts as binary
+            yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "is_binary": flags})
+
+    return listing.select("path", "length").mapInPandas(probe, "path string, length bigint, is_binary boolean")
 
 
 def binary_detect_content(df: DataFrame, content: str = "content") -> DataFrame:
