@@ -59,6 +59,7 @@ WORKFLOW_EDGES = [
 
 PLAN_STRATEGIES = ["GREENFIELD", "BROWNFIELD_ETL", "DATA_ANALYSIS"]
 
+# FIXED VALUES: texts that appear in results.
 EMPTY_FILE_MARKER = "[File is empty]"
 NO_DISCOVERY_TEXT = "No infrastructure discovered."
 NO_SUMMARY_TEXT = ("I have successfully analyzed your request and formulated a "

@@ -314,6 +314,7 @@ def tool_output_context(spark, sf):
     return text.tool_output_context(c, F.col("role") == "system")
 
 
+# FIXED VALUES: keyword families of the report checks (any-of per family).
 KEYWORD_CHECKS = {
     "has_total": ["50.00", "50"],
     "has_report": ["report", "status"],
