@@ -160,14 +160,35 @@ def allowlist_match(requests: DataFrame, rules: DataFrame, category: str = "cate
     return hits.dropDuplicates(requests.columns)
 
 
+def allowlist_flag(requests: DataFrame, rules: DataFrame, key: str, out: str = "allowlisted",
+                   category: str = "category", operation: str = "operation", target: str = "target",
+                   max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """J1 as a flag on every request (for the permission cascade).
+
+    Small rule tables (checked) become a correlated EXISTS over the broadcast
+    rules: one existence join, requests are not shuffled or joined back.
+    Larger ones take the all-equi semi join of ``allowlist_match`` and a join
+    back on ``key``."""
+    r = rules.select(F.col("category").alias("__rc"), F.col("operation").alias("__ro"),
+                     F.col("target").alias("__rt"))
+    if at_most(r, max_broadcast_rows):
+        q = requests.alias("__q")
+        cond = _rule_match_condition(F.col(f"__q.{category}").outer(), F.col(f"__q.{operation}").outer(),
+                                     F.col(f"__q.{target}").outer(), F.col("__rc"), F.col("__ro"), F.col("__rt"))
+        return q.withColumn(out, F.broadcast(r).where(cond).exists())
+    hits = (allowlist_match(requests, rules, category, operation, target, max_broadcast_rows)
+            .select(key).distinct().withColumn(out, F.lit(True)))
+    return (requests.join(hits, key, "left")
+                    .withColumn(out, F.coalesce(F.col(out), F.lit(False))))
+
+
 # ------------------------------------------------------------------ J2
 def permission_decision(requests: DataFrame, rules: DataFrame, answers: DataFrame | None = None,
                         key: str = "req_id", mode: str = "manual", has_session: str | None = None) -> DataFrame:
     """The approval cascade per request: auto mode → allow; ``read`` →
     allow; allow-list hit → allow; no session → deny; answer ``allow_always`` /
     ``allow_once`` → allow; anything else (``deny``, no answer) → deny."""
-    hits = allowlist_match(requests, rules).select(key).withColumn("__hit", F.lit(True))
-    d = requests.join(hits, key, "left")
+    d = allowlist_flag(requests, rules, key, "__hit")
     if answers is not None:
         d = d.join(answers.select(key, "answer"), key, "left")
         ans = F.col("answer")

@@ -265,3 +265,14 @@ def test_rewind_array(spark):
     from runfold.functions.text import rewind_array
     df = spark.createDataFrame([(["a", "b", "c", "d"],)], "h array<string>")
     assert df.select(rewind_array("h", 1).alias("r")).first()["r"] == ["a", "b"]
+
+
+def test_allowlist_flag_both_plans_agree(spark):
+    reqs = spark.createDataFrame([(1, "commands", "execute", "rmdir"), (2, "commands", "execute", "ls"),
+                                  (3, "files", "write", "/w/a"), (4, "files", "read", "/w/a")],
+                                 "req_id long, category string, operation string, target string")
+    rules = spark.createDataFrame([("commands", "rm", "all"), ("files", "/w/a", "write")],
+                                  "category string, target string, operation string")
+    small = {r.req_id: r.allowlisted for r in policy.allowlist_flag(reqs, rules, "req_id").collect()}
+    large = {r.req_id: r.allowlisted for r in policy.allowlist_flag(reqs, rules, "req_id", max_broadcast_rows=0).collect()}
+    assert small == large == {1: True, 2: False, 3: True, 4: False}
