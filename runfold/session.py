@@ -38,6 +38,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # JSON text parsed to VARIANT keeps the last of repeated keys, as JSON.parse does
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     staging_root(spark)
     return spark
 

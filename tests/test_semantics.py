@@ -276,3 +276,9 @@ def test_allowlist_flag_both_plans_agree(spark):
     small = {r.req_id: r.allowlisted for r in policy.allowlist_flag(reqs, rules, "req_id").collect()}
     large = {r.req_id: r.allowlisted for r in policy.allowlist_flag(reqs, rules, "req_id", max_broadcast_rows=0).collect()}
     assert small == large == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_repeated_json_keys_last_wins(spark):
+    df = spark.createDataFrame([(1, 'x {"strategy": "GREENFIELD", "strategy": "DATA_ANALYSIS"} y')], "id long, raw string")
+    r = text.schema_contract(text.llm_json_extract(df), {"strategy": "string"}).first()
+    assert r["status"] == "ok" and r["strategy"] == "DATA_ANALYSIS"
