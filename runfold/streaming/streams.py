@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runfold.constants import ACK_TIMEOUT_SECONDS
+from runfold.constants import ACK_TIMEOUT_SECONDS, POLL_SECONDS
 from runfold.operators import state
 from runfold.session import staging_path
 from runfold.sources import tables as tb
@@ -44,23 +44,37 @@ def parquet_stream(spark: SparkSession, src: str, schema, glob: str | None = Non
     return r.load(src)
 
 
+def _runs_to_end(trigger: dict | None) -> bool:
+    t = trigger or DEFAULT_TRIGGER
+    return bool(t.get("availableNow") or t.get("once"))
+
+
 def _run(writer, trigger: dict | None):
+    """Start the query. A run-to-end trigger (``availableNow`` / ``once``)
+    is awaited and its failure raised; a live trigger (``processingTime``)
+    returns the running query at once."""
     q = writer.trigger(**(trigger or DEFAULT_TRIGGER)).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+    if _runs_to_end(trigger):
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
     return q
 
 
-def _append_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
+def start_append(df: DataFrame, name: str, trigger: dict | None = None):
+    """Stream ``df`` into a new Parquet folder (append mode); returns
+    ``(query, path)``."""
     spark = df.sparkSession
     out, ck = staging_path(spark, name), staging_path(spark, name + "-ckpt")
-    _run(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-           .outputMode("append"), trigger)
-    return out
+    q = _run(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+               .outputMode("append"), trigger)
+    return q, out
 
 
-def _update_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
+def start_update(df: DataFrame, name: str, trigger: dict | None = None):
+    """Stream an aggregate in update mode: each micro-batch of changed rows
+    goes to its own ``batch_id=N`` folder; returns ``(query, path)``. Read
+    the current state with ``latest_per_key`` at any time."""
     spark = df.sparkSession
     out, ck = staging_path(spark, name), staging_path(spark, name + "-ckpt")
 
@@ -69,8 +83,16 @@ def _update_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
         # replaces its own output instead of appending a second copy
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    _run(df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ck).outputMode("update"), trigger)
-    return out
+    q = _run(df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ck).outputMode("update"), trigger)
+    return q, out
+
+
+def _append_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
+    return start_append(df, name, trigger)[1]
+
+
+def _update_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
+    return start_update(df, name, trigger)[1]
 
 
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -125,23 +147,41 @@ def streaming_state(spark: SparkSession, sf_dir: str, trigger: dict | None = Non
 
 
 # ------------------------------------------------------------------ ST3
-def poll_until_terminal(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
-    """ST3: latest job status per job from a status-poll stream; jobs not yet
-    terminal are the ones still to poll."""
-    o = file_stream(spark, sf_dir, "orders")
+def job_status_df(orders_stream: DataFrame) -> DataFrame:
+    """Latest status per job from a stream of status polls (orders: job =
+    customer; F / P / O = FAILED / SUCCEEDED / RUNNING)."""
     st = (F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "P", "SUCCEEDED")
            .otherwise("RUNNING"))
-    runs = o.select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("run_id"),
-                    F.col("o_orderdate").alias("ts"), st.alias("status"))
-    agg = (runs.groupBy("job")
-               .agg(F.max_by(F.col("status"), F.struct("ts", "run_id")).alias("latest_status"),
-                    F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-                    F.count(F.lit(1)).alias("n_polls")))
-    out = _update_sink(agg, "poll-status", trigger)
-    return (latest_per_key(spark, out, ["job"])
+    runs = orders_stream.select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("run_id"),
+                                F.col("o_orderdate").alias("ts"), st.alias("status"))
+    return (runs.groupBy("job")
+                .agg(F.max_by(F.col("status"), F.struct("ts", "run_id")).alias("latest_status"),
+                     F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+                     F.count(F.lit(1)).alias("n_polls")))
+
+
+def read_job_status(spark: SparkSession, path: str) -> DataFrame:
+    """Current job status from a status sink; jobs not terminal are the ones
+    still to poll."""
+    return (latest_per_key(spark, path, ["job"])
             .withColumn("is_terminal", F.col("latest_status").isin("SUCCEEDED", "FAILED")))
 
 
+def start_polling(spark: SparkSession, sf_dir: str, interval: str = f"{POLL_SECONDS} seconds"):
+    """ST3 live: poll the status log every ``interval``; returns ``(query,
+    path)``. Read with ``read_job_status(spark, path)``; stop with
+    ``query.stop()``."""
+    return start_update(job_status_df(file_stream(spark, sf_dir, "orders")), "poll-status",
+                        {"processingTime": interval})
+
+
+def poll_until_terminal(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
+    """ST3: latest job status per job from a status-poll stream, processed to
+    the end of what is there (``availableNow``)."""
+    out = _update_sink(job_status_df(file_stream(spark, sf_dir, "orders")), "poll-status", trigger)
+    return read_job_status(spark, out)
+
+
 # ------------------------------------------------------------------ ST4
 def stream_ack_join_df(events: DataFrame, watermark: str = "10 minutes",
                        timeout_seconds: int = ACK_TIMEOUT_SECONDS) -> DataFrame:

@@ -92,3 +92,18 @@ def test_copy_new_files_is_incremental(spark, tmp_path):
     second = streams.copy_new_files(stream(), dst, ck)
     assert n1 == 500 and second.count() == ev.count()
     assert second.select("event_id").distinct().count() == ev.count()       # nothing copied twice
+
+
+def test_live_polling_returns_running_query(spark):
+    import time
+    q, path = streams.start_polling(spark, SF_SMALL, interval="1 second")
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and not q.recentProgress:
+            time.sleep(0.5)
+        q.processAllAvailable()
+        assert q.isActive
+        got = streams.read_job_status(spark, path)
+        assert got.count() == tb.job_runs(spark, SF_SMALL).select("job").distinct().count()
+    finally:
+        q.stop()
