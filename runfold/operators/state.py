@@ -221,14 +221,20 @@ def run_trace_summary(log: DataFrame, key: str = "session_id", seq: str = "seq")
 def node_update(log: DataFrame, messages: str = "messages") -> DataFrame:
     """each update projected to the published fields; ``message`` is the
     text of the update's last message (a fixed text when it is not text, ''
-    when the update has no message)."""
+    when the update has no message). ``diagram`` (JSON text) and the two code
+    texts pass through when the log has them; code defaults to ''."""
     last = F.try_element_at(F.col(messages), F.lit(-1))
     msg = (F.when(F.coalesce(F.size(F.col(messages)), F.lit(0)) <= 0, F.lit(""))
             .when(last.getField("is_text"), last.getField("content"))
             .otherwise(F.lit(EXECUTED_TASK_TEXT)))
+    cols = set(log.columns)
+    diagram = F.col("diagram") if "diagram" in cols else F.lit(None).cast("string")
+    pulumi = F.coalesce(F.col("code_pulumi"), F.lit("")) if "code_pulumi" in cols else F.lit("")
+    pyspark = F.coalesce(F.col("code_pyspark"), F.lit("")) if "code_pyspark" in cols else F.lit("")
     return log.select("session_id", "seq", F.col("node"), F.col("deployment_status").alias("status"),
                       F.col("current_step").alias("step"), F.col("execution_strategy").alias("strategy"),
-                      msg.alias("message"), F.col("validation_errors").alias("errors"))
+                      msg.alias("message"), F.col("validation_errors").alias("errors"),
+                      diagram.alias("diagram"), pulumi.alias("code_pulumi"), pyspark.alias("code_pyspark"))
 
 
 # ------------------------------------------------------------------ A12

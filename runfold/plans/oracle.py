@@ -290,7 +290,7 @@ FROM state_log GROUP BY session_id"""
 ORACLE["node_update"] = f"""WITH {STATE_LOG}
 SELECT session_id, seq, node, deployment_status AS status, current_step AS step, execution_strategy AS strategy,
   CASE WHEN map_key IN ('click', 'view') THEN props WHEN map_key = 'purchase' THEN 'Executed Task.' ELSE '' END AS message,
-  validation_errors AS errors
+  validation_errors AS errors, CAST(NULL AS VARCHAR) AS diagram, '' AS code_pulumi, '' AS code_pyspark
 FROM state_log"""
 
 ORACLE["rewind"] = """SELECT conv_id, turn, role, text FROM (
