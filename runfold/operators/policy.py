@@ -286,7 +286,11 @@ def gated_write(batch: DataFrame, batch_col: str, order_col: str, dest: str, pat
     """All-or-nothing batch writes. Each batch whose every path passes the
     write policy is written (partitioned by batch) under ``dest``; a batch with
     any violation writes nothing and reports its first violation. Returns the
-    per-batch report (``status`` written / refused)."""
+    per-batch report (``status`` written / refused).
+
+    The check runs before anything is written. The write is then one Spark
+    job: the output committer stages task files and publishes them at job
+    commit, so a failed job leaves no batch half-written."""
     report = gate_batches(batch, batch_col, order_col, "write", path, None, root)
     ok = report.where("allowed").select(batch_col)
     (batch.join(ok, batch_col, "left_semi")
