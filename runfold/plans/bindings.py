@@ -29,6 +29,21 @@ def q(name: str):
 RAW_CUSTOMER_COLUMNS = ["id", "customer_email", "amount", "c_nationkey"]
 
 
+def nullable_ints_as_double(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Integer result columns that can be NULL, presented as DOUBLE: a NULL-able
+    BIGINT reaches a pandas client as float64 from Spark but as Int64 from
+    other engines; DOUBLE is the same everywhere (and exact below 2^53)."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def money_as_double(df: DataFrame) -> DataFrame:
+    """Present DECIMAL result columns as DOUBLE. The arithmetic stays exact
+    DECIMAL; only the finished value is converted, once, so results compare
+    equal however an engine hands decimals to a client."""
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal"
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 # ============================================================ clean and load
 @q("csv_scan")
 def csv_scan(spark, sf):
@@ -39,8 +54,8 @@ def csv_scan(spark, sf):
 @q("csv_to_parquet")
 def csv_to_parquet(spark, sf):
     src = files.write_csv(tb.raw_customers(spark, sf), staging_path(spark, "raw_customers_csv"))
-    return clean.csv_to_parquet(spark, src, staging_path(spark, "customers_clean"), RAW_CUSTOMER_COLUMNS,
-                                casts={"id": "bigint", "c_nationkey": "int"})
+    return money_as_double(clean.csv_to_parquet(spark, src, staging_path(spark, "customers_clean"),
+                                                RAW_CUSTOMER_COLUMNS, casts={"id": "bigint", "c_nationkey": "int"}))
 
 
 @q("email_clean")
@@ -50,17 +65,17 @@ def email_clean(spark, sf):
 
 @q("amount_date_clean")
 def amount_date_clean(spark, sf):
-    return clean.clean_amount_date(tb.raw_orders(spark, sf)).select("id", "amount", "date")
+    return money_as_double(clean.clean_amount_date(tb.raw_orders(spark, sf)).select("id", "amount", "date"))
 
 
 @q("column_total")
 def column_total(spark, sf):
-    return clean.column_total(tb.table(spark, sf, "lineitem"), "l_extendedprice")
+    return money_as_double(clean.column_total(tb.table(spark, sf, "lineitem"), "l_extendedprice"))
 
 
 @q("high_value_summary")
 def high_value_summary(spark, sf):
-    return clean.high_value_summary(tb.table(spark, sf, "orders"), tb.table(spark, sf, "customer"))
+    return money_as_double(clean.high_value_summary(tb.table(spark, sf, "orders"), tb.table(spark, sf, "customer")))
 
 
 @q("validation_report")
@@ -68,7 +83,7 @@ def validation_report(spark, sf):
     c = clean.clean_amount_date(clean.clean_email(tb.raw_customers(spark, sf)), "amount", None)
     cust = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("job"), "c_nationkey")
     runs = tb.job_runs(spark, sf).join(cust, "job")
-    return clean.validation_report(c, "c_nationkey", runs=runs)
+    return money_as_double(clean.validation_report(c, "c_nationkey", runs=runs))
 
 
 # ============================================================ run-state log
@@ -115,7 +130,8 @@ def retry_halt(spark, sf):
 
 @q("transition_conformance")
 def transition_conformance(spark, sf):
-    return state.transition_conformance(tb.state_log(spark, sf), state.edge_table(spark))
+    return nullable_ints_as_double(state.transition_conformance(tb.state_log(spark, sf), state.edge_table(spark)),
+                                   ["src_seq", "dst_seq"])
 
 
 @q("run_trace_summary")
@@ -231,7 +247,8 @@ def ack_interval_join(spark, sf):
     req = e.where(F.col("event_type") == "click").select("event_id", "user_id", "ts")
     ans = e.where(F.col("event_type") == "purchase").select(F.col("event_id").alias("ans_event_id"), "user_id",
                                                             F.col("ts").alias("ans_ts"))
-    return policy.ack_interval_join(req, ans, "user_id", "event_id", "ts", "ans_event_id", "ans_ts")
+    return nullable_ints_as_double(policy.ack_interval_join(req, ans, "user_id", "event_id", "ts", "ans_event_id", "ans_ts"),
+                                   ["answer_id"])
 
 
 def _batches(spark, sf):
@@ -262,7 +279,8 @@ def _extracted(spark, sf):
 @q("llm_json_extract")
 def llm_json_extract(spark, sf):
     x = _extracted(spark, sf)
-    return x.select("id", "json_text", F.try_variant_get("parsed", "$.k", "bigint").alias("k"))
+    return nullable_ints_as_double(x.select("id", "json_text", F.try_variant_get("parsed", "$.k", "bigint").alias("k")),
+                                   ["k"])
 
 
 K_ENUM = list(range(50))
@@ -270,8 +288,8 @@ K_ENUM = list(range(50))
 
 @q("schema_contract")
 def schema_contract(spark, sf):
-    return text.schema_contract(_extracted(spark, sf), {"k": "bigint"}, {"k": K_ENUM}).select(
-        "id", "k", "status", "reason")
+    return nullable_ints_as_double(text.schema_contract(_extracted(spark, sf), {"k": "bigint"}, {"k": K_ENUM}).select(
+        "id", "k", "status", "reason"), ["k"])
 
 
 @q("json_remainder_summary")

@@ -176,7 +176,7 @@ SELECT CAST(id AS VARCHAR) AS id, customer_email, amount, CAST(c_nationkey AS VA
 
 ORACLE["csv_to_parquet"] = f"""WITH {RAW_CUSTOMERS}
 SELECT CAST(id AS BIGINT) AS id, {EMAIL_CLEAN} AS customer_email,
-  TRY_CAST({js_trim('amount')} AS DECIMAL(18,2)) AS amount, CAST(c_nationkey AS INTEGER) AS c_nationkey,
+  CAST(TRY_CAST({js_trim('amount')} AS DECIMAL(18,2)) AS DOUBLE) AS amount, CAST(c_nationkey AS INTEGER) AS c_nationkey,
   {EMAIL_VALID} AS email_valid
 FROM raw_customers"""
 
@@ -186,15 +186,17 @@ SELECT id, {EMAIL_CLEAN} AS customer_email, {EMAIL_VALID} AS email_valid FROM ra
 ORACLE["amount_date_clean"] = f"""WITH raw_orders AS (
   SELECT o_orderkey AS id, concat(' ', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)) AS amount,
     strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders)
-SELECT id, TRY_CAST({js_trim('amount')} AS DECIMAL(18,2)) AS amount, TRY_CAST({js_trim('date')} AS DATE) AS date
+SELECT id, CAST(TRY_CAST({js_trim('amount')} AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+  TRY_CAST({js_trim('date')} AS DATE) AS date
 FROM raw_orders"""
 
-ORACLE["column_total"] = """SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM lineitem"""
+ORACLE["column_total"] = """SELECT CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS DOUBLE) AS total
+FROM lineitem"""
 
 ORACLE["high_value_summary"] = """WITH per_cust AS (
   SELECT c_mktsegment, o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s, max(o_totalprice) AS m
   FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 450000 GROUP BY c_mktsegment, o_custkey)
-SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n_orders, CAST(sum(s) AS DECIMAL(38,2)) AS total_value,
+SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n_orders, CAST(CAST(sum(s) AS DECIMAL(38,2)) AS DOUBLE) AS total_value,
   CAST(sum(s) AS DOUBLE) / sum(n) AS avg_value, max(m) AS max_value,
   arg_max(o_custkey, {'s': s, 'k': -o_custkey}) AS top_customer
 FROM per_cust GROUP BY c_mktsegment"""
@@ -204,8 +206,9 @@ c AS (SELECT c_nationkey, {EMAIL_VALID} AS email_valid, TRY_CAST({js_trim('amoun
       FROM raw_customers),
 r AS (SELECT c_nationkey, count(*) AS n_rows, count(*) FILTER (WHERE NOT email_valid) AS n_bad_email,
         count(*) FILTER (WHERE amount IS NULL) AS n_bad_amount,
-        CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount, CAST(min(amount) AS DECIMAL(38,2)) AS min_amount,
-        CAST(max(amount) AS DECIMAL(38,2)) AS max_amount
+        CAST(CAST(sum(amount) AS DECIMAL(38,2)) AS DOUBLE) AS total_amount,
+        CAST(CAST(min(amount) AS DECIMAL(38,2)) AS DOUBLE) AS min_amount,
+        CAST(CAST(max(amount) AS DECIMAL(38,2)) AS DOUBLE) AS max_amount
       FROM c GROUP BY c_nationkey)
 SELECT r.*, CASE WHEN n_bad_email + n_bad_amount = 0 THEN 'PASSED'
     WHEN (n_bad_email + n_bad_amount) * 10 < n_rows THEN 'WARNING' ELSE 'FAILED' END AS status,
@@ -280,7 +283,8 @@ t AS (
   UNION ALL
   SELECT session_id, NULL AS src_seq, '__start__' AS src, min(seq) AS dst_seq, arg_min(node, seq) AS dst
   FROM state_log GROUP BY session_id)
-SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM {EDGES} e WHERE e.src = t.src AND e.dst = t.dst)"""
+SELECT session_id, CAST(src_seq AS DOUBLE) AS src_seq, src, CAST(dst_seq AS DOUBLE) AS dst_seq, dst
+FROM t WHERE NOT EXISTS (SELECT 1 FROM {EDGES} e WHERE e.src = t.src AND e.dst = t.dst)"""
 
 ORACLE["run_trace_summary"] = f"""WITH {STATE_LOG}
 SELECT session_id, count(*) AS n_steps, count(*) FILTER (WHERE validation_errors IS NOT NULL) AS n_errors,
@@ -353,7 +357,7 @@ best AS (
   SELECT r.event_id, arg_min({'aid': a.ans_event_id, 'ats': a.ans_ts}, {'t': a.ans_ts, 'i': a.ans_event_id}) AS b
   FROM req r JOIN ans a ON a.user_id = r.user_id AND a.ans_ts >= r.ts AND a.ans_ts <= r.ts + INTERVAL 300 SECOND
   GROUP BY r.event_id)
-SELECT r.event_id, r.user_id, r.ts, b.b.aid AS answer_id, b.b.ats AS answer_ts,
+SELECT r.event_id, r.user_id, r.ts, CAST(b.b.aid AS DOUBLE) AS answer_id, b.b.ats AS answer_ts,
   CASE WHEN b.b IS NOT NULL THEN 'allow' ELSE 'deny' END AS decision
 FROM req r LEFT JOIN best b ON b.event_id = r.event_id"""
 
@@ -378,10 +382,10 @@ SELECT * FROM paths p WHERE NOT EXISTS (
   SELECT 1 FROM g JOIN gate USING (batch) WHERE gate.allowed AND g.path = p.path)"""
 
 # ------------------------------------------------------------ text and JSON
-ORACLE["llm_json_extract"] = f"WITH {LLM} SELECT id, json_text, k FROM parsed"
+ORACLE["llm_json_extract"] = f"WITH {LLM} SELECT id, json_text, CAST(k AS DOUBLE) AS k FROM parsed"
 
 ORACLE["schema_contract"] = f"""WITH {LLM}
-SELECT id, k, CASE WHEN reason IS NULL THEN 'ok' ELSE 'quarantine' END AS status, reason FROM (
+SELECT id, CAST(k AS DOUBLE) AS k, CASE WHEN reason IS NULL THEN 'ok' ELSE 'quarantine' END AS status, reason FROM (
   SELECT id, k, CASE WHEN json_text IS NULL THEN 'no_json' WHEN NOT valid THEN 'bad_json'
       WHEN k IS NULL THEN 'missing:k' WHEN k NOT IN ({', '.join(str(i) for i in B.K_ENUM)}) THEN 'enum:k' END AS reason
   FROM parsed)"""
