@@ -217,3 +217,41 @@ def stream_ack_join(spark: SparkSession, sf_dir: str, trigger: dict | None = Non
     data arrives."""
     out = _append_sink(stream_ack_earliest_df(file_stream(spark, sf_dir, "events")), "ack-join", trigger)
     return spark.read.parquet(out)
+
+
+# ------------------------------------------------------------------ ST2, message channel
+def streaming_positions_df(messages: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
+    """A7 kept live: every appended message gets its position (from 0) in its
+    session's message list, across micro-batches.
+
+    A running count that survives micro-batches is not a streaming aggregate,
+    so this is the one Python state function: per session, the state is the
+    number of messages seen so far; each micro-batch's rows of a session are
+    numbered after it in ``seq`` order. Assumes an append-only log (a
+    session's later batches carry larger ``seq``)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    out_schema = messages.select(key, seq, *cols).schema.add("position", "long")
+    state_schema = "n long"
+    names = [key, seq, *cols]
+
+    def number(k, pdfs, state):
+        import pandas as pd
+        seen = state.get[0] if state.exists else 0
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(seq, kind="stable")
+        batch = batch[names].copy()
+        batch["position"] = range(seen, seen + len(batch))
+        state.update((seen + len(batch),))
+        yield batch
+
+    return (messages.select(*names).groupBy(key)
+                    .applyInPandasWithState(number, out_schema, state_schema, "append",
+                                            GroupStateTimeout.NoTimeout))
+
+
+def streaming_positions(spark: SparkSession, sf_dir: str, trigger: dict | None = None,
+                        max_files: int | None = None) -> DataFrame:
+    """Positions of conversation turns as a stream (conversations table)."""
+    src = file_stream(spark, sf_dir, "conversations", max_files)
+    out = _append_sink(streaming_positions_df(src, "conv_id", "turn", ["role", "text"]), "positions", trigger)
+    return spark.read.parquet(out)

@@ -107,3 +107,23 @@ def test_live_polling_returns_running_query(spark):
         assert got.count() == tb.job_runs(spark, SF_SMALL).select("job").distinct().count()
     finally:
         q.stop()
+
+
+def test_streaming_positions_equal_batch_append(spark):
+    """Message-channel positions kept live equal the batch fold (A7), also
+    when the log arrives in several micro-batches."""
+    import uuid
+
+    from runfold.session import staging_root
+    conv = tb.table(spark, SF_SMALL, "conversations")
+    batch = state.state_append(conv, "conv_id", "turn", ["role", "text"])
+    got = streams.streaming_positions(spark, SF_SMALL)
+    cols = ["conv_id", "turn", "position"]
+    assert _rows(got, cols) == _rows(batch, cols)
+    # the same log split by turn into three files, one per micro-batch
+    d = f"{staging_root(spark)}/conv-split-{uuid.uuid4().hex}"
+    for i, (lo, hi) in enumerate([(0, 2), (2, 5), (5, 10 ** 9)]):
+        conv.where((F.col("turn") >= lo) & (F.col("turn") < hi)).coalesce(1).write.parquet(f"{d}/part{i}")
+    src = streams.parquet_stream(spark, d, conv.schema, "*.parquet", max_files=1, recursive=True)
+    out = streams._append_sink(streams.streaming_positions_df(src, "conv_id", "turn", ["role", "text"]), "pos-split")
+    assert _rows(spark.read.parquet(out), cols) == _rows(batch, cols)
