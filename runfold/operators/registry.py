@@ -100,15 +100,22 @@ def role_grants(tools: DataFrame, rules: DataFrame, name: str = "name") -> DataF
     substring rules on the lower-cased name (substring checks run on the whole
     namespaced name, so ``get`` also hits inside words).
 
-    Rules are a fixed handful of rows, broadcast into a theta join: every tool
-    row is tested against each rule, and only matches are emitted."""
+    The fixed rule table is folded to one row per role (arrays of exact
+    names, prefixes and prefix-with-substrings) and broadcast into a theta
+    join: each tool row meets each role once and only grants are emitted, so
+    no de-duplication shuffle follows."""
+    lo = F.lower(F.col("text"))
+    per_role = F.broadcast(rules.groupBy("role").agg(
+        F.collect_set(F.when(F.col("kind") == "exact", lo)).alias("__exact"),
+        F.collect_set(F.when(F.col("kind") == "prefix", lo)).alias("__prefix"),
+        F.collect_list(F.when(F.col("kind") == "prefix_contains",
+                              F.struct(lo.alias("p"), F.col("contains").alias("c")))).alias("__pc")))
     n = F.lower(F.col(name))
-    r = F.broadcast(rules.select("role", "kind", F.lower("text").alias("__t"), "contains"))
-    cond = (((F.col("kind") == "exact") & (n == F.col("__t")))
-            | ((F.col("kind") == "prefix") & F.startswith(n, F.col("__t")))
-            | ((F.col("kind") == "prefix_contains") & F.startswith(n, F.col("__t"))
-               & F.exists(F.col("contains"), lambda c: F.contains(n, c))))
-    return tools.join(r, cond, "inner").select("role", *tools.columns).dropDuplicates(["role", name])
+    cond = (F.array_contains(F.col("__exact"), n)
+            | F.exists(F.col("__prefix"), lambda p: F.startswith(n, p))
+            | F.exists(F.col("__pc"), lambda x: F.startswith(n, x.getField("p"))
+                       & F.exists(x.getField("c"), lambda c: F.contains(n, c))))
+    return tools.join(per_role, cond, "inner").select("role", *tools.columns)
 
 
 # ------------------------------------------------------------------ J5

@@ -443,7 +443,8 @@ def include_semi(spark, sf):
 
 @q("role_grants")
 def role_grants(spark, sf):
-    tools = registry.registry_union(registry.local_tools(spark), _remote(spark, sf).select("source", "name"))
+    # the registry holds each tool name once (a map by name)
+    tools = registry.registry_union(registry.local_tools(spark), _remote(spark, sf).select("source", "name")).distinct()
     return registry.role_grants(tools, registry.role_rules(spark)).select("role", "source", "name")
 
 
