@@ -98,8 +98,8 @@ def tool_output_context(df: DataFrame, is_tool: Column, key: str = "conv_id", or
     gets one part 0 holding the fixed default text."""
     t = df.where(is_tool).select(key, order, F.concat(F.lit(TOOL_OUTPUT_PREFIX), F.col(text)).alias("__t"))
     parts = ordered_concat(t, key, order, "__t", "\n", "context", width)
-    has = parts.groupBy(key).agg(F.lit(True).alias("__has"))
-    idle = (df.select(key).distinct().join(has, key, "left_anti")
+    # keys without a tool message: one partial aggregate, no join
+    idle = (df.groupBy(key).agg(F.count_if(is_tool).alias("__n")).where(F.col("__n") == 0)
               .select(key, F.lit(0).cast("bigint").alias("part"), F.lit(NO_DISCOVERY_TEXT).alias("context")))
     return parts.unionByName(idle)
 
