@@ -53,6 +53,13 @@ def schema_contract(extracted: DataFrame, fields: dict[str, str],
              .withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")))
 
 
+def split_contract(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(good, quarantine)`` from ``schema_contract`` output; the
+    quarantine keeps each row's ``reason``."""
+    return (checked.where(F.col("status") == "ok").drop("reason"),
+            checked.where(F.col("status") == "quarantine"))
+
+
 # ------------------------------------------------------------------ X3
 def json_remainder_summary(extracted: DataFrame, strategy_field: str = "strategy") -> DataFrame:
     """The text left once the JSON span is cut out (or a fixed default),

@@ -13,13 +13,14 @@ from runfold.constants import BINARY_PROBE_BYTES, EMPTY_FILE_MARKER
 
 # ---------------------------------------------------------------- S1 csv_scan
 def csv_scan(spark: SparkSession, path: str, columns: list[str] | None = None,
-             schema: str | T.StructType | None = None) -> DataFrame:
+             schema: str | T.StructType | None = None, multi_line: bool = False) -> DataFrame:
     """Header CSV straight from a path/prefix, every column as STRING.
 
     Money and dates are *not* typed here: ``schema="amount DECIMAL"`` silently
     yields NULL for ``" 200.00"``. Clean with ``runfold.operators.clean``.
-    White space is kept exactly as written."""
-    r = (spark.read.option("header", True)
+    White space is kept exactly as written. ``multi_line=True`` allows quoted
+    fields that span lines (such files are then read one task per file)."""
+    r = (spark.read.option("header", True).option("multiLine", multi_line)
          .option("ignoreLeadingWhiteSpace", False)
          .option("ignoreTrailingWhiteSpace", False)
          .option("mode", "PERMISSIVE"))

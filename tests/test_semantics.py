@@ -282,3 +282,21 @@ def test_repeated_json_keys_last_wins(spark):
     df = spark.createDataFrame([(1, 'x {"strategy": "GREENFIELD", "strategy": "DATA_ANALYSIS"} y')], "id long, raw string")
     r = text.schema_contract(text.llm_json_extract(df), {"strategy": "string"}).first()
     assert r["status"] == "ok" and r["strategy"] == "DATA_ANALYSIS"
+
+
+def test_split_contract(spark):
+    raws = [(1, '{"strategy": "GREENFIELD"}'), (2, "nothing"), (3, '{"strategy": "OTHER"}')]
+    x = text.llm_json_extract(spark.createDataFrame(raws, "id long, raw string"))
+    good, bad = text.split_contract(text.schema_contract(x, {"strategy": "string"},
+                                                         {"strategy": ["GREENFIELD", "BROWNFIELD_ETL", "DATA_ANALYSIS"]}))
+    assert [r.id for r in good.collect()] == [1]
+    assert sorted((r.id, r.reason) for r in bad.collect()) == [(2, "no_json"), (3, "enum:strategy")]
+
+
+def test_csv_multi_line_fields(spark, tmp_path):
+    from runfold.sources import files
+    d = tmp_path / "ml"
+    d.mkdir()
+    (d / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    rows = {r.id: r.note for r in files.csv_scan(spark, str(d), columns=["id", "note"], multi_line=True).collect()}
+    assert rows == {"1": "two\nlines", "2": "plain"}
