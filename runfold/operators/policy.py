@@ -132,7 +132,7 @@ def _rule_match_condition(req_cat, req_op, req_target, r_cat, r_op, r_target) ->
 
 def allowlist_match(requests: DataFrame, rules: DataFrame, category: str = "category",
                     operation: str = "operation", target: str = "target",
-                    max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                    max_broadcast_rows: int = BROADCAST_MAX_ROWS, known_small: bool = False) -> DataFrame:
     """Requests with at least one matching rule (existence only).
 
     A rule matches when categories are equal, the rule's operation is equal or
@@ -142,10 +142,12 @@ def allowlist_match(requests: DataFrame, rules: DataFrame, category: str = "cate
     Small rule tables (checked) are broadcast into a semi join with the
     category as equi key. Large ones take an all-equi plan instead: every
     prefix of a command target and both ``{op, 'all'}`` are exploded on the
-    request side, so the join is a plain hash/sort-merge semi join."""
+    request side, so the join is a plain hash/sort-merge semi join.
+    ``known_small=True`` skips the count for a rule table whose size is fixed
+    by construction (a constant list)."""
     r = rules.select(F.col("category").alias("__rc"), F.col("operation").alias("__ro"),
                      F.col("target").alias("__rt"))
-    if at_most(r, max_broadcast_rows):
+    if known_small or at_most(r, max_broadcast_rows):
         cond = _rule_match_condition(F.col(category), F.col(operation), F.col(target),
                                      F.col("__rc"), F.col("__ro"), F.col("__rt"))
         return requests.join(F.broadcast(r), cond, "left_semi")
@@ -162,7 +164,7 @@ def allowlist_match(requests: DataFrame, rules: DataFrame, category: str = "cate
 
 def allowlist_flag(requests: DataFrame, rules: DataFrame, key: str, out: str = "allowlisted",
                    category: str = "category", operation: str = "operation", target: str = "target",
-                   max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   max_broadcast_rows: int = BROADCAST_MAX_ROWS, known_small: bool = False) -> DataFrame:
     """J1 as a flag on every request (for the permission cascade).
 
     Small rule tables (checked) become a correlated EXISTS over the broadcast
@@ -171,7 +173,7 @@ def allowlist_flag(requests: DataFrame, rules: DataFrame, key: str, out: str = "
     back on ``key``."""
     r = rules.select(F.col("category").alias("__rc"), F.col("operation").alias("__ro"),
                      F.col("target").alias("__rt"))
-    if at_most(r, max_broadcast_rows):
+    if known_small or at_most(r, max_broadcast_rows):
         q = requests.alias("__q")
         cond = _rule_match_condition(F.col(f"__q.{category}").outer(), F.col(f"__q.{operation}").outer(),
                                      F.col(f"__q.{target}").outer(), F.col("__rc"), F.col("__ro"), F.col("__rt"))
@@ -184,11 +186,12 @@ def allowlist_flag(requests: DataFrame, rules: DataFrame, key: str, out: str = "
 
 # ------------------------------------------------------------------ J2
 def permission_decision(requests: DataFrame, rules: DataFrame, answers: DataFrame | None = None,
-                        key: str = "req_id", mode: str = "manual", has_session: str | None = None) -> DataFrame:
+                        key: str = "req_id", mode: str = "manual", has_session: str | None = None,
+                        rules_known_small: bool = False) -> DataFrame:
     """The approval cascade per request: auto mode → allow; ``read`` →
     allow; allow-list hit → allow; no session → deny; answer ``allow_always`` /
     ``allow_once`` → allow; anything else (``deny``, no answer) → deny."""
-    d = allowlist_flag(requests, rules, key, "__hit")
+    d = allowlist_flag(requests, rules, key, "__hit", known_small=rules_known_small)
     if answers is not None:
         d = d.join(answers.select(key, "answer"), key, "left")
         ans = F.col("answer")

@@ -207,11 +207,13 @@ def _requests(spark, sf):
 
 @q("allowlist_match")
 def allowlist_match(spark, sf):
-    return policy.allowlist_match(_requests(spark, sf), tb.rules(spark))
+    # the rule table is a constant list: its size is known, no count needed
+    return policy.allowlist_match(_requests(spark, sf), tb.rules(spark), known_small=True)
 
 
 def _decisions(spark, sf):
-    return policy.permission_decision(_requests(spark, sf), tb.rules(spark), tb.answers(spark, sf))
+    return policy.permission_decision(_requests(spark, sf), tb.rules(spark), tb.answers(spark, sf),
+                                      rules_known_small=True)
 
 
 @q("permission_decision")
