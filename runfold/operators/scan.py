@@ -141,17 +141,23 @@ def _plain(r: Run, w, wrap: bool = False) -> Column:
 
 def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
                   width: int = DEFAULT_WIDTH, bucketed: bool = True,
-                  prefix: str = "next_") -> DataFrame:
+                  prefix: str = "next_", with_firsts: bool = False):
     """Add ``next_<col>`` (the value on the following row of the same key, or
     NULL on the last row) and ``next_<order>``, without one task per key:
     the first row of the next bucket enters each bucket's window partition
-    as a trailing seed row, so ``lead`` reaches across the bucket edge."""
+    as a trailing seed row, so ``lead`` reaches across the bucket edge.
+
+    ``with_firsts=True`` also returns each key's first row (a struct of
+    ``cols`` and ``order``), taken from the small per-bucket table."""
     names = [*cols, order]
     if not bucketed:
         w = Window.partitionBy(*keys).orderBy(order)
         out = df
         for c in names:
             out = out.withColumn(prefix + c, F.lead(c).over(w))
+        if with_firsts:
+            first = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("first"))
+            return out, first
         return out
     d = df.withColumn(_B, _bucket(order, width))
     firsts = d.groupBy(*keys, _B).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("__f"))
@@ -162,7 +168,11 @@ def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
     wb = Window.partitionBy(*keys, _B).orderBy(F.col(_SEED).asc(), F.col(order).asc())
     for c in names:
         u = u.withColumn(prefix + c, F.lead(c).over(wb))
-    return u.where(F.col(_SEED) == 0).drop(_B, _SEED)
+    out = u.where(F.col(_SEED) == 0).drop(_B, _SEED)
+    if with_firsts:
+        first = firsts.groupBy(*keys).agg(F.min_by(F.col("__f"), F.col(_B)).alias("first"))
+        return out, first
+    return out
 
 
 CONCAT_WIDTH = 1024

@@ -166,13 +166,14 @@ def transitions(log: DataFrame, key: str = "session_id", seq: str = "seq", node:
     """Every step transition of every run, START and END included:
     ``(key, src_seq, src, dst_seq, dst)`` (``src_seq`` NULL for START,
     ``dst_seq`` NULL for END)."""
-    n = next_in_group(log.select(key, seq, node), [key], seq, [node], width, bucketed)
+    n, firsts = next_in_group(log.select(key, seq, node), [key], seq, [node], width, bucketed, with_firsts=True)
     inner = n.select(key, F.col(seq).alias("src_seq"), F.col(node).alias("src"),
                      F.col("next_" + seq).alias("dst_seq"),
                      F.coalesce(F.col("next_" + node), F.lit(END)).alias("dst"))
-    first = (log.groupBy(key).agg(F.min_by(F.struct(F.col(seq).alias("s"), F.col(node).alias("n")), F.col(seq)).alias("f"))
-                .select(key, F.lit(None).cast(log.schema[seq].dataType).alias("src_seq"), F.lit(START).alias("src"),
-                        F.col("f.s").alias("dst_seq"), F.col("f.n").alias("dst")))
+    # START edges from each key's first row (from the per-bucket table, not a
+    # second pass over the log)
+    first = firsts.select(key, F.lit(None).cast(log.schema[seq].dataType).alias("src_seq"), F.lit(START).alias("src"),
+                          F.col("first").getField(seq).alias("dst_seq"), F.col("first").getField(node).alias("dst"))
     return inner.unionByName(first)
 
 
