@@ -83,3 +83,21 @@ def test_csv_money_is_never_double(spark):
     tot = clean.column_total(tb.table(spark, SF_SMALL, "lineitem"), "l_extendedprice")
     assert dict(tot.dtypes)["total"] == "decimal(38,2)"
     assert tot.where(F.col("total").isNull()).count() == 0
+
+
+def test_no_plan_uses_a_cartesian_product_or_single_partition_window(spark):
+    for key in ["transition_conformance", "stage_edges", "route_next", "rewind", "state_append", "role_grants",
+                "layered_defaults", "numbered_topk", "capped_matches", "tool_output_context"]:
+        p = plan(QUERIES[key](spark, SF_SMALL))
+        assert "CartesianProduct" not in p, key
+        assert "SinglePartition" not in p or key in ("numbered_topk", "capped_matches"), key
+
+
+def test_size_shuffles(spark):
+    from runfold.session import size_shuffles
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 10 * (256 << 20) + 1) == 11
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "11"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
