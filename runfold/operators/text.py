@@ -39,18 +39,22 @@ def schema_contract(extracted: DataFrame, fields: dict[str, str],
                     enums: dict[str, list] | None = None) -> DataFrame:
     """Check extracted JSON against a contract; add typed ``fields``,
     ``status`` (``ok`` / ``quarantine``) and the first failing ``reason``:
-    ``no_json`` → ``bad_json`` → ``missing:<field>`` → ``enum:<field>``.
+    ``no_json`` → ``bad_json`` → ``missing:<field>`` / ``type:<field>`` (present
+    but not of the type, JSON null included) → ``enum:<field>``.
     Split with ``where(status = 'ok')`` / ``where(status = 'quarantine')``."""
     d = extracted
     for f, t in fields.items():
-        d = d.withColumn(f, F.try_variant_get(F.col("parsed"), f"$.{f}", t))
+        d = (d.withColumn(f"__has_{f}", F.try_variant_get(F.col("parsed"), f"$.{f}", "variant").isNotNull())
+              .withColumn(f, F.try_variant_get(F.col("parsed"), f"$.{f}", t)))
     reason = F.when(F.col("json_text").isNull(), F.lit("no_json")).when(F.col("parsed").isNull(), F.lit("bad_json"))
     for f in fields:
-        reason = reason.when(F.col(f).isNull(), F.lit(f"missing:{f}"))
+        reason = (reason.when(~F.col(f"__has_{f}"), F.lit(f"missing:{f}"))
+                        .when(F.col(f).isNull(), F.lit(f"type:{f}")))
     for f, allowed in (enums or {}).items():
         reason = reason.when(~F.col(f).isin(*allowed), F.lit(f"enum:{f}"))
     return (d.withColumn("reason", reason)
-             .withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")))
+             .withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine"))
+             .drop(*[f"__has_{f}" for f in fields]))
 
 
 def split_contract(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -387,7 +387,8 @@ ORACLE["llm_json_extract"] = f"WITH {LLM} SELECT id, json_text, CAST(k AS DOUBLE
 ORACLE["schema_contract"] = f"""WITH {LLM}
 SELECT id, CAST(k AS DOUBLE) AS k, CASE WHEN reason IS NULL THEN 'ok' ELSE 'quarantine' END AS status, reason FROM (
   SELECT id, k, CASE WHEN json_text IS NULL THEN 'no_json' WHEN NOT valid THEN 'bad_json'
-      WHEN k IS NULL THEN 'missing:k' WHEN k NOT IN ({', '.join(str(i) for i in B.K_ENUM)}) THEN 'enum:k' END AS reason
+      WHEN json_extract(json_text, '$.k') IS NULL THEN 'missing:k'
+      WHEN k IS NULL THEN 'type:k' WHEN k NOT IN ({', '.join(str(i) for i in B.K_ENUM)}) THEN 'enum:k' END AS reason
   FROM parsed)"""
 
 _HEAD, _TAIL = STRATEGY_LINE.split("{s}")

@@ -300,3 +300,10 @@ def test_csv_multi_line_fields(spark, tmp_path):
     (d / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
     rows = {r.id: r.note for r in files.csv_scan(spark, str(d), columns=["id", "note"], multi_line=True).collect()}
     assert rows == {"1": "two\nlines", "2": "plain"}
+
+
+def test_contract_missing_vs_wrong_type(spark):
+    raws = [(1, '{"a": 1}'), (2, '{"k": "x"}'), (3, '{"k": null}'), (4, '{"k": 7}')]
+    x = text.llm_json_extract(spark.createDataFrame(raws, "id long, raw string"))
+    r = {row.id: row.reason for row in text.schema_contract(x, {"k": "bigint"}).collect()}
+    assert r == {1: "missing:k", 2: "type:k", 3: "type:k", 4: None}
