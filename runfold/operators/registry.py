@@ -82,12 +82,15 @@ def include_semi(offered: DataFrame, include: DataFrame, server: str = "server",
     """Keep offered tools that are on their server's include list; a
     server with no list keeps all. Returns ``(kept, report)`` where the report
     has, per server, offered / kept / excluded counts."""
-    lists = include.select(server).distinct().withColumn("__has_list", F.lit(True))
-    inc = include.select(server, tool).distinct().withColumn("__listed", F.lit(True))
-    d = (offered.join(lists, server, "left").join(inc, [server, tool], "left"))
-    keep = ~F.coalesce(F.col("__has_list"), F.lit(False)) | F.coalesce(F.col("__listed"), F.lit(False))
-    d = d.withColumn("__keep", keep)
-    kept = d.where("__keep").drop("__has_list", "__listed", "__keep")
+    o = offered.alias("__o")
+    inc = include.select(F.col(server).alias("__s"), F.col(tool).alias("__t"))
+    # two EXISTS tests per offered tool (existence joins; the include lists
+    # are broadcast by AQE when small): no join back, no duplicate rows
+    has_list = inc.where(F.col("__s") == F.col(f"__o.{server}").outer()).exists()
+    listed = inc.where((F.col("__s") == F.col(f"__o.{server}").outer())
+                       & (F.col("__t") == F.col(f"__o.{tool}").outer())).exists()
+    d = o.withColumn("__keep", ~has_list | listed)
+    kept = d.where("__keep").drop("__keep")
     report = (d.groupBy(server).agg(F.count(F.lit(1)).alias("n_offered"),
                                     F.count_if(F.col("__keep")).alias("n_kept"))
                .withColumn("n_excluded", F.col("n_offered") - F.col("n_kept")))
