@@ -1,13 +1,17 @@
 """Operators of a training-data pipeline, their queries and their SQL."""
 
-from runfold.llm import exact_dedup, mixing
+from runfold.llm import chat, exact_dedup, mixing, quality
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_format_chats": chat.op3_format_chats,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_format_chats": chat.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
 }
