@@ -1,8 +1,9 @@
 """Operators of a training-data pipeline, their queries and their SQL."""
 
-from runfold.llm import chat, exact_dedup, mixing, quality
+from runfold.llm import chat, exact_dedup, langid, mixing, quality
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_format_chats": chat.op3_format_chats,
     "op4_mix_sources": mixing.op4_mix_sources,
