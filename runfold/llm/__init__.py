@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, their queries and their SQL."""
 
-from runfold.llm import chat, exact_dedup, langid, licences, mixing, pieces, pii, quality, simhash
+from runfold.llm import chat, exact_dedup, langid, licences, mixing, pieces, pii, quality, simhash, wrapper
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_format_chats": chat.op3_format_chats,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_personal_data": pii.op5_personal_data,
+    "op6_main_text": wrapper.op6_main_text,
     "op7_sample_pieces": pieces.op7_sample_pieces,
     "op8_simhash": simhash.op8_simhash,
     "op9_licence_scan": licences.op9_licence_scan,
