@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Rows allowed on a side we broadcast from user input; beyond it the join is
-# planned another way (never forced).
-BROADCAST_MAX_ROWS = 200_000
+from runfold.session import staging_path
 
 
-def at_most(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows: one cheap
-    ``limit(max_rows + 1).count()`` that stops reading past the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared staging folder and read back: a result that is
+    used twice is computed once, and a lost executor costs a read, not a rerun."""
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from runfold.constants import (ACK_TIMEOUT_SECONDS, ALLOWED_PATHS, BLOCKED_COMMA
                                IGNORED_NAMES, NOT_ALLOWED_EXTENSIONS, READ_ONLY_FILES)
 from runfold.functions.paths import basename, dirname, extname, is_within, resolve_path
 from runfold.functions.text import js_trim
-from runfold.operators.common import BROADCAST_MAX_ROWS, at_most
+from runfold.operators.common import settled
 from runfold.operators.scan import Run, running
 
 # FIXED VALUES: the refusal texts, in the order the checks run.
@@ -22,7 +22,7 @@ REASON_TRAVERSAL = "Path traversal detected."
 REASON_NOT_ALLOWED = "Path is not within allowed directories."
 REASON_BLOCKED = "Path matches a blocked pattern."
 REASON_EXTENSION = "File extension '{ext}' is strictly prohibited."
-REASON_READ_ONLY = "File '{name}' is read-only."
+REASON_READ_ONLY = "File '{base}' is read-only."
 REASON_MISSING = "File does not exist."
 REASON_EXECUTE = "Direct execution disabled."
 
@@ -37,6 +37,12 @@ def path_parts(df: DataFrame, path: str = "path", root: str = "/w") -> DataFrame
               .withColumn("ext", extname("resolved")))
 
 
+def _filled(template: str, column: str) -> Column:
+    """A refusal text with its ``{column}`` filled in."""
+    before, after = template.split(f"{{{column}}}")
+    return F.concat(F.lit(before), F.col(column), F.lit(after))
+
+
 def _any_pattern(c: Column, patterns: list[str]) -> Column:
     return c.rlike("|".join(f"({p})" for p in patterns)) if patterns else F.lit(False)
 
@@ -69,9 +75,9 @@ def path_policy(df: DataFrame, path: str = "path", operation: str = "operation",
                .when(~inside_allowed, F.lit(REASON_NOT_ALLOWED))
                .when(_any_pattern(res, blocked_patterns), F.lit(REASON_BLOCKED))
                .when(F.col("ext").isin(*extensions),
-                     F.concat(F.lit("File extension '"), F.col("ext"), F.lit("' is strictly prohibited.")))
+                     _filled(REASON_EXTENSION, "ext"))
                .when(op.isin("write", "delete") & F.col("base").isin(*read_only),
-                     F.concat(F.lit("File '"), F.col("base"), F.lit("' is read-only.")))
+                     _filled(REASON_READ_ONLY, "base"))
                .when(op.isin("read", "delete") & ~exists, F.lit(REASON_MISSING))
                .when(op == "execute", F.lit(REASON_EXECUTE)))
     return (d.withColumn("reason", reason)
@@ -123,85 +129,91 @@ def ignored_names(entries: DataFrame, name: str = "name", is_dir: str = "is_dir"
 
 
 # ------------------------------------------------------------------ J1
-def _rule_match_condition(req_cat, req_op, req_target, r_cat, r_op, r_target) -> Column:
-    op_ok = (r_op == req_op) | (r_op == F.lit("all"))
-    target_ok = F.when(req_cat == F.lit("commands"), F.startswith(req_target, r_target)) \
-                 .otherwise(req_target == r_target)
-    return (req_cat == r_cat) & op_ok & target_ok
+def prefix_probes(text: Column, lengths: Column) -> Column:
+    """The prefixes of ``text`` that have one of ``lengths`` (an array)."""
+    fits = F.filter(lengths, lambda n: n <= F.length(text))
+    return F.transform(fits, lambda n: F.substring(text, F.lit(1), n))
+
+
+def _allowed_triples(requests: DataFrame, rules: DataFrame, category: str, operation: str, target: str) -> DataFrame:
+    """The distinct (category, operation, target) of the requests that a rule
+    allows, as ``__c``, ``__o``, ``__t``. One plan at every size, equalities only:
+    a command is probed with its prefixes of the lengths that command rules have
+    (a scalar subquery), any operation also as ``all``."""
+    r = rules.select(F.col("category").alias("__rc"), F.col("operation").alias("__ro"), F.col("target").alias("__rt"))
+    lengths = r.where(F.col("__rc") == "commands").select(F.collect_set(F.length("__rt"))).scalar()
+    triples = (requests.select(F.col(category).alias("__c"), F.col(operation).alias("__o"), F.col(target).alias("__t"))
+                       .distinct().withColumn("__lengths", lengths))
+    targets = F.when(F.col("__c") == "commands", prefix_probes(F.col("__t"), F.col("__lengths"))).otherwise(F.array("__t"))
+    probes = (triples.withColumn("__rc", F.col("__c"))
+                     .withColumn("__rt", F.explode(targets))
+                     .withColumn("__ro", F.explode(F.array(F.col("__o"), F.lit("all")))))
+    return probes.join(r.distinct(), ["__rc", "__ro", "__rt"], "left_semi").select("__c", "__o", "__t").distinct()
+
+
+def _same_triple(requests: DataFrame, hits: DataFrame, category: str, operation: str, target: str) -> Column:
+    return (requests[category].eqNullSafe(hits["__c"]) & requests[operation].eqNullSafe(hits["__o"])
+            & requests[target].eqNullSafe(hits["__t"]))
 
 
 def allowlist_match(requests: DataFrame, rules: DataFrame, category: str = "category",
-                    operation: str = "operation", target: str = "target",
-                    max_broadcast_rows: int = BROADCAST_MAX_ROWS, known_small: bool = False) -> DataFrame:
-    """Requests with at least one matching rule (existence only).
+                    operation: str = "operation", target: str = "target") -> DataFrame:
+    """Requests with at least one matching rule (existence only, every
+    request row as often as it stands in the log).
 
     A rule matches when categories are equal, the rule's operation is equal or
     ``all``, and the target is equal — or, for ``commands``, the request target
-    *starts with* the rule target (raw text: rule ``rm`` allows ``rmdir``).
-
-    Small rule tables (checked) are broadcast into a semi join with the
-    category as equi key. Large ones take an all-equi plan instead: every
-    prefix of a command target and both ``{op, 'all'}`` are exploded on the
-    request side, so the join is a plain hash/sort-merge semi join.
-    ``known_small=True`` skips the count for a rule table whose size is fixed
-    by construction (a constant list)."""
-    r = rules.select(F.col("category").alias("__rc"), F.col("operation").alias("__ro"),
-                     F.col("target").alias("__rt"))
-    if known_small or at_most(r, max_broadcast_rows):
-        cond = _rule_match_condition(F.col(category), F.col(operation), F.col(target),
-                                     F.col("__rc"), F.col("__ro"), F.col("__rt"))
-        return requests.join(F.broadcast(r), cond, "left_semi")
-    t = F.col(target)
-    prefixes = F.when(F.col(category) == "commands",
-                      F.transform(F.sequence(F.lit(0), F.length(t)), lambda i: F.substring(t, 1, i))) \
-                .otherwise(F.array(t))
-    probe = (requests.withColumn("__rt", F.explode(F.array_distinct(prefixes)))
-                     .withColumn("__ro", F.explode(F.array(F.col(operation), F.lit("all"))))
-                     .withColumn("__rc", F.col(category)))
-    hits = probe.join(r.distinct(), ["__rc", "__ro", "__rt"], "left_semi").drop("__rc", "__ro", "__rt")
-    return hits.dropDuplicates(requests.columns)
-
-
-def allowlist_flag(requests: DataFrame, rules: DataFrame, key: str, out: str = "allowlisted",
-                   category: str = "category", operation: str = "operation", target: str = "target",
-                   max_broadcast_rows: int = BROADCAST_MAX_ROWS, known_small: bool = False) -> DataFrame:
-    """J1 as a flag on every request (for the permission cascade).
-
-    Small rule tables (checked) become a correlated EXISTS over the broadcast
-    rules: one existence join, requests are not shuffled or joined back.
-    Larger ones take the all-equi semi join of ``allowlist_match`` and a join
-    back on ``key``."""
-    r = rules.select(F.col("category").alias("__rc"), F.col("operation").alias("__ro"),
-                     F.col("target").alias("__rt"))
-    if known_small or at_most(r, max_broadcast_rows):
-        q = requests.alias("__q")
-        cond = _rule_match_condition(F.col(f"__q.{category}").outer(), F.col(f"__q.{operation}").outer(),
-                                     F.col(f"__q.{target}").outer(), F.col("__rc"), F.col("__ro"), F.col("__rt"))
-        return q.withColumn(out, F.broadcast(r).where(cond).exists())
-    hits = (allowlist_match(requests, rules, category, operation, target, max_broadcast_rows)
-            .select(key).distinct().withColumn(out, F.lit(True)))
-    return (requests.join(hits, key, "left")
-                    .withColumn(out, F.coalesce(F.col(out), F.lit(False))))
+    *starts with* the rule target (raw text: rule ``rm`` allows ``rmdir``). A
+    NULL category or target never matches; a NULL operation matches ``all``.
+    Whether rules are few or many, the plan and the rows are the same."""
+    hits = _allowed_triples(requests, rules, category, operation, target)
+    return requests.join(hits, _same_triple(requests, hits, category, operation, target), "left_semi")
+
+
+def allowlist_flag(requests: DataFrame, rules: DataFrame, out: str = "allowlisted", category: str = "category",
+                   operation: str = "operation", target: str = "target") -> DataFrame:
+    """J1 as a flag on every request (for the permission cascade): true on
+    exactly the rows that ``allowlist_match`` keeps."""
+    hits = _allowed_triples(requests, rules, category, operation, target).withColumn("__hit", F.lit(True))
+    joined = requests.join(hits, _same_triple(requests, hits, category, operation, target), "left")
+    return joined.select(*[requests[c] for c in requests.columns], F.coalesce(hits["__hit"], F.lit(False)).alias(out))
 
 
 # ------------------------------------------------------------------ J2
+def answers_in_time(requests: DataFrame, answers: DataFrame, key: str, req_ts: str, ans_ts: str,
+                    timeout_seconds: int = ACK_TIMEOUT_SECONDS) -> DataFrame:
+    """Per request the earliest answer given at or after it and within the
+    time-out: ``(key, answer)``. Rows meet on the request's key, nothing else."""
+    asked = requests.groupBy(key).agg(F.min(req_ts).alias("__asked"))
+    given = answers.select(F.col(key), "answer", F.col(ans_ts).alias("__given")).where(F.col("answer").isNotNull())
+    wait = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
+    fits = (F.col("__given") >= F.col("__asked")) & (F.col("__given") <= F.col("__asked") + wait)
+    return (given.join(asked, key).where(fits)
+                 .groupBy(key).agg(F.min_by("answer", F.struct("__given", "answer")).alias("answer")))
+
+
 def permission_decision(requests: DataFrame, rules: DataFrame, answers: DataFrame | None = None,
                         key: str = "req_id", mode: str = "manual", has_session: str | None = None,
-                        rules_known_small: bool = False) -> DataFrame:
+                        req_ts: str | None = None, ans_ts: str | None = None,
+                        timeout_seconds: int = ACK_TIMEOUT_SECONDS) -> DataFrame:
     """The approval cascade per request: auto mode → allow; ``read`` →
-    allow; allow-list hit → allow; no session → deny; answer ``allow_always`` /
-    ``allow_once`` → allow; anything else (``deny``, no answer) → deny."""
-    d = allowlist_flag(requests, rules, key, "__hit", known_small=rules_known_small)
+    allow; allow-list hit → allow; no session (or an unknown one) → deny; answer
+    ``allow_always`` / ``allow_once`` → allow; anything else → deny. With
+    ``req_ts`` and ``ans_ts`` the log is replayed: an answer counts only within
+    ``timeout_seconds`` of its request, the earliest one wins, and a request
+    without one is denied as ``timeout``."""
+    d = allowlist_flag(requests, rules, "__hit")
     if answers is not None:
+        if req_ts and ans_ts:
+            answers = answers_in_time(requests, answers, key, req_ts, ans_ts, timeout_seconds)
         d = d.join(answers.select(key, "answer"), key, "left")
         ans = F.col("answer")
     else:
         ans = F.lit(None).cast("string")
-    session = F.col(has_session) if has_session else F.lit(True)
-    hit = F.coalesce(F.col("__hit"), F.lit(False))
+    session = F.coalesce(F.col(has_session), F.lit(False)) if has_session else F.lit(True)
     reason = (F.when(F.lit(mode == "auto"), F.lit("auto"))
                .when(F.col("operation") == "read", F.lit("read"))
-               .when(hit, F.lit("allowlist"))
+               .when(F.col("__hit"), F.lit("allowlist"))
                .when(~session, F.lit("no_session"))
                .when(ans == "allow_always", F.lit("allow_always"))
                .when(ans == "allow_once", F.lit("allow_once"))
@@ -269,6 +281,10 @@ def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id:
                      F.when(best.isNotNull(), "allow").otherwise("deny").alias("decision")))
 
 
+#: rows per file of a gated write
+FILE_ROWS = 1_000_000
+
+
 # ------------------------------------------------------------------ S6
 def gate_batches(batch: DataFrame, batch_col: str, order_col: str, operation: str = "write",
                  path: str = "path", existing: DataFrame | None = None, root: str = "/w") -> DataFrame:
@@ -294,9 +310,13 @@ def gated_write(batch: DataFrame, batch_col: str, order_col: str, dest: str, pat
     The check runs before anything is written. The write is then one Spark
     job: the output committer stages task files and publishes them at job
     commit, so a failed job leaves no batch half-written."""
-    report = gate_batches(batch, batch_col, order_col, "write", path, None, root)
-    ok = report.where("allowed").select(batch_col)
-    (batch.join(ok, batch_col, "left_semi")
+    report = settled(gate_batches(batch, batch_col, order_col, "write", path, None, root), "gate")
+    # a batch gets one writing task per FILE_ROWS rows, so a large one is spread
+    # and a small one is one file
+    ok = report.where("allowed").select(batch_col, F.ceil(F.col("n_files") / FILE_ROWS).alias("__n"))
+    (batch.join(ok, batch_col)
+          .withColumn("__salt", F.pmod(F.xxhash64(order_col), F.col("__n")))
+          .repartition(batch_col, "__salt").drop("__salt", "__n")
           .write.mode("overwrite").partitionBy(batch_col).parquet(dest))
     return report.withColumn("status", F.when(F.col("allowed"), "written").otherwise("refused"))
 
@@ -307,8 +327,7 @@ def delete_by_key(table: DataFrame, requests: DataFrame, batch_col: str, order_c
     """All-or-nothing keyed deletes. A batch is applied only if every key
     exists in ``table`` and passes the delete policy; returns ``(remaining,
     report)`` where ``remaining`` is ``table`` minus the applied keys."""
-    report = gate_batches(requests, batch_col, order_col, "delete", path,
-                          table.select(path), root)
+    report = settled(gate_batches(requests, batch_col, order_col, "delete", path, table.select(path), root), "gate")
     applied = requests.join(report.where("allowed").select(batch_col), batch_col, "left_semi").select(path)
     remaining = table.join(applied.distinct(), path, "left_anti")
     return remaining, report.withColumn("status", F.when(F.col("allowed"), "deleted").otherwise("refused"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runfold.functions.text import namespaced_name
+from runfold.operators.policy import prefix_probes
 
 # FIXED VALUES: local tool groups (file system, terminal, web) by name.
 LOCAL_TOOL_GROUPS = {
@@ -82,18 +83,17 @@ def include_semi(offered: DataFrame, include: DataFrame, server: str = "server",
     """Keep offered tools that are on their server's include list; a
     server with no list keeps all. Returns ``(kept, report)`` where the report
     has, per server, offered / kept / excluded counts."""
-    o = offered.alias("__o")
-    inc = include.select(F.col(server).alias("__s"), F.col(tool).alias("__t"))
-    # two EXISTS tests per offered tool (existence joins; the include lists
-    # are broadcast by AQE when small): no join back, no duplicate rows
-    has_list = inc.where(F.col("__s") == F.col(f"__o.{server}").outer()).exists()
-    listed = inc.where((F.col("__s") == F.col(f"__o.{server}").outer())
-                       & (F.col("__t") == F.col(f"__o.{tool}").outer())).exists()
-    d = o.withColumn("__keep", ~has_list | listed)
-    kept = d.where("__keep").drop("__keep")
-    report = (d.groupBy(server).agg(F.count(F.lit(1)).alias("n_offered"),
-                                    F.count_if(F.col("__keep")).alias("n_kept"))
-               .withColumn("n_excluded", F.col("n_offered") - F.col("n_kept")))
+    listed = include.select(server, tool).distinct()
+    servers = include.select(server).distinct()
+    # a semi join on (server, tool) and an anti join on the distinct servers: no key
+    # meets more than one row of the other side, and skewed offers can be split
+    kept = offered.join(servers, server, "left_anti").unionByName(offered.join(listed, [server, tool], "left_semi"))
+    n = lambda df, name: df.groupBy(server).agg(F.count(F.lit(1)).alias(name))
+    both = n(offered, "n_offered").withColumnRenamed(server, "__s")
+    counts = n(kept, "n_kept")
+    report = (both.join(counts, both["__s"].eqNullSafe(counts[server]), "left")
+                  .select(F.col("__s").alias(server), "n_offered", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+                  .withColumn("n_excluded", F.col("n_offered") - F.col("n_kept")))
     return kept, report
 
 
@@ -103,22 +103,26 @@ def role_grants(tools: DataFrame, rules: DataFrame, name: str = "name") -> DataF
     substring rules on the lower-cased name (substring checks run on the whole
     namespaced name, so ``get`` also hits inside words).
 
-    The fixed rule table is folded to one row per role (arrays of exact
-    names, prefixes and prefix-with-substrings) and broadcast into a theta
-    join: each tool row meets each role once and only grants are emitted, so
-    no de-duplication shuffle follows."""
+    Equalities only, whatever the number of rules: a name is probed whole and with
+    its prefixes of the lengths that prefix rules have; substrings are checked on
+    the matches. Grants are found per distinct name and joined back, so a tool
+    row comes out once per role however many rules grant it."""
     lo = F.lower(F.col("text"))
-    per_role = F.broadcast(rules.groupBy("role").agg(
-        F.collect_set(F.when(F.col("kind") == "exact", lo)).alias("__exact"),
-        F.collect_set(F.when(F.col("kind") == "prefix", lo)).alias("__prefix"),
-        F.collect_list(F.when(F.col("kind") == "prefix_contains",
-                              F.struct(lo.alias("p"), F.col("contains").alias("c")))).alias("__pc")))
-    n = F.lower(F.col(name))
-    cond = (F.array_contains(F.col("__exact"), n)
-            | F.exists(F.col("__prefix"), lambda p: F.startswith(n, p))
-            | F.exists(F.col("__pc"), lambda x: F.startswith(n, x.getField("p"))
-                       & F.exists(x.getField("c"), lambda c: F.contains(n, c))))
-    return tools.join(per_role, cond, "inner").select("role", *tools.columns)
+    exact = rules.where(F.col("kind") == "exact").select("role", lo.alias("__probe"), F.lit(None).cast("array<string>").alias("__c"),
+                                                         F.lit(True).alias("__whole"))
+    prefix = rules.where(F.col("kind").isin("prefix", "prefix_contains")).select(
+        "role", lo.alias("__probe"), F.when(F.col("kind") == "prefix_contains", F.coalesce("contains", F.array())).alias("__c"),
+        F.lit(False).alias("__whole"))
+    lengths = prefix.select(F.collect_set(F.length("__probe"))).scalar()
+    n = F.col("__name")
+    names = tools.select(F.lower(F.col(name)).alias("__name")).distinct().withColumn("__lengths", lengths)
+    probes = names.select("__name", F.explode(prefix_probes(n, F.col("__lengths"))).alias("__probe"), F.lit(False).alias("__whole")) \
+        .unionByName(names.select("__name", n.alias("__probe"), F.lit(True).alias("__whole")))
+    granted = (probes.join(exact.unionByName(prefix), ["__probe", "__whole"])
+                     .where(F.col("__c").isNull() | F.exists(F.coalesce("__c", F.array().cast("array<string>")),
+                                                             lambda c: F.contains(n, c)))
+                     .select("role", "__name").distinct())
+    return tools.withColumn("__name", F.lower(F.col(name))).join(granted, "__name").select("role", *tools.columns)
 
 
 # ------------------------------------------------------------------ J5
@@ -168,12 +172,34 @@ def layered_defaults(settings: DataFrame, defaults: list[tuple[str, str, str]],
     base = (tenants.select(tenant).distinct()
                    .select(tenant, F.inline(arr))
                    .withColumn("__layer", F.lit(0)))
-    loaded = settings.select(tenant, "section", "key", "value").withColumn("__layer", F.lit(1))
-    replaced = (loaded.where(~F.col("section").isin(*merge_sections))
-                      .select(tenant, "section").distinct().withColumn("__replaced", F.lit(True)))
-    base = (base.join(replaced, [tenant, "section"], "left")
-                .where(F.col("__replaced").isNull()).drop("__replaced"))
-    both = base.unionByName(loaded)
-    return (both.groupBy(tenant, "section", "key")
-                .agg(F.max_by(F.col("value"), F.col("__layer")).alias("value"),
-                     F.max(F.col("__layer")).alias("layer")))
+    return _layered(base, settings, merge_sections, tenant)
+
+
+def _layered(base: DataFrame, over: DataFrame, merge_sections: list[str], tenant: str) -> DataFrame:
+    """``base`` rows with ``over`` laid on top: one grouping by tenant and section
+    (a section has a handful of keys), within which a replaced section drops its
+    base rows and a merged one those whose key is laid over."""
+    both = base.select(tenant, "section", "key", "value", F.lit(0).alias("layer")) \
+        .unionByName(over.select(tenant, "section", "key", "value", F.lit(1).alias("layer")))
+    one = both.groupBy(tenant, "section").agg(F.collect_list(F.struct("key", "value", "layer")).alias("__e"),
+                                              F.max("layer").alias("__top"))
+    above = F.filter("__e", lambda e: e["layer"] == 1)
+    keys = F.array_distinct(F.transform(above, lambda e: e["key"]))
+    laid = F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_max(F.transform(
+        F.filter(above, lambda e: e["key"].eqNullSafe(k)), lambda e: e["value"])).alias("value"), F.lit(1).alias("layer")))
+    merged = F.col("section").isin(*merge_sections) | (F.col("__top") == 0)
+    kept = F.filter("__e", lambda e: merged & (e["layer"] == 0) & ~F.exists(keys, lambda k: k.eqNullSafe(e["key"])))
+    return one.select(tenant, "section", F.inline(F.concat(kept, laid)))
+
+
+# FIXED VALUES: how a settings request treats the sections it may change.
+UPDATE_MERGED = ["preferences", "pulumi"]
+UPDATE_REPLACED = ["allowList"]
+
+
+def settings_update(current: DataFrame, request: DataFrame, tenant: str = "tenant") -> DataFrame:
+    """X9, update mode: a request laid over the current settings. ``preferences``
+    and ``pulumi`` merge by key, ``allowList`` is replaced whole; any other section
+    of the request is ignored, so no request can touch the safety lists."""
+    taken = request.where(F.col("section").isin(*UPDATE_MERGED, *UPDATE_REPLACED))
+    return _layered(current, taken, UPDATE_MERGED, tenant)

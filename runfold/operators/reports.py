@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def pass_score(results: DataFrame, suite: str, success: str = "success") -> DataFrame:
-    """A3: per suite, passed / total and whether all passed."""
+    """A3: per suite, passed / total and whether all passed (a NULL result is
+    not a pass)."""
     s = F.col(success)
     return (results.groupBy(suite)
                    .agg(F.count_if(s).alias("passed"), F.count(F.lit(1)).alias("total"),
-                        F.bool_and(s).alias("all_passed"))
+                        (F.count_if(s) == F.count(F.lit(1))).alias("all_passed"))
                    .withColumn("score", F.col("passed") / F.col("total")))
 
 

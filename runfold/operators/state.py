@@ -21,14 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runfold.constants import (DEFAULT_STATUS, DEFAULT_STEP, DEFAULT_STRATEGY, END,
+from runfold.constants import (DEFAULT_STATUS, DEFAULT_STEP, DEFAULT_STRATEGY, DEFAULT_WORKSPACE, END,
                                EXECUTED_TASK_TEXT, MAX_RETRIES, START, WORKFLOW_EDGES)
 from runfold.operators.scan import DEFAULT_WIDTH, Run, next_in_group, running
 
+#: channel: value while no update has set it (diagram and plan are JSON texts)
 LAST_NONNULL_DEFAULTS = {
     "current_step": DEFAULT_STEP,
     "execution_strategy": DEFAULT_STRATEGY,
     "deployment_status": DEFAULT_STATUS,
+    "diagram": None,
+    "cloud_plan": None,
+    "workspace_path": DEFAULT_WORKSPACE,
 }
 
 
@@ -60,9 +64,13 @@ def state_append_array(log: DataFrame, key: str, seq: str, col: str) -> DataFram
 def state_last_nonnull(log: DataFrame, key: str = "session_id", seq: str = "seq",
                        defaults: dict[str, str] | None = None) -> DataFrame:
     """Per key, each channel's last non-NULL value, else its default."""
-    defaults = defaults or LAST_NONNULL_DEFAULTS
-    return log.groupBy(key).agg(*[F.coalesce(_last_nonnull(c, seq), F.lit(d)).alias(c)
-                                  for c, d in defaults.items()])
+    return log.groupBy(key).agg(*_channels(log, seq, defaults or LAST_NONNULL_DEFAULTS))
+
+
+def _channels(log: DataFrame, seq: str, defaults: dict[str, str | None] = LAST_NONNULL_DEFAULTS) -> list[Column]:
+    """The last-non-NULL channels that the log has."""
+    return [F.coalesce(_last_nonnull(c, seq), F.lit(d).cast("string")).alias(c) for c, d in defaults.items()
+            if c in log.columns]
 
 
 # ------------------------------------------------------------------ A9
@@ -100,7 +108,7 @@ def state_counter(log: DataFrame, key: str = "session_id", has_key: str = "has_r
 def fold_state(log: DataFrame, key: str = "session_id", seq: str = "seq") -> DataFrame:
     """A8 + A10 + A11 in one aggregation pass: the final run state per key."""
     return log.groupBy(key).agg(
-        *[F.coalesce(_last_nonnull(c, seq), F.lit(d)).alias(c) for c, d in LAST_NONNULL_DEFAULTS.items()],
+        *_channels(log, seq),
         F.max_by(F.col("validation_errors"), F.when(F.col("has_validation_errors"), F.col(seq))).alias("validation_errors"),
         F.sum(retry_increment()).cast("bigint").alias("retry_count"))
 
@@ -110,12 +118,13 @@ def running_state(log: DataFrame, key: str = "session_id", seq: str = "seq",
                   width: int = DEFAULT_WIDTH, bucketed: bool = True) -> DataFrame:
     """The run state *after* each update (A8, A10, A11 as running folds)."""
     d = log.withColumn("__inc", retry_increment())
-    runs = [Run("__" + c, "last_nonnull", c) for c in LAST_NONNULL_DEFAULTS]
+    channels = {c: dflt for c, dflt in LAST_NONNULL_DEFAULTS.items() if c in log.columns}
+    runs = [Run("__" + c, "last_nonnull", c) for c in channels]
     runs += [Run("__ve", "last_where", "validation_errors", "has_validation_errors"),
              Run("__rc", "sum", "__inc")]
     r = running(d, [key], seq, runs, width, bucketed)
     return r.select(key, seq, "node",
-                    *[F.coalesce(F.col("__" + c), F.lit(dflt)).alias(c) for c, dflt in LAST_NONNULL_DEFAULTS.items()],
+                    *[F.coalesce(F.col("__" + c), F.lit(dflt).cast("string")).alias(c) for c, dflt in channels.items()],
                     F.col("__ve").alias("validation_errors"),
                     F.col("__rc").cast("bigint").alias("retry_count"))
 
@@ -154,7 +163,8 @@ def retry_halt(log: DataFrame, key: str = "session_id", seq: str = "seq",
                bucketed: bool = True) -> DataFrame:
     """Per session, the first update at which counted failures reach the
     limit (the run halts there). Sessions that never halt are absent."""
-    d = log.select(key, seq, retry_increment().alias("__inc"))
+    # rows that add nothing can't be the first to reach a limit
+    d = log.select(key, seq, retry_increment().alias("__inc")).where(F.col("__inc") != 0)
     r = running(d, [key], seq, [Run("__rc", "sum", "__inc")], width, bucketed)
     return (r.where(F.col("__rc") >= max_retries)
              .groupBy(key).agg(F.min(seq).alias("halt_seq")))
@@ -184,9 +194,9 @@ def edge_table(spark) -> DataFrame:
 def transition_conformance(log: DataFrame, edges: DataFrame, key: str = "session_id", seq: str = "seq",
                            node: str = "node", width: int = DEFAULT_WIDTH, bucketed: bool = True) -> DataFrame:
     """Transitions the workflow graph does not allow (anti join to the
-    edge table; the edge table is a fixed handful of rows, so broadcast)."""
+    edge table, which Spark broadcasts while it is small)."""
     t = transitions(log, key, seq, node, width, bucketed)
-    return t.join(F.broadcast(edges.select("src", "dst")), ["src", "dst"], "left_anti")
+    return t.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
 def stage_edges(log: DataFrame, key: str = "session_id", seq: str = "seq", node: str = "node",

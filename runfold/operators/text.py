@@ -34,18 +34,27 @@ def llm_json_extract(df: DataFrame, raw: str = "raw") -> DataFrame:
               .withColumn("parsed", strict_parse_json(F.col("json_text"))))
 
 
+#: contract type: the variant types that are of it (a whole number is a double too)
+JSON_TYPES = {"bigint": "BIGINT", "long": "BIGINT", "int": "BIGINT", "double": r"DOUBLE|BIGINT|DECIMAL",
+              "string": "STRING", "boolean": "BOOLEAN"}
+
+
 # ------------------------------------------------------------------ X2
 def schema_contract(extracted: DataFrame, fields: dict[str, str],
                     enums: dict[str, list] | None = None) -> DataFrame:
     """Check extracted JSON against a contract; add typed ``fields``,
     ``status`` (``ok`` / ``quarantine``) and the first failing ``reason``:
     ``no_json`` → ``bad_json`` → ``missing:<field>`` / ``type:<field>`` (present
-    but not of the type, JSON null included) → ``enum:<field>``.
+    but not of the type, JSON null included) → ``enum:<field>``. The JSON type is
+    checked before the value is read: ``"12"`` and ``1.7`` are no ``bigint``, an
+    object is no ``string``; nothing is cast into the type.
     Split with ``where(status = 'ok')`` / ``where(status = 'quarantine')``."""
     d = extracted
     for f, t in fields.items():
-        d = (d.withColumn(f"__has_{f}", F.try_variant_get(F.col("parsed"), f"$.{f}", "variant").isNotNull())
-              .withColumn(f, F.try_variant_get(F.col("parsed"), f"$.{f}", t)))
+        found = F.try_variant_get(F.col("parsed"), f"$.{f}", "variant")
+        is_type = F.schema_of_variant(found).rlike(f"^(?:{JSON_TYPES[t.lower()]})")
+        d = (d.withColumn(f"__has_{f}", found.isNotNull())
+              .withColumn(f, F.when(is_type, F.try_variant_get(F.col("parsed"), f"$.{f}", t))))
     reason = F.when(F.col("json_text").isNull(), F.lit("no_json")).when(F.col("parsed").isNull(), F.lit("bad_json"))
     for f in fields:
         reason = (reason.when(~F.col(f"__has_{f}"), F.lit(f"missing:{f}"))
@@ -67,13 +76,16 @@ def split_contract(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------------ X3
 def json_remainder_summary(extracted: DataFrame, strategy_field: str = "strategy") -> DataFrame:
     """The text left once the JSON span is cut out (or a fixed default),
-    followed by the strategy line. NULL for rows without JSON (those are
-    quarantined, not summarised)."""
+    followed by the strategy line (an absent strategy prints ``undefined``, a JSON
+    null ``null``). NULL for rows without valid JSON: those are quarantined, not
+    summarised."""
     rest = js_trim(F.regexp_replace(F.col("cleaned"), "(?s)\\{.*\\}", ""))
-    strategy = F.coalesce(F.try_variant_get(F.col("parsed"), f"$.{strategy_field}", "string"), F.lit("undefined"))
+    found = F.try_variant_get(F.col("parsed"), f"$.{strategy_field}", "variant")
+    strategy = (F.when(found.isNull(), F.lit("undefined")).when(F.is_variant_null(found), F.lit("null"))
+                 .otherwise(F.try_variant_get(F.col("parsed"), f"$.{strategy_field}", "string")))
     head, tail = STRATEGY_LINE.split("{s}")
     summary = F.concat(F.coalesce(F.nullif(rest, F.lit("")), F.lit(NO_SUMMARY_TEXT)), F.lit(head), strategy, F.lit(tail))
-    return extracted.withColumn("summary", F.when(F.col("json_text").isNotNull(), summary))
+    return extracted.withColumn("summary", F.when(F.col("parsed").isNotNull(), summary))
 
 
 # ------------------------------------------------------------------ F6 / X11 / A6 / F11
@@ -105,9 +117,10 @@ def conversation_format(df: DataFrame, key: str = "conv_id", order: str = "turn"
 def tool_output_context(df: DataFrame, is_tool: Column, key: str = "conv_id", order: str = "turn",
                         text: str = "text", width: int = CONCAT_WIDTH) -> DataFrame:
     """per key, tool messages prefixed and joined by newline, in ordered
-    parts; a key with no tool message (or only empty ones: ``x || default``)
-    gets one part 0 holding the fixed default text."""
-    t = df.where(is_tool).select(key, order, F.concat(F.lit(TOOL_OUTPUT_PREFIX), F.col(text)).alias("__t"))
+    parts (a NULL text prints ``null``, as a template does); a key with no tool
+    message gets one part 0 holding the fixed default text."""
+    t = df.where(is_tool).select(key, order, F.concat(F.lit(TOOL_OUTPUT_PREFIX), F.coalesce(F.col(text), F.lit("null")))
+                                 .alias("__t"))
     parts = ordered_concat(t, key, order, "__t", "\n", "context", width)
     # keys without a tool message: one partial aggregate, no join
     idle = (df.groupBy(key).agg(F.count_if(is_tool).alias("__n")).where(F.col("__n") == 0)
@@ -119,11 +132,14 @@ def tool_output_context(df: DataFrame, is_tool: Column, key: str = "conv_id", or
 def rewind(df: DataFrame, key: str, order: str, index, width: int = DEFAULT_WIDTH,
            bucketed: bool = True) -> DataFrame:
     """Keep the first ``index + 1`` items of each history (``index`` an
-    int or a column of the row)."""
+    int or a column of the row). A constant index is a group limit: every task
+    keeps ``index + 1`` rows of a key before the shuffle."""
     from runfold.operators.scan import Run, running
+    if not isinstance(index, str):
+        w = Window.partitionBy(key).orderBy(order)
+        return df.withColumn("__pos", F.row_number().over(w)).where(F.col("__pos") <= int(index) + 1).drop("__pos")
     r = running(df, [key], order, [Run("__pos", "count")], width, bucketed)
-    idx = F.col(index) if isinstance(index, str) else F.lit(int(index))
-    return r.where(F.col("__pos") <= idx + 1).drop("__pos")
+    return r.where(F.col("__pos") <= F.col(index) + 1).drop("__pos")
 
 
 def first_last_match(df: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
@@ -148,14 +164,17 @@ def first_where(df: DataFrame, key: str, order: str, cond: Column, value: str, o
 
 
 # ------------------------------------------------------------------ F8 / F9
-def keyword_assert(df: DataFrame, text: str, checks: dict[str, list[str]]) -> DataFrame:
-    """F8: one flag per check (case-blind any-of over its words) and
-    ``passed`` = all checks true."""
+def keyword_assert(df: DataFrame, text: str, checks: dict[str, list[str]],
+                   all_of: dict[str, list[str]] | None = None) -> DataFrame:
+    """F8: one flag per check (case-blind: any of its words for ``checks``, every
+    word for ``all_of``) and ``passed`` = all checks true."""
     low = df.withColumn("__low", F.lower(F.col(text)))        # lower-case each text once
+    every = all_of or {}
     flags = [_contains_any(F.col("__low"), words).alias(name) for name, words in checks.items()]
+    flags += [_contains_all(F.col("__low"), words).alias(name) for name, words in every.items()]
     out = low.select(*df.columns, *flags)
     passed = F.lit(True)
-    for name in checks:
+    for name in [*checks, *every]:
         passed = passed & F.col(name)
     return out.withColumn("passed", passed)
 
@@ -167,6 +186,13 @@ def _contains_any(low: Column, words) -> Column:
     return out
 
 
+def _contains_all(low: Column, words) -> Column:
+    out = F.lit(True)
+    for w in words:
+        out = out & F.contains(low, F.lit(w.lower()))
+    return out
+
+
 def error_classify(df: DataFrame, text: str = "text") -> DataFrame:
     """``failed`` if the text starts with ``Command failed:``;
     ``not_found`` for the entity-not-found family; ``error`` if it mentions
@@ -204,9 +230,11 @@ def numbered_topk(df: DataFrame, score: str, tiebreak: str, title: Column, url:
     """K1: top ``k`` by score (ties by ``tiebreak``), numbered from 1 and
     formatted ``[i] title\\nURL: url\\nSnippet: text\\n``. Planned as one
     TakeOrderedAndProject: each task keeps ``k`` rows."""
-    top = (df.select(F.col(score).cast("bigint").alias("score"), F.col(tiebreak).alias("id"),
-                     title.alias("title"), url.alias("url"), snippet.alias("snippet"))
-             .orderBy(F.col("score").desc(), F.col("id").asc()).limit(k))
+    # rank first: title and snippet are worked out for the k winners only
+    best = (df.withColumn("__score", F.col(score).cast("bigint")).withColumn("__id", F.col(tiebreak))
+              .orderBy(F.col("__score").desc(), F.col("__id").asc()).limit(k))
+    top = best.select(F.col("__score").alias("score"), F.col("__id").alias("id"), title.alias("title"), url.alias("url"),
+                      snippet.alias("snippet"))
     # number the (at most k) winners: sort them as one small array and
     # posexplode, instead of an unpartitioned window
     ranked = (top.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "id", "score", "title",

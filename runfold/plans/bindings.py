@@ -7,11 +7,14 @@ feature (top-k, capped search). Column names match ``runfold.plans.oracle``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runfold.constants import (ALLOWED_PATHS, BLOCKED_COMMANDS, BLOCKED_PATTERNS, NOT_ALLOWED_EXTENSIONS,
+                               READ_ONLY_FILES)
 from runfold.operators import clean, policy, registry, reports, state, storage, text
 from runfold.session import staging_path
 from runfold.sources import files, tables as tb
@@ -29,21 +32,6 @@ def q(name: str):
 RAW_CUSTOMER_COLUMNS = ["id", "customer_email", "amount", "c_nationkey"]
 
 
-def nullable_ints_as_double(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Integer result columns that can be NULL, presented as DOUBLE: a NULL-able
-    BIGINT reaches a pandas client as float64 from Spark but as Int64 from
-    other engines; DOUBLE is the same everywhere (and exact below 2^53)."""
-    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
-def money_as_double(df: DataFrame) -> DataFrame:
-    """Present DECIMAL result columns as DOUBLE. The arithmetic stays exact
-    DECIMAL; only the finished value is converted, once, so results compare
-    equal however an engine hands decimals to a client."""
-    return df.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal"
-                       else F.col(f.name) for f in df.schema.fields])
-
-
 # ============================================================ clean and load
 @q("csv_scan")
 def csv_scan(spark, sf):
@@ -54,8 +42,8 @@ def csv_scan(spark, sf):
 @q("csv_to_parquet")
 def csv_to_parquet(spark, sf):
     src = files.write_csv(tb.raw_customers(spark, sf), staging_path(spark, "raw_customers_csv"))
-    return money_as_double(clean.csv_to_parquet(spark, src, staging_path(spark, "customers_clean"),
-                                                RAW_CUSTOMER_COLUMNS, casts={"id": "bigint", "c_nationkey": "int"}))
+    return clean.csv_to_parquet(spark, src, staging_path(spark, "customers_clean"),
+                                RAW_CUSTOMER_COLUMNS, casts={"id": "bigint", "c_nationkey": "int"})
 
 
 @q("email_clean")
@@ -65,17 +53,17 @@ def email_clean(spark, sf):
 
 @q("amount_date_clean")
 def amount_date_clean(spark, sf):
-    return money_as_double(clean.clean_amount_date(tb.raw_orders(spark, sf)).select("id", "amount", "date"))
+    return clean.clean_amount_date(tb.raw_orders(spark, sf)).select("id", "amount", "date")
 
 
 @q("column_total")
 def column_total(spark, sf):
-    return money_as_double(clean.column_total(tb.table(spark, sf, "lineitem"), "l_extendedprice"))
+    return clean.column_total(tb.table(spark, sf, "lineitem"), "l_extendedprice")
 
 
 @q("high_value_summary")
 def high_value_summary(spark, sf):
-    return money_as_double(clean.high_value_summary(tb.table(spark, sf, "orders"), tb.table(spark, sf, "customer")))
+    return clean.high_value_summary(tb.table(spark, sf, "orders"), tb.table(spark, sf, "customer"))
 
 
 @q("validation_report")
@@ -83,7 +71,7 @@ def validation_report(spark, sf):
     c = clean.clean_amount_date(clean.clean_email(tb.raw_customers(spark, sf)), "amount", None)
     cust = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("job"), "c_nationkey")
     runs = tb.job_runs(spark, sf).join(cust, "job")
-    return money_as_double(clean.validation_report(c, "c_nationkey", runs=runs))
+    return clean.validation_report(c, "c_nationkey", runs=runs)
 
 
 # ============================================================ run-state log
@@ -130,8 +118,7 @@ def retry_halt(spark, sf):
 
 @q("transition_conformance")
 def transition_conformance(spark, sf):
-    return nullable_ints_as_double(state.transition_conformance(tb.state_log(spark, sf), state.edge_table(spark)),
-                                   ["src_seq", "dst_seq"])
+    return state.transition_conformance(tb.state_log(spark, sf), state.edge_table(spark))
 
 
 @q("run_trace_summary")
@@ -141,12 +128,7 @@ def run_trace_summary(spark, sf):
 
 @q("node_update")
 def node_update(spark, sf):
-    log = tb.state_log(spark, sf)
-    msg = F.struct(F.lit("assistant").alias("role"), F.col("props").alias("content"))
-    messages = (F.when(F.col("map_key").isin("click", "view"), F.array(msg.withField("is_text", F.lit(True))))
-                 .when(F.col("map_key") == "purchase", F.array(msg.withField("is_text", F.lit(False))))
-                 .otherwise(F.array().cast("array<struct<role:string,content:string,is_text:boolean>>")))
-    return state.node_update(log.withColumn("messages", messages))
+    return state.node_update(tb.with_messages(tb.state_log(spark, sf)))
 
 
 @q("rewind")
@@ -207,13 +189,12 @@ def _requests(spark, sf):
 
 @q("allowlist_match")
 def allowlist_match(spark, sf):
-    # the rule table is a constant list: its size is known, no count needed
-    return policy.allowlist_match(_requests(spark, sf), tb.rules(spark), known_small=True)
+    return policy.allowlist_match(_requests(spark, sf), tb.rules(spark))
 
 
 def _decisions(spark, sf):
-    return policy.permission_decision(_requests(spark, sf), tb.rules(spark), tb.answers(spark, sf),
-                                      rules_known_small=True)
+    return policy.permission_decision(tb.timed_requests(_requests(spark, sf)), tb.rules(spark), tb.answers(spark, sf),
+                                      req_ts="req_ts", ans_ts="answer_ts")
 
 
 @q("permission_decision")
@@ -249,8 +230,7 @@ def ack_interval_join(spark, sf):
     req = e.where(F.col("event_type") == "click").select("event_id", "user_id", "ts")
     ans = e.where(F.col("event_type") == "purchase").select(F.col("event_id").alias("ans_event_id"), "user_id",
                                                             F.col("ts").alias("ans_ts"))
-    return nullable_ints_as_double(policy.ack_interval_join(req, ans, "user_id", "event_id", "ts", "ans_event_id", "ans_ts"),
-                                   ["answer_id"])
+    return policy.ack_interval_join(req, ans, "user_id", "event_id", "ts", "ans_event_id", "ans_ts")
 
 
 def _batches(spark, sf):
@@ -281,8 +261,7 @@ def _extracted(spark, sf):
 @q("llm_json_extract")
 def llm_json_extract(spark, sf):
     x = _extracted(spark, sf)
-    return nullable_ints_as_double(x.select("id", "json_text", F.try_variant_get("parsed", "$.k", "bigint").alias("k")),
-                                   ["k"])
+    return x.select("id", "json_text", F.try_variant_get("parsed", "$.k", "bigint").alias("k"))
 
 
 K_ENUM = list(range(50))
@@ -290,13 +269,14 @@ K_ENUM = list(range(50))
 
 @q("schema_contract")
 def schema_contract(spark, sf):
-    return nullable_ints_as_double(text.schema_contract(_extracted(spark, sf), {"k": "bigint"}, {"k": K_ENUM}).select(
-        "id", "k", "status", "reason"), ["k"])
+    x = text.llm_json_extract(tb.llm_mixed(spark, sf))
+    return text.schema_contract(x, {"k": "bigint"}, {"k": K_ENUM}).select("id", "k", "status", "reason")
 
 
 @q("json_remainder_summary")
 def json_remainder_summary(spark, sf):
-    return text.json_remainder_summary(_extracted(spark, sf)).select("id", "summary")
+    x = text.llm_json_extract(tb.llm_mixed(spark, sf))
+    return text.json_remainder_summary(x).select("id", "summary")
 
 
 @q("truncate_with_length")
@@ -323,6 +303,31 @@ def ordered_concat(spark, sf):
     return text.ordered_concat(tb.table(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
+PART_ROWS = 2
+
+
+@q("ordered_concat_parts")
+def ordered_concat_parts(spark, sf):
+    """A6 with a small part width, so that keys really have several parts."""
+    return text.ordered_concat(tb.table(spark, sf, "conversations"), "conv_id", "turn", "text", width=PART_ROWS)
+
+
+@q("conversation_parts")
+def conversation_parts(spark, sf):
+    """X11 with a small part width."""
+    return text.conversation_format(tb.table(spark, sf, "conversations"), width=PART_ROWS)
+
+
+@q("text_block_concat")
+def text_block_concat(spark, sf):
+    """A6 on content blocks: only blocks of type ``text`` are joined."""
+    from runfold.functions.text import join_text_blocks
+    c = tb.table(spark, sf, "conversations")
+    block = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    blocks = F.array(block("text", F.col("role")), block("image", F.col("text")), block("text", F.col("text")))
+    return c.select("conv_id", "turn", join_text_blocks(blocks).alias("content"))
+
+
 @q("role_filter_remap")
 def role_filter_remap(spark, sf):
     return text.role_filter_remap(tb.table(spark, sf, "conversations"))
@@ -331,7 +336,8 @@ def role_filter_remap(spark, sf):
 @q("tool_output_context")
 def tool_output_context(spark, sf):
     c = tb.table(spark, sf, "conversations")
-    return text.tool_output_context(c, F.col("role") == "system")
+    some_null = c.withColumn("text", F.when(F.col("conv_id") % 5 != 0, F.col("text")))
+    return text.tool_output_context(some_null, F.col("role") == "system", width=PART_ROWS)
 
 
 # FIXED VALUES: keyword families of the report checks (any-of per family).
@@ -342,10 +348,14 @@ KEYWORD_CHECKS = {
 }
 
 
+# every word must stand in the text
+KEYWORD_ALL = {"licence_named": ["license", "version"]}
+
+
 @q("keyword_assert")
 def keyword_assert(spark, sf):
     d = tb.table(spark, sf, "documents")
-    return text.keyword_assert(d.select("doc_id", "text"), "text", KEYWORD_CHECKS).drop("text")
+    return text.keyword_assert(d.select("doc_id", "text"), "text", KEYWORD_CHECKS, KEYWORD_ALL).drop("text")
 
 
 @q("error_classify")
@@ -387,7 +397,7 @@ def capped_matches(spark, sf):
 def numbered_topk(spark, sf):
     p = tb.table(spark, sf, "pages").withColumn("score", F.length("html"))
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    snippet = F.substring(F.regexp_replace("html", "<[^>]*>", ""), 1, 80)
+    snippet = F.regexp_replace("html", "<[^>]*>", "")
     return text.numbered_topk(p, "score", "page_id", title, F.col("url"), snippet).select(
         "rank", "id", "score", "result")
 
@@ -481,19 +491,15 @@ def uri_build_check(spark, sf):
     return registry.uri_build_check(d).select("s_suppkey", "uri", "doubled_bucket")
 
 
-# FIXED VALUES: default settings as (section, key, value) rows.
+# Default settings as (section, key, value) rows; lists as JSON text.
 SETTINGS_DEFAULTS = [
     ("version", "version", "1.1.0"),
     ("preferences", "confirmationMode", "manual"),
     ("pulumi", "backend", "cloud"),
-    ("safety", "allowedPaths", '["CodeSandBox"]'),
-    ("safety", "blockedPatterns", '["node_modules","\\\\.git","dist","build"]'),
-    ("safety", "blockedCommands", '["rm -rf","sudo","shutdown","reboot","kill","passwd","format"]'),
-    ("safety", "readOnlyFiles", '["package.json","package-lock.json"]'),
-    ("safety", "notAllowedExtensions", '[".exe",".sh",".bat",".cmd"]'),
-    ("allowList", "files", "[]"),
-    ("allowList", "commands", "[]"),
-    ("allowList", "mcp", "[]"),
+    *[("safety", k, json.dumps(v, separators=(",", ":"))) for k, v in [
+        ("allowedPaths", ALLOWED_PATHS), ("blockedPatterns", BLOCKED_PATTERNS), ("blockedCommands", BLOCKED_COMMANDS),
+        ("readOnlyFiles", READ_ONLY_FILES), ("notAllowedExtensions", NOT_ALLOWED_EXTENSIONS)]],
+    *[("allowList", k, "[]") for k in ("files", "commands", "mcp")],
 ]
 LOAD_MERGE_SECTIONS = ["safety", "allowList"]
 
@@ -521,36 +527,71 @@ def layered_defaults(spark, sf):
     return registry.layered_defaults(_loaded_settings(spark, sf), SETTINGS_DEFAULTS, tenants, LOAD_MERGE_SECTIONS)
 
 
+@q("settings_update")
+def settings_update(spark, sf):
+    """X9, update mode: a request per customer over the effective settings."""
+    current = layered_defaults(spark, sf).drop("layer")
+    k = F.col("c_custkey")
+    request = (F.when(k % 4 == 0, F.array(_setting("preferences", "confirmationMode", "auto"),
+                                          _setting("safety", "blockedCommands", "[]")))
+                .when(k % 4 == 1, F.array(_setting("allowList", "commands", '["ls"]')))
+                .when(k % 4 == 2, F.array(_setting("pulumi", "backend", "local"), _setting("version", "version", "9")))
+                .otherwise(F.array().cast("array<struct<section:string,key:string,value:string>>")))
+    c = tb.table(spark, sf, "customer").select(k.alias("tenant"), F.inline(request))
+    return registry.settings_update(current, c)
+
+
 def _listing(spark, sf):
-    return files.object_listing(spark, sf, "*.parquet")
+    """The pages as an object store's listing: address, size, time of change."""
+    p = tb.table(spark, sf, "pages")
+    return p.select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("length"),
+                    F.timestamp_seconds(F.col("page_id") * 60).cast("timestamp_ntz").alias("modificationTime"))
+
+
+def _host(path):
+    return F.regexp_extract(path, "^[a-z]+://([^/?#]*)", 1)
 
 
 @q("object_listing")
 def object_listing(spark, sf):
-    return _listing(spark, sf)
+    """S4 as keys and sizes below one prefix of the store."""
+    return storage.prefix_filter(_listing(spark, sf), "path", "https://")
 
 
 @q("binary_detect")
 def binary_detect(spark, sf):
-    return files.binary_detect(_listing(spark, sf))
-
-
-def _local(path_col):
-    return F.regexp_replace(path_col, "^file:(//)?", "")
+    """F2 on file bodies held in a table: some documents get a NUL byte."""
+    d = tb.table(spark, sf, "documents")
+    nul = F.when(F.col("doc_id") % 9 == 0, F.concat(F.col("text"), F.lit("\u0000"))).otherwise(F.col("text"))
+    return files.binary_detect_content(d.select("doc_id", F.encode(nul, "UTF-8").alias("content"))).select("doc_id", "is_binary")
 
 
 @q("storage_usage")
 def storage_usage(spark, sf):
-    lst = _listing(spark, sf)
-    prefix = F.regexp_extract(_local(F.col("path")), "([^/]*)\\.parquet$", 1)
-    return storage.storage_usage(lst, prefix)
+    return storage.storage_usage(_listing(spark, sf), _host(F.col("path")))
 
 
 @q("output_existence")
 def output_existence(spark, sf):
-    expected = spark.createDataFrame([(t,) for t in tb.TABLES] + [("cleaned",)], "prefix string")
-    prefix = F.regexp_extract(_local(F.col("path")), "([^/]*)\\.parquet$", 1)
-    return storage.output_existence(expected, _listing(spark, sf), prefix)
+    """Each page's host and a host of the nation's name, as expected outputs."""
+    hosts = _listing(spark, sf).select(_host(F.col("path")).alias("prefix")).distinct()
+    named = tb.table(spark, sf, "nation").select(F.lower("n_name").alias("prefix"))
+    return storage.output_existence(hosts.unionByName(named), _listing(spark, sf), _host(F.col("path")))
+
+
+SEARCH_PATTERN = "[0-9]{2}"
+
+
+@q("corpus_search")
+def corpus_search(spark, sf):
+    """Search of a file corpus: path policy, extension, text check, grep, cap."""
+    d = tb.table(spark, sf, "documents")
+    k = F.col("doc_id")
+    path = F.concat(F.when(k % 5 == 0, "/w/other/d").when(k % 5 == 1, "/w/CodeSandBox/dist/d").otherwise("/w/CodeSandBox/d"),
+                    F.format_string("%08d", k), F.when(k % 3 == 0, ".csv").when(k % 3 == 1, ".py").otherwise(".sh"))
+    body = F.when(k % 11 == 0, F.concat(F.lit("\u0000"), F.col("text"))).otherwise(F.col("text"))
+    corpus = d.select(path.alias("path"), body.alias("content"))
+    return files.corpus_search(corpus, SEARCH_PATTERN, extensions=[".csv", ".py"]).select("path", "line_no", "match")
 
 
 @q("resolve_source")
@@ -558,6 +599,13 @@ def resolve_source(spark, sf):
     return files.resolve_source(spark, "runfold_orders_catalog", f"{sf.rstrip('/')}/orders.parquet")
 
 
+@q("resolve_source_catalog")
+def resolve_source_catalog(spark, sf):
+    """S5 where the catalog has the table: it is read, not the path."""
+    tb.table(spark, sf, "customer").createOrReplaceTempView("runfold_customer_catalog")
+    return files.resolve_source(spark, "runfold_customer_catalog", f"{sf.rstrip('/')}/orders.parquet")
+
+
 @q("multi_read")
 def multi_read(spark, sf):
     lab = tb.table(spark, sf, "labels")
@@ -574,7 +622,9 @@ def prefix_filter(spark, sf):
 @q("pass_score")
 def pass_score(spark, sf):
     lab = tb.table(spark, sf, "labels").join(tb.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    res = lab.select(F.col("lang").alias("suite"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("success"))
+    passed = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    # a suite's result can be missing
+    res = lab.select(F.col("lang").alias("suite"), F.when(F.col("doc_id") % 7 != 0, passed).alias("success"))
     return reports.pass_score(res, "suite")
 
 
@@ -603,6 +653,12 @@ def streaming_state(spark, sf):
     return streams.streaming_state(spark, sf)
 
 
+@q("streaming_context")
+def streaming_context(spark, sf):
+    from runfold.streaming import streams
+    return streams.streaming_context(spark, sf)
+
+
 @q("incremental_copy")
 def incremental_copy(spark, sf):
     from runfold.streaming import streams

@@ -8,12 +8,12 @@ no entry here (the driver then checks rows only).
 from __future__ import annotations
 
 from runfold.constants import (BLOCKED_COMMANDS, IGNORED_NAMES, JS_WS_CODEPOINTS, NO_DISCOVERY_TEXT,
-                               NO_SUMMARY_TEXT, TOOL_OUTPUT_PREFIX, WORKFLOW_EDGES)
+                               NO_SUMMARY_TEXT, SEARCH_CAP, TOOL_OUTPUT_PREFIX, WORKFLOW_EDGES)
 from runfold.functions.text import EMAIL_PATTERN
 from runfold.operators.registry import LOCAL_TOOL_GROUPS, ROLE_RULES
 from runfold.operators.text import STRATEGY_LINE
 from runfold.plans import bindings as B
-from runfold.sources.tables import RULES
+from runfold.sources.tables import MIXED_BODIES, RULES
 
 
 def lit(s: str) -> str:
@@ -51,7 +51,12 @@ STATE_LOG = """state_log AS (
     CASE event_type WHEN 'error' THEN concat('err-', CAST(event_id AS VARCHAR)) END AS validation_errors,
     (event_type = 'error' AND event_id % 5 <> 0) AS has_retry,
     CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 1 END AS retry_inc,
-    event_type AS map_key, props
+    event_type AS map_key, props,
+    CASE event_type WHEN 'signup' THEN concat('{"nodes":[', CAST(event_id AS VARCHAR), ']}') END AS diagram,
+    CASE event_type WHEN 'view' THEN props END AS cloud_plan,
+    CASE event_type WHEN 'purchase' THEN concat('/w/s', CAST(user_id AS VARCHAR)) END AS workspace_path,
+    CASE event_type WHEN 'view' THEN concat('code ', CAST(event_id AS VARCHAR)) END AS code_pulumi,
+    CASE event_type WHEN 'click' THEN concat('job ', CAST(event_id AS VARCHAR)) END AS code_pyspark
   FROM events)"""
 
 RAW_CUSTOMERS = """raw_customers AS (
@@ -92,7 +97,9 @@ RULE_HIT = """EXISTS (SELECT 1 FROM rules u WHERE u.category = r.category
     AND CASE WHEN r.category = 'commands' THEN starts_with(r.target, u.target) ELSE r.target = u.target END)"""
 ANSWERS = """answers AS (
   SELECT p_partkey AS req_id,
-    CASE p_size % 4 WHEN 0 THEN 'allow_always' WHEN 1 THEN 'allow_once' WHEN 2 THEN 'deny' END AS answer
+    -- an answer after more than 300 s (ten times the size) is none
+    CASE WHEN p_size * 10 <= 300 THEN
+      CASE p_size % 4 WHEN 0 THEN 'allow_always' WHEN 1 THEN 'allow_once' WHEN 2 THEN 'deny' END END AS answer
   FROM part)"""
 DECISIONS = f"""decisions AS (
   SELECT r.*, CASE WHEN r.operation = 'read' THEN 'read' WHEN {RULE_HIT} THEN 'allowlist'
@@ -231,7 +238,10 @@ ORACLE["state_last_nonnull"] = f"""WITH {STATE_LOG}
 SELECT session_id,
   coalesce(arg_max(current_step, seq) FILTER (WHERE current_step IS NOT NULL), 'reception') AS current_step,
   coalesce(arg_max(execution_strategy, seq) FILTER (WHERE execution_strategy IS NOT NULL), 'PENDING') AS execution_strategy,
-  coalesce(arg_max(deployment_status, seq) FILTER (WHERE deployment_status IS NOT NULL), 'PENDING') AS deployment_status
+  coalesce(arg_max(deployment_status, seq) FILTER (WHERE deployment_status IS NOT NULL), 'PENDING') AS deployment_status,
+  arg_max(diagram, seq) FILTER (WHERE diagram IS NOT NULL) AS diagram,
+  arg_max(cloud_plan, seq) FILTER (WHERE cloud_plan IS NOT NULL) AS cloud_plan,
+  coalesce(arg_max(workspace_path, seq) FILTER (WHERE workspace_path IS NOT NULL), '') AS workspace_path
 FROM state_log GROUP BY session_id"""
 
 ORACLE["state_map_merge"] = f"""WITH {STATE_LOG}
@@ -251,6 +261,8 @@ RUNNING = f"""running AS (
     coalesce(last_value(current_step IGNORE NULLS) OVER w, 'reception') AS current_step,
     coalesce(last_value(execution_strategy IGNORE NULLS) OVER w, 'PENDING') AS execution_strategy,
     coalesce(last_value(deployment_status IGNORE NULLS) OVER w, 'PENDING') AS deployment_status,
+    last_value(diagram IGNORE NULLS) OVER w AS diagram, last_value(cloud_plan IGNORE NULLS) OVER w AS cloud_plan,
+    coalesce(last_value(workspace_path IGNORE NULLS) OVER w, '') AS workspace_path,
     (last_value(CASE WHEN has_validation_errors THEN {{'v': validation_errors}} END IGNORE NULLS) OVER w).v
       AS validation_errors,
     CAST(sum({RETRY_INC}) OVER w AS BIGINT) AS retry_count
@@ -294,7 +306,7 @@ FROM state_log GROUP BY session_id"""
 ORACLE["node_update"] = f"""WITH {STATE_LOG}
 SELECT session_id, seq, node, deployment_status AS status, current_step AS step, execution_strategy AS strategy,
   CASE WHEN map_key IN ('click', 'view') THEN props WHEN map_key = 'purchase' THEN 'Executed Task.' ELSE '' END AS message,
-  validation_errors AS errors, CAST(NULL AS VARCHAR) AS diagram, '' AS code_pulumi, '' AS code_pyspark
+  validation_errors AS errors, diagram, coalesce(code_pulumi, '') AS code_pulumi, coalesce(code_pyspark, '') AS code_pyspark
 FROM state_log"""
 
 ORACLE["rewind"] = """SELECT conv_id, turn, role, text FROM (
@@ -382,23 +394,34 @@ SELECT * FROM paths p WHERE NOT EXISTS (
   SELECT 1 FROM g JOIN gate USING (batch) WHERE gate.allowed AND g.path = p.path)"""
 
 # ------------------------------------------------------------ text and JSON
+MIXED = " ".join(f"WHEN {i} THEN {lit(b)}" for i, b in enumerate(MIXED_BODIES))
+LLM_MIXED = f"""llm_mixed AS (
+  SELECT event_id AS id, CASE event_id % 20 {MIXED} ELSE props END AS cleaned FROM events),
+-- DuckDB lets a comma stand before a closing brace; JSON doesn't
+mixed AS (SELECT *, coalesce(json_valid(json_text) AND NOT regexp_matches(json_text, ',[[:space:]]*}}'), false) AS valid FROM (
+  SELECT *, nullif(regexp_extract(cleaned, '(?s)\\{{.*\\}}', 0), '') AS json_text FROM llm_mixed)),
+typed AS (SELECT *, CASE WHEN valid THEN json_type(json_extract(json_text, '$.k')) END AS k_type,
+  CASE WHEN valid THEN json_type(json_extract(json_text, '$.strategy')) END AS s_type FROM mixed)"""
+
 ORACLE["llm_json_extract"] = f"WITH {LLM} SELECT id, json_text, CAST(k AS DOUBLE) AS k FROM parsed"
 
-ORACLE["schema_contract"] = f"""WITH {LLM}
+ORACLE["schema_contract"] = f"""WITH {LLM_MIXED}
 SELECT id, CAST(k AS DOUBLE) AS k, CASE WHEN reason IS NULL THEN 'ok' ELSE 'quarantine' END AS status, reason FROM (
   SELECT id, k, CASE WHEN json_text IS NULL THEN 'no_json' WHEN NOT valid THEN 'bad_json'
-      WHEN json_extract(json_text, '$.k') IS NULL THEN 'missing:k'
-      WHEN k IS NULL THEN 'type:k' WHEN k NOT IN ({', '.join(str(i) for i in B.K_ENUM)}) THEN 'enum:k' END AS reason
-  FROM parsed)"""
+      WHEN k_type IS NULL THEN 'missing:k' WHEN k IS NULL THEN 'type:k'
+      WHEN k NOT IN ({', '.join(str(i) for i in B.K_ENUM)}) THEN 'enum:k' END AS reason
+  FROM (SELECT *, CASE WHEN k_type IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract_string(json_text, '$.k') AS BIGINT) END AS k
+        FROM typed))"""
 
 _HEAD, _TAIL = STRATEGY_LINE.split("{s}")
-ORACLE["json_remainder_summary"] = f"""WITH {LLM}
-SELECT id, CASE WHEN json_text IS NOT NULL THEN concat(
+ORACLE["json_remainder_summary"] = f"""WITH {LLM_MIXED}
+SELECT id, CASE WHEN valid THEN concat(
     coalesce(nullif({js_trim("regexp_replace(cleaned, '(?s)\\{.*\\}', '', 'g')")}, ''), {lit(NO_SUMMARY_TEXT)}),
     {lit(_HEAD.replace(chr(10), "<NL>"))},
-    coalesce(CASE WHEN valid THEN json_extract_string(json_text, '$.strategy') END, 'undefined'),
+    CASE WHEN s_type IS NULL THEN 'undefined' WHEN s_type = 'NULL' THEN 'null'
+         ELSE json_extract_string(json_text, '$.strategy') END,
     {lit(_TAIL.replace(chr(10), "<NL>"))}) END AS summary
-FROM parsed""".replace("<NL>", "' || chr(10) || '")
+FROM typed""".replace("<NL>", "' || chr(10) || '")
 
 ORACLE["truncate_with_length"] = """SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(substring(text, 1, 500), chr(10),
   '... [TRUNCATED, TOTAL LENGTH: ', CAST(length(text) AS VARCHAR), ']') ELSE text END AS truncated FROM documents"""
@@ -414,13 +437,24 @@ FROM (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'user' ELSE 'assi
 ORACLE["ordered_concat"] = """SELECT conv_id, turn // 1024 AS part, string_agg(text, chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id, turn // 1024"""
 
+ORACLE["conversation_parts"] = f"""SELECT conv_id, turn // {B.PART_ROWS} AS part,
+  string_agg(concat(r, ': ', text), chr(10) ORDER BY turn) AS transcript
+FROM (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS r
+      FROM conversations WHERE role IS DISTINCT FROM 'system') GROUP BY conv_id, turn // {B.PART_ROWS}"""
+
+ORACLE["ordered_concat_parts"] = f"""SELECT conv_id, turn // {B.PART_ROWS} AS part,
+  string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id, turn // {B.PART_ROWS}"""
+
+ORACLE["text_block_concat"] = "SELECT conv_id, turn, concat(role, chr(10), text) AS content FROM conversations"
+
 ORACLE["role_filter_remap"] = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, text
 FROM conversations WHERE role IS DISTINCT FROM 'system'"""
 
 ORACLE["tool_output_context"] = f"""WITH parts AS (
-  SELECT conv_id, turn // 1024 AS part,
-    string_agg(concat({lit(TOOL_OUTPUT_PREFIX)}, text), chr(10) ORDER BY turn) AS context
-  FROM conversations WHERE role = 'system' GROUP BY conv_id, turn // 1024)
+  SELECT conv_id, turn // {B.PART_ROWS} AS part,
+    string_agg(concat({lit(TOOL_OUTPUT_PREFIX)}, CASE WHEN conv_id % 5 <> 0 THEN text ELSE 'null' END), chr(10) ORDER BY turn)
+      AS context
+  FROM conversations WHERE role = 'system' GROUP BY conv_id, turn // {B.PART_ROWS})
 SELECT * FROM parts
 UNION ALL
 SELECT DISTINCT conv_id, 0 AS part, {lit(NO_DISCOVERY_TEXT)} AS context FROM conversations c
@@ -431,8 +465,14 @@ def _any(col: str, words) -> str:
     return "(" + " OR ".join(f"contains(lower({col}), {lit(w.lower())})" for w in words) + ")"
 
 
+def _all(col: str, words) -> str:
+    return _any(col, words).replace(" OR ", " AND ")
+
+
 ORACLE["keyword_assert"] = ("SELECT doc_id, " + ", ".join(f"{_any('text', ws)} AS {n}" for n, ws in B.KEYWORD_CHECKS.items())
-                            + ", " + " AND ".join(_any('text', ws) for ws in B.KEYWORD_CHECKS.values())
+                            + ", " + ", ".join(f"{_all('text', ws)} AS {n}" for n, ws in B.KEYWORD_ALL.items())
+                            + ", " + " AND ".join([_any('text', ws) for ws in B.KEYWORD_CHECKS.values()]
+                                                  + [_all('text', ws) for ws in B.KEYWORD_ALL.values()])
                             + " AS passed FROM documents")
 
 ORACLE["error_classify"] = f"""SELECT doc_id, CASE WHEN starts_with(text, 'Command failed:') THEN 'failed'
@@ -453,7 +493,7 @@ FROM lines WHERE regexp_matches(line, {lit(B.CAPPED_PATTERN)}) ORDER BY doc_id,
 
 ORACLE["numbered_topk"] = """WITH top AS (
   SELECT page_id AS id, length(html) AS score, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, url,
-    substring(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 80) AS snippet
+    regexp_replace(html, '<[^>]*>', '', 'g') AS snippet
   FROM pages ORDER BY score DESC, page_id LIMIT 3),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM top)
 SELECT rank, id, score, concat('[', CAST(rank AS VARCHAR), '] ', title, chr(10), 'URL: ', url, chr(10),
@@ -517,6 +557,50 @@ base AS (SELECT c.c_custkey AS tenant, d.section, d.key, d.value, 0 AS layer FRO
 both_ AS (SELECT * FROM base UNION ALL SELECT tenant, section, key, value, 1 AS layer FROM loaded)
 SELECT tenant, section, key, arg_max(value, layer) AS value, max(layer) AS layer FROM both_ GROUP BY tenant, section, key"""
 
+ORACLE["settings_update"] = f"""WITH cur AS ({ORACLE["layered_defaults"]}),
+request AS (
+  SELECT tenant, s.section AS section, s.key AS key, s.value AS value FROM (
+    SELECT c_custkey AS tenant, unnest(CASE c_custkey % 4
+      WHEN 0 THEN [{{'section': 'preferences', 'key': 'confirmationMode', 'value': 'auto'}}]
+      WHEN 1 THEN [{{'section': 'allowList', 'key': 'commands', 'value': '["ls"]'}}]
+      WHEN 2 THEN [{{'section': 'pulumi', 'key': 'backend', 'value': 'local'}}]
+      ELSE [] END) AS s FROM customer))
+SELECT tenant, section, key, value, 1 AS layer FROM request
+UNION ALL
+SELECT tenant, section, key, value, 0 AS layer FROM cur c
+WHERE NOT EXISTS (SELECT 1 FROM request r WHERE r.tenant = c.tenant AND r.section = c.section
+                    AND (r.section = 'allowList' OR r.key = c.key))"""
+
+LISTING = """listing AS (SELECT url AS path, CAST(octet_length(encode(html)) AS BIGINT) AS length,
+  TIMESTAMP '1970-01-01 00:00:00' + page_id * INTERVAL 60 SECOND AS modificationTime,
+  regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS prefix FROM pages)"""
+
+ORACLE["object_listing"] = f"""WITH {LISTING}
+SELECT path, length, modificationTime FROM listing WHERE starts_with(path, 'https://')"""
+
+ORACLE["storage_usage"] = f"""WITH {LISTING}
+SELECT prefix, count(*) AS n_objects, CAST(sum(length) AS BIGINT) AS total_bytes, max(modificationTime) AS last_modified
+FROM listing GROUP BY prefix"""
+
+ORACLE["output_existence"] = f"""WITH {LISTING},
+expected AS (SELECT DISTINCT prefix FROM listing UNION ALL SELECT lower(n_name) AS prefix FROM nation),
+per AS (SELECT prefix, count(*) AS n, sum(length) AS b FROM listing GROUP BY prefix)
+SELECT e.prefix, coalesce(n, 0) AS n_objects, CAST(coalesce(b, 0) AS BIGINT) AS total_bytes,
+  CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN b = 0 THEN 'empty' ELSE 'ok' END AS status,
+  coalesce(n, 0) > 0 AND b > 0 AS passed
+FROM expected e LEFT JOIN per ON per.prefix = e.prefix"""
+
+ORACLE["binary_detect"] = """SELECT doc_id, doc_id % 9 = 0 AND octet_length(encode(text)) < 4000 AS is_binary FROM documents"""
+
+ORACLE["corpus_search"] = f"""WITH f AS (
+  SELECT concat('/w/CodeSandBox/d', lpad(CAST(doc_id AS VARCHAR), 8, '0'),
+           CASE doc_id % 3 WHEN 0 THEN '.csv' ELSE '.py' END) AS path, text
+  FROM documents WHERE doc_id % 5 > 1 AND doc_id % 3 < 2 AND doc_id % 11 <> 0),
+l AS (SELECT path, unnest(arr) AS line, generate_subscripts(arr, 1) AS line_no
+      FROM (SELECT path, string_split(text, chr(10)) AS arr FROM f))
+SELECT path, line_no, concat(path, ':', CAST(line_no AS VARCHAR), ': ', {js_trim('line')}) AS match
+FROM l WHERE regexp_matches(line, {lit(B.SEARCH_PATTERN)}) ORDER BY path, line_no LIMIT {SEARCH_CAP}"""
+
 ORACLE["multi_read"] = """WITH req AS (SELECT doc_id AS req_id, concat('doc-', CAST(doc_id * 3 AS VARCHAR)) AS path FROM labels),
 f AS (SELECT concat('doc-', CAST(doc_id AS VARCHAR)) AS path, text AS content FROM documents)
 SELECT req_id, req.path,
@@ -528,10 +612,9 @@ FROM req LEFT JOIN f ON f.path = req.path"""
 
 ORACLE["prefix_filter"] = "SELECT * FROM supplier WHERE starts_with(s_name, 'Supplier#0000000')"
 
-ORACLE["pass_score"] = """SELECT lang AS suite, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS passed, count(*) AS total,
-  bool_and(quality = 1 AND toxic = 0) AS all_passed,
-  count(*) FILTER (WHERE quality = 1 AND toxic = 0) / count(*) AS score
-FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
+ORACLE["pass_score"] = """SELECT lang AS suite, count(*) FILTER (WHERE ok) AS passed, count(*) AS total,
+  count(*) FILTER (WHERE ok) = count(*) AS all_passed, count(*) FILTER (WHERE ok) / count(*) AS score
+FROM (SELECT doc_id, quality = 1 AND toxic = 0 AND doc_id % 7 <> 0 AS ok FROM labels) l JOIN documents USING (doc_id) GROUP BY lang"""
 
 ORACLE["tool_call_count"] = f"""WITH c AS (
   SELECT conv_id, CASE WHEN role = 'assistant' THEN list_filter(regexp_split_to_array(lower(text), '[^a-z_]+'),
@@ -546,15 +629,23 @@ ORACLE["resolve_source"] = "SELECT * FROM orders"
 
 ORACLE["incremental_copy"] = "SELECT * FROM events"
 
-ORACLE["update_stream"] = f"""WITH {STATE_LOG}
-SELECT session_id, seq, node, deployment_status AS status, current_step AS step, execution_strategy AS strategy,
-  validation_errors AS errors FROM state_log"""
+ORACLE["resolve_source_catalog"] = "SELECT * FROM customer"
+
+ORACLE["update_stream"] = ORACLE["node_update"]
+
+ORACLE["streaming_context"] = ORACLE["state_map_merge"]
+
+ORACLE["stream_ack_join"] = f"""SELECT event_id AS req_id, user_id AS req_user, ts AS req_ts, answer_id, answer_ts, decision
+FROM ({ORACLE["ack_interval_join"]})"""
 
 ORACLE["streaming_state"] = f"""WITH {STATE_LOG}
 SELECT session_id,
   coalesce(arg_max(current_step, seq) FILTER (WHERE current_step IS NOT NULL), 'reception') AS current_step,
   coalesce(arg_max(execution_strategy, seq) FILTER (WHERE execution_strategy IS NOT NULL), 'PENDING') AS execution_strategy,
   coalesce(arg_max(deployment_status, seq) FILTER (WHERE deployment_status IS NOT NULL), 'PENDING') AS deployment_status,
+  arg_max(diagram, seq) FILTER (WHERE diagram IS NOT NULL) AS diagram,
+  arg_max(cloud_plan, seq) FILTER (WHERE cloud_plan IS NOT NULL) AS cloud_plan,
+  coalesce(arg_max(workspace_path, seq) FILTER (WHERE workspace_path IS NOT NULL), '') AS workspace_path,
   arg_max_null(validation_errors, seq) FILTER (WHERE has_validation_errors) AS validation_errors,
   CAST(sum({RETRY_INC}) AS BIGINT) AS retry_count
 FROM state_log GROUP BY session_id"""

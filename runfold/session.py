@@ -58,8 +58,9 @@ def size_shuffles(spark: SparkSession, shuffle_bytes: int, partition_bytes: int
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates and checkpoints.
 
-    Read from ``spark.checkpoint.dir`` (what the cluster names); only when it is
-    unset (local tests) is a fresh local folder chosen and registered.
+    Read from ``spark.checkpoint.dir`` (what the cluster names). Where it is unset, a
+    fresh local folder is chosen on a ``local`` master only; on a cluster every
+    executor would write to its own disk, so that raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -67,6 +68,9 @@ def staging_root(spark: SparkSession) -> str:
         cur = sc.getCheckpointDir()
         if cur:
             d = os.path.dirname(cur.rstrip("/"))
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that the driver "
+                             "and all executors share")
         else:
             d = tempfile.mkdtemp(prefix="runfold-ckpt-")
             spark.conf.set("spark.checkpoint.dir", d)

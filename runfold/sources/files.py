@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runfold.constants import BINARY_PROBE_BYTES, EMPTY_FILE_MARKER
+from runfold.constants import BINARY_PROBE_BYTES, EMPTY_FILE_MARKER, SEARCH_CAP
 
 
 # ---------------------------------------------------------------- S1 csv_scan
@@ -162,7 +162,9 @@ def multi_read(spark: SparkSession, requests: DataFrame, files: DataFrame,
     ``decisions(path, safe, reason)`` from the path policy. A refused path
     gives ``Access Denied - reason``, a missing one an error row, an empty
     file the empty-file marker."""
-    r = requests.join(files.select(F.col("path").alias(key), "content"), key, "left")
+    # only requested files' bodies move: the request list cuts them down first
+    wanted = files.select(F.col("path").alias(key), "content").join(requests.select(key).distinct(), key, "left_semi")
+    r = requests.join(wanted, key, "left")
     if decisions is not None:
         r = r.join(decisions.select(F.col("path").alias(key), "safe", "reason"), key, "left")
         safe, reason = F.coalesce(F.col("safe"), F.lit(True)), F.col("reason")
@@ -178,15 +180,29 @@ def multi_read(spark: SparkSession, requests: DataFrame, files: DataFrame,
     return r.select(*[c for c in requests.columns], status.alias("status"), text.alias("result"))
 
 
+# ----------------------------------------------------------- corpus search
+def corpus_search(corpus: DataFrame, pattern: str, extensions: list[str] | None = None, n: int = SEARCH_CAP,
+                  root: str = "/w") -> DataFrame:
+    """One job over ``corpus(path, content)``: paths that the read policy allows,
+    with one of ``extensions`` (all if None), that hold text; their lines that
+    match ``pattern``; the first ``n`` matches in path and line order. Filters run
+    before the lines are split; the cap is the search's own."""
+    from runfold.operators import policy, text
+    d = policy.path_policy(corpus.withColumn("operation", F.lit("read")), root=root).where("safe")
+    if extensions is not None:
+        d = d.where(F.col("ext").isin(*extensions))
+    d = binary_detect_content(d.withColumn("__bytes", F.encode("content", "UTF-8")), "__bytes").where(~F.col("is_binary"))
+    return text.capped_matches(text.regex_grep(split_lines(d.select("path", "content")), pattern), ["path", "line_no"], n)
+
+
 # ----------------------------------------------------------- S5 resolve
 def resolve_source(spark: SparkSession, table_name: str, path: str, fmt: str = "parquet") -> DataFrame:
     """Use the catalog table only if it exists *and* holds a row; otherwise
     read the path directly."""
-    try:
-        if spark.catalog.tableExists(table_name) and not spark.table(table_name).isEmpty():
-            return spark.table(table_name)
-    except Exception:  # an unreachable catalog falls back to the path
-        pass
+    if spark.catalog.tableExists(table_name):  # any other failure (no rights, a corrupt table) is raised
+        found = spark.table(table_name)
+        if not found.isEmpty():
+            return found
     return spark.read.format(fmt).load(path)
 
 

@@ -43,7 +43,21 @@ def state_log_from(e: DataFrame) -> DataFrame:
         F.when(et == "error", F.concat(F.lit("err-"), F.col("event_id").cast("string"))).alias("validation_errors"),
         ((et == "error") & (F.col("event_id") % 5 != 0)).alias("has_retry"),
         F.when((et == "error") & (F.col("event_id") % 3 == 0), F.lit(1)).alias("retry_inc"),
-        et.alias("map_key"), "props")
+        et.alias("map_key"), "props",
+        F.when(et == "signup", F.concat(F.lit('{"nodes":['), F.col("event_id").cast("string"), F.lit("]}"))).alias("diagram"),
+        F.when(et == "view", F.col("props")).alias("cloud_plan"),
+        F.when(et == "purchase", F.concat(F.lit("/w/s"), F.col("user_id").cast("string"))).alias("workspace_path"),
+        F.when(et == "view", F.concat(F.lit("code "), F.col("event_id").cast("string"))).alias("code_pulumi"),
+        F.when(et == "click", F.concat(F.lit("job "), F.col("event_id").cast("string"))).alias("code_pyspark"))
+
+
+def with_messages(log: DataFrame) -> DataFrame:
+    """``state_log`` with each update's message list: text, not text, or none."""
+    msg = F.struct(F.lit("assistant").alias("role"), F.col("props").alias("content"))
+    return log.withColumn("messages", (
+        F.when(F.col("map_key").isin("click", "view"), F.array(msg.withField("is_text", F.lit(True))))
+         .when(F.col("map_key") == "purchase", F.array(msg.withField("is_text", F.lit(False))))
+         .otherwise(F.array().cast("array<struct<role:string,content:string,is_text:boolean>>"))))
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +132,21 @@ def llm_out_from(e: DataFrame) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), raw.alias("raw"))
 
 
+#: what a model may wrongly put where a whole number ``k`` is expected, by key
+MIXED_BODIES = ['{"k": "12"}', '{"k": 1.7}', '{"k": null}', '{"strategy": "GREENFIELD",}', '{"strategy": null, "k": 3}',
+                '{"k": {"a": 1}}', 'Sure. {"strategy": "DATA_ANALYSIS", "k": 5} Done.', '{"k": true}', '{"strategy": "GREENFIELD"}']
+
+
+def llm_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model output with invalid JSON, wrong types, JSON nulls and missing fields
+    among the good rows (from ``events``)."""
+    e = table(spark, sf_dir, "events")
+    body = F.col("props")
+    for i, b in enumerate(MIXED_BODIES):
+        body = F.when(F.col("event_id") % 20 == i, F.lit(b)).otherwise(body)
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("<think>x</think>\n"), body).alias("raw"))
+
+
 def tool_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remote tools offered by servers (from ``part``): each part is a tool
     ``lower(p_name with '_')`` offered by one of four servers, by key."""
@@ -138,13 +167,20 @@ def requests_from_commands(cmds: DataFrame) -> DataFrame:
                        base_command(actual_command(F.col("command"))).alias("target"))
 
 
+def timed_requests(requests: DataFrame) -> DataFrame:
+    """Requests with the time they were made: one a second, by id."""
+    return requests.withColumn("req_ts", F.timestamp_seconds(F.col("req_id")))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approval answers per request (from ``part``); NULL = no answer."""
+    """Approval answers per request (from ``part``), given up to 500 s after it;
+    NULL = no answer."""
     p = table(spark, sf_dir, "part")
     s = F.col("p_size")
     a = (F.when(s % 4 == 0, "allow_always").when(s % 4 == 1, "allow_once")
           .when(s % 4 == 2, "deny"))
-    return p.select(F.col("p_partkey").alias("req_id"), a.alias("answer"))
+    return p.select(F.col("p_partkey").alias("req_id"), a.alias("answer"),
+                    F.timestamp_seconds(F.col("p_partkey") + s * 10).alias("answer_ts"))
 
 
 def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

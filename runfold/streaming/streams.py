@@ -9,7 +9,9 @@ stop); pass ``{"processingTime": "30 seconds"}`` for a live poll.
 Aggregations run in ``update`` mode; each micro-batch of changed groups is
 written to its own ``batch_id=N`` folder (overwritten if the batch is
 retried), and readers take the latest row per key, so executor loss or a
-rerun never duplicates or loses a batch.
+rerun never duplicates or loses a batch. Every ``COMPACT_EVERY`` batches the
+current rows are written whole as a snapshot; readers start from the newest one,
+so a long-lived sink is not read from its beginning.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ from runfold.session import staging_path
 from runfold.sources import tables as tb
 
 DEFAULT_TRIGGER = {"availableNow": True}
+COMPACT_EVERY = 100
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A file stream of one table's Parquet files (schema from the table)."""
+    """A file stream of one table's Parquet files (schema from the table). The
+    table may be one file or a folder of part files: the last letter as a pattern
+    makes the source list whatever has the name, and read folders' files."""
     schema = tb.table(spark, sf_dir, name).schema
-    return parquet_stream(spark, sf_dir, schema, f"{name}.parquet", max_files)
+    return parquet_stream(spark, f"{sf_dir.rstrip('/')}/{name}.parque[t]", schema, max_files=max_files)
 
 
 def parquet_stream(spark: SparkSession, src: str, schema, glob: str | None = None,
@@ -71,17 +76,23 @@ def start_append(df: DataFrame, name: str, trigger: dict | None = None):
     return q, out
 
 
-def start_update(df: DataFrame, name: str, trigger: dict | None = None):
+def start_update(df: DataFrame, name: str, trigger: dict | None = None, keys: list[str] | None = None,
+                 compact_every: int = COMPACT_EVERY):
     """Stream an aggregate in update mode: each micro-batch of changed rows
     goes to its own ``batch_id=N`` folder; returns ``(query, path)``. Read
-    the current state with ``latest_per_key`` at any time."""
+    the current state with ``latest_per_key`` at any time. With ``keys``, every
+    ``compact_every`` batches the latest rows are written as a snapshot."""
     spark = df.sparkSession
     out, ck = staging_path(spark, name), staging_path(spark, name + "-ckpt")
+    schema = df.schema
 
     def write_batch(batch: DataFrame, batch_id: int):
         # one folder per micro-batch, overwritten on retry: a re-run batch
         # replaces its own output instead of appending a second copy
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/kind=changes/batch_id={batch_id}")
+        if keys and (batch_id + 1) % compact_every == 0:
+            whole = latest_per_key(batch.sparkSession, out, keys, schema)
+            whole.write.mode("overwrite").parquet(f"{out}/kind=snapshots/batch_id={batch_id}")
 
     q = _run(df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ck).outputMode("update"), trigger)
     return q, out
@@ -91,13 +102,38 @@ def _append_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
     return start_append(df, name, trigger)[1]
 
 
-def _update_sink(df: DataFrame, name: str, trigger: dict | None = None) -> str:
-    return start_update(df, name, trigger)[1]
-
-
-def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Read an update-mode sink: the newest row of every key."""
-    d = spark.read.parquet(path)          # batch_id comes from the folder names
+def _update_sink(df: DataFrame, name: str, trigger: dict | None = None, keys: list[str] | None = None,
+                 compact_every: int = COMPACT_EVERY) -> str:
+    return start_update(df, name, trigger, keys, compact_every)[1]
+
+
+def _batch_ids(spark: SparkSession, folder: str) -> list[int]:
+    """Ids of the finished ``batch_id=N`` folders below ``folder`` (none if it
+    isn't there yet)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch_id=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def latest_per_key(spark: SparkSession, path: str, keys: list[str], schema=None) -> DataFrame:
+    """Read an update-mode sink: the newest row of every key, from the newest
+    snapshot and the changes after it. A sink that no batch has reached yet is
+    empty (of ``schema``, which it then needs)."""
+    snapshots = _batch_ids(spark, f"{path}/kind=snapshots")
+    since = snapshots[-1] if snapshots else -1
+    parts = [(i, f"{path}/kind=changes/batch_id={i}") for i in _batch_ids(spark, f"{path}/kind=changes") if i > since]
+    if snapshots:
+        parts.insert(0, (since, f"{path}/kind=snapshots/batch_id={since}"))
+    if not parts:
+        if schema is None:
+            raise ValueError("the sink is still empty: pass its schema")
+        return spark.createDataFrame([], schema)
+    # kind and batch_id come from the folder names, which are all below the sink
+    d = spark.read.option("basePath", path).parquet(*[p for _, p in parts]).drop("kind")
     others = [c for c in d.columns if c not in keys and c != "batch_id"]
     return (d.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("__r"))
              .select(*keys, *[F.col("__r").getField(c).alias(c) for c in others]))
@@ -121,10 +157,7 @@ def incremental_copy(spark: SparkSession, sf_dir: str, name: str, trigger: dict
 
 # ------------------------------------------------------------------ ST1
 def update_stream_df(events: DataFrame) -> DataFrame:
-    log = tb.state_log_from(events)
-    return log.select("session_id", "seq", "node", F.col("deployment_status").alias("status"),
-                      F.col("current_step").alias("step"), F.col("execution_strategy").alias("strategy"),
-                      F.col("validation_errors").alias("errors"))
+    return state.node_update(tb.with_messages(tb.state_log_from(events)))
 
 
 def update_stream(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
@@ -142,8 +175,23 @@ def streaming_state(spark: SparkSession, sf_dir: str, trigger: dict | None = Non
     """ST2: per-session folded state (A8, A10, A11), kept live with built-in
     streaming aggregates (no Python state function needed: every channel is
     an order-aware aggregate)."""
-    out = _update_sink(streaming_state_df(file_stream(spark, sf_dir, "events")), "streaming-state", trigger)
-    return latest_per_key(spark, out, ["session_id"])
+    live = streaming_state_df(file_stream(spark, sf_dir, "events"))
+    out = _update_sink(live, "streaming-state", trigger, ["session_id"])
+    return latest_per_key(spark, out, ["session_id"], live.schema)
+
+
+def streaming_context_df(events: DataFrame) -> DataFrame:
+    log = tb.state_log_from(events).withColumn("map_value", F.get_json_object("props", "$.k"))
+    return state.state_map_merge(log)
+
+
+def streaming_context(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
+    """ST2, environment map (A9) kept live: the latest value of every key that a
+    session's updates carry, one row per key."""
+    keys = ["session_id", "map_key"]
+    live = streaming_context_df(file_stream(spark, sf_dir, "events"))
+    out = _update_sink(live, "streaming-context", trigger, keys)
+    return latest_per_key(spark, out, keys, live.schema)
 
 
 # ------------------------------------------------------------------ ST3
@@ -163,7 +211,8 @@ def job_status_df(orders_stream: DataFrame) -> DataFrame:
 def read_job_status(spark: SparkSession, path: str) -> DataFrame:
     """Current job status from a status sink; jobs not terminal are the ones
     still to poll."""
-    return (latest_per_key(spark, path, ["job"])
+    schema = "job long, latest_status string, first_seen timestamp_ntz, last_seen timestamp_ntz, n_polls long"
+    return (latest_per_key(spark, path, ["job"], schema)
             .withColumn("is_terminal", F.col("latest_status").isin("SUCCEEDED", "FAILED")))
 
 
@@ -172,13 +221,13 @@ def start_polling(spark: SparkSession, sf_dir: str, interval: str = f"{POLL_SECO
     path)``. Read with ``read_job_status(spark, path)``; stop with
     ``query.stop()``."""
     return start_update(job_status_df(file_stream(spark, sf_dir, "orders")), "poll-status",
-                        {"processingTime": interval})
+                        {"processingTime": interval}, ["job"])
 
 
 def poll_until_terminal(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
     """ST3: latest job status per job from a status-poll stream, processed to
     the end of what is there (``availableNow``)."""
-    out = _update_sink(job_status_df(file_stream(spark, sf_dir, "orders")), "poll-status", trigger)
+    out = _update_sink(job_status_df(file_stream(spark, sf_dir, "orders")), "poll-status", trigger, ["job"])
     return read_job_status(spark, out)
 
 
@@ -213,10 +262,20 @@ def stream_ack_earliest_df(events: DataFrame, watermark: str = "10 minutes",
 def stream_ack_join(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
     """ST4: request/answer streams joined within the time-out, earliest answer
     per request; requests with no answer come out (denied) once the watermark
-    passes them. Rows newer than the final watermark stay in state until more
-    data arrives."""
-    out = _append_sink(stream_ack_earliest_df(file_stream(spark, sf_dir, "events")), "ack-join", trigger)
-    return spark.read.parquet(out)
+    passes them. Requests that the run leaves open (newer than the final
+    watermark, or late) are closed afterwards by the batch as-of join, so every
+    request comes out once."""
+    from runfold.operators import policy
+    live = stream_ack_earliest_df(file_stream(spark, sf_dir, "events"))
+    done = spark.read.schema(live.schema).parquet(_append_sink(live, "ack-join", trigger))
+    e = tb.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    req = (e.where(F.col("event_type") == "click")
+            .select(F.col("event_id").alias("req_id"), F.col("user_id").alias("req_user"), F.col("ts").alias("req_ts")))
+    ans = (e.where(F.col("event_type") == "purchase")
+            .select(F.col("event_id").alias("ans_id"), F.col("user_id").alias("req_user"), F.col("ts").alias("ans_ts")))
+    left_open = req.join(done.select("req_id"), "req_id", "left_anti")
+    closed = policy.ack_interval_join(left_open, ans, "req_user", "req_id", "req_ts", "ans_id", "ans_ts")
+    return done.unionByName(closed.select(*done.columns))
 
 
 # ------------------------------------------------------------------ ST2, message channel

@@ -70,9 +70,9 @@ def test_allowlist_prefix_on_raw_text(spark):
     rules = spark.createDataFrame([("commands", "rm", "all"), ("files", "/w/a", "write")],
                                   "category string, target string, operation string")
     assert sorted(r.req_id for r in policy.allowlist_match(reqs, rules).collect()) == [1, 3]
-    # the all-equi plan for large rule tables gives the same answer
-    big = sorted(r.req_id for r in policy.allowlist_match(reqs, rules, max_broadcast_rows=0).collect())
-    assert big == [1, 3]
+    # many more rules (and a plan without broadcasts) give the same answer
+    more = rules.union(spark.range(300_000).selectExpr("'commands'", "concat('zz', id)", "'execute'"))
+    assert sorted(r.req_id for r in policy.allowlist_match(reqs, more).collect()) == [1, 3]
 
 
 @pytest.mark.parametrize("cmd,blocked,base,segment", [
@@ -267,14 +267,119 @@ def test_rewind_array(spark):
     assert df.select(rewind_array("h", 1).alias("r")).first()["r"] == ["a", "b"]
 
 
-def test_allowlist_flag_both_plans_agree(spark):
+def test_allowlist_repeated_rows_shared_keys_and_nulls(spark):
+    """One rule or 300,000: repeated requests stay repeated, requests that share an
+    id are judged by their own target, NULL keys are judged like others."""
+    rows = [(1, "commands", "execute", "rmdir")] * 3 + [(2, "commands", "execute", "rm x"), (2, "commands", "execute", "ls"),
+            (None, "commands", "execute", "rm"), (4, "commands", None, "rm"), (5, None, "execute", "rm"), (6, "commands", "execute", None)]
+    reqs = spark.createDataFrame(rows, "req_id long, category string, operation string, target string")
+    one = spark.createDataFrame([("commands", "rm", "all")], "category string, target string, operation string")
+    many = one.union(spark.range(300_000).selectExpr("'commands'", "concat('zz', id)", "'execute'"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for rules, threshold in ((one, old), (many, old), (many, "-1")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            kept = sorted(str(tuple(r)) for r in policy.allowlist_match(reqs, rules).collect())
+            flags = [tuple(r) for r in policy.allowlist_flag(reqs, rules).collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert kept == sorted(str(r) for r in rows[:4] + [rows[5], rows[6]])
+        assert sorted(map(str, flags)) == sorted(str((*r, r in rows[:4] + [rows[5], rows[6]])) for r in rows)
+
+
+def test_permission_replay_with_timeout(spark):
+    t = dt.datetime(2024, 1, 1)
+    sec = lambda n: t + dt.timedelta(seconds=n)
+    reqs = spark.createDataFrame([(i, "commands", "execute", "x", t, i != 6) for i in range(1, 7)] + [(7, "commands", "execute", "x", t, None)],
+                                 "req_id long, category string, operation string, target string, at timestamp_ntz, live boolean")
+    rules = spark.createDataFrame([], "category string, target string, operation string")
+    answers = spark.createDataFrame([(1, "allow_once", sec(300)), (2, "allow_once", sec(301)), (3, "deny", sec(9)), (3, "allow_once", sec(10)),
+                                     (4, "allow_always", sec(-1)), (6, "allow_once", sec(1)), (7, "allow_once", sec(1))],
+                                    "req_id long, answer string, given timestamp_ntz")
+    got = {r.req_id: r.reason for r in policy.permission_decision(reqs, rules, answers, has_session="live", req_ts="at", ans_ts="given").collect()}
+    assert got == {1: "allow_once", 2: "timeout", 3: "denied", 4: "timeout", 5: "timeout", 6: "no_session", 7: "no_session"}
+
+
+def test_contract_takes_no_other_types(spark):
+    raws = [(1, '{"k": "12"}'), (2, '{"k": 1.7}'), (3, '{"k": true}'), (4, '{"k": 12}'), (5, '{"s": {"a": 1}}'), (6, '{"s": "x"}')]
+    x = text.llm_json_extract(spark.createDataFrame(raws, "id long, raw string"))
+    k = {r.id: (r.k, r.reason) for r in text.schema_contract(x, {"k": "bigint"}).collect()}
+    assert [k[i] for i in (1, 2, 3, 4)] == [(None, "type:k")] * 3 + [(12, None)]
+    s = {r.id: (r.s, r.reason) for r in text.schema_contract(x, {"s": "string"}).collect()}
+    assert s[5] == (None, "type:s") and s[6] == ("x", None)
+
+
+def test_no_summary_of_invalid_json(spark):
+    raws = [(1, '{"strategy": "GREENFIELD",}'), (2, '{"strategy": null}'), (3, '{"a": 1}')]
+    s = {r.id: r.summary for r in text.json_remainder_summary(text.llm_json_extract(spark.createDataFrame(raws, "id long, raw string"))).collect()}
+    assert s[1] is None and "`null`" in s[2] and "`undefined`" in s[3]
+
+
+def test_null_tool_texts_and_results(spark):
+    from runfold.operators import reports
+    c = spark.createDataFrame([(1, 0, "tool", None), (2, 0, "tool", "a"), (2, 1, "tool", None), (3, 0, "user", "x")],
+                              "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.context for r in text.tool_output_context(c, F.col("role") == "tool").collect()}
+    assert got == {1: "[Discovery Tool Output]: null", 2: "[Discovery Tool Output]: a\n[Discovery Tool Output]: null",
+                   3: "No infrastructure discovered."}
+    r = reports.pass_score(spark.createDataFrame([("s", True), ("s", None)], "suite string, success boolean"), "suite").first()
+    assert (r["passed"], r["total"], r["all_passed"]) == (1, 2, False)
+
+
+def test_settings_update_cannot_touch_safety(spark):
+    cur = spark.createDataFrame([(1, "safety", "blockedCommands", "[x]"), (1, "allowList", "files", "[a]"), (1, "allowList", "mcp", "[b]"),
+                                 (1, "pulumi", "backend", "cloud"), (2, "version", "version", "1")], "tenant long, section string, key string, value string")
+    req = spark.createDataFrame([(1, "safety", "blockedCommands", "[]"), (1, "allowList", "files", "[]"), (1, "pulumi", "stack", "dev"),
+                                 (2, "version", "version", "9")], "tenant long, section string, key string, value string")
+    got = {(r.tenant, r.section, r.key): r.value for r in registry.settings_update(cur, req).collect()}
+    assert got == {(1, "safety", "blockedCommands"): "[x]", (1, "allowList", "files"): "[]", (1, "pulumi", "backend"): "cloud",
+                   (1, "pulumi", "stack"): "dev", (2, "version", "version"): "1"}
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    from runfold import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):
+            raise AssertionError("a folder was chosen")
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        fake = type("S", (), {"conf": Conf(), "sparkContext": Context(master)})()
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.staging_root(fake)
+    assert session.staging_root(spark)
+
+
+def test_gated_write_writes_the_allowed_batches(spark):
+    from runfold.session import staging_path
+    rows = [(i, f"/w/CodeSandBox/f{i}.csv", "good") for i in range(20)] + [(99, "/etc/x", "bad"), (98, "/w/CodeSandBox/ok.csv", "bad")]
+    dst = staging_path(spark, "t-gated")
+    df = spark.createDataFrame(rows, "id long, path string, batch string").repartition(5)
+    report = {r.batch: r.status for r in policy.gated_write(df, "batch", "id", dst).collect()}
+    assert report == {"good": "written", "bad": "refused"}
+    got = spark.read.parquet(dst)
+    assert {r.id for r in got.collect()} == set(range(20)) and len(got.inputFiles()) == 1
+
+
+def test_allowlist_flag_few_and_many_rules_agree(spark):
     reqs = spark.createDataFrame([(1, "commands", "execute", "rmdir"), (2, "commands", "execute", "ls"),
                                   (3, "files", "write", "/w/a"), (4, "files", "read", "/w/a")],
                                  "req_id long, category string, operation string, target string")
     rules = spark.createDataFrame([("commands", "rm", "all"), ("files", "/w/a", "write")],
                                   "category string, target string, operation string")
-    small = {r.req_id: r.allowlisted for r in policy.allowlist_flag(reqs, rules, "req_id").collect()}
-    large = {r.req_id: r.allowlisted for r in policy.allowlist_flag(reqs, rules, "req_id", max_broadcast_rows=0).collect()}
+    small = {r.req_id: r.allowlisted for r in policy.allowlist_flag(reqs, rules).collect()}
+    more = rules.union(spark.range(300_000).selectExpr("'commands'", "concat('zz', id)", "'execute'"))
+    large = {r.req_id: r.allowlisted for r in policy.allowlist_flag(reqs, more).collect()}
     assert small == large == {1: True, 2: False, 3: True, 4: False}
 
 
