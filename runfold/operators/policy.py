@@ -15,7 +15,7 @@ from runfold.constants import (ACK_TIMEOUT_SECONDS, ALLOWED_PATHS, BLOCKED_COMMA
 from runfold.functions.paths import basename, dirname, extname, is_within, resolve_path
 from runfold.functions.text import js_trim
 from runfold.operators.common import settled
-from runfold.operators.scan import Run, running
+from runfold.operators.scan import DEFAULT_WIDTH, Run, running
 
 # FIXED VALUES: the refusal texts, in the order the checks run.
 REASON_TRAVERSAL = "Path traversal detected."
@@ -246,7 +246,7 @@ def remove_by_target(rules: DataFrame, removals: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ J8
 def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id: str, req_ts: str,
                       ans_id: str, ans_ts: str, timeout_seconds: int = ACK_TIMEOUT_SECONDS,
-                      width_seconds: int | None = None) -> DataFrame:
+                      width: int = DEFAULT_WIDTH) -> DataFrame:
     """Match each request to the earliest answer of the same key within
     ``[req_ts, req_ts + timeout]``; unanswered requests are denied.
 
@@ -254,12 +254,10 @@ def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id:
     in one time-ordered stream per key and a backwards (suffix) scan carries
     "the next answer at or after this row" to every request; the request keeps
     it if it is within the time-out. No request × answer pairs are formed, so a
-    key with a huge, dense history costs O(rows), and the scan is bucketed by
-    time so one key never lands in one task."""
+    key with a huge, dense history costs O(rows), and the scan cuts a key's rows
+    by time into pieces of about ``width`` rows, so a hot key never lands in one
+    task."""
     T = int(timeout_seconds)
-    # time buckets of one time-out each: a bucket holds only the rows of one
-    # key within ``T`` seconds, however hot the key is overall
-    W = int(width_seconds or max(T, 1))
     req_cols = requests.columns
     rq = requests.select(*req_cols, F.col(key).alias("__k"), F.col(req_ts).alias("__ts"), F.lit(0).alias("__kind"),
                          F.col(req_id).alias("__id"))
@@ -271,9 +269,8 @@ def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id:
         "__ans", F.when((F.col("__kind") == 1) & F.col("__k").isNotNull(),      # NULL keys never match
                         F.struct(F.col("__id").alias("aid"), F.col("__ts").alias("ats"))))
     # at equal times the request sorts first, so an answer at req_ts counts
-    bucket = F.floor(F.unix_seconds(F.col("__ts").cast("timestamp")) / W)
     s = running(u, ["__k"], ["__ts", "__kind", "__id"], [Run("__next", "last_nonnull", "__ans")],
-                bucket=bucket, descending=True)
+                width=width, descending=True, cut=F.unix_micros(F.col("__ts").cast("timestamp")))
     best = F.when(F.col("__next.ats") <= F.col("__ts") + F.expr(f"INTERVAL {T} SECONDS"), F.col("__next"))
     return (s.where(F.col("__kind") == 0)
              .select(*req_cols,

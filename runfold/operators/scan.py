@@ -2,20 +2,24 @@
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` sends every row of one key to
 one task; if one session holds a third of a 100 TB log, that task never ends.
-These helpers split each key into *buckets* of the order column
-(``seq div width``), so no window partition holds more than ``width`` rows of
-one key, and stitch the buckets back together with a small per-bucket summary:
-
-1. summarise each (key, bucket) with partial aggregates (map-side combined);
-2. an exclusive running fold over the bucket summaries of each key gives the
-   *carry-in* of every bucket (one row per bucket, not per event);
-3. each carry-in is added to its bucket as a leading "seed" row, and one
-   window per (key, bucket) folds seed + rows: the full rows are shuffled
-   once, never joined back, and NULL keys group as in a plain window.
+These helpers cut the rows of each key, in order, into *pieces* of about ``width``
+rows and stitch the pieces back together:
+
+1. a key with at most ``width`` rows is one piece (and needs no further row); a
+   larger one is cut into equal ranges of its own order values, one per ``width``
+   rows, and ranges that hold over twice ``width`` rows are cut again the same way
+   until none does (or all its rows have one order value);
+2. each piece of a key with several is summarised (partial aggregates), and an
+   exclusive running fold over a key's summaries gives every piece its *carry-in*:
+   at most 2 rows per ``width`` input rows in all, none for other keys;
+3. each carry-in is added to its piece as a leading "seed" row, and one window per
+   piece folds seed + rows: the full rows are shuffled once, never joined back,
+   and NULL keys group as in a plain window.
 
 This is the classic two-level parallel prefix scan, written with built-in
-aggregates and windows only. The width is a tuning knob, not a cap: every row
-is processed whatever it is.
+aggregates and windows only. The width is a tuning knob, not a cap: every row is
+processed whatever it is. Where no key has several pieces there is nothing to
+stitch, and the scan is a plain window.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runfold.operators.common import settled
+
 DEFAULT_WIDTH = 1 << 16
-_B = "__bucket"
 _SEED = "__seed"
 
 
@@ -42,36 +47,71 @@ class Run:
     flag: str | None = None
 
 
-def _bucket(order: str, width: int) -> Column:
-    return F.expr(f"`{order}` div {int(width)}")
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys``, NULL equal to NULL; the keys come from the left."""
+    renamed = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
+
+
+def _ranges(d: DataFrame, by: list[str], most: int, width: int, level: int) -> DataFrame:
+    """Groups ``by`` with more than ``most`` rows (and more than one order value):
+    smallest order value and the length of equal ranges of ``width`` rows on average."""
+    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__cut").alias("lo"), F.max("__cut").alias("hi"))
+    n = n.where((F.col("n") > most) & (F.col("hi") > F.col("lo")))
+    step = F.expr(f"(hi - lo) div ceil(n / {int(width)}) + 1")
+    return settled(n.select(*by, F.col("lo").alias(f"__lo{level}"), step.alias(f"__step{level}")), "scan-ranges")
+
+
+def cut_keys(df: DataFrame, keys: list[str], cut: Column, width: int) -> tuple[DataFrame, list[str]] | None:
+    """``df`` with the piece of every row and ``__several`` (its key has more than
+    one piece), and the columns that name a piece; None if no key has several.
+    ``cut`` is a whole number that does not decrease along the order. Every round
+    cuts what is still too large; ranges shrink by rows / width each time."""
+    d = df.withColumn("__cut", cut.cast("bigint"))
+    named: list[str] = []
+    while True:
+        level = len(named)
+        large = _ranges(d.where("__several") if level else d, [*keys, *named], (2 if level else 1) * width, width, level)
+        if large.isEmpty():
+            break
+        d = _null_safe(d, large, [*keys, *named], "left")
+        if not level:
+            d = d.withColumn("__several", F.col("__lo0").isNotNull())
+        at = F.coalesce(F.expr(f"(__cut - __lo{level}) div __step{level}"), F.lit(0)).cast("bigint")
+        named.append(f"__piece{level}")
+        d = d.withColumn(named[-1], at).drop(f"__lo{level}", f"__step{level}")
+    return (d.drop("__cut"), named) if named else None
 
 
 def running(df: DataFrame, keys: list[str], order, runs: list[Run],
             width: int = DEFAULT_WIDTH, bucketed: bool = True, bucket: Column | None = None,
-            descending: bool = False) -> DataFrame:
+            descending: bool = False, cut: Column | None = None) -> DataFrame:
     """Add one column per ``Run`` holding the fold of all rows of the same
     key up to and including this row.
 
     ``order`` is a column name or a list of names (lexicographic, unique per
-    key). ``bucket`` is a numeric column, non-decreasing along ``order``; by
-    default ``order div width`` (single numeric order). ``descending=True``
-    folds from the last row backwards (a suffix scan: "the next … at or after
-    this row"). NULL keys form one group, as in a plain window.
+    key). ``cut`` is a whole-number column, non-decreasing along ``order``, by
+    which keys are cut (default: a single numeric order itself); ``bucket`` gives
+    the pieces outright instead. ``descending=True`` folds from the last row
+    backwards (a suffix scan: "the next … at or after this row"). NULL keys form
+    one group, as in a plain window.
     """
     orders = [order] if isinstance(order, str) else list(order)
     ocols = [F.col(c).desc() if descending else F.col(c).asc() for c in orders]
-    if not bucketed:
+    d = None
+    if bucketed and bucket is not None:
+        d, named = df.withColumn("__piece0", bucket).withColumn("__several", F.lit(True)), ["__piece0"]
+    elif bucketed:
+        if cut is None and len(orders) != 1:
+            raise ValueError("a composite order needs a column to cut by")
+        d, named = cut_keys(df, keys, F.col(orders[0]) if cut is None else cut, width) or (None, [])
+    if d is None:
         w = Window.partitionBy(*keys).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
         out = df
         for r in runs:
             out = out.withColumn(r.out, _plain(r, w))
         return out
-
-    if bucket is None:
-        if len(orders) != 1:
-            raise ValueError("a composite order needs an explicit bucket column")
-        bucket = _bucket(orders[0], width)
-    d = df.withColumn(_B, bucket)
     # the per-row input of each fold
     for i, r in enumerate(runs):
         if r.kind == "last_nonnull":
@@ -86,7 +126,7 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
             raise ValueError(f"unknown run kind {r.kind}")
         d = d.withColumn(f"__rf_x{i}", x)
 
-    # 1. bucket summaries: partial aggregates, combined map-side
+    # 1. summaries of the pieces: partial aggregates, combined map-side
     o = F.struct(*[F.col(c) for c in orders]) if len(orders) > 1 else F.col(orders[0])
     pick = F.min_by if descending else F.max_by
     aggs = []
@@ -96,23 +136,22 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
             aggs.append(pick(x, F.when(x.isNotNull(), o)).alias(f"__rf_x{i}"))
         else:
             aggs.append(F.sum(x).alias(f"__rf_x{i}"))
-    summary = d.groupBy(*keys, _B).agg(*aggs)
+    summary = d.where("__several").groupBy(*keys, *named).agg(*aggs)
 
-    # 2. carry-in of each bucket: fold of the earlier buckets (one row per bucket)
-    border = F.col(_B).desc() if descending else F.col(_B).asc()
-    wk = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
+    # 2. carry-in of each piece: fold of the earlier ones (one row per piece)
+    porder = [F.col(p).desc() if descending else F.col(p).asc() for p in named]
+    wk = Window.partitionBy(*keys).orderBy(*porder).rowsBetween(Window.unboundedPreceding, -1)
     carry = []
     for i, r in enumerate(runs):
         x = F.col(f"__rf_x{i}")
         carry.append((F.last(x, ignorenulls=True) if r.kind in ("last_nonnull", "last_where")
                       else F.sum(x)).over(wk).alias(f"__rf_x{i}"))
-    seeds = summary.select(*keys, _B, *carry, F.lit(0).alias(_SEED))
+    seeds = summary.select(*keys, *named, *carry, F.lit(0).alias(_SEED))
 
-    # 3. each bucket's carry-in enters its window partition as a first "seed"
-    #    row, so the in-bucket running fold includes it: no join back, and the
-    #    full rows are shuffled once, on (key, bucket)
+    # 3. each carry-in enters its piece's window partition as a first "seed" row, so
+    #    the running fold includes it: no join back, the full rows are shuffled once
     u = d.withColumn(_SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
-    wb = (Window.partitionBy(*keys, _B).orderBy(F.col(_SEED).asc(), *ocols)
+    wb = (Window.partitionBy(*keys, *named).orderBy(F.col(_SEED).asc(), *ocols)
                 .rowsBetween(Window.unboundedPreceding, 0))
     for i, r in enumerate(runs):
         x = F.col(f"__rf_x{i}")
@@ -123,20 +162,19 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
         else:
             v = F.coalesce(F.sum(x).over(wb), F.lit(0))
         u = u.withColumn(r.out, v)
-    return u.where(F.col(_SEED) == 1).drop(_B, _SEED, *[f"__rf_x{i}" for i in range(len(runs))])
+    return u.where(F.col(_SEED) == 1).drop(*named, "__several", _SEED, *[f"__rf_x{i}" for i in range(len(runs))])
 
 
-def _plain(r: Run, w, wrap: bool = False) -> Column:
+def _plain(r: Run, w) -> Column:
     if r.kind == "last_nonnull":
         return F.last(F.col(r.col), ignorenulls=True).over(w)
     if r.kind == "last_where":
-        s = F.last(F.when(F.col(r.flag), F.struct(F.col(r.col).alias("v"))), ignorenulls=True).over(w)
-        return s if wrap else s.getField("v")
+        return F.last(F.when(F.col(r.flag), F.struct(F.col(r.col).alias("v"))), ignorenulls=True).over(w).getField("v")
     if r.kind == "sum":
         return F.coalesce(F.sum(F.col(r.col)).over(w), F.lit(0))
     if r.kind == "count":
         return F.count(F.lit(1)).over(w)
-    raise ValueError(r.kind)
+    raise ValueError(f"unknown run kind {r.kind}")
 
 
 def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
@@ -144,35 +182,31 @@ def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str],
                   prefix: str = "next_", with_firsts: bool = False):
     """Add ``next_<col>`` (the value on the following row of the same key, or
     NULL on the last row) and ``next_<order>``, without one task per key:
-    the first row of the next bucket enters each bucket's window partition
-    as a trailing seed row, so ``lead`` reaches across the bucket edge.
+    the first row of the next piece enters each piece's window partition
+    as a trailing seed row, so ``lead`` reaches across the cut.
 
     ``with_firsts=True`` also returns each key's first row (a struct of
-    ``cols`` and ``order``), taken from the small per-bucket table."""
+    ``cols`` and ``order``), a partial aggregate."""
     names = [*cols, order]
-    if not bucketed:
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("first"))
+    d, named = (cut_keys(df, keys, F.col(order), width) if bucketed else None) or (None, [])
+    if d is None:
         w = Window.partitionBy(*keys).orderBy(order)
         out = df
         for c in names:
             out = out.withColumn(prefix + c, F.lead(c).over(w))
-        if with_firsts:
-            first = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("first"))
-            return out, first
-        return out
-    d = df.withColumn(_B, _bucket(order, width))
-    firsts = d.groupBy(*keys, _B).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("__f"))
-    nxt = firsts.select(*keys, _B, F.lead("__f").over(Window.partitionBy(*keys).orderBy(_B)).alias("__nf"))
+        return (out, first) if with_firsts else out
+    firsts = d.where("__several").groupBy(*keys, *named).agg(
+        F.min_by(F.struct(*[F.col(c) for c in names]), F.col(order)).alias("__f"))
+    nxt = firsts.select(*keys, *named, F.lead("__f").over(Window.partitionBy(*keys).orderBy(*named)).alias("__nf"))
     seeds = (nxt.where(F.col("__nf").isNotNull())
-                .select(*keys, _B, *[F.col("__nf").getField(c).alias(c) for c in names], F.lit(1).alias(_SEED)))
+                .select(*keys, *named, *[F.col("__nf").getField(c).alias(c) for c in names], F.lit(1).alias(_SEED)))
     u = d.withColumn(_SEED, F.lit(0)).unionByName(seeds, allowMissingColumns=True)
-    wb = Window.partitionBy(*keys, _B).orderBy(F.col(_SEED).asc(), F.col(order).asc())
+    wb = Window.partitionBy(*keys, *named).orderBy(F.col(_SEED).asc(), F.col(order).asc())
     for c in names:
         u = u.withColumn(prefix + c, F.lead(c).over(wb))
-    out = u.where(F.col(_SEED) == 0).drop(_B, _SEED)
-    if with_firsts:
-        first = firsts.groupBy(*keys).agg(F.min_by(F.col("__f"), F.col(_B)).alias("first"))
-        return out, first
-    return out
+    out = u.where(F.col(_SEED) == 0).drop(*named, "__several", _SEED)
+    return (out, first) if with_firsts else out
 
 
 CONCAT_WIDTH = 1024
@@ -187,13 +221,13 @@ def ordered_concat(df: DataFrame, keys: list[str], order: str, text: str, sep: s
     gives the whole text. Each part holds at most ``width`` rows, so no task
     builds one unbounded string for a hot key. ``whole=True`` adds a second
     level that joins the parts into one string per key (bounded keys only)."""
-    lvl1 = (df.withColumn(_B, _bucket(order, width))
+    lvl1 = (df.withColumn("part", F.expr(f"`{order}` div {int(width)}"))
               .where(F.col(text).isNotNull())
-              .groupBy(*keys, _B)
+              .groupBy(*keys, "part")
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
                                             lambda x: x.getField("t")), sep).alias(out)))
     if not whole:
-        return lvl1.withColumnRenamed(_B, "part")
+        return lvl1
     return (lvl1.groupBy(*keys)
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(_B).alias("o"), F.col(out).alias("t")))),
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("part").alias("o"), F.col(out).alias("t")))),
                                               lambda x: x.getField("t")), sep).alias(out)))

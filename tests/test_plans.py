@@ -61,12 +61,15 @@ def test_rule_table_uses_equi_semi_join(spark):
     assert "NestedLoopJoin" not in p
 
 
-def test_running_state_shuffles_rows_once_by_session_and_bucket(spark):
+def test_running_state_shuffles_rows_once_by_session_and_piece(spark):
+    from runfold.operators import state
+    from runfold.sources import tables as tb
     p = plan(QUERIES["running_state"](spark, SF_SMALL))
-    assert "hashpartitioning(session_id" in p and "__bucket" in p
-    assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p     # no join back
-    # a whole session never forms one window partition: windows are keyed by (session, bucket)
-    assert "Window" in p
+    assert "hashpartitioning(session_id" in p and "Join" not in p         # no session has several pieces
+    # with sessions cut in pieces, no window that folds rows is keyed by the session alone
+    p = plan(state.running_state(tb.state_log(spark, SF_SMALL), width=4))
+    assert "SortMergeJoin" not in p
+    assert "__piece0" in p and "Window" in p
 
 
 def test_object_listing_does_not_read_content(spark):

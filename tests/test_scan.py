@@ -89,6 +89,29 @@ def test_ordered_concat_parts_rebuild_the_whole(spark):
     assert parts.groupBy("conv_id", "part").count().where("count > 1").count() == 0
 
 
+def test_cold_keys_have_no_summary_rows(spark):
+    """Many keys with a global, sparse order: one piece each, nothing to stitch."""
+    df = spark.range(20_000).selectExpr("id % 2000 AS k", "id * 10007 AS seq")
+    assert scan.cut_keys(df, ["k"], F.col("seq"), 64) is None
+
+
+def test_pieces_stay_near_the_width(spark):
+    """A user with half of their rows within 300 s of a year, beside cold users and
+    NULL: no piece is far above the width, and pieces are few."""
+    width = 500
+    rows = spark.range(100_000).selectExpr(
+        "1 AS u", "CASE WHEN id % 2 = 0 THEN 15000000000000 + id * 3000 ELSE id * 315360000 END AS t")
+    rows = rows.union(spark.range(3000).selectExpr("id % 100 + 2", "id * 1000")).union(spark.range(2000).selectExpr("NULL", "id"))
+    d, named = scan.cut_keys(rows, ["u"], F.col("t"), width)
+    sizes = d.groupBy("u", "__several", *named).count().collect()
+    assert max(r["count"] for r in sizes) <= 2 * width
+    assert sum(r["__several"] for r in sizes) <= 3 * rows.count() / width
+    assert all(r["__several"] == (r["u"] in (1, None)) for r in sizes)
+    a = scan.running(rows.withColumn("one", F.lit(1)), ["u"], "t", [scan.Run("n", "sum", "one")], width=width)
+    b = scan.running(rows.withColumn("one", F.lit(1)), ["u"], "t", [scan.Run("n", "sum", "one")], bucketed=False)
+    assert a.agg(F.bit_xor(F.xxhash64("u", "t", "n")), F.count("*")).first() == b.agg(F.bit_xor(F.xxhash64("u", "t", "n")), F.count("*")).first()
+
+
 def test_hot_key_is_split_across_buckets(spark):
     """One session holding almost every row: the bucketed fold equals the
     plain window, and no (key, bucket) window partition exceeds the width."""
