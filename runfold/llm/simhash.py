@@ -14,9 +14,12 @@ their ``ANCHORS`` smallest shingle hashes (similar sets share some of their smal
 elements). In each list the shared positional bytes, of 32, are tallied; pairs with
 ``MIN_SHARED`` or more are verified: a Jaccard similarity s of the shingles means an
 expected share of arccos(2 s / (1 + s)) / pi differing bits; ``SLACK`` standard deviations
-are allowed. Lists of more than ``ANCHOR_ROWS`` are cut by byte position and value; a cut
-that is still larger is gone through in sorted order, each row compared with the leaders
-so far and linked to all that it is similar to, else a leader itself.
+are allowed. A row of a list is linked to one row of its part of the list, not to all that
+it is similar to. Lists of more than ``ANCHOR_ROWS`` are worked off in chunks of that size
+whose parts give way to one row each, again and again while that halves them (near copies
+of one text melt down); what is left (different texts with a common passage) is cut by byte
+position and value; a cut that is still larger is gone through in order, each row compared
+with the leaders so far and linked to all that it is similar to, else a leader itself.
 
 Groups are connected components of the links; equal fingerprints are one node.
 
@@ -195,21 +198,52 @@ def _as_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
 
 
-def _small_lists(max_bits: int):
-    def run(batches):
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``n`` rows reaches over the pairs (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            break
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+    return root
+
+
+def _rooted(max_bits: int, every_row: bool):
+    """Rows sorted by ``key`` and ``node`` in; per block of one key, the pairs that
+    share ``MIN_SHARED`` bytes are verified, and each row gets the smallest node of
+    its part of the block as ``root``: one link a row, however many pairs there are.
+    A block is held whole, so callers bound its size. Without ``every_row`` only rows
+    with a link come out."""
+    def done(t: pa.Table) -> pa.RecordBatch:
+        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        a, b = close_pairs(key, _as_rows(t.column("sig")), MIN_SHARED, max_bits)
+        root = node[local_roots(len(node), a, b)]
+        t = t.append_column("root", pa.array(root))
+        if not every_row:
+            t = t.take(pa.array(np.flatnonzero(root != node)))
+        return t.combine_chunks().to_batches(max_chunksize=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for b in batches:
-            lists = b.column(0)
-            size = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            node = flat.field("node").to_numpy()
-            block = np.repeat(np.arange(len(size)), size)
-            a, c = close_pairs(block, _as_rows(flat.field("sig")), MIN_SHARED, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[c])], names=["a", "b"])
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            key = t.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield from done(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield from done(held)
     return run
 
 
 def _leaders(max_bits: int):
-    """Rows sorted by cut (``cut``, ``node``, ``sig``): links to the leaders so far."""
+    """Rows sorted by cut (``key``, ``node``, ``sig``): links to the leaders so far."""
     def run(batches):
         now, nodes, sigs = None, np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
         for b in batches:
@@ -230,21 +264,41 @@ def _leaders(max_bits: int):
 
 def similar_links(nodes: DataFrame, max_bits: int, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """Links between ``node``s (with ``sig`` and ``anchors``) that are similar."""
+    columns = "key long, node long, sig binary"
+
     def lists_of(postings: DataFrame) -> DataFrame:
         sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        return postings.join(sizes, "key")
+        return postings.join(sizes, "key").select("key", "node", "sig", "n")
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        return rows.select("key", "node", "sig").repartition("key").sortWithinPartitions("key", "node")
 
     def links_of(lists: DataFrame) -> DataFrame:
-        small = lists.filter(F.col("n") <= anchor_rows).groupBy("key").agg(F.collect_list(F.struct("node", "sig")).alias("rows"))
-        return small.select("rows").mapInArrow(_small_lists(max_bits), "a long, b long")
+        found = by_key(lists.filter(F.col("n") <= anchor_rows)).mapInArrow(_rooted(max_bits, False), f"{columns}, root long")
+        return found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     lists = lists_of(nodes.select("node", "sig", F.explode("anchors").alias("key")))
-    long = lists.filter(F.col("n") > anchor_rows).drop("n")
+    links = links_of(lists)
+    # long lists: in chunks, rows give way to one row of each part, until that
+    # doesn't halve them any more (near copies of one text melt down, others stay)
+    long = settle(lists.filter(F.col("n") > anchor_rows), "long_lists")
+    n_rows = long.count()
+    while n_rows:
+        chunk = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / anchor_rows)))
+        chunks = long.select(chunk.alias("key"), "node", "sig", F.col("key").alias("anchor"))
+        rooted = settle(chunks.repartition("key").sortWithinPartitions("key", "node")
+                        .mapInArrow(_rooted(max_bits, True), f"{columns}, anchor long, root long"), "rooted")
+        links = links.union(rooted.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        long = settle(lists_of(rooted.filter("node = root").select("node", "sig", F.col("anchor").alias("key"))), "long_lists")
+        links = links.union(links_of(long))
+        long = long.filter(F.col("n") > anchor_rows)
+        before, n_rows = n_rows, long.count()
+        if 2 * n_rows > before:
+            break
     at = F.explode(F.sequence(F.lit(1), F.lit(8 * WIDE))).alias("at")
     cut = F.xxhash64("key", "at", F.expr("substring(sig, at, 1)"))
     cuts = lists_of(long.select("key", "node", "sig", at).select("node", "sig", cut.alias("key")))
-    longest = cuts.filter(F.col("n") > anchor_rows).select("key", "node", "sig").repartition("key") \
-        .sortWithinPartitions("key", "node").mapInArrow(_leaders(max_bits), "a long, b long")
-    return links_of(lists).union(links_of(cuts)).union(longest)
+    longest = by_key(cuts.filter(F.col("n") > anchor_rows)).mapInArrow(_leaders(max_bits), "a long, b long")
+    return links.union(links_of(cuts)).union(longest)
 
 
 def survivors(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
