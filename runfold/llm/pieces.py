@@ -33,9 +33,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -43,7 +45,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from runfold.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT = 1 << 21
+UNIT = 1 << 20
 SLOT_BITS = 21
 SPACE_MARK = "▁"
 RANK_OFFSET = 10.0
@@ -119,6 +121,8 @@ class Vocabulary:
         self.table = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
         self.table[slot] = np.arange(len(slot))
         self.shared = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+        self.goes_on = np.zeros(len(end), dtype=bool)
+        self.goes_on[[s for s, _ in step]] = True
         self.first = np.full(0x110000, -1, dtype=np.int32)
         for (s, c), to in step.items():
             if s == 0:
@@ -129,7 +133,7 @@ class Vocabulary:
         apart = not any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece, _ in normal)
         line = not any("\n" in piece for piece, _ in normal)
         m = SPACE_MARK
-        self.word = re.compile(rf"\n|{m}+[^{m}\n]*|[^{m}\n]+" if apart and line else rf"{m}*[^{m}]*" if apart else r"(?s).+")
+        self.word = re.compile(rf"\n|{m}+[^{m}\n]*|[^{m}\n]+" if apart and line else rf"{m}+[^{m}]*|[^{m}]+" if apart else r"(?s).+")
         probe = sp.decode(sp.encode("a"))
         self.prefixed = probe == "a" and sp.normalize("a").startswith(m)
 
@@ -171,43 +175,50 @@ class Lattices:
     with one more at its end; edges are sorted by the node they leave."""
 
     def __init__(self, v: Vocabulary, words: list[str]):
-        size = np.array([len(w) for w in words], dtype=np.int64)
-        code = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        code = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
         self.root = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if len(words) else size
         self.size = size
         is_end = np.zeros(len(code), dtype=bool)
         is_end[self.root + size] = True
-        padded = np.append(code, 0)
-        at = np.flatnonzero(~is_end)
-        state = v.first[code[at]]
-        at, state = at[state >= 0], state[state >= 0]
-        sources, targets, pieces = [], [], []
+        state = v.first[code]  # the character 0 behind a word starts and goes on with nothing
+        at = np.flatnonzero(state >= 0).astype(np.int32)
+        state = state[at]
+        levels = []  # edges of n characters: their nodes, n, their pieces
         n = 1
         while len(at):
-            hit = v.end[state] >= 0
-            sources.append(at[hit])
-            targets.append(at[hit] + n)
-            pieces.append(v.end[state[hit]])
-            inside = ~is_end[np.minimum(at + n, len(code) - 1)] & (at + n < len(code))
-            at, state = at[inside], state[inside]
-            ok, state = v.follow(state, padded[at + n])
+            piece = v.end[state]
+            hit = piece >= 0
+            levels.append((at[hit], n, piece[hit]))
+            more = v.goes_on[state]
+            at, state = at[more], state[more]
+            ok, state = v.follow(state, code[at + n])
             at = at[ok]
             n += 1
-        src, dst, piece = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (sources, targets, pieces))
         single = np.zeros(len(code), dtype=bool)
-        single[src[dst == src + 1]] = True
-        bare = np.flatnonzero(~single & ~is_end)  # characters without a piece: their bytes
-        order = np.argsort(np.concatenate([src, bare]), kind="stable")
-        src = np.concatenate([src, bare])[order]
-        self.dst = np.concatenate([dst, bare + 1])[order]
-        self.piece = np.concatenate([piece.astype(np.int64), -1 - code[bare]])[order]  # below 0: a bare character
+        if levels:
+            single[levels[0][0]] = True
+        bare = np.flatnonzero(~single & ~is_end).astype(np.int32)  # characters without a piece: their bytes
+        levels.append((bare, 1, -1 - code[bare]))
+        count = np.zeros(len(code) + 1, dtype=np.int64)
+        for src, _, _ in levels:
+            count[src + 1] += 1
+        self.ptr = np.cumsum(count)
+        n_all, fill = int(self.ptr[-1]), self.ptr[:-1].copy()
+        self.src, self.dst, self.piece = (np.empty(n_all, dtype=np.int32) for _ in range(3))
+        for src, n, piece in levels:
+            e = fill[src]
+            fill[src] += 1
+            self.src[e], self.dst[e], self.piece[e] = src, src + n, piece
+        del levels, fill, state, at
         chars = -1 - self.piece[self.piece < 0]
-        n_bytes = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
-        self.n_ids = np.ones(len(src), dtype=np.int64)
-        self.n_ids[self.piece < 0] = n_bytes
+        self.n_ids = None
         logp = v.logp[np.maximum(self.piece, 0)]
-        logp[self.piece < 0] = n_bytes * v.byte_logp
-        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(code)))]).astype(np.int64)
+        if len(chars):
+            n_bytes = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+            self.n_ids = np.ones(n_all, dtype=np.int8)
+            self.n_ids[self.piece < 0] = n_bytes
+            logp[self.piece < 0] = n_bytes * v.byte_logp
         mass = np.zeros(len(code))  # log mass of all completions
         by_size = np.argsort(-size, kind="stable")
         ends, ordered = (self.root + size)[by_size], size[by_size]
@@ -215,18 +226,19 @@ class Lattices:
             node = ends[:np.searchsorted(-ordered, -d, side="right")] - d
             n_edges = self.ptr[node + 1] - self.ptr[node]
             e = spread(self.ptr[node], n_edges)
-            start = np.concatenate([[0], np.cumsum(n_edges)[:-1]])
+            start = np.cumsum(n_edges) - n_edges
             value = logp[e] + mass[self.dst[e]]
             top = np.maximum.reduceat(value, start)
             mass[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n_edges)), start))
-        self.mass, self.src = mass, src
-        self.cond = np.minimum(logp + mass[self.dst] - mass[src], 0.0)  # log posterior of an edge at its node
+        self.cond = np.minimum(logp + mass[self.dst] - mass[self.src], 0.0)  # log posterior of an edge at its node
         self.cum = np.concatenate([[0.0], np.cumsum(np.exp(self.cond))])
-        n_edges = np.diff(self.ptr)
-        rest = -np.expm1(self.cond)
-        with np.errstate(divide="ignore"):
-            self.rest = np.where((n_edges[src] > 1) & (rest > 0), np.log(np.maximum(rest, 1e-300)), -np.inf)
-        self.n_edges = n_edges
+        self.n_edges = np.diff(self.ptr)
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log posterior of all other edges at an edge's node."""
+        share = -np.expm1(self.cond[edges])
+        open_ = (self.n_edges[self.src[edges]] > 1) & (share > 0)
+        return np.where(open_, np.log(np.maximum(share, 1e-300)), -np.inf)
 
     def walk(self, node: np.ndarray, base: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each start node to its word's end, each edge drawn from the posterior.
@@ -256,15 +268,16 @@ class Lattices:
 
     def ids(self, v: Vocabulary, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and how many each edge has."""
-        piece, n = self.piece[edges], self.n_ids[edges]
-        if (piece >= 0).all():
-            return piece.astype(np.int32), n
+        piece = self.piece[edges]
+        n = np.ones(len(edges), dtype=np.int64) if self.n_ids is None else self.n_ids[edges].astype(np.int64)
+        if self.n_ids is None or (piece >= 0).all():
+            return piece, n
         start = np.cumsum(n) - n
         out = np.empty(int(n.sum()), dtype=np.int32)
         plain = piece >= 0
         out[start[plain]] = piece[plain]
         for i in np.flatnonzero(~plain):
-            out[start[i]:start[i] + n[i]] = v.byte_id[list(chr(-1 - piece[i]).encode())]
+            out[start[i]:start[i] + n[i]] = v.byte_id[list(chr(-1 - int(piece[i])).encode())]
         return out, n
 
 
@@ -289,13 +302,13 @@ def sample_unit(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed:
     """Per text up to ``k`` tuples (ids, log probability, log inclusion, perturbed
     value, whether the ids give the normalised text back)."""
     normal = [v.normalised(t) for t in texts]
-    number: dict[str, int] = {}
-    words_of = []
-    for t in normal:
-        words_of.append([number.setdefault(w, len(number)) for w in v.word.findall(t) if w])
-    lat = Lattices(v, list(number))
+    words_of = [v.word.findall(t) for t in normal]
     n_words = np.array([len(w) for w in words_of], dtype=np.int64)
-    word = np.array([w for ws in words_of for w in ws], dtype=np.int64)
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words_of)))}
+    word = np.fromiter(map(number.__getitem__, chain.from_iterable(words_of)), dtype=np.int64, count=int(n_words.sum()))
+    del words_of
+    lat = Lattices(v, list(number))
+    del number
     doc = np.repeat(np.arange(len(texts)), n_words)
     first_word = np.concatenate([[0], np.cumsum(n_words)])
     root = lat.root[word]
@@ -324,7 +337,7 @@ def sample_unit(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed:
         logp0 = np.array([h[2] for h in head])
         before = total[:-1] - total[bound[:-1]][whose] + logp0[whose]
         u = uniform(stream(s, 2)[docs][whose], lat.src[edges] + base[at_word])
-        rests = truncated(before + lat.rest[edges], value[docs][whose], u)
+        rests = truncated(before + lat.rest(edges), value[docs][whose], u)
         for i, d in enumerate(docs):
             a, b = bound[i], bound[i + 1]
             e0, b0, l0, w0 = head[i]
@@ -392,15 +405,16 @@ def sample_unit(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed:
     return out
 
 
-def _units(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _units(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``UNIT`` characters."""
     lo = n = 0
-    for i, t in enumerate(texts):
-        if n and n + len(t) > UNIT:
+    for i, size in enumerate(sizes):
+        if n and n + size > UNIT:
             yield lo, i
             lo, n = i, 0
-        n += len(t) + 1
-    if lo < len(texts):
-        yield lo, len(texts)
+        n += size + 1
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def read_model(path: str) -> bytes:
@@ -425,9 +439,9 @@ def encode(docs: DataFrame, k: int, seed: int = 0, key_col: str = "doc_id", text
     def run(batches):
         v = vocabulary(proto.value)
         for b in batches:
-            texts, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in _units(texts):
-                found = sample_unit(v, texts[lo:hi], keys[lo:hi], k, seed)
+            for lo, hi in _units(pc.utf8_length(b.column(0)).to_pylist()):
+                texts, keys = (b.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
+                found = sample_unit(v, texts, keys, k, seed)
                 rows = [x for xs in found for x in xs]
                 n = np.array([len(xs) for xs in found])
                 size = np.array([len(x[0]) for x in rows], dtype=np.int64)
