@@ -9,9 +9,9 @@ rest verified bit by bit. Lists of more than ``LIST_ROWS`` fingerprints are not
 two fingerprints differ in at most 2 bits exactly if some value is within 1 bit of both,
 so their members are linked over these values, each of which has 65 neighbours at most.
 
-``similar_groups`` (word-shingle similarity): 256 bits, and documents meet in lists by
+``similar_links`` (word-shingle similarity): 512 bits, and documents meet in lists by
 their ``ANCHORS`` smallest shingle hashes (similar sets share some of their smallest
-elements). In each list the shared positional bytes, of 32, are tallied; pairs with
+elements). In each list the shared positional bytes, of 64, are tallied; pairs with
 ``MIN_SHARED`` or more are verified: a Jaccard similarity s of the shingles means an
 expected share of arccos(2 s / (1 + s)) / pi differing bits; ``SLACK`` standard deviations
 are allowed. A row of a list is linked to one row of its part of the list, not to all that
@@ -47,9 +47,10 @@ from runfold.llm.components import components
 LIST_ROWS = 64
 ANCHORS = 6
 ANCHOR_ROWS = 512
-MIN_SHARED = 3
+MIN_SHARED = 6
 SLACK = 1.0
-WIDE = 4  # 64-bit parts of the wide fingerprint
+WIDE = 8  # 64-bit parts of the wide fingerprint
+CUTS = 16  # byte positions by which lists of different texts are cut
 
 
 # --------------------------------------------------------------- fingerprints
@@ -178,7 +179,7 @@ def max_differing(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, a hash of the text, the 256-bit ``sig`` and the ``anchors``."""
+    """``id``, a hash of the text, the 512-bit ``sig`` and the ``anchors``."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -294,7 +295,7 @@ def similar_links(nodes: DataFrame, max_bits: int, anchor_rows: int = ANCHOR_ROW
         before, n_rows = n_rows, long.count()
         if 2 * n_rows > before:
             break
-    at = F.explode(F.sequence(F.lit(1), F.lit(8 * WIDE))).alias("at")
+    at = F.explode(F.sequence(F.lit(1), F.lit(8 * WIDE), F.lit(8 * WIDE // CUTS))).alias("at")
     cut = F.xxhash64("key", "at", F.expr("substring(sig, at, 1)"))
     cuts = lists_of(long.select("key", "node", "sig", at).select("node", "sig", cut.alias("key")))
     longest = by_key(cuts.filter(F.col("n") > anchor_rows)).mapInArrow(_leaders(max_bits), "a long, b long")
