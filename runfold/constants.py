@@ -10,7 +10,6 @@ FIXED VALUES — stated plainly, in their natural order:
   ``.cmd``.
 * names hidden from directory listings: ``node_modules``, ``dist``,
   ``build``, ``.git``.
-* rule operations: ``read``, ``write``, ``delete``, ``execute``, ``mcp``, ``all``.
 * run-state defaults: current step ``reception``, strategy ``PENDING``,
   deployment status ``PENDING``, retry count 0, workspace ``""``.
 * retry limit 3; approval time-out 300 s; poll interval 30 s; search cap 50;
@@ -18,7 +17,6 @@ FIXED VALUES — stated plainly, in their natural order:
 * workflow edges: START→architect; architect→data-ops, pipeline-coder, END;
   pipeline-coder→deployer; deployer→pipeline-coder, data-ops, END;
   data-ops→END.
-* plan strategies: ``GREENFIELD``, ``BROWNFIELD_ETL``, ``DATA_ANALYSIS``.
 """
 
 ALLOWED_PATHS = ["CodeSandBox"]
@@ -28,8 +26,6 @@ READ_ONLY_FILES = ["package.json", "package-lock.json"]
 NOT_ALLOWED_EXTENSIONS = [".exe", ".sh", ".bat", ".cmd"]
 IGNORED_NAMES = ["node_modules", "dist", "build", ".git"]
 
-RULE_OPERATIONS = ["read", "write", "delete", "execute", "mcp", "all"]
-
 DEFAULT_STEP = "reception"
 DEFAULT_STRATEGY = "PENDING"
 DEFAULT_STATUS = "PENDING"
@@ -57,8 +53,6 @@ WORKFLOW_EDGES = [
     ("data-ops", END),
 ]
 
-PLAN_STRATEGIES = ["GREENFIELD", "BROWNFIELD_ETL", "DATA_ANALYSIS"]
-
 # FIXED VALUES: texts that appear in results.
 EMPTY_FILE_MARKER = "[File is empty]"
 NO_DISCOVERY_TEXT = "No infrastructure discovered."

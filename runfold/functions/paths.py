@@ -1,8 +1,8 @@
 """POSIX path expressions with Node ``path`` semantics, as Spark columns.
 
-``resolve`` joins a relative path to a root and removes ``.``/``..`` and empty
-components with one ``aggregate`` over the split path, so it stays in codegen
-and needs no UDF.
+``resolve`` joins a relative path to a root. A path with ``.``, ``..`` or empty
+components is rebuilt with one ``aggregate`` over its parts (a lambda, outside
+generated code); all other paths, the normal case, are left as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ def _c(c) -> Column:
 
 def normalize_path(c) -> Column:
     """Absolute normal form of an absolute path: no '.', '..', '' parts."""
-    parts = F.split(_c(c), "/", -1)
+    p = _c(c)
+    parts = F.split(p, "/", -1)
     empty = F.array().cast("array<string>")
 
     def step(acc, x):
@@ -25,7 +26,8 @@ def normalize_path(c) -> Column:
                  .when((x == "") | (x == "."), acc)
                  .otherwise(F.concat(acc, F.array(x))))
 
-    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, empty, step), "/"))
+    rebuilt = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, empty, step), "/"))
+    return F.when(p.rlike(r"//|/\.{1,2}(/|$)|./$"), rebuilt).otherwise(p)
 
 
 def resolve_path(c, root: str) -> Column:

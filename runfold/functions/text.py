@@ -23,11 +23,6 @@ def js_trim(c) -> Column:
     return F.btrim(_c(c), F.lit(JS_WS_CHARS))
 
 
-def js_blank_to_null(c) -> Column:
-    """``x || default`` in JavaScript treats '' as missing: map '' to NULL."""
-    return F.nullif(_c(c), F.lit(""))
-
-
 def truncate_with_length(c, n: int = TRUNCATE_AT) -> Column:
     """Over ``n`` characters: the first ``n`` plus a note with the full length.
 
@@ -92,19 +87,19 @@ def namespaced_name(server, tool) -> Column:
     return F.concat(F.regexp_replace(_c(server), "[^a-zA-Z0-9_-]", "_"), F.lit("_"), _c(tool))
 
 
-def lower_contains_any(c, words) -> Column:
-    s = F.lower(_c(c))
+def contains_any(low, words) -> Column:
+    """Whether lower-cased text holds any of the words."""
     out = F.lit(False)
     for w in words:
-        out = out | F.contains(s, F.lit(w.lower()))
+        out = out | F.contains(_c(low), F.lit(w.lower()))
     return out
 
 
-def lower_contains_all(c, words) -> Column:
-    s = F.lower(_c(c))
+def contains_all(low, words) -> Column:
+    """Whether lower-cased text holds every word."""
     out = F.lit(True)
     for w in words:
-        out = out & F.contains(s, F.lit(w.lower()))
+        out = out & F.contains(_c(low), F.lit(w.lower()))
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runfold.constants import (FAILED_PREFIX, NO_DISCOVERY_TEXT, NO_SUMMARY_TEXT, SEARCH_CAP,
                                TOOL_OUTPUT_PREFIX, WEB_RESULTS)
-from runfold.functions.text import drop_think_blocks, first_brace_span, js_trim, strict_parse_json, strip_fences
+from runfold.functions.text import contains_all, contains_any, drop_think_blocks, first_brace_span, js_trim, strict_parse_json, strip_fences
 from runfold.operators.scan import CONCAT_WIDTH, DEFAULT_WIDTH, ordered_concat as _ordered_concat
 
 # FIXED VALUES: the strategy line appended under the plan summary.
@@ -170,8 +170,8 @@ def keyword_assert(df: DataFrame, text: str, checks: dict[str, list[str]],
     word for ``all_of``) and ``passed`` = all checks true."""
     low = df.withColumn("__low", F.lower(F.col(text)))        # lower-case each text once
     every = all_of or {}
-    flags = [_contains_any(F.col("__low"), words).alias(name) for name, words in checks.items()]
-    flags += [_contains_all(F.col("__low"), words).alias(name) for name, words in every.items()]
+    flags = [contains_any(F.col("__low"), words).alias(name) for name, words in checks.items()]
+    flags += [contains_all(F.col("__low"), words).alias(name) for name, words in every.items()]
     out = low.select(*df.columns, *flags)
     passed = F.lit(True)
     for name in [*checks, *every]:
@@ -179,28 +179,14 @@ def keyword_assert(df: DataFrame, text: str, checks: dict[str, list[str]],
     return out.withColumn("passed", passed)
 
 
-def _contains_any(low: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(low, F.lit(w.lower()))
-    return out
-
-
-def _contains_all(low: Column, words) -> Column:
-    out = F.lit(True)
-    for w in words:
-        out = out & F.contains(low, F.lit(w.lower()))
-    return out
-
-
 def error_classify(df: DataFrame, text: str = "text") -> DataFrame:
     """``failed`` if the text starts with ``Command failed:``;
     ``not_found`` for the entity-not-found family; ``error`` if it mentions
     an error; else ``ok``."""
     t, low = F.col(text), F.col("__low")
     cls = (F.when(F.startswith(t, F.lit(FAILED_PREFIX)), F.lit("failed"))
-            .when(_contains_any(low, NOT_FOUND_WORDS), F.lit("not_found"))
-            .when(_contains_any(low, ["error"]), F.lit("error"))
+            .when(contains_any(low, NOT_FOUND_WORDS), F.lit("not_found"))
+            .when(contains_any(low, ["error"]), F.lit("error"))
             .otherwise(F.lit("ok")))
     return df.withColumn("__low", F.lower(t)).withColumn("error_class", cls).drop("__low")
 
