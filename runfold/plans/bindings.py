@@ -157,6 +157,17 @@ def path_parts(spark, sf):
     return policy.path_parts(tb.paths(spark, sf)).select("page_id", "path", "resolved", "dir", "base", "ext")
 
 
+@q("path_resolution")
+def path_resolution(spark, sf):
+    """X10 on paths with ``.``, ``..``, empty parts and on relative ones."""
+    p = F.col("path")
+    messy = (F.when(F.col("page_id") % 4 == 0, F.replace(p, F.lit("/w/"), F.lit("/w/./")))
+              .when(F.col("page_id") % 4 == 1, F.replace(p, F.lit("/w/"), F.lit("/w/x/../")))
+              .when(F.col("page_id") % 4 == 2, F.concat(F.lit("//"), F.substring(p, 2, 1000)))
+              .otherwise(F.regexp_replace(p, "^/w/", "")))
+    return policy.path_parts(tb.paths(spark, sf).select("page_id", messy.alias("path"))).select("page_id", "path", "resolved", "dir")
+
+
 @q("path_policy")
 def path_policy(spark, sf):
     d = policy.path_policy(tb.paths(spark, sf), existing=tb.existing_files(spark, sf))
@@ -373,6 +384,18 @@ def text_line_scan(spark, sf):
     return _doc_lines(spark, sf)
 
 
+@q("text_file_scan")
+def text_file_scan(spark, sf):
+    """S3 on files: the documents written as one text file per language, scanned
+    line by line; lines, last line number and characters per file."""
+    dst = staging_path(spark, "documents_text")
+    d = tb.table(spark, sf, "documents").select("lang", "text")
+    d.repartition("lang").write.partitionBy("lang").text(dst)
+    lines = files.text_line_scan(spark, dst)
+    return lines.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line"), F.sum(F.length("line")).alias("n_chars"))
+
+
 GREP_PATTERN = "@mail[0-9]+"
 
 

@@ -332,6 +332,11 @@ SELECT *, date_diff('second', first_seen, last_seen) AS processing_seconds,
 # ------------------------------------------------------------ policy and rules
 ORACLE["path_parts"] = f"WITH {PATHS}, {PATH_PARTS} SELECT page_id, path, resolved, dir, base, ext FROM path_parts"
 
+ORACLE["path_resolution"] = f"""WITH {PATHS}, {PATH_PARTS}
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(path, '/w/', '/w/./') WHEN 1 THEN replace(path, '/w/', '/w/x/../')
+    WHEN 2 THEN concat('/', path) ELSE regexp_replace(path, '^/w/', '') END AS path,
+  path AS resolved, dir FROM path_parts"""
+
 ORACLE["path_policy"] = f"""WITH {PATHS}, {PATH_PARTS}, {EXISTING},
 d AS (SELECT *, {policy_reason('operation', 'EXISTS (SELECT 1 FROM existing e WHERE e.path = resolved)')} AS reason
       FROM path_parts)
@@ -482,6 +487,11 @@ ORACLE["error_classify"] = f"""SELECT doc_id, CASE WHEN starts_with(text, 'Comma
 ORACLE["text_line_scan"] = f"""WITH {CONVS_LINES}
 SELECT concat('doc-', CAST(doc_id AS VARCHAR)) AS path, line_no, line FROM lines"""
 
+ORACLE["text_file_scan"] = f"""WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
+-- each file ends with a line break, so it has a last empty line
+SELECT lang, count(*) + 1 AS n_lines, count(*) + 1 AS last_line, CAST(sum(length(line)) AS BIGINT) AS n_chars
+FROM l GROUP BY lang"""
+
 ORACLE["regex_grep"] = f"""WITH {CONVS_LINES}
 SELECT concat('doc-', CAST(doc_id AS VARCHAR)) AS path, line_no,
   concat('doc-', CAST(doc_id AS VARCHAR), ':', CAST(line_no AS VARCHAR), ': ', {js_trim('line')}) AS match
