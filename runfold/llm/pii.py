@@ -12,7 +12,7 @@ train the weights (conditional log-likelihood, seeded), Viterbi picks boundaries
 jointly. Both are linear in the region's length, as entities are bounded.
 
 It is fitted on generated lines (every kind in clear and obfuscated forms, and numbers that
-are none of them) and on the regions of ``SAMPLE_DOCS`` documents, chosen by hash, labelled
+are none of them) and on regions of about ``SAMPLE_DOCS`` documents, chosen by hash, labelled
 by the base patterns: a bounded sample, whatever the size of the table.
 
 Base spans always stay; a found span is added where it overlaps no base span.
@@ -25,6 +25,7 @@ gives an empty result and leaves the generated lines to learn from.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import random
 import re
@@ -42,7 +43,9 @@ ORDER = {k: i for i, k in enumerate([*KINDS, "secret"])}
 MAX_ATOMS = 48
 CONTEXT = 3
 REACH = 200
-SAMPLE_DOCS = 300
+SAMPLE_DOCS = 2000
+REGIONS = 10
+_SECRET = re.compile(r"(?i)(?:token|key|secret|password) ?[=:] ?[\"']([A-Za-z0-9_/+-]{16,80})[\"']")
 
 Span = tuple[str, int, int]
 
@@ -355,17 +358,25 @@ def _logsum(terms: list[float]) -> float:
 
 
 def sample_lines(docs: DataFrame, id_col: str, text_col: str, n: int = SAMPLE_DOCS) -> list[tuple[str, list[Span]]]:
-    """Regions of ``n`` documents with digits or ``@``, labelled by the base patterns."""
-    some = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"), F.xxhash64(
-        F.col(id_col).cast("string"), F.lit("personal data")).alias("h")).orderBy("h", "text").limit(n)
-    lines = []
-    for r in some.collect():  # n texts at most
-        base = base_spans(r.text)
-        for lo, hi in regions(r.text):
-            inside = [(k, a - lo, b - lo) for k, a, b in base if lo <= a and b <= hi]
-            lines.append((r.text[lo:hi], inside + [("secret", m.start(1), m.end(1)) for m in re.finditer(
-                r"(?i)(?:token|key|secret|password) ?[=:] ?[\"']([A-Za-z0-9_/+-]{16,80})[\"']", r.text[lo:hi])]))
-    return lines
+    """Regions of about ``n`` documents (a share of all, by hash), labelled by the base
+    patterns; ``REGIONS`` of a document at most. Regions are cut and labelled where the
+    documents are; the driver gets some lines per sampled document, no text whole."""
+    total = docs.count()
+    spot = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("personal data")), F.lit(1 << 30)) / float(1 << 30)
+    some = docs.filter(spot < n / max(1, total)).select(F.col(text_col).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                base = base_spans(text or "")
+                for lo, hi in itertools.islice(regions(text or ""), REGIONS):
+                    inside = [(k, a - lo, b_ - lo) for k, a, b_ in base if lo <= a and b_ <= hi]
+                    secrets = [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text[lo:hi])]
+                    out.append((text[lo:hi], written(inside + secrets)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["line", "spans"])
+    lines = some.mapInArrow(run, "line string, spans string").orderBy("line", "spans").collect()
+    return [(r.line, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]) for r in lines]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
