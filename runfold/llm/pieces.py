@@ -30,10 +30,11 @@ extra columns are dropped unless kept by name; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -244,7 +245,9 @@ class Lattices:
         """From each start node to its word's end, each edge drawn from the posterior.
         Returns the edges, walk after walk, and their number per walk. A node's place
         in its text is the node plus ``base``."""
-        node, n, steps = node.copy(), np.zeros(len(node), dtype=np.int64), []
+        order = np.argsort(node, kind="stable")  # neighbours in memory are walked together
+        node, base, seed = node[order], base[order], seed[order]
+        n, steps = np.zeros(len(node), dtype=np.int64), []
         on = np.flatnonzero(self.n_edges[node] > 0)
         while len(on):
             at = node[on]
@@ -260,11 +263,13 @@ class Lattices:
             node[on] = self.dst[e]
             n[on] += 1
             on = on[self.n_edges[node[on]] > 0]
-        start = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+        n_out = np.empty_like(n)
+        n_out[order] = n
+        start = (np.cumsum(n_out) - n_out)[order]
         out = np.empty(int(n.sum()), dtype=np.int64)
         for t, (who, e) in enumerate(steps):
             out[start[who] + t] = e
-        return out, n
+        return out, n_out
 
     def ids(self, v: Vocabulary, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and how many each edge has."""
@@ -276,7 +281,9 @@ class Lattices:
         out = np.empty(int(n.sum()), dtype=np.int32)
         plain = piece >= 0
         out[start[plain]] = piece[plain]
-        for i in np.flatnonzero(~plain):
+        one = ~plain & (n == 1)  # ASCII, such as line breaks
+        out[start[one]] = v.byte_id[-1 - piece[one]]
+        for i in np.flatnonzero(~plain & ~one):
             out[start[i]:start[i] + n[i]] = v.byte_id[list(chr(-1 - int(piece[i])).encode())]
         return out, n
 
@@ -285,11 +292,17 @@ class _Path:
     """A sampled path: its edges, log probability before each edge and after all, the
     perturbed value, and from ``since`` on the values of the rests beside it."""
 
-    __slots__ = ("edges", "before", "logp", "value", "since", "rests", "tried", "words")
+    __slots__ = ("edges", "before", "logp", "value", "since", "rests", "tried", "words", "best")
 
     def __init__(self, edges, before, logp, value, since, rests, words):
         self.edges, self.before, self.logp, self.value = edges, before, logp, value
-        self.since, self.rests, self.words, self.tried = since, rests, words, {}
+        self.since, self.rests, self.words, self.tried, self.best = since, rests, words, {}, None
+
+    def top(self) -> float:
+        """The largest value of its rests."""
+        if self.best is None:
+            self.best = float(self.rests.max(initial=-np.inf))
+        return self.best
 
 
 def truncated(loc: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -304,9 +317,10 @@ def sample_unit(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed:
     normal = [v.normalised(t) for t in texts]
     words_of = [v.word.findall(t) for t in normal]
     n_words = np.array([len(w) for w in words_of], dtype=np.int64)
-    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words_of)))}
-    word = np.fromiter(map(number.__getitem__, chain.from_iterable(words_of)), dtype=np.int64, count=int(n_words.sum()))
-    del words_of
+    number: dict[str, int] = {}  # word: its first place, which ranks the distinct words
+    place_of = np.fromiter(map(number.setdefault, chain.from_iterable(words_of), count()), dtype=np.int64, count=int(n_words.sum()))
+    word = (np.cumsum(place_of == np.arange(len(place_of))) - 1)[place_of]
+    del words_of, place_of
     lat = Lattices(v, list(number))
     del number
     doc = np.repeat(np.arange(len(texts)), n_words)
@@ -348,45 +362,53 @@ def sample_unit(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed:
     extend(0, np.arange(len(texts)), [(none, some, 0.0, none)] * len(texts), np.arange(len(word)), n_words, root)
     kappa = np.full(len(texts), -np.inf)
     for s in range(1, k + 1):
-        docs, head, starts, walks, n_walks = [], [], [], [], []
+        opened: list[tuple[int, _Path, int]] = []  # text, path, and the edge whose rest has the next value
         for d, found in enumerate(paths):
             if len(found) < s:
                 continue  # no further segmentation
-            best = max(found, key=lambda p: p.rests.max(initial=-np.inf))
+            best = max(found, key=_Path.top)
             j = int(best.rests.argmax()) if len(best.rests) else -1
-            if j < 0 or np.isneginf(best.rests[j]):
+            if j < 0 or best.rests[j] == -np.inf:
                 continue
             if s == k:
                 kappa[d] = best.rests[j]
-                continue
-            # open the rest beside edge j: draw among the edges not tried
-            value[d] = best.rests[j]
-            j += best.since
-            edge, w = best.edges[j], int(best.words[j])
-            node = lat.src[edge]
-            tried = best.tried.setdefault(j, {int(edge)})
-            left = np.array([e for e in range(lat.ptr[node], lat.ptr[node + 1]) if e not in tried])
-            share = np.exp(lat.cond[left] - lat.cond[left].max())
-            u1, u2 = uniform(np.repeat(stream_of(seeds[d:d + 1], s, 3), 2), np.array([2 * j, 2 * j + 1]))
-            pick = min(int(np.searchsorted(np.cumsum(share), u1 * share.sum(), side="right")), len(left) - 1)
-            tried.add(int(left[pick]))
-            others = np.delete(lat.cond[left], pick)
-            if len(others):
-                loc = best.before[j] + others.max() + np.log(np.exp(others - others.max()).sum())
-                best.rests[j - best.since] = float(truncated(np.array([loc]), value[d:d + 1], np.array([u2]))[0])
             else:
-                best.rests[j - best.since] = -np.inf
-            docs.append(d)
-            head.append((np.append(best.edges[:j], left[pick]), best.before[:j + 1], best.before[j] + lat.cond[left[pick]],
-                         best.words[:j + 1]))
+                value[d] = best.rests[j]
+                opened.append((d, best, best.since + j))
+        if not opened:
+            continue
+        docs = np.array([d for d, _, _ in opened])
+        where = np.array([j for _, _, j in opened])
+        u = uniform(stream(s, 3)[docs], 2 * where).tolist()
+        head, starts, walks, n_walks, locs = [], [], [], [], []
+        for (d, path, j), u1 in zip(opened, u):
+            # open the rest beside edge j: draw among the edges not tried
+            edge, w = int(path.edges[j]), int(path.words[j])
+            node = int(lat.src[edge])
+            tried = path.tried.setdefault(j, {edge})
+            left = [e for e in range(int(lat.ptr[node]), int(lat.ptr[node + 1])) if e not in tried]
+            cond = lat.cond[left].tolist()
+            top = max(cond)
+            share = [math.exp(c - top) for c in cond]
+            mark, pick = u1 * sum(share), 0
+            while pick < len(left) - 1 and mark >= share[pick]:
+                mark -= share[pick]
+                pick += 1
+            tried.add(left[pick])
+            others = sum(share) - share[pick] if len(left) > 2 else sum(x for i, x in enumerate(share) if i != pick)
+            locs.append(path.before[j] + top + math.log(others) if len(left) > 1 and others > 0 else -np.inf)
+            head.append((np.append(path.edges[:j], left[pick]), path.before[:j + 1], path.before[j] + cond[pick], path.words[:j + 1]))
             later = np.arange(w, first_word[d + 1])
             walks.append(later)
             n_walks.append(len(later))
             begin = root[later]
             begin[0] = lat.dst[left[pick]]
             starts.append(begin)
-        if s < k and docs:
-            extend(s, np.array(docs), head, np.concatenate(walks), np.array(n_walks), np.concatenate(starts))
+        rest = truncated(np.array(locs), value[docs], uniform(stream(s, 3)[docs], 2 * where + 1))
+        for (_, path, j), x in zip(opened, rest.tolist()):
+            path.rests[j - path.since] = x
+            path.best = None
+        extend(s, docs, head, np.concatenate(walks), np.array(n_walks), np.concatenate(starts))
     every = [p for found in paths for p in found]
     ids, n_ids = lat.ids(v, np.concatenate([none, *(p.edges for p in every)]))
     id_at = np.concatenate([[0], np.cumsum(n_ids)])[np.cumsum([0, *(len(p.edges) for p in every)])]
