@@ -9,19 +9,20 @@ rest verified bit by bit. Lists of more than ``LIST_ROWS`` fingerprints are not
 two fingerprints differ in at most 2 bits exactly if some value is within 1 bit of both,
 so their members are linked over these values, each of which has 65 neighbours at most.
 
-``similar_links`` (word-shingle similarity): 512 bits, and documents meet in lists by
-their ``ANCHORS`` smallest shingle hashes (similar sets share some of their smallest
-elements). In each list the shared positional bytes, of 64, are tallied; pairs with
-``MIN_SHARED`` or more are verified: a Jaccard similarity s of the shingles means an
-expected share of arccos(2 s / (1 + s)) / pi differing bits; ``SLACK`` standard deviations
-are allowed. A row of a list is linked to one row of its part of the list, not to all that
-it is similar to. Lists of more than ``ANCHOR_ROWS`` are worked off in chunks of that size
-whose parts give way to one row each, again and again while that halves them (near copies
-of one text melt down); what is left (different texts with a common passage) is cut by byte
-position and value; a cut that is still larger is gone through in order, each row compared
-with the leaders so far and linked to all that it is similar to, else a leader itself.
-
-Groups are connected components of the links; equal fingerprints are one node.
+``similar_links`` (word-shingle similarity): 512 bits make candidates, the shingle sets
+decide. Equal sets are one node. Documents meet in lists by their ``ANCHORS`` smallest
+shingle hashes (similar sets share some of their smallest elements). In each list the
+shared positional bytes, of 64, are tallied; pairs with ``MIN_SHARED`` or more, whose set
+sizes allow the similarity and whose bits do are candidates: a Jaccard similarity s of the
+shingles means an expected share of arccos(2 s / (1 + s)) / pi differing bits; ``SLACK``
+standard deviations are allowed (sets of up to ``FEW`` shingles pass without that test).
+Every link is a candidate pair whose exact Jaccard similarity, from both sets, reaches
+the bound. Rounds try ``TRIES`` partners a row, pairs within a component found so far
+are left out, and the last round tries all pairs that are left. Lists of more than
+``ANCHOR_ROWS`` are cut into chunks, and rows of two chunks do not meet.
+
+Groups are connected components of the links; in ``fingerprint_groups`` equal fingerprints
+are one node.
 
 Defined results: a null or empty text (or one of white space) has fingerprint zero and
 links like any other; fewer words than a shingle make one shingle; null identifiers never
@@ -47,10 +48,11 @@ from runfold.llm.components import components
 LIST_ROWS = 64
 ANCHORS = 6
 ANCHOR_ROWS = 512
-MIN_SHARED = 6
-SLACK = 1.0
+MIN_SHARED = 2
+SLACK = 4.0
+FEW = 30
+TRIES = 2
 WIDE = 8  # 64-bit parts of the wide fingerprint
-CUTS = 16  # byte positions by which lists of different texts are cut
 
 
 # --------------------------------------------------------------- fingerprints
@@ -179,53 +181,90 @@ def max_differing(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, a hash of the text, the 512-bit ``sig`` and the ``anchors``."""
+    """``id``, a hash of the text, the ``node`` (a hash of the shingle set), the set's size
+    ``n``, the 512-bit ``sig`` and the ``anchors``."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
-            sig, anchors = [], []
+            node, size, sig, anchors = [], [], [], []
             for t in b.column(2).to_pylist():
                 h = np.unique(shingle_hashes(t, words))
+                node.append(node_of(h))
+                size.append(len(h))
                 sig.append(b"".join(majority(remix(h, s + 1)).tobytes() for s in range(WIDE)))
                 order = remix(h, 99)
                 anchors.append(np.sort(np.partition(order, ANCHORS)[:ANCHORS] if len(order) > ANCHORS else order).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary()),
-                                              pa.array(anchors, pa.list_(pa.int64()))], names=["id", "text_hash", "sig", "anchors"])
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, sig binary, anchors array<long>")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
+                                              pa.array(sig, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))],
+                                             names=["id", "text_hash", "node", "n", "sig", "anchors"])
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, node long, n long, "
+                                "sig binary, anchors array<long>")
+
+
+def node_of(h: np.ndarray) -> int:
+    """A hash of a sorted shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64))
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``shingles`` of one column of texts."""
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()),
+                                              pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+    return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
 def _as_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row that each of ``n`` rows reaches over the pairs (a, b)."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        if (root[a] == low).all() and (root[b] == low).all():
+def candidate_pairs(key: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray,
+                    similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block (rows sorted by ``key`` and ``n``) that may be similar.
+    Rows of one component are none; rows with a ``side`` meet the other side only."""
+    max_bits = max_differing(similarity)
+    left, right = [], []
+    i, apart = np.arange(len(key)), 1
+    while True:
+        i = i[i + apart < len(key)]
+        i = i[key[i] == key[i + apart]]
+        i = i[n[i] >= similarity * n[i + apart] - 1e-6]
+        if not len(i):
             break
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-    return root
-
-
-def _rooted(max_bits: int, every_row: bool):
-    """Rows sorted by ``key`` and ``node`` in; per block of one key, the pairs that
-    share ``MIN_SHARED`` bytes are verified, and each row gets the smallest node of
-    its part of the block as ``root``: one link a row, however many pairs there are.
-    A block is held whole, so callers bound its size. Without ``every_row`` only rows
-    with a link come out."""
+        a = i[(comp[i] != comp[i + apart]) & ((side[i] < 0) | (side[i] != side[i + apart]))]
+        diff = sig[a] ^ sig[a + apart]
+        shared = (diff.view(np.uint8).reshape(len(a), 8 * WIDE) == 0).sum(axis=1)
+        ok = (n[a] <= FEW) | (shared >= MIN_SHARED) & (np.bitwise_count(diff).sum(axis=1) <= max_bits)
+        left.append(a[ok])
+        right.append(a[ok] + apart)
+        apart += 1
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _partners(similarity: float, salt: int, most: int | None):
+    """Rows sorted by ``key`` and ``n`` in; out come links ``a``, ``b`` of candidates: for
+    each row its first ``most`` partners in the order ``p`` of this ``salt``, and in
+    ``more`` how many it has beside these. Blocks are held whole: callers bound them."""
     def done(t: pa.Table) -> pa.RecordBatch:
-        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
-        a, b = close_pairs(key, _as_rows(t.column("sig")), MIN_SHARED, max_bits)
-        root = node[local_roots(len(node), a, b)]
-        t = t.append_column("root", pa.array(root))
-        if not every_row:
-            t = t.take(pa.array(np.flatnonzero(root != node)))
-        return t.combine_chunks().to_batches(max_chunksize=None)
+        t = t.combine_chunks()
+        key, side, node, n, comp = (t.column(c).to_numpy() for c in ("key", "side", "node", "n", "comp"))
+        i, j = candidate_pairs(key, side, comp, n, _as_rows(t.column("sig")), similarity)
+        p = remix(node.astype(np.int64).view(np.uint64), salt)
+        i, j = np.where(p[i] > p[j], i, j), np.where(p[i] > p[j], j, i)
+        order = np.lexsort((p[j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, i)
+        total = np.searchsorted(i, i, side="right") - first
+        rank = np.arange(len(i)) - first
+        keep = rank < (len(i) if most is None else most)
+        more = np.where((rank == 0) & (most is not None), np.maximum(total - (most or 0), 0), 0)
+        i, j, more = i[keep], j[keep], more[keep]
+        return pa.RecordBatch.from_arrays([pa.array(node[i], pa.int64()), pa.array(p[j].view(np.int64)),
+                                           pa.array(node[j], pa.int64()), pa.array(more, pa.int64())], names=["a", "p", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -236,70 +275,74 @@ def _rooted(max_bits: int, every_row: bool):
             key = t.column("key").to_numpy()
             last = int(np.searchsorted(key, key[-1]))
             if last:
-                yield from done(t.slice(0, last))
+                yield done(t.slice(0, last))
             held = t.slice(last)
         if held is not None:
-            yield from done(held)
+            yield done(held)
     return run
 
 
-def _leaders(max_bits: int):
-    """Rows sorted by cut (``key``, ``node``, ``sig``): links to the leaders so far."""
-    def run(batches):
-        now, nodes, sigs = None, np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
-        for b in batches:
-            cuts, node, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), _as_rows(b.column(2))
-            left, right = [], []
-            for i in range(len(cuts)):
-                if cuts[i] != now:
-                    now, nodes, sigs = cuts[i], node[:0], sig[:0]
-                near = np.flatnonzero(np.bitwise_count(sigs ^ sig[i]).sum(axis=1) <= max_bits)
-                if len(near):
-                    left += [node[i]] * len(near)
-                    right += nodes[near].tolist()
-                else:
-                    nodes, sigs = np.append(nodes, node[i]), np.concatenate([sigs, sig[i:i + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-    return run
+ROW = ["node", "n", "sig", "comp"]
 
 
-def similar_links(nodes: DataFrame, max_bits: int, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
-    """Links between ``node``s (with ``sig`` and ``anchors``) that are similar."""
-    columns = "key long, node long, sig binary"
-
-    def lists_of(postings: DataFrame) -> DataFrame:
-        sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        return postings.join(sizes, "key").select("key", "node", "sig", "n")
-
-    def by_key(rows: DataFrame) -> DataFrame:
-        return rows.select("key", "node", "sig").repartition("key").sortWithinPartitions("key", "node")
-
-    def links_of(lists: DataFrame) -> DataFrame:
-        found = by_key(lists.filter(F.col("n") <= anchor_rows)).mapInArrow(_rooted(max_bits, False), f"{columns}, root long")
-        return found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    lists = lists_of(nodes.select("node", "sig", F.explode("anchors").alias("key")))
-    links = links_of(lists)
-    # long lists: in chunks, rows give way to one row of each part, until that
-    # doesn't halve them any more (near copies of one text melt down, others stay)
-    long = settle(lists.filter(F.col("n") > anchor_rows), "long_lists")
-    n_rows = long.count()
-    while n_rows:
-        chunk = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / anchor_rows)))
-        chunks = long.select(chunk.alias("key"), "node", "sig", F.col("key").alias("anchor"))
-        rooted = settle(chunks.repartition("key").sortWithinPartitions("key", "node")
-                        .mapInArrow(_rooted(max_bits, True), f"{columns}, anchor long, root long"), "rooted")
-        links = links.union(rooted.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        long = settle(lists_of(rooted.filter("node = root").select("node", "sig", F.col("anchor").alias("key"))), "long_lists")
-        links = links.union(links_of(long))
-        long = long.filter(F.col("n") > anchor_rows)
-        before, n_rows = n_rows, long.count()
-        if 2 * n_rows > before:
-            break
-    at = F.explode(F.sequence(F.lit(1), F.lit(8 * WIDE), F.lit(8 * WIDE // CUTS))).alias("at")
-    cut = F.xxhash64("key", "at", F.expr("substring(sig, at, 1)"))
-    cuts = lists_of(long.select("key", "node", "sig", at).select("node", "sig", cut.alias("key")))
-    longest = by_key(cuts.filter(F.col("n") > anchor_rows)).mapInArrow(_leaders(max_bits), "a long, b long")
-    return links.union(links_of(cuts)).union(longest)
+def blocks(lists: DataFrame, anchor_rows: int) -> DataFrame:
+    """Rows of ``lists`` (``key``, ``size``) by block: a list, or a chunk of a long one."""
+    none = F.lit(-1).alias("side")
+    out = lists.filter(F.col("size") <= anchor_rows).select("key", none, *ROW)
+    long = lists.filter(F.col("size") > anchor_rows)
+    chunk = F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / anchor_rows)))
+    return out.union(long.select(chunk.alias("key"), none, *ROW))
+
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose shingle sets have this Jaccard similarity. A node with many links
+    is dealt out: its set goes once to each part of them."""
+    counts = links.groupBy("b").agg(F.count("*").alias("of"))
+    dealt = links.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("of") / 256)).alias("part"))
+    one = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    two = dealt.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = one.join(two, ["b", "part"]).select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.filter(F.col("both") / (F.col("x") + F.col("y") - F.col("both")) >= similarity).select("a", "b")
+
+
+def similar_links(nodes: DataFrame, sets_of, similarity: float, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
+    """Links between ``node``s (with ``n``, ``sig`` and ``anchors``) that are similar.
+    ``sets_of`` gives the ``shingles`` of some nodes."""
+    postings = nodes.select("node", "n", "sig", F.explode("anchors").alias("key"))
+    sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    lists = settle(postings.join(sizes, "key"), "lists")
+    links = roots = sets = None
+    salt, most = 1, TRIES
+    while True:
+        if roots is None:
+            rows = lists.withColumn("comp", F.col("node"))
+        else:
+            rows = lists.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+            open_ = rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").select("key")
+            rows = rows.join(open_, "key", "left_semi")
+        parts = blocks(rows, anchor_rows).repartition("key").sortWithinPartitions("key", "n", "node")
+        found = settle(parts.select("key", "side", *ROW).mapInArrow(_partners(similarity, salt, most), "a long, p long, b long, more long"), "candidates")
+        if most is None:
+            tried, left = found.select("a", "b").distinct(), 0
+        else:
+            each = found.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("p", "b"))).alias("all"), F.sum("more").alias("more"))
+            left = each.agg(F.sum(F.col("more") + F.greatest(F.size("all") - most, F.lit(0)))).first()[0] or 0
+            tried = each.select("a", F.explode(F.slice("all", 1, most)).alias("x")).select("a", "x.b")
+        if roots is None:
+            long = lists.filter(F.col("size") > anchor_rows)
+            cut = bool(long.head(1))
+            need = found.select(F.col("a").alias("node")).union(found.select("b")).union(long.select("node"))
+            if left:  # partners that are dropped may be tried later
+                need = need.union(lists.select("node"))
+            sets = settle(sets_of(need.distinct()), "sets")
+        new = settle(alike(tried, sets, similarity), "alike")
+        links = new if links is None else links.union(new)
+        if not left and (roots is not None or not cut):
+            return links
+        if roots is not None and new.isEmpty():
+            most = None
+        roots = settle(components(links), "roots")
+        salt += 1
 
 
 def survivors(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
@@ -307,15 +350,18 @@ def survivors(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     """The documents that stay, columns unchanged: of each group of documents whose
     word shingles are similar, the one with the smallest identifier."""
     rows = settle(wide_fingerprints(docs, words, id_col, text_col), "wide_fingerprints")
-    nodes = settle(rows.groupBy("sig").agg(F.first("anchors").alias("anchors"),
-                                           F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("best"))
-                   .select("sig", F.monotonically_increasing_id().alias("node"), "anchors", "best"), "nodes")
-    rooted = nodes.select("node", "best").join(components(similar_links(nodes, max_differing(similarity))), "node", "left")
-    won = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    nodes = settle(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("anchors").alias("anchors"),
+                                            F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("best")), "nodes")
     key = lambda i, h: F.sha2(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")), h.cast("string")), 256)
-    stay = won.select(key(F.col("best.id"), F.col("best.text_hash")).alias("__key"))
-    return docs.withColumn("__key", key(F.col(id_col), F.xxhash64(text_col))).join(stay, "__key", "left_semi") \
-        .dropDuplicates(["__key"]).drop("__key")
+    best = key(F.col("best.id"), F.col("best.text_hash")).alias("__key")
+    keyed = docs.withColumn("__key", key(F.col(id_col), F.xxhash64(text_col)))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = nodes.join(some, "node", "left_semi").select(best)
+        return shingle_sets(keyed.select("__key", text_col).join(wanted, "__key", "left_semi").dropDuplicates(["__key"]).select(text_col), words)
+    rooted = nodes.select("node", "best").join(components(similar_links(nodes, sets_of, similarity)), "node", "left")
+    won = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return keyed.join(won.select(best), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

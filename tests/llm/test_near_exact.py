@@ -1,0 +1,38 @@
+"""The similarity stage against exact Jaccard, on both sides of 0.8."""
+
+import random
+
+from runfold.llm import simhash
+from tests.llm.test_simhash import DOCS, roots
+
+
+def sets_of(texts):
+    return [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+
+
+def kept_by_hand(texts):
+    sets = sets_of(texts)
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return set(roots(close, range(len(texts))).values())
+
+
+def left(spark, texts):
+    docs = spark.createDataFrame([(i, t, "c", 1, None) for i, t in enumerate(texts)], DOCS).repartition(6)
+    return {r.doc_id for r in simhash.survivors(docs).collect()}
+
+
+def edited(rng, base, share, word):
+    w = list(base)
+    for i in rng.sample(range(len(w)), round(len(w) * share)):
+        w[i] = word()
+    return " ".join(w)
+
+
+def test_exactly_the_pairs_from_08(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for b in range(60):
+        base = [word() for _ in range(rng.choice([12, 30, 120, 300]))]
+        texts += [" ".join(base), edited(rng, base, rng.choice([0.01, 0.02, 0.025, 0.03, 0.04, 0.05]), word)]
+    assert left(spark, texts) == kept_by_hand(texts)
