@@ -18,8 +18,10 @@ shingles means an expected share of arccos(2 s / (1 + s)) / pi differing bits; `
 standard deviations are allowed (sets of up to ``FEW`` shingles pass without that test).
 Every link is a candidate pair whose exact Jaccard similarity, from both sets, reaches
 the bound. Rounds try ``TRIES`` partners a row, pairs within a component found so far
-are left out, and the last round tries all pairs that are left. Lists of more than
-``ANCHOR_ROWS`` are cut into chunks, and rows of two chunks do not meet.
+are left out, and the last round tries all pairs that are left, so no pair of a list goes
+untried unless its rows are joined already. Lists of more than ``ANCHOR_ROWS`` are cut into
+chunks, by set size and component; in the first round rows meet in their chunk, then every
+two chunks meet that may hold a pair.
 
 Groups are connected components of the links; in ``fingerprint_groups`` equal fingerprints
 are one node.
@@ -285,13 +287,34 @@ def _partners(similarity: float, salt: int, most: int | None):
 ROW = ["node", "n", "sig", "comp"]
 
 
-def blocks(lists: DataFrame, anchor_rows: int) -> DataFrame:
-    """Rows of ``lists`` (``key``, ``size``) by block: a list, or a chunk of a long one."""
+def blocks(lists: DataFrame, anchor_rows: int, similarity: float, cross: bool) -> DataFrame:
+    """Rows of ``lists`` (``key``, ``size``) by block: a list, a chunk of a long one, or
+    (``cross``) every two chunks of a long one that may hold a similar pair."""
     none = F.lit(-1).alias("side")
     out = lists.filter(F.col("size") <= anchor_rows).select("key", none, *ROW)
     long = lists.filter(F.col("size") > anchor_rows)
-    chunk = F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / anchor_rows)))
-    return out.union(long.select(chunk.alias("key"), none, *ROW))
+    if not cross:
+        chunk = F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / anchor_rows)))
+        return out.union(long.select(chunk.alias("key"), none, *ROW))
+    # chunks hold sets of like size, and a component of many rows has chunks of its own
+    large = long.groupBy("key", "comp").count().filter(F.col("count") > anchor_rows).select("key", "comp", F.col("comp").alias("own"))
+    band = F.floor(F.log(F.col("n") + 1) / math.log(1.1)).alias("band")
+    long = long.join(large, ["key", "comp"], "left").withColumn("band", band)
+    kind = [F.col("key"), F.col("band"), F.coalesce("own", F.lit(0)), F.col("own").isNull()]
+    long = long.withColumn("kind", F.xxhash64(*kind))
+    counts = long.groupBy("kind").agg(F.count("*").alias("of"))
+    long = long.join(counts, "kind").withColumn("chunk", F.xxhash64("kind", F.pmod(F.xxhash64("node", "kind"), F.ceil(F.col("of") / anchor_rows))))
+    sides = long.groupBy("key", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    x, y = sides.alias("x"), sides.alias("y")
+    met = x.join(y, F.expr("x.key = y.key and x.chunk <= y.chunk")) \
+        .filter(F.least("x.hi", "y.hi") >= similarity * F.greatest("x.lo", "y.lo") - 1e-6) \
+        .filter("not (x.c = x.d and y.c = y.d and x.c = y.c)") \
+        .select("x.key", F.col("x.chunk").alias("one"), F.col("y.chunk").alias("two"))
+    block = F.xxhash64("key", "one", "two").alias("key")
+    first = long.join(met.withColumn("chunk", F.col("one")), ["key", "chunk"]) \
+        .select(block, F.when(F.expr("one = two"), -1).otherwise(0).alias("side"), *ROW)
+    second = long.join(met.filter("one <> two").withColumn("chunk", F.col("two")), ["key", "chunk"]).select(block, F.lit(1).alias("side"), *ROW)
+    return out.union(first).union(second)
 
 
 def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -320,7 +343,7 @@ def similar_links(nodes: DataFrame, sets_of, similarity: float, anchor_rows: int
             rows = lists.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
             open_ = rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").select("key")
             rows = rows.join(open_, "key", "left_semi")
-        parts = blocks(rows, anchor_rows).repartition("key").sortWithinPartitions("key", "n", "node")
+        parts = blocks(rows, anchor_rows, similarity, roots is not None).repartition("key").sortWithinPartitions("key", "n", "node")
         found = settle(parts.select("key", "side", *ROW).mapInArrow(_partners(similarity, salt, most), "a long, p long, b long, more long"), "candidates")
         if most is None:
             tried, left = found.select("a", "b").distinct(), 0

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from runfold.llm import simhash
 from tests.llm.test_simhash import DOCS, roots
 
@@ -36,3 +38,19 @@ def test_exactly_the_pairs_from_08(spark):
         base = [word() for _ in range(rng.choice([12, 30, 120, 300]))]
         texts += [" ".join(base), edited(rng, base, rng.choice([0.01, 0.02, 0.025, 0.03, 0.04, 0.05]), word)]
     assert left(spark, texts) == kept_by_hand(texts)
+
+
+@pytest.mark.parametrize("anchor_rows", [32])
+def test_long_lists(spark, anchor_rows, monkeypatch):
+    """Near copies in a chain and texts led by a common passage, in lists over the limit."""
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (anchor_rows,))
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(60)]
+    texts = [edited(rng, base, rng.choice([0.0167, 0.034, 0.05]), word) for _ in range(250)]
+    passage = [word() for _ in range(40)]
+    for b in range(80):
+        own = [word() for _ in range(rng.choice([20, 25, 60]))]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-rng.choice([1, 5, 12])])]
+    rng.shuffle(texts)
+    assert left(spark, texts) == kept_by_hand(texts)
