@@ -59,6 +59,8 @@ CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising adse
     consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup login comment comments
     commentlist respond reply replies disqus share sharing social related recommended skip""".split())
 KEEP_TAGS = frozenset("html body article main".split())
+#: inside an article only these are chrome by class or id
+CONTAINERS = frozenset("div section ul ol dl table details".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)|([^\s=/>"']+)""")
@@ -79,12 +81,18 @@ class Node:
         kind = re.sub(r"[0-9]+", "0", self.attrs.get("class", "").strip().lower())
         return f"{self.tag}.{kind}" if kind else self.tag
 
+    def is_marked(self) -> bool:
+        """A class or id that is made of chrome words only (cookie-notice, not menu-of-the-day)."""
+        tokens = f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower().split()
+        return any(parts and parts <= CHROME_WORDS for parts in (set(re.findall("[a-z]+", t)) for t in tokens))
+
     def is_chrome(self, in_article: bool) -> bool:
         if self.tag in KEEP_TAGS:
-            return False
+            return in_article and self.tag == "article" and self.is_marked()
         return (self.tag in CHROME_TAGS or self.tag == "header" and not in_article or "hidden" in self.attrs
                 or self.attrs.get("role", "").lower() in CHROME_ROLES
-                or bool(re.search(r"display\s*:\s*none", self.attrs.get("style", ""))) or bool(self.words() & CHROME_WORDS))
+                or bool(re.search(r"display\s*:\s*none", self.attrs.get("style", "")))
+                or (self.tag in CONTAINERS and self.is_marked() if in_article else bool(self.words() & CHROME_WORDS)))
 
 
 def parse(page: str) -> Node:
