@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,7 +37,7 @@ from runfold.llm.common import settle, table
 REFERENCES = 8
 #: share of the slots' text that the content node holds, where no article is marked
 MOSTLY = 0.6
-#: elements nested deeper count as siblings at this depth (their text stays in place)
+#: elements nested deeper are not aligned (so none of their text is template)
 MAX_DEPTH = 200
 
 #: Fixed values of HTML.
@@ -98,7 +99,11 @@ class Node:
 def parse(page: str) -> Node:
     """The element tree of a page, however badly closed."""
     root = Node("#root", {})
-    stack, at, too_deep = [root], 0, 0
+    stack, at, is_open = [root], 0, Counter()
+
+    def close(i: int) -> None:
+        is_open.subtract(x.tag for x in stack[i:])
+        del stack[i:]
     while True:
         m = _TOKEN.search(page, at)
         text = page[at:m.start() if m else len(page)]
@@ -111,18 +116,15 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            if too_deep:
-                too_deep -= 1
-                continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if is_open[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if is_open["p"] > 0 else ():
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK or stack[i].tag == "button":
                     break
@@ -131,7 +133,7 @@ def parse(page: str) -> Node:
             if stack[i].tag in bound:
                 break
             if stack[i].tag in ends:
-                del stack[i:]
+                close(i)
                 break
         node = Node(tag, {(a or c).lower(): entities.unescape(b.strip("\"'")) for a, b, c in _ATTR.findall(m[3])} if m[3].strip() else {})
         stack[-1].children.append(node)
@@ -140,11 +142,10 @@ def parse(page: str) -> Node:
             if tag != "noscript" and tag != "template":
                 at = end.start() if end else len(page)
             stack.append(node)
+            is_open[tag] += 1
         elif tag not in VOID and (tag in BLOCK or not m[3].rstrip().endswith("/")):
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
-            else:
-                too_deep += 1
+            stack.append(node)
+            is_open[tag] += 1
 
 
 def pieces(node: Node, in_article: bool) -> Iterator[str]:
@@ -185,23 +186,23 @@ class Shape:
         self.label, self.texts, self.size, self.children = label, {}, 0, []
 
 
-def shape(node: Node, page: int, in_article: bool = False) -> Shape:
+def shape(node: Node, page: int, in_article: bool = False, depth: int = 0) -> Shape:
     s = Shape(node.label())
-    _add(s, node, page, in_article)
+    _add(s, node, page, in_article, depth)
     return s
 
 
-def _add(s: Shape, node: Node, page: int, in_article: bool) -> None:
+def _add(s: Shape, node: Node, page: int, in_article: bool, depth: int) -> None:
     said = own_text(node)
     s.texts[page] = (s.texts.get(page, "") + " " + said).strip()
     s.size += len(said)
     in_article = in_article or node.tag in ("article", "main")
-    for c in node.children:
+    for c in node.children if depth < MAX_DEPTH else ():
         if isinstance(c, Node) and not c.is_chrome(in_article):
             if s.children and s.children[-1].label == c.label():
-                _merge(s.children[-1], shape(c, page, in_article))
+                _merge(s.children[-1], shape(c, page, in_article, depth + 1))
             else:
-                s.children.append(shape(c, page, in_article))
+                s.children.append(shape(c, page, in_article, depth + 1))
 
 
 def matching(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
@@ -326,7 +327,8 @@ def _drop(node: Node, path: list[str], template: set[tuple[str, ...]]) -> None:
         x, at = todo.pop()
         if ("/".join(at), own_text(x)) in template:
             x.children = [c for c in x.children if isinstance(c, Node)]
-        todo += [(c, [*at, c.label()]) for c in x.children if isinstance(c, Node)]
+        if len(at) < MAX_DEPTH:
+            todo += [(c, [*at, c.label()]) for c in x.children if isinstance(c, Node)]
 
 
 def host_of(url: str) -> Column:

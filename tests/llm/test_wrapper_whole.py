@@ -8,3 +8,10 @@ def test_class_words_inside_an_article():
              '<div class="related">More</div><div class="cookie-notice">Cookies</div><p class="notice">Note</p>')
     assert wrapper.main_text(f"<body><article>{inner}</article></body>", None) == "Impact Work Soup Note"
     assert wrapper.main_text('<body><main><p>Text</p><article class="comment">Nice!</article></main></body>', None) == "Text"
+
+
+def test_deep_markup():
+    deep = "<div>" * 300 + "<script>if (a < b) x()</script><nav>Menu</nav><section class='comments'>Nice!</section>text" + "</div>" * 300
+    assert wrapper.main_text(f"<body><article>{deep}<p>after</p></article>out</body>", None) == "text after"
+    assert wrapper.main_text(f"<body>{deep}<p>after</p></body>", wrapper.induce([deep] * 3)) == "text after"
+    assert wrapper.main_text("<body><article>" + "<div>" * 300 + "text</article>out</body>", None) == "text"
