@@ -1,17 +1,18 @@
 """Main text of web pages by wrapper induction.
 
-``REFERENCES`` pages per host (a bounded sample, by hash of the address) are parsed and
-their DOM trees aligned by simple tree matching. Runs of siblings with one label (tag and
-class) count as one repeated node, as wrappers describe lists, so a tree is as large as its
-layout, not its text. A node that aligns in several pages and says the same in all of them
-is template; where it differs it is a slot. The wrapper of a host holds its content path
-(the article's, or else the deepest node with most of the slots' text) and its template.
-
-Every page is then read with its host's wrapper: the text of its ``article`` or ``main``
-elements, or of the content path, or of the whole body; never of navigation, header,
-footer, sidebar, notice, advert, form, script, style or reader comments (by element, role,
-class or id). Inside an article nothing is dropped for being the same on several pages
-(copies of an article are articles); outside of one, template text is.
+``REFERENCES`` pages per host (a bounded sample, by hash of the page) are parsed and their DOM trees aligned by simple tree
+matching. Runs of siblings with one label (tag and class) count as one repeated node, as
+wrappers describe lists, so a tree is as large as its layout, not its text. Pages that say
+the same are one page. A node that aligns in several
+pages and says the same in all of them is constant; where it differs it is a slot. The
+wrapper of a host holds its content path (the deepest node with all slots) and its template:
+constant nodes outside the content node, and inside it, or in an ``article`` or ``main``,
+whole constant containers (div, section, lists, tables) only.
+
+Every page, marked or not, is then read with its host's wrapper, runs compared with runs:
+the text of its ``article`` or ``main`` elements, or else of the whole body, without template
+text (all of it, if nothing else is left); never of navigation, header, footer, sidebar,
+notice, advert, form, script, style or reader comments (by element, role, class or id).
 
 Defined results: null html is empty, no text gives an empty string; a null or broken
 address has the host ''; repeated rows are read alike; elements left open (or a page cut
@@ -35,8 +36,6 @@ from pyspark.sql import functions as F
 from runfold.llm.common import settle, table
 
 REFERENCES = 8
-#: share of the slots' text that the content node holds, where no article is marked
-MOSTLY = 0.6
 #: elements nested deeper are not aligned (so none of their text is template)
 MAX_DEPTH = 200
 
@@ -180,10 +179,10 @@ class Shape:
     """A node of an aligned tree: runs of equal siblings are one. ``texts`` has what it
     says in each page it stands in."""
 
-    __slots__ = ("label", "texts", "size", "children")
+    __slots__ = ("label", "texts", "size", "children", "nodes")
 
     def __init__(self, label: str):
-        self.label, self.texts, self.size, self.children = label, {}, 0, []
+        self.label, self.texts, self.size, self.children, self.nodes = label, {}, 0, [], []
 
 
 def shape(node: Node, page: int, in_article: bool = False, depth: int = 0) -> Shape:
@@ -196,6 +195,7 @@ def _add(s: Shape, node: Node, page: int, in_article: bool, depth: int) -> None:
     said = own_text(node)
     s.texts[page] = (s.texts.get(page, "") + " " + said).strip()
     s.size += len(said)
+    s.nodes.append(node)
     in_article = in_article or node.tag in ("article", "main")
     for c in node.children if depth < MAX_DEPTH else ():
         if isinstance(c, Node) and not c.is_chrome(in_article):
@@ -233,6 +233,7 @@ def _merge(a: Shape, b: Shape) -> None:
     for page, said in b.texts.items():
         a.texts[page] = (a.texts[page] + " " + said).strip() if page in a.texts else said
     a.size += b.size
+    a.nodes += b.nodes
     _, pairs = matching(a, b)
     out, i, j = [], 0, 0
     for p, q in [*pairs, (len(a.children), len(b.children))]:
@@ -244,61 +245,79 @@ def _merge(a: Shape, b: Shape) -> None:
     a.children = out
 
 
+def walk(s: Shape, path: str = "") -> Iterator[tuple[str, Shape]]:
+    yield path, s
+    for c in s.children:
+        yield from walk(c, f"{path}/{c.label}")
+
+
+def said(s: Shape, page: int) -> Counter:
+    """Characters of a page by path and text."""
+    return Counter({(path, x.texts[page]): len(x.texts[page]) for path, x in walk(s) if x.texts.get(page)})
+
+
 def induce(pages: list[str]) -> dict:
     """The wrapper of some pages of one host."""
-    trees = [shape(parse(p), k) for k, p in enumerate(pages)]
+    trees: list[Shape] = []
+    known: list[Counter] = []
+    for p in pages:
+        tree = shape(parse(p), len(trees))
+        text = said(tree, len(trees))
+        if text not in known:
+            trees.append(tree)
+            known.append(text)
     if not trees:
         return {"content": None, "template": []}
     whole = trees[0]
     for t in trees[1:]:
         _merge(whole, t)
-    template: set[str] = set()
-    article: list[str] | None = None
+    masses: dict[int, int] = {}
 
     def constant(s: Shape) -> bool:
         return len(s.texts) > 1 and len(set(s.texts.values())) == 1
 
     def mass(s: Shape) -> int:
-        return (0 if constant(s) else s.size) + sum(map(mass, s.children))
-
-    def visit(s: Shape, path: list[str]) -> None:
-        nonlocal article
-        if re.match(r"(article|main)\b", s.label):
-            article = article or path
-            return
-        if constant(s) and s.texts[min(s.texts)]:
-            template.add(f"{'/'.join(path)}\t{s.texts[min(s.texts)]}")
-        for c in s.children:
-            visit(c, [*path, c.label])
-    visit(whole, [])
-    path, s, total = [], whole, mass(whole)
-    while True:
+        if id(s) not in masses:
+            masses[id(s)] = (0 if constant(s) else s.size) + sum(map(mass, s.children))
+        return masses[id(s)]
+    content, s = [], whole
+    while constant(s) or not s.size:
         heavy = max(s.children, key=mass, default=None)
-        if heavy is None or mass(heavy) < MOSTLY * max(1, total):
+        if heavy is None or not mass(heavy) or mass(heavy) < mass(whole):
             break
         if heavy.label.split(".")[0] not in BLOCK or heavy.label.split(".")[0] in ("p", "li", "ul", "ol", "table", "blockquote"):
             break  # what is in this list is content, not its container
-        s, path = heavy, [*path, heavy.label]
-    return {"content": article or path, "template": sorted(template)}
+        s, content = heavy, [*content, heavy.label]
+    node, template = s, set()
+
+    def visit(s: Shape, path: str, kept: bool) -> None:
+        tag = s.label.split(".")[0]
+        if kept and tag in CONTAINERS and s is not node and constant(s) and not mass(s):
+            kept = False
+        kept = kept or s is node or tag in ("article", "main")
+        if not kept and constant(s) and s.texts[min(s.texts)]:
+            template.add(f"{path}\t{s.texts[min(s.texts)]}")
+        for c in s.children:
+            visit(c, f"{path}/{c.label}", kept)
+    visit(whole, "", False)
+    return {"content": content, "template": sorted(template)}
 
 
 # ----------------------------------------------------------------- extraction
 def main_text(page: str, wrapper: dict | None) -> str:
     """The main text of a page, read with its host's wrapper."""
     root = parse(page)
+    if wrapper and wrapper["template"]:
+        _drop(root, {tuple(t.split("\t", 1)) for t in wrapper["template"]})
+    return _read(root) or (_read(parse(page)) if wrapper and wrapper["template"] else "")
+
+
+def _read(root: Node) -> str:
     marked = list(_marked(root))
     if marked:
         return clean(x for n in marked for x in (" ", *pieces(n, True)))
     body = next((c for h in [root, *root.children] if isinstance(h, Node) for c in h.children if isinstance(c, Node) and c.tag == "body"), root)
-    if not wrapper:
-        return clean(pieces(body, False))
-    template = {tuple(t.split("\t", 1)) for t in wrapper["template"]}
-    _drop(root, [], template)
-    found, content = [root], wrapper["content"] or []
-    for label in content:
-        found = [c for n in found for c in n.children if isinstance(c, Node) and c.label() == label]
-    text = clean(x for n in found for x in (" ", *pieces(n, False)))
-    return text or clean(pieces(body, False))
+    return clean(pieces(body, False))
 
 
 def _marked(root: Node) -> Iterator[Node]:
@@ -318,17 +337,12 @@ def _marked(root: Node) -> Iterator[Node]:
                 todo.pop()
 
 
-def _drop(node: Node, path: list[str], template: set[tuple[str, ...]]) -> None:
+def _drop(root: Node, template: set[tuple[str, ...]]) -> None:
     """Take template text out of a tree."""
-    if not template:
-        return
-    todo = [(node, path)]
-    while todo:
-        x, at = todo.pop()
-        if ("/".join(at), own_text(x)) in template:
-            x.children = [c for c in x.children if isinstance(c, Node)]
-        if len(at) < MAX_DEPTH:
-            todo += [(c, [*at, c.label()]) for c in x.children if isinstance(c, Node)]
+    for path, s in walk(shape(root, 0)):
+        if (path, s.texts[0]) in template:
+            for x in s.nodes:
+                x.children = [c for c in x.children if isinstance(c, Node)]
 
 
 def host_of(url: str) -> Column:
@@ -336,12 +350,11 @@ def host_of(url: str) -> Column:
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", references: int = REFERENCES) -> DataFrame:
-    """One row per host: its wrapper, as JSON. Which pages are references is decided
-    on hashes alone; only theirs are moved to their host's task."""
-    spot = F.xxhash64(url_col, F.length(html_col))
-    keyed = pages.select(host_of(url_col).alias("host"), spot.alias("spot"), F.col(html_col).alias("html"))
+    """One row per host: its wrapper, as JSON. Which pages are references is decided on hashes alone, and only theirs are moved to their host's task."""
+    keyed = pages.select(host_of(url_col).alias("host"), F.xxhash64(html_col).alias("spot"), F.col(html_col).alias("html"))
     order = Window.partitionBy("host").orderBy("spot")
-    chosen = keyed.select("host", "spot").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= references)
+    spots = keyed.select("host", "spot").distinct()
+    chosen = spots.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= references)
     some = keyed.join(chosen.select("host", "spot"), ["host", "spot"]).dropDuplicates(["host", "spot"])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

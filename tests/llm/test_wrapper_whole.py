@@ -15,3 +15,14 @@ def test_deep_markup():
     assert wrapper.main_text(f"<body><article>{deep}<p>after</p></article>out</body>", None) == "text after"
     assert wrapper.main_text(f"<body>{deep}<p>after</p></body>", wrapper.induce([deep] * 3)) == "text after"
     assert wrapper.main_text("<body><article>" + "<div>" * 300 + "text</article>out</body>", None) == "text"
+
+
+def words(i, n=30):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_alignment_decides_in_articles():
+    made = [f'<body><article><h2>News</h2><p>{words(i)}</p><div class="box"><p>Get our letter</p></div></article></body>' for i in range(4)]
+    w = wrapper.induce(made)
+    assert [wrapper.main_text(p, w) for p in made] == [f"News {words(i)}" for i in range(4)]
+    assert wrapper.main_text(made[0], wrapper.induce([made[0]] * 4)) == f"News {words(0)} Get our letter"
