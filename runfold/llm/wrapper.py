@@ -3,7 +3,7 @@
 ``REFERENCES`` pages per host (a bounded sample, by hash of the page) are parsed and their DOM trees aligned by simple tree
 matching. Runs of siblings with one label (tag and class) count as one repeated node, as
 wrappers describe lists, so a tree is as large as its layout, not its text. Pages that say
-the same are one page. A node that aligns in several
+nearly the same (``COPY`` of the characters) are one page. A node that aligns in several
 pages and says the same in all of them is constant; where it differs it is a slot. The
 wrapper of a host holds its content path (the deepest node with all slots) and its template:
 constant nodes outside the content node, and inside it, or in an ``article`` or ``main``,
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from runfold.llm.common import settle, table
 
 REFERENCES = 8
+#: share of a page's text that makes it a copy of another
+COPY = 0.8
 #: elements nested deeper are not aligned (so none of their text is template)
 MAX_DEPTH = 200
 
@@ -263,7 +265,7 @@ def induce(pages: list[str]) -> dict:
     for p in pages:
         tree = shape(parse(p), len(trees))
         text = said(tree, len(trees))
-        if text not in known:
+        if not any((text & x).total() >= COPY * min(text.total(), x.total()) for x in known):
             trees.append(tree)
             known.append(text)
     if not trees:

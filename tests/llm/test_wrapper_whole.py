@@ -26,3 +26,12 @@ def test_alignment_decides_in_articles():
     w = wrapper.induce(made)
     assert [wrapper.main_text(p, w) for p in made] == [f"News {words(i)}" for i in range(4)]
     assert wrapper.main_text(made[0], wrapper.induce([made[0]] * 4)) == f"News {words(0)} Get our letter"
+
+
+def test_unmarked_copies_stay():
+    story = f"<div class='top'>Top</div><div class='story'><h1>Title</h1><p>{words(1)}</p></div>"
+    for n in (2, 8):
+        made = [f"<body><div class='day'>{i}</div>{story}</body>" for i in range(n)]
+        for p in (made, [made[0]] * n):
+            assert wrapper.main_text(p[0], wrapper.induce(p)) == f"0 Top Title {words(1)}"
+    assert wrapper.main_text("<body><p>One</p></body>", {"content": [], "template": ["/body/p\tOne"]}) == "One"
