@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-``REFERENCES`` pages per host (a bounded sample, by hash of the page) are parsed and their DOM trees aligned by simple tree
+``REFERENCES`` pages per host and layout (a bounded sample, by hash of the page; a layout
+is the set of a page's label paths) are parsed and their DOM trees aligned by simple tree
 matching. Runs of siblings with one label (tag and class) count as one repeated node, as
 wrappers describe lists, so a tree is as large as its layout, not its text. Pages that say
 nearly the same (``COPY`` of the characters) are one page. A node that aligns in several
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -351,11 +353,23 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def layouts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """``host``, ``layout`` (a hash of the label paths) and ``spot`` (a hash of the page) of all pages."""
+    def run(batches):
+        for b in batches:
+            found = [xxhash.xxh64_intdigest("\n".join(sorted({path for path, _ in walk(shape(parse(p or ""), 0))})), 0) - 2**63
+                     for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), b.column(1)], names=["host", "layout", "spot"])
+    rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(html_col).alias("spot"), F.col(html_col).alias("html"))
+    return rows.mapInArrow(run, "host string, layout long, spot long")
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", references: int = REFERENCES) -> DataFrame:
-    """One row per host: its wrapper, as JSON. Which pages are references is decided on hashes alone, and only theirs are moved to their host's task."""
+    """One row per host: its wrapper, as JSON. Every layout has its references; which
+    pages they are is decided on hashes alone, and only theirs are moved to their host's task."""
     keyed = pages.select(host_of(url_col).alias("host"), F.xxhash64(html_col).alias("spot"), F.col(html_col).alias("html"))
-    order = Window.partitionBy("host").orderBy("spot")
-    spots = keyed.select("host", "spot").distinct()
+    order = Window.partitionBy("host", "layout").orderBy("spot")
+    spots = layouts(pages, url_col, html_col).distinct()
     chosen = spots.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= references)
     some = keyed.join(chosen.select("host", "spot"), ["host", "spot"]).dropDuplicates(["host", "spot"])
 

@@ -35,3 +35,18 @@ def test_unmarked_copies_stay():
         for p in (made, [made[0]] * n):
             assert wrapper.main_text(p[0], wrapper.induce(p)) == f"0 Top Title {words(1)}"
     assert wrapper.main_text("<body><p>One</p></body>", {"content": [], "template": ["/body/p\tOne"]}) == "One"
+
+
+def test_all_slots_are_content():
+    made = [f"<body><div class='part1'><p>{words(i, 80)}</p></div><div class='part2'><p>{words(-i, 20)}</p></div><b>Ad</b></body>" for i in range(1, 6)]
+    w = wrapper.induce(made)
+    assert wrapper.main_text(made[0], w).startswith(f"{words(1, 80)} {words(-1, 20)}")
+
+
+def test_rare_layouts_have_a_template(spark):
+    most = [f"<body><div class='a'><p>{words(i)}</p></div></body>" for i in range(300)]
+    rare = [f"<body><div class='top'>Top</div><div class='b'><h1>T</h1><p>{words(-i)}</p></div></body>" for i in range(1, 4)]
+    rows = [(i, f"http://h.x/{i}", p) for i, p in enumerate(most + rare)]
+    out = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), ["page_id"]).collect()
+    got = {r.page_id: r.main_text for r in out}
+    assert got == {i: words(i) if i < 300 else f"T {words(299 - i)}" for i in range(303)}
