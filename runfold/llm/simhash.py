@@ -17,8 +17,8 @@ sizes allow the similarity and whose bits do are candidates: a Jaccard similarit
 shingles means an expected share of arccos(2 s / (1 + s)) / pi differing bits; ``SLACK``
 standard deviations are allowed (sets of up to ``FEW`` shingles pass without that test).
 Every link is a candidate pair whose exact Jaccard similarity, from both sets, reaches
-the bound. Rounds try ``TRIES`` partners a row, pairs within a component found so far
-are left out, and the last round tries all pairs that are left, so no pair of a list goes
+the bound. Rounds try ``TRIES`` partners a row, then eight times as many each, pairs within a
+component found so far are left out, and rounds end when no pair is left, so no pair of a list goes
 untried unless its rows are joined already. Lists of more than ``ANCHOR_ROWS`` are cut into
 chunks, by set size and component; in the first round rows meet in their chunk, then every
 two chunks meet that may hold a pair.
@@ -247,7 +247,7 @@ def candidate_pairs(key: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.n
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _partners(similarity: float, salt: int, most: int | None):
+def _partners(similarity: float, salt: int, most: int):
     """Rows sorted by ``key`` and ``n`` in; out come links ``a``, ``b`` of candidates: for
     each row its first ``most`` partners in the order ``p`` of this ``salt``, and in
     ``more`` how many it has beside these. Blocks are held whole: callers bound them."""
@@ -262,8 +262,8 @@ def _partners(similarity: float, salt: int, most: int | None):
         first = np.searchsorted(i, i)
         total = np.searchsorted(i, i, side="right") - first
         rank = np.arange(len(i)) - first
-        keep = rank < (len(i) if most is None else most)
-        more = np.where((rank == 0) & (most is not None), np.maximum(total - (most or 0), 0), 0)
+        keep = rank < most
+        more = np.where(rank == 0, np.maximum(total - most, 0), 0)
         i, j, more = i[keep], j[keep], more[keep]
         return pa.RecordBatch.from_arrays([pa.array(node[i], pa.int64()), pa.array(p[j].view(np.int64)),
                                            pa.array(node[j], pa.int64()), pa.array(more, pa.int64())], names=["a", "p", "b", "more"])
@@ -345,12 +345,9 @@ def similar_links(nodes: DataFrame, sets_of, similarity: float, anchor_rows: int
             rows = rows.join(open_, "key", "left_semi")
         parts = blocks(rows, anchor_rows, similarity, roots is not None).repartition("key").sortWithinPartitions("key", "n", "node")
         found = settle(parts.select("key", "side", *ROW).mapInArrow(_partners(similarity, salt, most), "a long, p long, b long, more long"), "candidates")
-        if most is None:
-            tried, left = found.select("a", "b").distinct(), 0
-        else:
-            each = found.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("p", "b"))).alias("all"), F.sum("more").alias("more"))
-            left = each.agg(F.sum(F.col("more") + F.greatest(F.size("all") - most, F.lit(0)))).first()[0] or 0
-            tried = each.select("a", F.explode(F.slice("all", 1, most)).alias("x")).select("a", "x.b")
+        each = found.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("p", "b"))).alias("all"), F.sum("more").alias("more"))
+        left = each.agg(F.sum(F.col("more") + F.greatest(F.size("all") - most, F.lit(0)))).first()[0] or 0
+        tried = each.select("a", F.explode(F.slice("all", 1, most)).alias("x")).select("a", "x.b")
         if roots is None:
             long = lists.filter(F.col("size") > anchor_rows)
             cut = bool(long.head(1))
@@ -362,8 +359,7 @@ def similar_links(nodes: DataFrame, sets_of, similarity: float, anchor_rows: int
         links = new if links is None else links.union(new)
         if not left and (roots is not None or not cut):
             return links
-        if roots is not None and new.isEmpty():
-            most = None
+        most *= 8
         roots = settle(components(links), "roots")
         salt += 1
 
