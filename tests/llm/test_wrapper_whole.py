@@ -38,7 +38,7 @@ def test_unmarked_copies_stay():
 
 
 def test_all_slots_are_content():
-    made = [f"<body><div class='part1'><p>{words(i, 80)}</p></div><div class='part2'><p>{words(-i, 20)}</p></div><b>Ad</b></body>" for i in range(1, 6)]
+    made = [f"<body><div class='first'><p>{words(i, 80)}</p></div><div class='second'><p>{words(-i, 20)}</p></div><b>Ad</b></body>" for i in range(1, 6)]
     w = wrapper.induce(made)
     assert wrapper.main_text(made[0], w).startswith(f"{words(1, 80)} {words(-1, 20)}")
 
