@@ -1,30 +1,16 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
-``fingerprint_groups`` (64 bits, few differing bits): fingerprints that differ in d bits
-share at least 8 - d of their 8 positional bytes. For d <= 2 that is 6, and of the four
-positional byte pairs two are then equal: the index lists, for each of the six choices of
-two byte pairs, the fingerprints that have these four bytes. In each list the shared
+Fingerprints of 64 bits that differ in d bits share at least 8 - d of their 8 positional
+bytes. For d <= 2 that is 6, and of the four positional byte pairs two are then equal: the
+index lists, for each of the six choices of two byte pairs, the fingerprints that have
+these four bytes. In each list the shared
 positional bytes of a pair are tallied, pairs below the guaranteed 6 are dropped, the
 rest verified bit by bit. Lists of more than ``LIST_ROWS`` fingerprints are not paired up:
 two fingerprints differ in at most 2 bits exactly if some value is within 1 bit of both,
 so their members are linked over these values, each of which has 65 neighbours at most.
 
-``similar_links`` (word-shingle similarity): 512 bits make candidates, the shingle sets
-decide. Equal sets are one node. Documents meet in lists by their ``ANCHORS`` smallest
-shingle hashes (similar sets share some of their smallest elements). In each list the
-shared positional bytes, of 64, are tallied; pairs with ``MIN_SHARED`` or more, whose set
-sizes allow the similarity and whose bits do are candidates: a Jaccard similarity s of the
-shingles means an expected share of arccos(2 s / (1 + s)) / pi differing bits; ``SLACK``
-standard deviations are allowed (sets of up to ``FEW`` shingles pass without that test).
-Every link is a candidate pair whose exact Jaccard similarity, from both sets, reaches
-the bound. Rounds try ``TRIES`` partners a row, then eight times as many each, pairs within a
-component found so far are left out, and rounds end when no pair is left, so no pair of a list goes
-untried unless its rows are joined already. Lists of more than ``ANCHOR_ROWS`` are cut into
-chunks, by set size and component; in the first round rows meet in their chunk, then every
-two chunks meet that may hold a pair.
-
-Groups are connected components of the links; in ``fingerprint_groups`` equal fingerprints
-are one node.
+Groups are connected components of the links; equal fingerprints are one node.
+``survivors`` keeps the smallest identifier of each.
 
 Defined results: a null or empty text (or one of white space) has fingerprint zero and
 links like any other; fewer words than a shingle make one shingle; null identifiers never
@@ -34,7 +20,6 @@ one stays; extra columns pass through ``survivors``; an empty table gives an emp
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -48,13 +33,6 @@ from runfold.llm.common import settle, table
 from runfold.llm.components import components
 
 LIST_ROWS = 64
-ANCHORS = 6
-ANCHOR_ROWS = 512
-MIN_SHARED = 2
-SLACK = 4.0
-FEW = 30
-TRIES = 2
-WIDE = 8  # 64-bit parts of the wide fingerprint
 
 
 # --------------------------------------------------------------- fingerprints
@@ -81,13 +59,6 @@ def majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(ones * 2 > len(hashes)).view("<u8")[0]
 
 
-def remix(h: np.ndarray, salt: int) -> np.ndarray:
-    z = h ^ np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and the 64-bit fingerprint ``fp`` of every document."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -175,212 +146,17 @@ def fingerprint_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, id_co
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ----------------------------------------------------------- shingle similarity
-def max_differing(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits allowed between shingle sets of this Jaccard similarity."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
-
-
-def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, a hash of the text, the ``node`` (a hash of the shingle set), the set's size
-    ``n``, the 512-bit ``sig`` and the ``anchors``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-
-    def run(batches):
-        for b in batches:
-            node, size, sig, anchors = [], [], [], []
-            for t in b.column(2).to_pylist():
-                h = np.unique(shingle_hashes(t, words))
-                node.append(node_of(h))
-                size.append(len(h))
-                sig.append(b"".join(majority(remix(h, s + 1)).tobytes() for s in range(WIDE)))
-                order = remix(h, 99)
-                anchors.append(np.sort(np.partition(order, ANCHORS)[:ANCHORS] if len(order) > ANCHORS else order).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
-                                              pa.array(sig, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))],
-                                             names=["id", "text_hash", "node", "n", "sig", "anchors"])
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, node long, n long, "
-                                "sig binary, anchors array<long>")
-
-
-def node_of(h: np.ndarray) -> int:
-    """A hash of a sorted shingle set."""
-    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64))
-
-
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``node`` and ``shingles`` of one column of texts."""
-    def run(batches):
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()),
-                                              pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
-    return texts.mapInArrow(run, "node long, shingles array<long>")
-
-
-def _as_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
-
-
-def candidate_pairs(key: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray,
-                    similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one block (rows sorted by ``key`` and ``n``) that may be similar.
-    Rows of one component are none; rows with a ``side`` meet the other side only."""
-    max_bits = max_differing(similarity)
-    left, right = [], []
-    i, apart = np.arange(len(key)), 1
-    while True:
-        i = i[i + apart < len(key)]
-        i = i[key[i] == key[i + apart]]
-        i = i[n[i] >= similarity * n[i + apart] - 1e-6]
-        if not len(i):
-            break
-        a = i[(comp[i] != comp[i + apart]) & ((side[i] < 0) | (side[i] != side[i + apart]))]
-        diff = sig[a] ^ sig[a + apart]
-        shared = (diff.view(np.uint8).reshape(len(a), 8 * WIDE) == 0).sum(axis=1)
-        ok = (n[a] <= FEW) | (shared >= MIN_SHARED) & (np.bitwise_count(diff).sum(axis=1) <= max_bits)
-        left.append(a[ok])
-        right.append(a[ok] + apart)
-        apart += 1
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def _partners(similarity: float, salt: int, most: int):
-    """Rows sorted by ``key`` and ``n`` in; out come links ``a``, ``b`` of candidates: for
-    each row its first ``most`` partners in the order ``p`` of this ``salt``, and in
-    ``more`` how many it has beside these. Blocks are held whole: callers bound them."""
-    def done(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        key, side, node, n, comp = (t.column(c).to_numpy() for c in ("key", "side", "node", "n", "comp"))
-        i, j = candidate_pairs(key, side, comp, n, _as_rows(t.column("sig")), similarity)
-        p = remix(node.astype(np.int64).view(np.uint64), salt)
-        i, j = np.where(p[i] > p[j], i, j), np.where(p[i] > p[j], j, i)
-        order = np.lexsort((p[j], i))
-        i, j = i[order], j[order]
-        first = np.searchsorted(i, i)
-        total = np.searchsorted(i, i, side="right") - first
-        rank = np.arange(len(i)) - first
-        keep = rank < most
-        more = np.where(rank == 0, np.maximum(total - most, 0), 0)
-        i, j, more = i[keep], j[keep], more[keep]
-        return pa.RecordBatch.from_arrays([pa.array(node[i], pa.int64()), pa.array(p[j].view(np.int64)),
-                                           pa.array(node[j], pa.int64()), pa.array(more, pa.int64())], names=["a", "p", "b", "more"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-            key = t.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield done(t.slice(0, last))
-            held = t.slice(last)
-        if held is not None:
-            yield done(held)
-    return run
-
-
-ROW = ["node", "n", "sig", "comp"]
-
-
-def blocks(lists: DataFrame, anchor_rows: int, similarity: float, cross: bool) -> DataFrame:
-    """Rows of ``lists`` (``key``, ``size``) by block: a list, a chunk of a long one, or
-    (``cross``) every two chunks of a long one that may hold a similar pair."""
-    none = F.lit(-1).alias("side")
-    out = lists.filter(F.col("size") <= anchor_rows).select("key", none, *ROW)
-    long = lists.filter(F.col("size") > anchor_rows)
-    if not cross:
-        chunk = F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / anchor_rows)))
-        return out.union(long.select(chunk.alias("key"), none, *ROW))
-    # chunks hold sets of like size, and a component of many rows has chunks of its own
-    large = long.groupBy("key", "comp").count().filter(F.col("count") > anchor_rows).select("key", "comp", F.col("comp").alias("own"))
-    band = F.floor(F.log(F.col("n") + 1) / math.log(1.1)).alias("band")
-    long = long.join(large, ["key", "comp"], "left").withColumn("band", band)
-    kind = [F.col("key"), F.col("band"), F.coalesce("own", F.lit(0)), F.col("own").isNull()]
-    long = long.withColumn("kind", F.xxhash64(*kind))
-    counts = long.groupBy("kind").agg(F.count("*").alias("of"))
-    long = long.join(counts, "kind").withColumn("chunk", F.xxhash64("kind", F.pmod(F.xxhash64("node", "kind"), F.ceil(F.col("of") / anchor_rows))))
-    sides = long.groupBy("key", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d"))
-    x, y = sides.alias("x"), sides.alias("y")
-    met = x.join(y, F.expr("x.key = y.key and x.chunk <= y.chunk")) \
-        .filter(F.least("x.hi", "y.hi") >= similarity * F.greatest("x.lo", "y.lo") - 1e-6) \
-        .filter("not (x.c = x.d and y.c = y.d and x.c = y.c)") \
-        .select("x.key", F.col("x.chunk").alias("one"), F.col("y.chunk").alias("two"))
-    block = F.xxhash64("key", "one", "two").alias("key")
-    first = long.join(met.withColumn("chunk", F.col("one")), ["key", "chunk"]) \
-        .select(block, F.when(F.expr("one = two"), -1).otherwise(0).alias("side"), *ROW)
-    second = long.join(met.filter("one <> two").withColumn("chunk", F.col("two")), ["key", "chunk"]).select(block, F.lit(1).alias("side"), *ROW)
-    return out.union(first).union(second)
-
-
-def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links whose shingle sets have this Jaccard similarity. A node with many links
-    is dealt out: its set goes once to each part of them."""
-    counts = links.groupBy("b").agg(F.count("*").alias("of"))
-    dealt = links.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("of") / 256)).alias("part"))
-    one = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    two = dealt.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = one.join(two, ["b", "part"]).select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.filter(F.col("both") / (F.col("x") + F.col("y") - F.col("both")) >= similarity).select("a", "b")
-
-
-def similar_links(nodes: DataFrame, sets_of, similarity: float, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
-    """Links between ``node``s (with ``n``, ``sig`` and ``anchors``) that are similar.
-    ``sets_of`` gives the ``shingles`` of some nodes."""
-    postings = nodes.select("node", "n", "sig", F.explode("anchors").alias("key"))
-    sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    lists = settle(postings.join(sizes, "key"), "lists")
-    links = roots = sets = None
-    salt, most = 1, TRIES
-    while True:
-        if roots is None:
-            rows = lists.withColumn("comp", F.col("node"))
-        else:
-            rows = lists.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-            open_ = rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").select("key")
-            rows = rows.join(open_, "key", "left_semi")
-        parts = blocks(rows, anchor_rows, similarity, roots is not None).repartition("key").sortWithinPartitions("key", "n", "node")
-        found = settle(parts.select("key", "side", *ROW).mapInArrow(_partners(similarity, salt, most), "a long, p long, b long, more long"), "candidates")
-        each = found.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("p", "b"))).alias("all"), F.sum("more").alias("more"))
-        left = each.agg(F.sum(F.col("more") + F.greatest(F.size("all") - most, F.lit(0)))).first()[0] or 0
-        tried = each.select("a", F.explode(F.slice("all", 1, most)).alias("x")).select("a", "x.b")
-        if roots is None:
-            long = lists.filter(F.col("size") > anchor_rows)
-            cut = bool(long.head(1))
-            need = found.select(F.col("a").alias("node")).union(found.select("b")).union(long.select("node"))
-            if left:  # partners that are dropped may be tried later
-                need = need.union(lists.select("node"))
-            sets = settle(sets_of(need.distinct()), "sets")
-        new = settle(alike(tried, sets, similarity), "alike")
-        links = new if links is None else links.union(new)
-        if not left and (roots is not None or not cut):
-            return links
-        most *= 8
-        roots = settle(components(links), "roots")
-        salt += 1
-
-
-def survivors(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
-    """The documents that stay, columns unchanged: of each group of documents whose
-    word shingles are similar, the one with the smallest identifier."""
-    rows = settle(wide_fingerprints(docs, words, id_col, text_col), "wide_fingerprints")
-    nodes = settle(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("anchors").alias("anchors"),
-                                            F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("best")), "nodes")
-    key = lambda i, h: F.sha2(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")), h.cast("string")), 256)
-    best = key(F.col("best.id"), F.col("best.text_hash")).alias("__key")
-    keyed = docs.withColumn("__key", key(F.col(id_col), F.xxhash64(text_col)))
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        wanted = nodes.join(some, "node", "left_semi").select(best)
-        return shingle_sets(keyed.select("__key", text_col).join(wanted, "__key", "left_semi").dropDuplicates(["__key"]).select(text_col), words)
-    rooted = nodes.select("node", "best").join(components(similar_links(nodes, sets_of, similarity)), "node", "left")
-    won = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    return keyed.join(won.select(best), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+def survivors(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, columns unchanged: of each component of linked
+    fingerprints the one with the smallest identifier."""
+    mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    rows = settle(fingerprints(docs.select(mark.alias("__mark"), F.col(text_col).alias("__text")), words, "__mark", "__text"),
+                  "fingerprints")
+    won = label(rows, "fp", fingerprint_links(rows.select("fp").distinct(), max_bits)).select("component_id").distinct()
+    key = lambda m: F.sha2(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), m["id"].cast("string")), F.lit("")),
+                                       m["hash"].cast("string")), 256).alias("__key")
+    return docs.withColumn("__key", key(mark)).join(won.select(key(F.col("component_id"))), "__key", "left_semi") \
+        .dropDuplicates(["__key"]).drop("__key")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

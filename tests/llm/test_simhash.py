@@ -94,41 +94,30 @@ def test_edges(spark):
     assert simhash.survivors(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("anchor_rows", [512, 6])
-def test_similar_documents_by_hand(spark, anchor_rows, monkeypatch):
-    """Recall and precision of the similarity stage against exact Jaccard."""
-    monkeypatch.setattr(simhash.similar_links, "__defaults__", (anchor_rows,))
+@pytest.mark.parametrize("words, max_bits", [(3, 2), (2, 0), (5, 1)])
+def test_survivors_by_hand(spark, words, max_bits):
+    """The smallest identifier of each group of linked fingerprints stays, no other."""
     rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    shared = " ".join(word() for _ in range(12))
-    texts, base_of = [], []
-    for b in range(60):
-        base = [word() for _ in range(rng.randrange(80, 400))]
-        for c in range(rng.randrange(1, 9)):
+    texts = []
+    for b in range(40):
+        base = [rng.choice(["a", "b", "C d", "e", "f\n"]) for _ in range(rng.choice([0, 2, 6, 40, 600]))]
+        for _ in range(rng.randrange(1, 6)):
             w = list(base)
-            for i in rng.sample(range(len(w)), len(w) * (c % 3) // 120):
-                w[i] = word()
-            texts.append(" ".join(w) + " " + shared)
-            base_of.append(b)
+            for _ in range(rng.randrange(3) if w else 0):
+                w[rng.randrange(len(w))] = "Z"
+            texts.append(" ".join(w[:-1] if w and rng.random() < 0.3 else w))
+    rng.shuffle(texts)
     docs = spark.createDataFrame([(i, t, "c", 1, None) for i, t in enumerate(texts)], DOCS).repartition(6)
-    left = {r.doc_id for r in simhash.survivors(docs).collect()}
-    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
-    close = lambda s: [(i, j) for i in range(len(texts)) for j in range(i)
-                       if base_of[i] == base_of[j] and len(sets[i] & sets[j]) >= s * len(sets[i] | sets[j])]
-    n_groups = lambda pairs: len(set(roots(pairs, range(len(texts))).values()))
-    assert {base_of[i] for i in left} == set(range(60))  # every text has a survivor
-    assert len(left) <= n_groups(close(0.85)) + 2
-    assert len(left) >= n_groups(close(0.6))
+    got = {r.doc_id for r in simhash.survivors(docs, words, max_bits).collect()}
+    fps = {i: int(simhash.majority(simhash.shingle_hashes(t, words))) for i, t in enumerate(texts)}
+    links = [(a, b) for a in fps for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= max_bits]
+    assert got == set(roots(links, fps).values())
 
 
-def test_unrelated_documents_stay(spark):
+def test_survivors_of_the_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    left = simhash.survivors(docs)
-    rows = {r.doc_id: (r.text or "").lower().split() for r in docs.collect()}
-    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in rows.items()}
-    gone = set(rows) - {r.doc_id for r in left.collect()}
-    for i in gone:
-        assert any(j != i and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) for j in sets)
+    want = set(groups({r.doc_id: fingerprint(r.text) for r in docs.collect()}).values())
+    assert {r.doc_id for r in simhash.survivors(docs).collect()} == want
 
 
 def test_schema_of_survivors(spark):
