@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, their queries and their SQL."""
 
-from runfold.llm import chat, exact_dedup, langid, licences, mixing, pieces, pii, quality, simhash, wrapper
+from runfold.llm import alignment, chat, exact_dedup, langid, licences, mixing, pieces, pii, quality, simhash, wrapper
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_licence_scan": licences.op9_licence_scan,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_align_tokens": alignment.op11_align_tokens,
 }
 
 ORACLE = {
