@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, their queries and their SQL."""
 
-from runfold.llm import alignment, chat, exact_dedup, langid, licences, mixing, pieces, pii, quality, simhash, trie, wrapper
+from runfold.llm import alignment, chat, exact_dedup, flat_graph, langid, licences, mixing, pieces, pii, quality, simhash, trie, wrapper
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_licence_scan": licences.op9_licence_scan,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_align_tokens": alignment.op11_align_tokens,
+    "op12_embedding_dedup": flat_graph.op12_embedding_dedup,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
 

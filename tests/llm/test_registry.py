@@ -8,7 +8,7 @@ import __spark_entry__ as e
 
 def test_queries_are_registered():
     names = e.queries()
-    for n in range(1, 12):
+    for n in range(1, 14):
         assert sum(bool(re.match(rf"op{n}_", k)) for k in names) == 1, n
     assert "pipeline" in names and set(e.oracle_sql()) <= set(names)
 
