@@ -5,8 +5,8 @@ vectors are one node with a size. Nodes are dealt into overlapping cluster shard
 with more than ``rows`` nodes is cut at medoids found on a sample of at most about
 ``SAMPLE`` of its nodes, in rounds, until every cell is small. Medoids that would link with
 each other share a cell, so a group of near copies isn't torn apart, and a node also goes to
-the second-nearest cell if the border is nearer than half the linking distance (the middle
-of a linked pair lies in one cell; its ends are no farther from that cell than this). A cell
+the next ``OVERLAP - 1`` cells if their border is nearer than half the linking distance (the
+middle of a linked pair lies in one cell; its ends are no farther from that cell than this). A cell
 that has one medoid group (near copies of one another in great number) is cut into pieces by
 hash instead, and each of its nodes is searched in every piece.
 
@@ -46,6 +46,7 @@ from runfold.llm.components import components
 ROWS = 2048
 SAMPLE = 4096
 CENTRES = 128
+OVERLAP = 3
 #: Neighbours kept near and far; entry points per so many nodes.
 NEAR, FAR, PER_ENTRY = 16, 8, 64
 ALPHA = 1.2
@@ -99,25 +100,29 @@ def medoids(x: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray
     return m, np.unique(group, return_inverse=True)[1]
 
 
-def cells_of(x: np.ndarray, m: np.ndarray, group: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the group of its nearest medoid, and the next group if its border is nearer
-    than ``margin`` (else -1)."""
+def cells_of(x: np.ndarray, m: np.ndarray, group: np.ndarray, margin: float) -> np.ndarray:
+    """Per row ``OVERLAP`` groups: that of its nearest medoid, and the next ones as far as
+    their border is nearer than ``margin`` (else -1)."""
     near = x @ m.T
-    first = near.argmax(axis=1)
-    own = group[first]
-    rest = np.where(group[None, :] == own[:, None], -np.inf, near)
-    second = rest.argmax(axis=1)
     i = np.arange(len(x))
-    apart = np.maximum(np.linalg.norm(m[first] - m[second], axis=1), 1e-12)
-    close = np.isfinite(rest[i, second]) & ((near[i, first] - rest[i, second]) / apart <= margin)
-    return own, np.where(close, group[second], -1)
+    first = near.argmax(axis=1)
+    out = np.full((len(x), OVERLAP), -1)
+    out[:, 0] = group[first]
+    rest = np.where(group[None, :] == group[first][:, None], -np.inf, near)
+    for k in range(1, OVERLAP):
+        other = rest.argmax(axis=1)
+        apart = np.maximum(np.linalg.norm(m[first] - m[other], axis=1), 1e-12)
+        close = np.isfinite(rest[i, other]) & ((near[i, first] - rest[i, other]) / apart <= margin)
+        out[:, k] = np.where(close, group[other], -1)
+        rest = np.where(group[None, :] == group[other][:, None], -np.inf, rest)
+    return out
 
 
 def _sampled(bound: float, rows: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by("node")
         x, n = unit_rows(t.column("x").combine_chunks()), t.column("n")[0].as_py()
-        m, group = medoids(x, max(2, min(CENTRES, -(-3 * n // rows))), bound)
+        m, group = medoids(x, max(2, min(CENTRES, -(-2 * OVERLAP * n // rows))), bound)
         return pa.table({"cell": t.column("cell").slice(0, 1), "n": t.column("n").slice(0, 1), "centres": pa.array([m.ravel()], pa.list_(pa.float64())),
                          "groups": pa.array([group], pa.list_(pa.int64()))})
     return run
@@ -139,9 +144,8 @@ def _dealt(margin: float):
                     cell, group = keys[lo][0], np.array(part.column(4)[0].as_py())
                     m = np.array(part.column(3)[0].as_py()).reshape(len(group), -1)
                     continue
-                own, second = cells_of(unit_rows(part.column(2)), m, group, margin)
-                for where, to in ((np.arange(len(own)), own), (np.flatnonzero(second >= 0), second[second >= 0])):
-                    rows = part.take(pa.array(where))
+                for to in cells_of(unit_rows(part.column(2)), m, group, margin).T:
+                    rows, to = part.take(pa.array(np.flatnonzero(to >= 0))), to[to >= 0]
                     yield pa.RecordBatch.from_arrays([pa.array([f"{cell}.{g}" for g in to.tolist()], pa.string()), rows.column(1), rows.column(2)],
                                                      names=["cell", "node", "x"])
     return run
