@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runfold.constants import ACK_TIMEOUT_SECONDS, POLL_SECONDS
+from runfold.constants import POLL_SECONDS
 from runfold.operators import state
 from runfold.session import staging_path
 from runfold.sources import tables as tb
+from runfold.streaming import approvals
 
 DEFAULT_TRIGGER = {"availableNow": True}
 COMPACT_EVERY = 100
@@ -232,50 +233,21 @@ def poll_until_terminal(spark: SparkSession, sf_dir: str, trigger: dict | None =
 
 
 # ------------------------------------------------------------------ ST4
-def stream_ack_join_df(events: DataFrame, watermark: str = "10 minutes",
-                       timeout_seconds: int = ACK_TIMEOUT_SECONDS) -> DataFrame:
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP
-    req = (e.where(F.col("event_type") == "click")
-            .select(F.col("event_id").alias("req_id"), F.col("user_id").alias("req_user"), F.col("ts").alias("req_ts"))
-            .withWatermark("req_ts", watermark))
-    ans = (e.where(F.col("event_type") == "purchase")
-            .select(F.col("event_id").alias("ans_id"), F.col("user_id").alias("ans_user"), F.col("ts").alias("ans_ts"))
-            .withWatermark("ans_ts", watermark))
-    cond = ((F.col("req_user") == F.col("ans_user")) & (F.col("ans_ts") >= F.col("req_ts"))
-            & (F.col("ans_ts") <= F.col("req_ts") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")))
-    return req.join(ans, cond, "leftOuter").select("req_id", "req_user", "req_ts", "ans_id", "ans_ts")
-
-
-def stream_ack_earliest_df(events: DataFrame, watermark: str = "10 minutes",
-                           timeout_seconds: int = ACK_TIMEOUT_SECONDS) -> DataFrame:
-    """J8 on a stream: the interval join, then the earliest answer per
-    request (a second stateful operator, evicted by the request watermark)."""
-    j = stream_ack_join_df(events, watermark, timeout_seconds)
-    best = (j.groupBy("req_id", "req_user", "req_ts")
-             .agg(F.min_by(F.struct(F.col("ans_id").alias("aid"), F.col("ans_ts").alias("ats")),
-                           F.struct("ans_ts", "ans_id")).alias("b")))
-    return best.select("req_id", "req_user", "req_ts", F.col("b.aid").alias("answer_id"),
-                       F.col("b.ats").alias("answer_ts"),
-                       F.when(F.col("b.aid").isNotNull(), "allow").otherwise("deny").alias("decision"))
-
-
-def stream_ack_join(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
-    """ST4: request/answer streams joined within the time-out, earliest answer
-    per request; requests with no answer come out (denied) once the watermark
-    passes them. Requests that the run leaves open (newer than the final
-    watermark, or late) are closed afterwards by the batch as-of join, so every
-    request comes out once."""
-    from runfold.operators import policy
-    live = stream_ack_earliest_df(file_stream(spark, sf_dir, "events"))
-    done = spark.read.schema(live.schema).parquet(_append_sink(live, "ack-join", trigger))
-    e = tb.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    req = (e.where(F.col("event_type") == "click")
-            .select(F.col("event_id").alias("req_id"), F.col("user_id").alias("req_user"), F.col("ts").alias("req_ts")))
-    ans = (e.where(F.col("event_type") == "purchase")
-            .select(F.col("event_id").alias("ans_id"), F.col("user_id").alias("req_user"), F.col("ts").alias("ans_ts")))
-    left_open = req.join(done.select("req_id"), "req_id", "left_anti")
-    closed = policy.ack_interval_join(left_open, ans, "req_user", "req_id", "req_ts", "ans_id", "ans_ts")
-    return done.unionByName(closed.select(*done.columns))
+def approval_run(spark: SparkSession, sf_dir: str, max_files: int | None = None, watermark_seconds: int = 600,
+                 slice_seconds: int = approvals.SLICE_SECONDS) -> approvals.ApprovalRun:
+    """ST4 over the events: clicks ask, purchases answer."""
+    events = file_stream(spark, sf_dir, "events", max_files)
+    is_ = lambda kind: F.col("event_type") == kind
+    return approvals.ApprovalRun(spark, lambda marks: approvals.approvals_df(
+        events, marks, is_("click"), is_("purchase"), watermark=f"{watermark_seconds} seconds", slice_seconds=slice_seconds))
+
+
+def stream_ack_join(spark: SparkSession, sf_dir: str, max_files: int | None = None, watermark_seconds: int = 600) -> DataFrame:
+    """ST4: every request with its earliest answer within the time-out, or denied when
+    its timer fires. The run takes what is there, then a mark closes what is open."""
+    run = approval_run(spark, sf_dir, max_files, watermark_seconds)
+    run.to_end(watermark_seconds)
+    return run.decisions()
 
 
 # ------------------------------------------------------------------ ST2, message channel
