@@ -16,6 +16,7 @@ from runfold.functions.paths import basename, dirname, extname, is_within, resol
 from runfold.functions.text import js_trim
 from runfold.operators.common import settled
 from runfold.operators.scan import DEFAULT_WIDTH, Run, running
+from runfold.sources.versions import VersionedTable
 
 # FIXED VALUES: the refusal texts, in the order the checks run.
 REASON_TRAVERSAL = "Path traversal detected."
@@ -278,10 +279,6 @@ def ack_interval_join(requests: DataFrame, answers: DataFrame, key: str, req_id:
                      F.when(best.isNotNull(), "allow").otherwise("deny").alias("decision")))
 
 
-#: rows per file of a gated write
-FILE_ROWS = 1_000_000
-
-
 # ------------------------------------------------------------------ S6
 def gate_batches(batch: DataFrame, batch_col: str, order_col: str, operation: str = "write",
                  path: str = "path", existing: DataFrame | None = None, root: str = "/w") -> DataFrame:
@@ -299,22 +296,16 @@ def gate_batches(batch: DataFrame, batch_col: str, order_col: str, operation: st
 
 def gated_write(batch: DataFrame, batch_col: str, order_col: str, dest: str, path: str = "path",
                 root: str = "/w") -> DataFrame:
-    """All-or-nothing batch writes. Each batch whose every path passes the
-    write policy is written (partitioned by batch) under ``dest``; a batch with
-    any violation writes nothing and reports its first violation. Returns the
-    per-batch report (``status`` written / refused).
-
-    The check runs before anything is written. The write is then one Spark
-    job: the output committer stages task files and publishes them at job
-    commit, so a failed job leaves no batch half-written."""
+    """All-or-nothing batch writes into the versioned folder ``dest``. The batches
+    whose every path passes the write policy are published together as its next version,
+    replacing batches of the same name; all others that are there stay. A batch with any
+    violation writes nothing and reports its first violation; if all are refused there is
+    no write. Returns the per-batch report (``status`` written / refused)."""
     report = settled(gate_batches(batch, batch_col, order_col, "write", path, None, root), "gate")
-    # a batch gets one writing task per FILE_ROWS rows, so a large one is spread
-    # and a small one is one file
-    ok = report.where("allowed").select(batch_col, F.ceil(F.col("n_files") / FILE_ROWS).alias("__n"))
-    (batch.join(ok, batch_col)
-          .withColumn("__salt", F.pmod(F.xxhash64(order_col), F.col("__n")))
-          .repartition(batch_col, "__salt").drop("__salt", "__n")
-          .write.mode("overwrite").partitionBy(batch_col).parquet(dest))
+    ok = report.where("allowed").select(F.col(batch_col).alias("__ok"))
+    if not ok.isEmpty():
+        VersionedTable(batch.sparkSession, dest, batch_col).publish(
+            batch.join(ok, F.col(batch_col).eqNullSafe(F.col("__ok")), "left_semi"))
     return report.withColumn("status", F.when(F.col("allowed"), "written").otherwise("refused"))
 
 
@@ -328,3 +319,20 @@ def delete_by_key(table: DataFrame, requests: DataFrame, batch_col: str, order_c
     applied = requests.join(report.where("allowed").select(batch_col), batch_col, "left_semi").select(path)
     remaining = table.join(applied.distinct(), path, "left_anti")
     return remaining, report.withColumn("status", F.when(F.col("allowed"), "deleted").otherwise("refused"))
+
+
+def gated_delete(stored: VersionedTable, requests: DataFrame, batch_col: str, order_col: str, path: str = "path",
+                 root: str = "/w") -> DataFrame:
+    """S8 on a versioned folder: the keys of the applied requests go with the next version.
+    Only stored batches that lose a row are written anew; the files of all others stay the
+    same. Returns the report of the requests' batches (``status`` deleted / refused)."""
+    version = stored.version()
+    rows = stored.read(version)
+    report = settled(gate_batches(requests, batch_col, order_col, "delete", path, rows.select(path).distinct(), root), "gate")
+    ok = report.where("allowed").select(F.col(batch_col).alias("__ok"))
+    keys = requests.join(ok, F.col(batch_col).eqNullSafe(F.col("__ok")), "left_semi").select(path).distinct()
+    touched = settled(rows.join(keys, path, "left_semi").select(F.col(stored.key).alias("__batch")).distinct(), "touched")
+    kept = rows.join(touched, F.col(stored.key).eqNullSafe(F.col("__batch")), "left_semi").join(keys, path, "left_anti")
+    if not touched.isEmpty():
+        stored.publish(kept.select(*rows.columns), touched, expect=version)
+    return report.withColumn("status", F.when(F.col("allowed"), "deleted").otherwise("refused"))

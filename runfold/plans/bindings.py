@@ -18,6 +18,7 @@ from runfold.constants import (ALLOWED_PATHS, BLOCKED_COMMANDS, BLOCKED_PATTERNS
 from runfold.operators import clean, policy, registry, reports, state, storage, text
 from runfold.session import staging_path
 from runfold.sources import files, tables as tb
+from runfold.sources.versions import VersionedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -264,6 +265,44 @@ def delete_by_key(spark, sf):
     return spark.read.parquet(dst)
 
 
+def _small_batches(spark, sf):
+    part = F.concat((F.col("page_id") % 5).cast("string"), F.lit("-"), F.expr("page_id div 20").cast("string"))
+    return tb.paths(spark, sf).select("page_id", "path", part.alias("batch"))
+
+
+def _stored(spark, sf):
+    """Four gated writes into one versioned folder: even and odd batches, some batches
+    anew with their first page only, and batches that are all refused."""
+    dest, b = staging_path(spark, "gated-files"), _small_batches(spark, sf)
+    n = F.expr("page_id div 20")
+    for some in (b.where(n % 2 == 0), b.where(n % 2 == 1), b.where((n % 4 == 0) & (F.col("page_id") % 20 < 5)),
+                 b.where(F.col("page_id") % 5 == 3)):
+        policy.gated_write(some, "batch", "page_id", dest)
+    return VersionedTable(spark, dest, "batch")
+
+
+@q("gated_write_files")
+def gated_write_files(spark, sf):
+    return _stored(spark, sf).read()
+
+
+def _deletes(spark, sf):
+    paths = tb.paths(spark, sf).where(F.col("operation") == "delete").select("page_id")
+    return _small_batches(spark, sf).join(paths, "page_id")
+
+
+@q("gated_delete_files")
+def gated_delete_files(spark, sf):
+    stored = _stored(spark, sf)
+    policy.gated_delete(stored, _deletes(spark, sf), "batch", "page_id")
+    return stored.read()
+
+
+@q("delete_report")
+def delete_report(spark, sf):
+    return policy.gated_delete(_stored(spark, sf), _deletes(spark, sf), "batch", "page_id")
+
+
 # ============================================================ text and JSON
 def _extracted(spark, sf):
     return text.llm_json_extract(tb.llm_out(spark, sf))

@@ -398,6 +398,23 @@ g AS (SELECT page_id, path, dir AS batch,
 SELECT * FROM paths p WHERE NOT EXISTS (
   SELECT 1 FROM g JOIN gate USING (batch) WHERE gate.allowed AND g.path = p.path)"""
 
+STORED = f"""{PATHS}, {PATH_PARTS},
+judged AS (SELECT page_id, path, concat(CAST(page_id % 5 AS VARCHAR), '-', CAST(page_id // 20 AS VARCHAR)) AS batch,
+             page_id // 20 AS n, {policy_reason("'write'", 'true')} IS NULL AS fine FROM path_parts),
+first_write AS (SELECT batch, bool_and(fine) AS fine FROM judged GROUP BY batch),
+second_write AS (SELECT batch, bool_and(fine) AS fine FROM judged WHERE n % 4 = 0 AND page_id % 20 < 5 GROUP BY batch),
+stored AS (SELECT j.page_id, j.path, j.batch FROM judged j JOIN first_write f USING (batch) LEFT JOIN second_write s USING (batch)
+           WHERE CASE WHEN s.fine THEN j.page_id % 20 < 5 ELSE f.fine END)"""
+ORACLE["gated_write_files"] = f"WITH {STORED} SELECT * FROM stored"
+DELETES = f"""{STORED},
+g AS (SELECT page_id, path, concat(CAST(page_id % 5 AS VARCHAR), '-', CAST(page_id // 20 AS VARCHAR)) AS batch,
+        {policy_reason("'delete'", 'EXISTS (SELECT 1 FROM stored e WHERE e.path = resolved)')} AS reason
+      FROM path_parts WHERE operation = 'delete'),
+{GATE}"""
+ORACLE["gated_delete_files"] = f"""WITH {DELETES}
+SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM g JOIN gate USING (batch) WHERE gate.allowed AND g.path = s.path)"""
+ORACLE["delete_report"] = f"WITH {DELETES} SELECT *, CASE WHEN allowed THEN 'deleted' ELSE 'refused' END AS status FROM gate"
+
 # ------------------------------------------------------------ text and JSON
 MIXED = " ".join(f"WHEN {i} THEN {lit(b)}" for i, b in enumerate(MIXED_BODIES))
 LLM_MIXED = f"""llm_mixed AS (

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runfold.operators import policy, storage, text
+from runfold.sources.versions import VersionedTable
 from runfold.sources import files
 
 
@@ -94,7 +95,7 @@ def test_gated_write_and_delete(spark, tmp_path):
     rep = {r.batch: r for r in policy.gated_write(b, "batch", "ord", dest).collect()}
     assert rep["a"].status == "written" and rep["b"].status == "refused"
     assert rep["b"].first_path == "/w/CodeSandBox/b/run.sh"
-    assert spark.read.parquet(dest).count() == 2
+    assert VersionedTable(spark, dest, "batch").read().count() == 2
     table = b.select("path")
     reqs = b.where("batch = 'a'").unionByName(
         spark.createDataFrame([(9, "/w/CodeSandBox/c/missing.py", "c")], "ord long, path string, batch string"))
