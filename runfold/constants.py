@@ -30,6 +30,7 @@ DEFAULT_STEP = "reception"
 DEFAULT_STRATEGY = "PENDING"
 DEFAULT_STATUS = "PENDING"
 DEFAULT_WORKSPACE = ""
+DEFAULT_DIAGRAM = '{"nodes":[],"edges":[]}'
 
 MAX_RETRIES = 3
 ACK_TIMEOUT_SECONDS = 300

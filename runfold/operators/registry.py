@@ -176,20 +176,16 @@ def layered_defaults(settings: DataFrame, defaults: list[tuple[str, str, str]],
 
 
 def _layered(base: DataFrame, over: DataFrame, merge_sections: list[str], tenant: str) -> DataFrame:
-    """``base`` rows with ``over`` laid on top: one grouping by tenant and section
-    (a section has a handful of keys), within which a replaced section drops its
-    base rows and a merged one those whose key is laid over."""
-    both = base.select(tenant, "section", "key", "value", F.lit(0).alias("layer")) \
+    """``base`` rows with ``over`` laid on top. A replaced section drops its base rows by
+    an anti join; then the higher layer wins per key, as a partial aggregate. Of a key's
+    repeated rows in a layer the greatest value counts."""
+    merged = F.coalesce(F.col("section").isin(*merge_sections), F.lit(False))
+    gone = over.where(~merged).select(F.col(tenant).alias("__t"), F.col("section").alias("__s")).distinct()
+    kept = base.join(gone, F.col(tenant).eqNullSafe(F.col("__t")) & F.col("section").eqNullSafe(F.col("__s")), "left_anti")
+    both = kept.select(tenant, "section", "key", "value", F.lit(0).alias("layer")) \
         .unionByName(over.select(tenant, "section", "key", "value", F.lit(1).alias("layer")))
-    one = both.groupBy(tenant, "section").agg(F.collect_list(F.struct("key", "value", "layer")).alias("__e"),
-                                              F.max("layer").alias("__top"))
-    above = F.filter("__e", lambda e: e["layer"] == 1)
-    keys = F.array_distinct(F.transform(above, lambda e: e["key"]))
-    laid = F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_max(F.transform(
-        F.filter(above, lambda e: e["key"].eqNullSafe(k)), lambda e: e["value"])).alias("value"), F.lit(1).alias("layer")))
-    merged = F.col("section").isin(*merge_sections) | (F.col("__top") == 0)
-    kept = F.filter("__e", lambda e: merged & (e["layer"] == 0) & ~F.exists(keys, lambda k: k.eqNullSafe(e["key"])))
-    return one.select(tenant, "section", F.inline(F.concat(kept, laid)))
+    return both.groupBy(tenant, "section", "key").agg(F.max(F.struct("layer", "value")).alias("__top")) \
+        .select(tenant, "section", "key", F.col("__top.value").alias("value"))
 
 
 # FIXED VALUES: how a settings request treats the sections it may change.

@@ -8,7 +8,8 @@ rows and stitch the pieces back together:
 1. a key with at most ``width`` rows is one piece (and needs no further row); a
    larger one is cut into equal ranges of its own order values, one per ``width``
    rows, and ranges that hold over twice ``width`` rows are cut again the same way
-   until none does (or all its rows have one order value);
+   until none does; rows with one value of the first order column are cut by the next
+   ones, so rows at one time stay together only where the whole order is the same;
 2. each piece of a key with several is summarised (partial aggregates), and an
    exclusive running fold over a key's summaries gives every piece its *carry-in*:
    at most 2 rows per ``width`` input rows in all, none for other keys;
@@ -28,10 +29,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runfold.operators.common import settled
 
 DEFAULT_WIDTH = 1 << 16
+#: Numbers of 7 bytes each by which a text order is cut; texts equal in all are one piece.
+TEXT_PIECES = 4
 _SEED = "__seed"
 
 
@@ -54,33 +58,71 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
     return left.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
-def _ranges(d: DataFrame, by: list[str], most: int, width: int, level: int) -> DataFrame:
-    """Groups ``by`` with more than ``most`` rows (and more than one order value):
-    smallest order value and the length of equal ranges of ``width`` rows on average."""
-    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__cut").alias("lo"), F.max("__cut").alias("hi"))
-    n = n.where((F.col("n") > most) & (F.col("hi") > F.col("lo")))
-    step = F.expr(f"(hi - lo) div ceil(n / {int(width)}) + 1")
+def ordinals(df: DataFrame, col: str) -> tuple[list[Column], bool]:
+    """Whole numbers whose lexicographic order is that of ``col`` (null first), small
+    enough for differences; False where they do not tell all its values apart."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        raw = c.cast("binary")
+        piece = lambda i: F.rpad(F.hex(F.substring(raw, 7 * i + 1, 7)), 14, "0")
+        parts = [F.when(c.isNotNull(), F.conv(piece(i), 16, 10).cast("bigint")) for i in range(TEXT_PIECES)]
+        return [F.coalesce(p, F.lit(-1)) for p in parts], False
+    elif isinstance(kind, (T.DecimalType, T.FractionalType)):
+        far = F.lit(1 << 60).cast("double")
+        return [F.floor(F.greatest(F.least(F.coalesce(c.cast("double"), -far), far), -far)).cast("bigint")], False
+    elif not isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return [], False
+    c = c.cast("bigint")
+    return [F.coalesce(F.shiftright(c, 32).cast("bigint"), F.lit(-1 << 32)), F.coalesce(c.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0))], True
+
+
+def order_cuts(df: DataFrame, orders: list[str]) -> list[Column]:
+    """``ordinals`` of the order columns, up to the first that they do not tell apart."""
+    cuts: list[Column] = []
+    for o in orders:
+        cols, exact = ordinals(df, o)
+        cuts += cols
+        if not exact:
+            break
+    return cuts
+
+
+def _over_full(d: DataFrame, by: list[str], most: int, width: int, level: int) -> DataFrame:
+    """Groups ``by`` with more than ``most`` rows: smallest order value and the length of
+    equal ranges of ``width`` rows on average (null where all have one order value)."""
+    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__cut").alias("lo"), F.max("__cut").alias("hi")).where(F.col("n") > most)
+    step = F.when(F.col("hi") > F.col("lo"), F.expr(f"(hi - lo) div ceil(n / {int(width)}) + 1"))
     return settled(n.select(*by, F.col("lo").alias(f"__lo{level}"), step.alias(f"__step{level}")), "scan-ranges")
 
 
-def cut_keys(df: DataFrame, keys: list[str], cut: Column, width: int) -> tuple[DataFrame, list[str]] | None:
+def cut_keys(df: DataFrame, keys: list[str], cut: Column | list[Column], width: int) -> tuple[DataFrame, list[str]] | None:
     """``df`` with the piece of every row and ``__several`` (its key has more than
     one piece), and the columns that name a piece; None if no key has several.
-    ``cut`` is a whole number that does not decrease along the order. Every round
-    cuts what is still too large; ranges shrink by rows / width each time."""
-    d = df.withColumn("__cut", cut.cast("bigint"))
-    named: list[str] = []
-    while True:
-        level = len(named)
-        large = _ranges(d.where("__several") if level else d, [*keys, *named], (2 if level else 1) * width, width, level)
-        if large.isEmpty():
-            break
-        d = _null_safe(d, large, [*keys, *named], "left")
-        if not level:
-            d = d.withColumn("__several", F.col("__lo0").isNotNull())
-        at = F.coalesce(F.expr(f"(__cut - __lo{level}) div __step{level}"), F.lit(0)).cast("bigint")
-        named.append(f"__piece{level}")
-        d = d.withColumn(named[-1], at).drop(f"__lo{level}", f"__step{level}")
+    ``cut`` is one whole number that does not decrease along the order, or several, of
+    which each does not decrease among rows with equal ones before. Every round cuts what
+    is still too large; ranges shrink by rows / width each time, and what has one value of
+    a number is cut by the next."""
+    d, named = df.withColumn("__several", F.lit(False)), []
+    for c in cut if isinstance(cut, list) else [cut]:
+        d = d.withColumn("__cut", c.cast("bigint"))
+        first = True
+        while True:
+            level = len(named)
+            over = _over_full(d if first else d.where("__several"), [*keys, *named], (2 if level else 1) * width, width, level)
+            if over.isEmpty():
+                return (d.drop("__cut"), named) if named else None
+            large = over.where(F.col(f"__step{level}").isNotNull())
+            if large.isEmpty():
+                break
+            first = False
+            d = _null_safe(d, large, [*keys, *named], "left").withColumn("__several", F.col("__several") | F.col(f"__lo{level}").isNotNull())
+            at = F.coalesce(F.expr(f"(__cut - __lo{level}) div __step{level}"), F.lit(0)).cast("bigint")
+            named.append(f"__piece{level}")
+            d = d.withColumn(named[-1], at).drop(f"__lo{level}", f"__step{level}")
     return (d.drop("__cut"), named) if named else None
 
 
@@ -92,8 +134,8 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
 
     ``order`` is a column name or a list of names (lexicographic, unique per
     key). ``cut`` is a whole-number column, non-decreasing along ``order``, by
-    which keys are cut (default: a single numeric order itself); ``bucket`` gives
-    the pieces outright instead. ``descending=True`` folds from the last row
+    which keys are cut first; then, and by default, the order columns themselves cut them
+    (``order_cuts``); ``bucket`` gives the pieces outright instead. ``descending=True`` folds from the last row
     backwards (a suffix scan: "the next … at or after this row"). NULL keys form
     one group, as in a plain window.
     """
@@ -103,9 +145,9 @@ def running(df: DataFrame, keys: list[str], order, runs: list[Run],
     if bucketed and bucket is not None:
         d, named = df.withColumn("__piece0", bucket).withColumn("__several", F.lit(True)), ["__piece0"]
     elif bucketed:
-        if cut is None and len(orders) != 1:
-            raise ValueError("a composite order needs a column to cut by")
-        d, named = cut_keys(df, keys, F.col(orders[0]) if cut is None else cut, width) or (None, [])
+        if cut is None and len(orders) == 1 and isinstance(df.schema[orders[0]].dataType, T.IntegralType):
+            cut = F.col(orders[0])
+        d, named = cut_keys(df, keys, [*([] if cut is None else [cut]), *order_cuts(df, orders)], width) or (None, [])
     if d is None:
         w = Window.partitionBy(*keys).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
         out = df

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runfold.constants import (DEFAULT_STATUS, DEFAULT_STEP, DEFAULT_STRATEGY, DEFAULT_WORKSPACE, END,
+from runfold.constants import (DEFAULT_DIAGRAM, DEFAULT_STATUS, DEFAULT_STEP, DEFAULT_STRATEGY, DEFAULT_WORKSPACE, END,
                                EXECUTED_TASK_TEXT, MAX_RETRIES, START, WORKFLOW_EDGES)
 from runfold.operators.scan import DEFAULT_WIDTH, Run, next_in_group, running
 
@@ -30,7 +30,7 @@ LAST_NONNULL_DEFAULTS = {
     "current_step": DEFAULT_STEP,
     "execution_strategy": DEFAULT_STRATEGY,
     "deployment_status": DEFAULT_STATUS,
-    "diagram": None,
+    "diagram": DEFAULT_DIAGRAM,
     "cloud_plan": None,
     "workspace_path": DEFAULT_WORKSPACE,
 }

@@ -239,7 +239,7 @@ SELECT session_id,
   coalesce(arg_max(current_step, seq) FILTER (WHERE current_step IS NOT NULL), 'reception') AS current_step,
   coalesce(arg_max(execution_strategy, seq) FILTER (WHERE execution_strategy IS NOT NULL), 'PENDING') AS execution_strategy,
   coalesce(arg_max(deployment_status, seq) FILTER (WHERE deployment_status IS NOT NULL), 'PENDING') AS deployment_status,
-  arg_max(diagram, seq) FILTER (WHERE diagram IS NOT NULL) AS diagram,
+  coalesce(arg_max(diagram, seq) FILTER (WHERE diagram IS NOT NULL), '{{"nodes":[],"edges":[]}}') AS diagram,
   arg_max(cloud_plan, seq) FILTER (WHERE cloud_plan IS NOT NULL) AS cloud_plan,
   coalesce(arg_max(workspace_path, seq) FILTER (WHERE workspace_path IS NOT NULL), '') AS workspace_path
 FROM state_log GROUP BY session_id"""
@@ -261,7 +261,7 @@ RUNNING = f"""running AS (
     coalesce(last_value(current_step IGNORE NULLS) OVER w, 'reception') AS current_step,
     coalesce(last_value(execution_strategy IGNORE NULLS) OVER w, 'PENDING') AS execution_strategy,
     coalesce(last_value(deployment_status IGNORE NULLS) OVER w, 'PENDING') AS deployment_status,
-    last_value(diagram IGNORE NULLS) OVER w AS diagram, last_value(cloud_plan IGNORE NULLS) OVER w AS cloud_plan,
+    coalesce(last_value(diagram IGNORE NULLS) OVER w, '{{"nodes":[],"edges":[]}}') AS diagram, last_value(cloud_plan IGNORE NULLS) OVER w AS cloud_plan,
     coalesce(last_value(workspace_path IGNORE NULLS) OVER w, '') AS workspace_path,
     (last_value(CASE WHEN has_validation_errors THEN {{'v': validation_errors}} END IGNORE NULLS) OVER w).v
       AS validation_errors,
@@ -670,7 +670,7 @@ SELECT session_id,
   coalesce(arg_max(current_step, seq) FILTER (WHERE current_step IS NOT NULL), 'reception') AS current_step,
   coalesce(arg_max(execution_strategy, seq) FILTER (WHERE execution_strategy IS NOT NULL), 'PENDING') AS execution_strategy,
   coalesce(arg_max(deployment_status, seq) FILTER (WHERE deployment_status IS NOT NULL), 'PENDING') AS deployment_status,
-  arg_max(diagram, seq) FILTER (WHERE diagram IS NOT NULL) AS diagram,
+  coalesce(arg_max(diagram, seq) FILTER (WHERE diagram IS NOT NULL), '{{"nodes":[],"edges":[]}}') AS diagram,
   arg_max(cloud_plan, seq) FILTER (WHERE cloud_plan IS NOT NULL) AS cloud_plan,
   coalesce(arg_max(workspace_path, seq) FILTER (WHERE workspace_path IS NOT NULL), '') AS workspace_path,
   arg_max_null(validation_errors, seq) FILTER (WHERE has_validation_errors) AS validation_errors,

@@ -127,3 +127,34 @@ def test_hot_key_is_split_across_buckets(spark):
     assert _rows(a, cols) == _rows(b, cols)
     biggest = df.groupBy("k", F.expr(f"seq div {width}")).count().agg(F.max("count")).first()[0]
     assert biggest <= width
+
+
+def test_rows_of_one_time_are_cut_by_the_rest_of_the_order(spark):
+    """100,000 rows of one key at one time: pieces of at most 2 x width rows, and the scan
+    equals the plain window."""
+    width, n = 1000, 100_000
+    df = spark.range(n).select(F.lit("u").alias("k"), F.lit("2024-01-01").cast("timestamp").alias("ts"), (F.col("id") % 2).cast("int").alias("kind"),
+                               F.xxhash64("id").alias("id"), F.col("id").alias("v"))
+    df = df.unionByName(df.limit(500).withColumn("k", F.lit("small")))
+    d, named = scan.cut_keys(df, ["k"], [F.unix_micros("ts"), *scan.order_cuts(df, ["ts", "kind", "id"])], width)
+    sizes = d.groupBy("k", *named).count().collect()
+    assert max(r["count"] for r in sizes) <= 2 * width and len(sizes) >= n // (2 * width)
+    runs = [scan.Run("s", "sum", "v"), scan.Run("n", "count")]
+    for down in (False, True):
+        a = scan.running(df, ["k"], ["ts", "kind", "id"], runs, width=width, cut=F.unix_micros("ts"), descending=down)
+        b = scan.running(df, ["k"], ["ts", "kind", "id"], runs, bucketed=False, descending=down)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_orders_of_all_kinds(spark):
+    """Nulls, negative and far numbers, texts that share a prefix, times and doubles."""
+    far = (1 << 62) + 5
+    texts = [None, "", "a", "a\x00", "shared prefix of many", "shared prefix of more", "é", "\U0001d4b3" * 3]
+    rows = [(1, t, w, x, i) for i, (t, w, x) in enumerate((t, w, x) for t in (None, -far, -1, 0, 7, far) for w in texts for x in (None, -1e300, 0.5, 2.0))]
+    df = spark.createDataFrame(rows, "k int, t long, w string, x double, v long").repartition(4)
+    runs = [scan.Run("s", "sum", "v")]
+    for order in (["t", "w", "x"], ["w", "t", "x"], ["x", "t", "w"]):
+        a, b = (scan.running(df, ["k"], order, runs, width=4, bucketed=cut) for cut in (True, False))
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), order
+    d, named = scan.cut_keys(df, ["k"], scan.order_cuts(df, ["t", "w", "x"]), 4)
+    assert max(r["count"] for r in d.groupBy(*named).count().collect()) <= 8

@@ -413,3 +413,21 @@ def test_contract_missing_vs_wrong_type(spark):
     x = text.llm_json_extract(spark.createDataFrame(raws, "id long, raw string"))
     r = {row.id: row.reason for row in text.schema_contract(x, {"k": "bigint"}).collect()}
     assert r == {1: "missing:k", 2: "type:k", 3: "type:k", 4: None}
+
+
+def test_a_session_without_a_diagram_has_the_empty_one(spark):
+    log = spark.createDataFrame([("s", 1, None), ("t", 1, None), ("t", 2, '{"nodes":[1]}')], "session_id string, seq long, diagram string")
+    got = {r.session_id: r.diagram for r in state.state_last_nonnull(log, defaults={"diagram": state.LAST_NONNULL_DEFAULTS["diagram"]}).collect()}
+    assert got == {"s": '{"nodes":[],"edges":[]}', "t": '{"nodes":[1]}'}
+
+
+def test_settings_of_a_section_with_many_keys(spark):
+    """30,000 keys of one section: one row per key, no arrays in the plan."""
+    cur = spark.range(30_000).selectExpr("'t' tenant", "'preferences' section", "concat('k', id) key", "'old' value")
+    req = spark.range(15_000).selectExpr("'t' tenant", "'preferences' section", "concat('k', id * 2) key", "'new' value") \
+        .union(spark.sql("SELECT 't', 'allowList', 'a', 'new'"))
+    cur = cur.union(spark.sql("SELECT 't', 'allowList', k, 'old' FROM VALUES ('a'), ('b'), (NULL) AS x(k)"))
+    got = registry.settings_update(cur, req)
+    counts = {(r.section, r.value): r["count"] for r in got.groupBy("section", "value").count().collect()}
+    assert counts == {("preferences", "old"): 15_000, ("preferences", "new"): 15_000, ("allowList", "new"): 1}
+    assert "collect_list" not in got._jdf.queryExecution().toString()
