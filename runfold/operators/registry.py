@@ -169,8 +169,7 @@ def layered_defaults(settings: DataFrame, defaults: list[tuple[str, str, str]],
     expanded by a generator (no join of tenants × defaults)."""
     arr = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"),
                              F.lit(v).cast("string").alias("value")) for s, k, v in defaults])
-    base = (tenants.select(tenant).distinct()
-                   .select(tenant, F.inline(arr))
+    base = (tenants.select(tenant, F.inline(arr))  # a tenant's repeats end in one row per key
                    .withColumn("__layer", F.lit(0)))
     return _layered(base, settings, merge_sections, tenant)
 
@@ -185,7 +184,7 @@ def _layered(base: DataFrame, over: DataFrame, merge_sections: list[str], tenant
     both = kept.select(tenant, "section", "key", "value", F.lit(0).alias("layer")) \
         .unionByName(over.select(tenant, "section", "key", "value", F.lit(1).alias("layer")))
     return both.groupBy(tenant, "section", "key").agg(F.max(F.struct("layer", "value")).alias("__top")) \
-        .select(tenant, "section", "key", F.col("__top.value").alias("value"))
+        .select(tenant, "section", "key", F.col("__top.value").alias("value"), F.col("__top.layer").alias("layer"))
 
 
 # FIXED VALUES: how a settings request treats the sections it may change.
