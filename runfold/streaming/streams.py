@@ -214,7 +214,7 @@ def read_job_status(spark: SparkSession, path: str) -> DataFrame:
     still to poll."""
     schema = "job long, latest_status string, first_seen timestamp_ntz, last_seen timestamp_ntz, n_polls long"
     return (latest_per_key(spark, path, ["job"], schema)
-            .withColumn("is_terminal", F.col("latest_status").isin("SUCCEEDED", "FAILED")))
+            .withColumn("is_terminal", F.coalesce(F.col("latest_status").isin(*TERMINAL), F.lit(False))))
 
 
 def start_polling(spark: SparkSession, sf_dir: str, interval: str = f"{POLL_SECONDS} seconds"):
@@ -225,6 +225,37 @@ def start_polling(spark: SparkSession, sf_dir: str, interval: str = f"{POLL_SECO
                         {"processingTime": interval}, ["job"])
 
 
+TERMINAL = ["SUCCEEDED", "FAILED"]
+
+
+def poll_to_end(status: DataFrame, interval: str = f"{POLL_SECONDS} seconds", wait_seconds: float = 1.0,
+                give_up_seconds: float | None = None) -> tuple[DataFrame, bool]:
+    """ST3 that ends by itself: the stream ``status`` (``job_status_df``) is polled every
+    ``interval`` until no job is open. Each batch reports how many of its jobs are open (an
+    observed metric); only after a batch without one is the sink asked for jobs that an
+    earlier batch left open, and the query stops when there is none. Returns the final job
+    status and whether all jobs are terminal: False if ``give_up_seconds`` ran out first. A
+    stream that no job has reached yet goes on."""
+    import time
+    spark = status.sparkSession
+    open_ = F.count(F.when(~F.col("latest_status").isin(*TERMINAL) | F.col("latest_status").isNull(), 1))
+    q, path = start_update(status.observe("jobs", F.count(F.lit(1)).alias("n"), open_.alias("open")), "poll-to-end",
+                           {"processingTime": interval}, ["job"])
+    began, seen, ended = time.monotonic(), -1, False
+    try:
+        while not ended and (give_up_seconds is None or time.monotonic() - began < give_up_seconds):
+            if q.awaitTermination(wait_seconds) and q.exception() is not None:
+                raise q.exception()
+            new = [p for p in q.recentProgress if p["batchId"] > seen]
+            jobs = [p["observedMetrics"]["jobs"] for p in new if "jobs" in p["observedMetrics"] and p["observedMetrics"]["jobs"].n]
+            seen = max([seen, *(p["batchId"] for p in new)])
+            if jobs and not jobs[-1].open:
+                ended = read_job_status(spark, path).where(~F.col("is_terminal")).isEmpty()
+    finally:
+        q.stop()
+    return read_job_status(spark, path), ended
+
+
 def poll_until_terminal(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
     """ST3: latest job status per job from a status-poll stream, processed to
     the end of what is there (``availableNow``)."""

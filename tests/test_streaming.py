@@ -143,3 +143,30 @@ def test_streaming_positions_equal_batch_append(spark):
     src = streams.parquet_stream(spark, d, conv.schema, "*.parquet", max_files=1, recursive=True)
     out = streams._append_sink(streams.streaming_positions_df(src, "conv_id", "turn", ["role", "text"]), "pos-split")
     assert _rows(spark.read.parquet(out), cols) == _rows(batch, cols)
+
+
+def _polls(spark, *files):
+    """A status log of one file per poll: (job, run, status)."""
+    import datetime as dt
+    import uuid
+
+    from runfold.session import staging_root
+    d = f"{staging_root(spark)}/polls-{uuid.uuid4().hex}"
+    schema = "o_custkey long, o_orderkey long, o_orderdate timestamp_ntz, o_orderstatus string"
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(j, r, dt.datetime(2024, 1, 1, 0, i), s) for j, r, s in rows], schema).coalesce(1).write.mode("append").parquet(d)
+    return streams.parquet_stream(spark, d, spark.read.parquet(d).schema, max_files=1)
+
+
+def test_polling_ends_by_itself(spark):
+    """Three polls: a job that one left open is closed two polls later; then the query stops."""
+    src = _polls(spark, [(1, 1, "O"), (2, 2, "O")], [(1, 1, "P")], [(2, 2, "F")])
+    got, ended = streams.poll_to_end(streams.job_status_df(src), interval="1 second", wait_seconds=0.5, give_up_seconds=120)
+    assert ended and {(r.job, r.latest_status, r.is_terminal) for r in got.collect()} == {(1, "SUCCEEDED", True), (2, "FAILED", True)}
+    assert not [q for q in spark.streams.active if "poll-to-end" in str(q.lastProgress)]
+
+
+def test_polling_goes_on_while_a_job_is_open(spark):
+    src = _polls(spark, [(1, 1, "O"), (2, 2, "P")], [(2, 3, "P")])
+    got, ended = streams.poll_to_end(streams.job_status_df(src), interval="1 second", wait_seconds=0.5, give_up_seconds=15)
+    assert not ended and {(r.job, r.is_terminal) for r in got.collect()} == {(1, False), (2, True)}
