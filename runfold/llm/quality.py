@@ -101,10 +101,12 @@ def word_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SPACE, ""))
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``quality``: the base counts, ``base_failed``, the
-    cleaned text and ``kept``."""
-    text = text_or_empty(text_col)
+def _measured(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names of our own, so that none clashes, and the struct ``measured``;
+    the name of each column."""
+    names = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    text = text_or_empty(names[text_col])
     full = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD_CHAR))
 
     def by_lines(lines):
@@ -122,13 +124,21 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         n.alias("n_words"), F.col("__c").alias("word_chars"), F.col("__s").alias("n_symbols"),
         F.col("__l.n_dup_lines"), repeated.alias("n_repeat_words"), failed.alias("base_failed"),
         (~failed & (F.col("__k") >= (1 - MAX_LOSS) * F.col("__c"))).alias("kept"), F.col("__l.n_lines"),
-        F.col("__k").alias("clean_word_chars"), F.col("__l.clean_text")).alias("quality"))
+        F.col("__k").alias("clean_word_chars"), F.col("__l.clean_text")).alias("measured")), names
+
+
+def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with a struct ``quality`` (in place of a column of that name): the base
+    counts, ``base_failed``, the cleaned text and ``kept``."""
+    out, names = _measured(docs, text_col)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items() if c != "quality"], F.col("measured").alias("quality"))
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Documents that are kept, with their cleaned text; columns unchanged."""
-    return measures(docs, text_col).filter("quality.kept").select(
-        *[F.col("quality.clean_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    out, names = _measured(docs, text_col)
+    return out.filter("measured.kept").select(
+        *[F.col("measured.clean_text" if c == text_col else n).alias(c) for c, n in names.items()])
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -63,6 +63,9 @@ CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising adse
     consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup login comment comments
     commentlist respond reply replies disqus share sharing social related recommended skip""".split())
 KEEP_TAGS = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: words that say where chrome stands (site-footer, sidebar-left)
+PLACES = frozenset("site page main top bottom left right inner outer box block bar area wrap wrapper container section links list items global".split())
 #: inside an article only these are chrome by class or id
 CONTAINERS = frozenset("div section ul ol dl table details".split())
 
@@ -78,25 +81,42 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def words(self) -> set[str]:
-        return set(re.split(r"[^a-z]+", f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower()))
-
     def label(self) -> str:
         kind = re.sub(r"[0-9]+", "0", self.attrs.get("class", "").strip().lower())
         return f"{self.tag}.{kind}" if kind else self.tag
 
-    def is_marked(self) -> bool:
-        """A class or id that is made of chrome words only (cookie-notice, not menu-of-the-day)."""
+    def is_marked(self, beside: frozenset[str] = frozenset()) -> bool:
+        """A class or id that is made of chrome words only (cookie-notice, not
+        menu-of-the-day), or of these and words ``beside``."""
         tokens = f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower().split()
-        return any(parts and parts <= CHROME_WORDS for parts in (set(re.findall("[a-z]+", t)) for t in tokens))
+        return any(parts & CHROME_WORDS and parts <= CHROME_WORDS | beside for parts in (set(re.findall("[a-z]+", t)) for t in tokens))
 
-    def is_chrome(self, in_article: bool) -> bool:
+    def chrome_by_class(self, in_article: bool) -> bool:
+        if not self.attrs:
+            return False
         if self.tag in KEEP_TAGS:
             return in_article and self.tag == "article" and self.is_marked()
-        return (self.tag in CHROME_TAGS or self.tag == "header" and not in_article or "hidden" in self.attrs
-                or self.attrs.get("role", "").lower() in CHROME_ROLES
-                or bool(re.search(r"display\s*:\s*none", self.attrs.get("style", "")))
-                or (self.tag in CONTAINERS and self.is_marked() if in_article else bool(self.words() & CHROME_WORDS)))
+        return self.tag in CONTAINERS and self.is_marked() if in_article else self.tag not in HEADINGS and self.is_marked(PLACES)
+
+    def chrome_by_kind(self, in_article: bool) -> bool:
+        return self.tag not in KEEP_TAGS and (
+            self.tag in CHROME_TAGS or self.tag == "header" and not in_article or "hidden" in self.attrs
+            or self.attrs.get("role", "").lower() in CHROME_ROLES
+            or bool(re.search(r"display\s*:\s*none", self.attrs.get("style", ""))))
+
+    def is_chrome(self, in_article: bool) -> bool:
+        return self.chrome_by_kind(in_article) or self.chrome_by_class(in_article)
+
+    def length(self) -> int:
+        """Characters of the subtree."""
+        n, todo = 0, [self]
+        while todo:
+            for c in todo.pop().children:
+                if isinstance(c, Node):
+                    todo.append(c)
+                else:
+                    n += len(c)
+        return n
 
 
 def parse(page: str) -> Node:
@@ -151,15 +171,16 @@ def parse(page: str) -> Node:
             is_open[tag] += 1
 
 
-def pieces(node: Node, in_article: bool) -> Iterator[str]:
-    """Text of a subtree without chrome, blocks set apart by white space."""
+def pieces(node: Node, in_article: bool, whole: int = 0) -> Iterator[str]:
+    """Text of a subtree without chrome, blocks set apart by white space. What a class
+    marks stays if it holds over half of ``whole`` characters."""
     todo: list[tuple[object, bool]] = [(node, in_article)]
     while todo:
         x, inside = todo.pop()
         if isinstance(x, str):
             yield x
             continue
-        if x is not node and x.is_chrome(inside):
+        if x is not node and (x.chrome_by_kind(inside) or x.chrome_by_class(inside) and not (whole and 2 * x.length() > whole)):
             yield " " if x.tag in BLOCK else ""
             continue
         inside = inside or x.tag in ("article", "main")
@@ -317,21 +338,22 @@ def main_text(page: str, wrapper: dict | None) -> str:
 
 
 def _read(root: Node) -> str:
-    marked = list(_marked(root))
+    marked = list(_marked(root)) or list(_marked(root, False))
     if marked:
         return clean(x for n in marked for x in (" ", *pieces(n, True)))
     body = next((c for h in [root, *root.children] if isinstance(h, Node) for c in h.children if isinstance(c, Node) and c.tag == "body"), root)
-    return clean(pieces(body, False))
+    return clean(pieces(body, False, body.length()))
 
 
-def _marked(root: Node) -> Iterator[Node]:
-    """Outermost articles or mains that aren't in chrome (so no reader comments)."""
+def _marked(root: Node, by_class: bool = True) -> Iterator[Node]:
+    """Outermost articles or mains that aren't in chrome (so no reader comments). Where
+    all are, a class on what holds them counts for nothing."""
     todo = [root]
     while todo:
         x = todo.pop()
         for c in reversed(x.children):
-            if isinstance(c, Node) and not c.is_chrome(False):
-                if c.tag in ("article", "main") and not c.words() & CHROME_WORDS:
+            if isinstance(c, Node) and not c.chrome_by_kind(False) and not (by_class and c.chrome_by_class(False)):
+                if c.tag in ("article", "main") and not c.is_marked():
                     todo.append(c)
                 elif c.tag not in ("article", "main"):
                     todo.append(c)

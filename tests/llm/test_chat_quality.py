@@ -71,8 +71,7 @@ DOCS = "doc_id long, text string, lang string, quality string"
 
 
 def run(spark, texts):
-    df = quality.measures(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
-                          .withColumnRenamed("quality", "other"))
+    df = quality.measures(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS))
     return [r.quality for r in df.orderBy("doc_id").collect()]
 
 
@@ -94,6 +93,15 @@ def test_verdicts(spark):
     assert [q.kept for q in out] == [True, False, False, False, False, True, False, False, True, False]
     assert "cookies" not in out[8].clean_text and out[8].clean_text == prose
     docs = spark.createDataFrame([(1, prose, "en", None), (2, menu, "en", None)], DOCS)
-    left = quality.clean(docs.withColumnRenamed("quality", "other"))
-    assert left.columns == ["doc_id", "text", "lang", "other"] and [r.doc_id for r in left.collect()] == [1]
-    assert quality.measures(spark.createDataFrame([], DOCS).drop("quality")).count() == 0
+    left = quality.clean(docs)
+    assert left.columns == ["doc_id", "text", "lang", "quality"] and [r.doc_id for r in left.collect()] == [1]
+    assert quality.measures(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_any_column_names(spark):
+    names = ["doc_id", "text", "quality", "__l", "__w", "__c", "in0", "measured", "a.b"]
+    text = "\n".join(f"The {hashlib.md5(str(i).encode()).hexdigest()} river runs {i} miles past hill number {i}." for i in range(20))
+    docs = spark.createDataFrame([(1, text, 0, "l", "w", "c", "i", "m", "d")], names)
+    got = quality.measures(docs)
+    assert got.columns == [n for n in names if n != "quality"] + ["quality"] and got.first().quality.n_words == 200
+    assert quality.clean(docs).columns == names and tuple(quality.clean(docs).first()) == tuple(docs.first())

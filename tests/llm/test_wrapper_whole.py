@@ -1,5 +1,7 @@
 """Main text: nothing of an article is lost, nothing beside it stays."""
 
+import pytest
+
 from runfold.llm import wrapper
 
 
@@ -50,3 +52,21 @@ def test_rare_layouts_have_a_template(spark):
     out = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), ["page_id"]).collect()
     got = {r.page_id: r.main_text for r in out}
     assert got == {i: words(i) if i < 300 else f"T {words(299 - i)}" for i in range(303)}
+
+
+BODY = "The river runs past the hill. " * 8
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body><div class="content-sidebar-wrap"><article><p>{BODY}</p></article></div></body>', BODY),
+    (f'<body><div class="layout has-sidebar"><main><p>{BODY}</p></main><div class="sidebar">S</div></div></body>', BODY),
+    (f'<body><div id="sidebar-wrap"><article>{BODY}</article></div></body>', BODY),
+    ('<body><article class="news social-policy">Main</article><article class="teaser">T</article></body>', "Main T"),
+    (f'<body><h2 id="social-impact">Impact</h2><section id="related-work">Work</section><p>{BODY}</p></body>', f"Impact Work {BODY}"),
+    (f'<body><div class="site-footer">F</div><div class="sidebar-left">S</div><span class="cookie-notice">C</span><p>{BODY}</p></body>', BODY),
+    (f'<body><div class="page-wrapper widget-area"><p>{BODY}</p></div><div class="main-navigation">N</div></body>', BODY),
+    (f'<body><article>{BODY}</article><div class="comments"><article>first!</article></div></body>', BODY),
+    (f'<body><article>{BODY}<article class="comment">first!</article></article></body>', BODY),
+])
+def test_classes_on_what_holds_the_text(page, want):
+    assert wrapper.main_text(page, None) == " ".join(want.split())
