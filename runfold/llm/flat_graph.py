@@ -229,13 +229,15 @@ def _built(t: pa.Table) -> pa.Table:
     offsets = np.searchsorted(a, np.arange(len(node) + 1))
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(node[b], pa.int64()))
     first = np.isin(np.arange(len(node)), entry)
-    return pa.table({"cell": t.column("cell"), "piece": t.column("piece"), "node": t.column("node"), "next": lists, "entry": pa.array(first)})
+    return pa.table([*(t.column(c) for c in ("cell", "piece", "pieces", "node", "x")), lists, pa.array(first)],
+                    names=["cell", "piece", "pieces", "node", "x", "next", "entry"])
 
 
 def graph(dealt: DataFrame) -> DataFrame:
-    """The graph of each piece: ``cell``, ``piece``, ``node``, ``next``, ``entry``."""
-    return dealt.select("cell", "piece", "node", "x").groupBy("cell", "piece").applyInArrow(
-        _built, "cell string, piece long, node long, next array<long>, entry boolean")
+    """The graph of each piece: the rows of ``dealt`` with ``next`` and ``entry``."""
+    kind = dealt.schema["x"].dataType.simpleString()
+    return dealt.select("cell", "piece", "pieces", "node", "x").groupBy("cell", "piece").applyInArrow(
+        _built, f"cell string, piece long, pieces long, node long, x {kind}, next array<long>, entry boolean")
 
 
 # ------------------------------------------------------------------------- search
@@ -373,11 +375,13 @@ def _searched(bound: float):
                 a, b = pairs // len(p.node), pairs % len(p.node)
                 pairs = np.unique(np.concatenate([pairs, b * len(p.node) + a]))
             there = hit = 0
-            for i in test.tolist():  # brute force for the audited queries
-                all_ = np.flatnonzero(p.cosine(x, norm, np.full(len(p.node), i), np.arange(len(p.node))) >= bound)
-                all_ = all_[all_ != own[i]]
-                there += len(all_)
-                hit += int(np.isin(i * len(p.node) + all_, pairs).sum())
+            for i in range(0, len(test), QUERIES):  # brute force for the audited queries
+                some = test[i:i + QUERIES]
+                a, b = np.nonzero((x[some] / norm[some, None]) @ (p.x / p.norm[:, None]).T >= bound - 1e-9)
+                a = some[a]
+                real = (b != own[a]) & (p.cosine(x, norm, a, b) >= bound)
+                there += int(real.sum())
+                hit += int(np.isin(a[real] * len(p.node) + b[real], pairs).sum())
             if hit == there or slack > 1:
                 break
             slack *= 2
@@ -441,16 +445,13 @@ def _searched(bound: float):
 
 def search(nodes: DataFrame, bound: float, rows: int = ROWS) -> DataFrame:
     """Rows of ``_searched`` over all ``nodes`` (``node``, ``label``, ``x``, ``size``, ``rep``)."""
-    dealt = settle(shards(nodes, bound, rows), "shards")
-    built = settle(graph(dealt), "graph")
-    lists = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    facts = nodes.select("node", "size", "rep").join(dealt.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("homes")), "node") \
-        .join(lists, "node")
-    entries = built.select("cell", "piece", "node", "entry")
-    members = dealt.join(entries, ["cell", "piece", "node"]).join(facts, "node")
+    built = settle(graph(shards(nodes, bound, rows)), "graph")
+    facts = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"),
+                                      F.sort_array(F.collect_set("cell")).alias("homes")).join(nodes.select("node", "size", "rep"), "node")
+    members = built.drop("next").join(facts, "node")
     cols = ["cell", "piece", "foreign", "node", "x", "size", "rep", "homes"]
     own = members.withColumn("foreign", F.lit(False)).select(*cols, "next", "entry")
-    other = dealt.filter("pieces > 1").join(facts, "node").withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))) \
+    other = members.filter("pieces > 1").withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))) \
         .filter("of <> piece").withColumn("piece", F.col("of")).withColumn("foreign", F.lit(True)) \
         .select(*cols, F.lit(None).cast("array<long>").alias("next"), F.lit(None).cast("boolean").alias("entry"))
     in_order = own.union(other).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "foreign", "node")
