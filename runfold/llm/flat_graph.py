@@ -6,7 +6,9 @@ with more than ``rows`` nodes is cut at medoids found on a sample of at most abo
 ``SAMPLE`` of its nodes, in rounds, until every cell is small. Medoids that would link with
 each other share a cell, so a group of near copies isn't torn apart, and a node also goes to
 the next ``OVERLAP - 1`` cells if their border is nearer than half the linking distance (the
-middle of a linked pair lies in one cell; its ends are no farther from that cell than this). A cell
+middle of a linked pair lies in one cell; its ends are no farther from that cell than this).
+Such copies are not copied again in later rounds, so copies grow with the rounds, not as
+their power. A cell
 that has one medoid group (near copies of one another in great number) is cut into pieces by
 hash instead, and each of its nodes is searched in every piece.
 
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from runfold.llm.common import settle, table
 from runfold.llm.components import components
 
-ROWS = 2048
+ROWS = 512
 SAMPLE = 4096
 CENTRES = 128
 OVERLAP = 3
@@ -144,10 +146,12 @@ def _dealt(margin: float):
                     cell, group = keys[lo][0], np.array(part.column(4)[0].as_py())
                     m = np.array(part.column(3)[0].as_py()).reshape(len(group), -1)
                     continue
-                for to in cells_of(unit_rows(part.column(2)), m, group, margin).T:
-                    rows, to = part.take(pa.array(np.flatnonzero(to >= 0))), to[to >= 0]
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{cell}.{g}" for g in to.tolist()], pa.string()), rows.column(1), rows.column(2)],
-                                                     names=["cell", "node", "x"])
+                extra = part.column(5).to_numpy(zero_copy_only=False)
+                for i, to in enumerate(cells_of(unit_rows(part.column(2)), m, group, margin).T):
+                    here = (to >= 0) & ~(extra & (i > 0))  # a copy is not copied again
+                    rows = part.take(pa.array(np.flatnonzero(here)))
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{cell}.{g}" for g in to[here].tolist()], pa.string()), rows.column(1), rows.column(2),
+                                                      pa.array(extra[here] | (i > 0))], names=["cell", "node", "x", "extra"])
     return run
 
 
@@ -155,7 +159,7 @@ def shards(nodes: DataFrame, bound: float, rows: int = ROWS) -> DataFrame:
     """``cell``, ``piece``, ``pieces``, ``node``, ``x``: the overlapping shards."""
     margin = math.sqrt(2 - 2 * bound) / 2
     label = F.col("label").cast("string")
-    now = nodes.select(F.concat(F.length(label).cast("string"), F.lit(":"), label, F.lit("/"), F.size("x").cast("string")).alias("cell"), "node", "x")
+    now = nodes.select(F.concat(F.length(label).cast("string"), F.lit(":"), label, F.lit("/"), F.size("x").cast("string")).alias("cell"), "node", "x", F.lit(False).alias("extra"))
     kind = now.schema["x"].dataType.simpleString()
     done: DataFrame | None = None
     for level in range(LEVELS + 1):
@@ -169,14 +173,15 @@ def shards(nodes: DataFrame, bound: float, rows: int = ROWS) -> DataFrame:
         slices = F.ceil(F.col("n") / rows)
         null = F.lit(None)
         lead = cut.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), null.cast("long").alias("node"),
-                          null.cast(kind).alias("x"), "centres", "groups")
+                          null.cast(kind).alias("x"), "centres", "groups", F.lit(False).alias("extra"))
         body = now.join(cut.select("cell", slices.alias("of")), "cell").select(
             "cell", F.pmod(F.xxhash64("node", F.lit("slice")), "of").alias("slice"), "node", "x",
-            null.cast("array<double>").alias("centres"), null.cast("array<long>").alias("groups"))
+            null.cast("array<double>").alias("centres"), null.cast("array<long>").alias("groups"), "extra")
         in_order = lead.union(body).repartition("cell", "slice").sortWithinPartitions("cell", "slice", F.col("centres").isNull(), "node")
         small = now.join(cut, "cell", "left_anti")
         done = small if done is None else done.union(small)
-        now = settle(in_order.select("cell", "node", "x", "centres", "groups").mapInArrow(_dealt(margin), f"cell string, node long, x {kind}"), "cells")
+        now = settle(in_order.select("cell", "node", "x", "centres", "groups", "extra").mapInArrow(
+            _dealt(margin), f"cell string, node long, x {kind}, extra boolean"), "cells")
     all_ = now if done is None else done.union(now)
     sizes = all_.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("pieces"))
     return all_.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("node", F.lit("piece")), "pieces").alias("piece"), "pieces", "node", "x")
