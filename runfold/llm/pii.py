@@ -389,16 +389,13 @@ def find(field: Field, text: str) -> tuple[list[Span], list[Span]]:
     if not _TRIGGER.search(text) and not spelled_out(text):
         return [], []
     base = base_spans(text)
-    free = [s for s in field.spans(text) if not any(a < s[2] and s[1] < b for _, a, b in _near(base, s))]
-    return base, sorted(base + free, key=lambda s: (s[1], ORDER[s[0]]))
+    starts = [a for _, a, _ in base]
+    reach = list(itertools.accumulate((b for _, _, b in base), max))  # furthest end of a base span and those before it
 
-
-def _near(base: list[Span], s: Span) -> list[Span]:
-    """Base spans (by start) that may reach into ``s``."""
-    hi = bisect.bisect_left(base, s[2], key=lambda b: b[1])
-    longest = max((b - a for _, a, b in base), default=0)
-    lo = bisect.bisect_left(base, s[1] - longest, key=lambda b: b[1])
-    return base[lo:hi]
+    def free(s: Span) -> bool:
+        before = bisect.bisect_left(starts, s[2])
+        return before == 0 or reach[before - 1] <= s[1]
+    return base, sorted(base + [s for s in field.spans(text) if free(s)], key=lambda s: (s[1], ORDER[s[0]]))
 
 
 def written(spans: list[Span]) -> str:

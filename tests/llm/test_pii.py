@@ -1,6 +1,7 @@
 """Personal data: base patterns by plain regular expressions, the field by enumeration
 and on held-out lines."""
 
+import functools
 import hashlib
 import itertools
 import re
@@ -87,6 +88,30 @@ def test_long_texts_take_linear_time():
     assert time.time() - t < 60
 
 
+@functools.cache
+def small_field():
+    return pii.train(pii.generated(n=300))
+
+
+def test_many_base_spans_take_linear_time():
+    field = small_field()
+    t = time.time()
+    base, spans = pii.find(field, " ".join(f"u{i}@mail{i}.org" for i in range(100000)))
+    assert len(base) == 100000 and set(base) <= set(spans) and time.time() - t < 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.co", "10.0.0.1", "+41 44 668 18 00", "4111 1111 1111 1111", "mail", "jo at home dot org",
+                                 "key=", "hunter2secret99", "192.168.0.1+4144668180", "x"]), max_size=12))
+def test_added_spans_keep_off_base_ones(parts):
+    field = small_field()
+    text = " ".join(parts)
+    base, spans = pii.find(field, text)
+    off = [s for s in field.spans(text) if all(b <= s[1] or s[2] <= a for _, a, b in base)]
+    if base:
+        assert sorted(spans) == sorted(base + off)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, spans string, base string"
     mail = "é mail a.b@c.org"
