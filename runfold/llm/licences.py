@@ -4,9 +4,10 @@ The templates' words are put into one suffix automaton. A text's words are strea
 through it; the matching statistics say, for every word, the longest run ending there
 that stands in some template. Runs that can't be lengthened and have ``MIN_MATCH``
 words or more are placed in every template that holds them and chained: per template,
-matches in text order and template order, no more than ``MAX_GAP`` words apart, the
-chain that covers most template words wins (a span). A span that covers ``MIN_COVER``
-of its template, or ``LONG_SPAN`` words of it, gives the template's label. The base
+matches in text order and template order, no more than ``MAX_GAP`` words apart. The chains that
+cover most template words are taken out one after the other; each that covers
+``MIN_COVER`` of its template, or ``LONG_SPAN`` words of it, is a span and gives the
+template's label, so a text that holds a licence five times has five spans. The base
 phrases are templates as well: a phrase ends at a word where the phrase's state lies on
 the suffix links of the word's state and the match is as long as the phrase.
 
@@ -22,6 +23,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -173,34 +175,77 @@ class Scanner:
                         if end + 1 >= n:
                             matches.setdefault(k, []).append((lo + i + 1 - n, end + 1 - n, n))
         base = {self.labels[k] for _, k in places}
-        spans = [(k, *self.chain(found, MAX_GAP + self.size[k])) for k, found in matches.items() if k >= self.n_phrases]
-        score = max([1.0 if places else 0.0, *(covered / self.size[k] for k, _, _, covered in spans)])
-        spans = [x for x in spans if x[3] >= min(MIN_COVER * self.size[x[0]], LONG_SPAN)]
+        score, spans = 1.0 if places else 0.0, []
+        for k, found in matches.items():
+            if k >= self.n_phrases:
+                best, all_ = chains(found, MAX_GAP + self.size[k], min(MIN_COVER * self.size[k], LONG_SPAN))
+                score = max(score, best / self.size[k])
+                spans += [(k, *c) for c in all_]
         return {"n_words": len(ids), "n_base": len(places), "first_word": min((p for p, _ in places), default=None),
                 "last_word": max((p for p, _ in places), default=None), "base_labels": sorted(base),
                 "labels": sorted(base | {self.labels[k] for k, *_ in spans}), "score": score,
                 "spans": [(self.labels[k], lo, hi, covered / self.size[k]) for k, lo, hi, covered in sorted(spans)]}
 
-    def chain(self, found: list[tuple[int, int, int]], back: int) -> tuple[int, int, int]:
-        """First word, end and covered template words of the best chain. A match that
-        ends within the gap starts at most ``back`` (template words and gap) before,
-        so long texts stay linear."""
-        found.sort()
-        best: list[tuple[int, int]] = []  # covered, first word
-        for j, (p, t, n) in enumerate(found):
-            covered, first = n, p
-            for i in range(j - 1, -1, -1):
-                p2, t2, n2 = found[i]
-                if p - p2 > back:
-                    break
-                gap, gap_t = p - p2 - n2, t - t2 - n2
-                if p2 < p and t2 < t and gap <= MAX_GAP and gap_t <= MAX_GAP:
-                    more = best[i][0] + n - max(0, -min(gap, gap_t))
-                    if more > covered:
-                        covered, first = more, best[i][1]
-            best.append((covered, first))
-        j = max(range(len(found)), key=lambda j: best[j][0])
-        return best[j][1], found[j][0] + found[j][2], best[j][0]
+
+Match = tuple[int, int, int]  # start in text, start in template, words
+
+
+def linked(a: Match, b: Match) -> int | None:
+    """Words of the template that ``b`` adds when it follows ``a``, None where it can't."""
+    gap, gap_t = b[0] - a[0] - a[2], b[1] - a[1] - a[2]
+    if a[0] < b[0] and a[1] < b[1] and gap <= MAX_GAP and gap_t <= MAX_GAP:
+        return b[2] - max(0, -min(gap, gap_t))
+    return None
+
+
+def heaviest(found: list[Match], back: int) -> tuple[list[int], list[int]]:
+    """Per match (sorted) the words covered by the best chain that ends with it, and the
+    match before it in that chain (-1: none). A match that ends within the gap starts at
+    most ``back`` (template words and gap) before, so long texts stay linear."""
+    covered, before = [], []
+    for j, b in enumerate(found):
+        most, prev = b[2], -1
+        for i in range(j - 1, -1, -1):
+            if b[0] - found[i][0] > back:
+                break
+            more = linked(found[i], b)
+            if more is not None and covered[i] + more > most:
+                most, prev = covered[i] + more, i
+        covered.append(most)
+        before.append(prev)
+    return covered, before
+
+
+def chains(found: list[Match], back: int, least: float) -> tuple[int, list[tuple[int, int, int]]]:
+    """The words covered by the best chain, and every chain of at least ``least`` words as
+    (first word, end, covered words): the heaviest first, each match used once, matches
+    inside a reported span gone with it. A chain that meets a used match ends there, and
+    the rest is chained anew until no chain of unused matches reaches ``least``."""
+    found, best, out = sorted(found), 0, []
+    while found:
+        covered, before = heaviest(found, back)
+        best = max(best, max(covered))
+        used, n_out = bytearray(len(found)), len(out)
+        for end in sorted(range(len(found)), key=lambda j: (-covered[j], j)):
+            if covered[end] < least:
+                break
+            if used[end]:
+                continue
+            members = [end]
+            while before[members[-1]] >= 0 and not used[before[members[-1]]]:
+                members.append(before[members[-1]])
+            first = members[-1]
+            words_ = covered[end] - (covered[before[first]] if before[first] >= 0 else 0)
+            if words_ < least:
+                continue
+            lo, hi = found[first][0], max(found[j][0] + found[j][2] for j in members)
+            out.append((lo, hi, words_))
+            for i in range(bisect.bisect_left(found, (lo,)), bisect.bisect_left(found, (hi,))):
+                used[i] = used[i] or found[i][0] + found[i][2] <= hi
+        if len(out) == n_out:
+            break
+        found = [m for m, gone in zip(found, used) if not gone]
+    return best, sorted(out)
 
 
 RESULT = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "

@@ -1,7 +1,9 @@
 """Licence scans: the automaton and the chains against brute force."""
 
+import itertools
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +73,46 @@ def test_damaged_templates_are_found():
     assert clean["labels"] == [] and clean["score"] < 0.6
 
 
+def spans_of(text):
+    return [(label, lo, hi) for label, lo, hi, _ in licences.Scanner(PHRASES, TEMPLATES).scan(text)["spans"]]
+
+
+def test_every_copy_is_a_span():
+    text = max(TEMPLATES["mit"], key=lambda t: len(t.split()))
+    n, noise = len(licences.words(text)), "qua re da " * 10
+    one = [(hi - lo) for label, lo, hi in spans_of(text) if label == "mit" and (lo, hi) == (0, n)]
+    assert one == [n]
+    five = [(lo, hi) for label, lo, hi in spans_of((text + " " + noise) * 5) if label == "mit"]
+    assert [(k * (n + 30), k * (n + 30) + n) for k in range(5)] == [x for x in five if x[1] - x[0] == n]
+    side_by_side = [(lo, hi) for label, lo, hi in spans_of((text + " ") * 5) if label == "mit"]
+    assert {(k * n, k * n + n) for k in range(5)} <= set(side_by_side)
+    start = time.time()
+    many = [(lo, hi) for label, lo, hi in spans_of((text + " " + noise) * 1000) if label == "mit"]
+    assert sum(hi - lo == n for lo, hi in many) == 1000 and time.time() - start < 30
+
+
+def by_enumeration(found, back):
+    """Words covered by the best chain, over all subsequences of the matches."""
+    best = 0
+    for size in range(1, len(found) + 1):
+        for chain in itertools.combinations(sorted(found), size):
+            added = [licences.linked(a, b) if b[0] - a[0] <= back else None for a, b in itertools.pairwise(chain)]
+            if None not in added:
+                best = max(best, chain[0][2] + sum(added))
+    return best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 40), st.integers(0, 20), st.integers(1, 9)), min_size=1, max_size=9), st.integers(4, 20))
+def test_chains_by_enumeration(found, least):
+    back = 30
+    best, out = licences.chains(list(found), back, least)
+    assert best == by_enumeration(found, back)
+    assert bool(out) == (best >= least) and all(n >= least for _, _, n in out)
+    rest = {m for m in found if not any(lo <= m[0] and m[0] + m[2] <= hi for lo, hi, _ in out)}
+    assert by_enumeration(rest, back) < least
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, labels string, score double"
     rows = [(1, None, "x", 1.0), (2, "", None, None), (2, "", None, None), (None, "MIT-License", None, None),
