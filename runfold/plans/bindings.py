@@ -18,6 +18,7 @@ from runfold.constants import (ALLOWED_PATHS, BLOCKED_COMMANDS, BLOCKED_PATTERNS
 from runfold.operators import clean, policy, registry, reports, state, storage, text
 from runfold.session import staging_path
 from runfold.sources import files, tables as tb
+from runfold.sources.kept import KeptTable
 from runfold.sources.versions import VersionedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,27 @@ def csv_to_parquet(spark, sf):
                                 RAW_CUSTOMER_COLUMNS, casts={"id": "bigint", "c_nationkey": "int"})
 
 
+def _loaded(spark, sf):
+    """S2 over the customers' lines: the clean table's folder and the quarantine's."""
+    src, dst, bad = (staging_path(spark, n) for n in ("customer-lines", "customers-loaded", "customers-quarantine"))
+    tb.raw_customer_lines(spark, sf).write.text(src)
+    clean.csv_to_parquet(spark, src, dst, RAW_CUSTOMER_COLUMNS, casts={"id": "bigint", "c_nationkey": "int"},
+                         partition_by=["c_nationkey"], quarantine=bad, header=False)
+    return dst, bad
+
+
+@q("csv_load_checked")
+def csv_load_checked(spark, sf):
+    """S2 with malformed lines set apart: the rows that were loaded."""
+    return spark.read.parquet(_loaded(spark, sf)[0])
+
+
+@q("csv_quarantine")
+def csv_quarantine(spark, sf):
+    """The malformed lines, whole."""
+    return spark.read.parquet(_loaded(spark, sf)[1]).select("line", "n_fields", "reason", "fields.id", "fields.c_nationkey")
+
+
 @q("email_clean")
 def email_clean(spark, sf):
     return clean.clean_email(tb.raw_customers(spark, sf)).select("id", "customer_email", "email_valid")
@@ -75,6 +97,20 @@ def validation_report(spark, sf):
     return clean.validation_report(c, "c_nationkey", runs=runs)
 
 
+@q("validation_report_outputs")
+def validation_report_outputs(spark, sf):
+    """A13 over a load: malformed lines are counted, and each nation (and one more per
+    nation that was never loaded) is expected as a folder of the loaded files (J9)."""
+    dst, bad = _loaded(spark, sf)
+    nation = "c_nationkey"
+    n = F.col("n_nationkey").cast("int")
+    expected = tb.table(spark, sf, "nation").select(F.explode(F.array(n, n + 25)).alias(nation))
+    folder = F.regexp_extract("path", f"{nation}=([0-9]+)/[^/]*$", 1).try_cast("int")
+    outputs = storage.output_existence(expected, files.object_listing(spark, dst), folder, nation)
+    quarantined = spark.read.parquet(bad).select(F.col("fields.c_nationkey").try_cast("int").alias(nation))
+    return clean.validation_report(spark.read.parquet(dst), nation, quarantined=quarantined, outputs=outputs)
+
+
 # ============================================================ run-state log
 @q("state_append")
 def state_append(spark, sf):
@@ -236,6 +272,19 @@ def remove_by_target(spark, sf):
     return policy.remove_by_target(_rules_after_insert(spark, sf), removals)
 
 
+@q("rules_kept")
+def rules_kept(spark, sf):
+    """J6 and J7 as three change sets on a kept table: the first rules, those allowed for
+    good, then without the blocked commands. Rows as ``remove_by_target``."""
+    kept = KeptTable(spark, staging_path(spark, "rules"), "category string, target string, operation string, added_at string",
+                     ["category", "target"])
+    kept.insert_if_absent(tb.rules(spark), RULES_ADDED_AT)
+    kept.insert_if_absent(_decisions(spark, sf).where(F.col("reason") == "allow_always"), NEW_RULES_AT)
+    blocked = policy.command_policy(tb.commands(spark, sf)).where("blocked")
+    kept.remove_by_target(blocked.select("category", F.col("base_command").alias("target")))
+    return kept.read()
+
+
 @q("ack_interval_join")
 def ack_interval_join(spark, sf):
     e = tb.table(spark, sf, "events")
@@ -503,6 +552,17 @@ def upsert_last_wins(spark, sf):
     return registry.upsert_last_wins(regs)
 
 
+@q("registry_kept")
+def registry_kept(spark, sf):
+    """W5 as three change sets on a kept table, not in the order of registration."""
+    t = tb.tool_catalog(spark, sf)
+    regs = t.select(F.concat("server", F.lit("_"), F.regexp_extract("tool", "_([a-z]+)$", 1)).alias("name"), "seq", "brand")
+    kept = KeptTable(spark, staging_path(spark, "registry"), "name string, seq long, brand string, overwrites long", ["name"])
+    for part in (1, 0, 2):
+        kept.upsert(regs.where(F.col("seq") % 3 == part))
+    return kept.read()
+
+
 def _include_list(spark, sf):
     t = tb.tool_catalog(spark, sf)
     return t.where((F.col("server") != "aws-documentation") & (F.col("size") > 25)).select("server", "tool")

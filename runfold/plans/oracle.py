@@ -230,6 +230,49 @@ FROM r LEFT JOIN (
     date_diff('second', min(o_orderdate), max(o_orderdate)) AS processing_seconds
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey) x USING (c_nationkey)"""
 
+LINES = f"""{RAW_CUSTOMERS},
+lines AS (
+  SELECT *, CASE WHEN id % 10 = 3 THEN 'extra_fields' WHEN id % 10 = 7 THEN 'missing_fields' WHEN id % 20 = 9 THEN 'unclosed_quote' END AS reason,
+    concat_ws(',', id, customer_email, amount, c_nationkey) AS fine
+  FROM raw_customers),
+loaded AS (
+  SELECT id, {EMAIL_CLEAN} AS customer_email, TRY_CAST({js_trim('amount')} AS DECIMAL(18,2)) AS amount, c_nationkey, {EMAIL_VALID} AS email_valid
+  FROM lines WHERE reason IS NULL)"""
+
+ORACLE["csv_load_checked"] = f"""WITH {LINES}
+SELECT id, customer_email, CAST(amount AS DOUBLE) AS amount, email_valid, CAST(c_nationkey AS INTEGER) AS c_nationkey FROM loaded"""
+
+ORACLE["csv_quarantine"] = f"""WITH {LINES}
+SELECT CASE reason WHEN 'extra_fields' THEN concat(fine, ',EXTRA') WHEN 'missing_fields' THEN concat(id, ',', customer_email)
+    ELSE concat(id, ',"', customer_email, ',', amount, ',', c_nationkey) END AS line,
+  CASE reason WHEN 'extra_fields' THEN 5 ELSE 2 END AS n_fields, reason, CAST(id AS VARCHAR) AS id,
+  CASE reason WHEN 'extra_fields' THEN CAST(c_nationkey AS VARCHAR) END AS c_nationkey
+FROM lines WHERE reason IS NOT NULL"""
+
+ORACLE["validation_report_outputs"] = f"""WITH {LINES},
+each AS (
+  SELECT c_nationkey, 1 AS n, NOT email_valid AS bad_email, amount IS NULL AS bad_amount, amount, 0 AS q, false AS expected FROM loaded
+  UNION ALL
+  SELECT CASE reason WHEN 'extra_fields' THEN c_nationkey END, 0, false, false, NULL, 1, false FROM lines WHERE reason IS NOT NULL
+  UNION ALL
+  SELECT n_nationkey + a.x, 0, false, false, NULL, 0, true FROM nation, (VALUES (0), (25)) a(x)),
+r AS (
+  SELECT CAST(c_nationkey AS INTEGER) AS c_nationkey, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (WHERE bad_email) AS n_bad_email,
+    count(*) FILTER (WHERE bad_amount) AS n_bad_amount, CAST(CAST(sum(amount) AS DECIMAL(38,2)) AS DOUBLE) AS total_amount,
+    CAST(CAST(min(amount) AS DECIMAL(38,2)) AS DOUBLE) AS min_amount, CAST(CAST(max(amount) AS DECIMAL(38,2)) AS DOUBLE) AS max_amount,
+    CAST(sum(q) AS BIGINT) AS n_quarantined,
+    CASE WHEN bool_or(expected) THEN CASE WHEN sum(n) > 0 THEN 'ok' ELSE 'missing' END END AS output_status
+  FROM each GROUP BY c_nationkey),
+i AS (SELECT *, n_bad_email + n_bad_amount + n_quarantined + CASE WHEN output_status = 'missing' THEN 1 ELSE 0 END AS issues FROM r)
+SELECT *, CASE WHEN issues = 0 THEN 'PASSED'
+    WHEN coalesce(output_status, '') <> 'missing' AND issues * 10 < n_rows + n_quarantined THEN 'WARNING' ELSE 'FAILED' END AS status,
+  CASE WHEN issues = 0 THEN 'none' ELSE concat_ws('; ',
+    CASE WHEN n_bad_email > 0 THEN 'quarantine rows with invalid e-mail' END,
+    CASE WHEN n_bad_amount > 0 THEN 'fix non-numeric amounts at the source' END,
+    CASE WHEN n_quarantined > 0 THEN 'repair malformed lines in quarantine' END,
+    CASE WHEN output_status = 'missing' THEN 'load again, output is missing' END) END AS remedy
+FROM i"""
+
 # ------------------------------------------------------------ run-state log
 ORACLE["state_append"] = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
   turn, role, text FROM conversations"""
@@ -368,6 +411,8 @@ ORACLE["remove_by_target"] = f"""{POLICY_PREFIX}, {RULES_AFTER_INSERT}
 SELECT * FROM rules_after a WHERE NOT EXISTS (SELECT 1 FROM command_policy c
   WHERE c.blocked AND c.category = a.category AND c.base_command = a.target)"""
 
+ORACLE["rules_kept"] = ORACLE["remove_by_target"]
+
 ORACLE["ack_interval_join"] = """WITH req AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'),
 ans AS (SELECT event_id AS ans_event_id, user_id, ts AS ans_ts FROM events WHERE event_type = 'purchase'),
 best AS (
@@ -537,6 +582,8 @@ ORACLE["upsert_last_wins"] = f"""WITH {TOOL_CATALOG},
 regs AS (SELECT concat(server, '_', regexp_extract(tool, '_([a-z]+)$', 1)) AS name, seq, brand FROM tool_catalog)
 SELECT name, max(seq) AS seq, arg_max(brand, seq) AS brand, count(*) - 1 AS overwrites FROM regs GROUP BY name"""
 
+ORACLE["registry_kept"] = ORACLE["upsert_last_wins"]
+
 ORACLE["include_semi"] = f"""WITH {TOOL_CATALOG},
 inc AS (SELECT DISTINCT server, tool FROM tool_catalog WHERE server <> 'aws-documentation' AND size > 25)
 SELECT seq, server, tool FROM tool_catalog o

@@ -4,12 +4,15 @@ nested JSON tool registry."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runfold.constants import BINARY_PROBE_BYTES, EMPTY_FILE_MARKER, SEARCH_CAP
 
+#: The scan's own column for lines that don't fit.
+RAW_LINE = "__raw_line"
+
 
 # ---------------------------------------------------------------- S1 csv_scan
 def csv_scan(spark: SparkSession, path: str, columns: list[str] | None = None,
@@ -33,6 +36,42 @@ def csv_scan(spark: SparkSession, path: str, columns: list[str] | None = None,
     return r.csv(path)
 
 
+def csv_scan_checked(spark: SparkSession, path: str, columns: list[str], header: bool = True,
+                     observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1 with malformed lines set apart: ``(rows, quarantine)`` over one scan.
+
+    ``rows`` are the lines with exactly ``columns`` (as STRING, white space kept).
+    ``quarantine(file, line, n_fields, reason, fields)`` holds every other line as it
+    stands in the file, with what could be read of it in ``fields`` (a struct of
+    ``columns``, NULL where nothing was found). ``reason``: ``unclosed_quote`` (an odd
+    number of quotes), ``missing_fields``, ``extra_fields``, else ``malformed``;
+    ``n_fields`` counts separators outside quotes. An unclosed quote in the last field
+    leaves the count right, so such a line is a row. Blank lines are skipped. With a
+    header, files whose header differs from ``columns`` raise. No column may be named
+    like ``RAW_LINE``. An ``observation`` gets ``n_malformed`` from the first action on
+    ``rows``, so a load without a malformed line needn't read the files again."""
+    if RAW_LINE in columns:
+        raise ValueError(f"a column is named {RAW_LINE}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, RAW_LINE]])
+    scan = (spark.read.schema(schema).option("header", header).option("enforceSchema", not header)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW_LINE)
+            .option("columnPruning", False).csv(path))  # fields are counted only where all are parsed
+    raw, names = F.col(RAW_LINE), [F.col(f"`{c}`") for c in columns]
+    pieces = F.split(F.regexp_replace("line", r"\\.", ""), '"', -1)  # those at odd places stand in quotes
+    n_fields = F.size(F.split(F.array_join(F.filter(pieces, lambda _, i: i % 2 == 0), ""), ",", -1))
+    reason = (F.when(F.size(pieces) % 2 == 0, "unclosed_quote").when(n_fields < len(columns), "missing_fields")
+               .when(n_fields > len(columns), "extra_fields").otherwise("malformed"))
+    # the raw line of a malformed line, else '': Spark refuses scans that use the raw line
+    # alone (as a count would), so the text takes in nothing of the first column, too
+    malformed = F.concat_ws("", raw, F.left(names[0], F.lit(0)))
+    bad = (scan.where(malformed != "")
+               .select(F.col("_metadata.file_path").alias("file"), raw.alias("line"), F.struct(*names).alias("fields"))
+               .select("file", "line", n_fields.alias("n_fields"), reason.alias("reason"), "fields"))
+    seen = scan if observation is None else scan.observe(observation, F.count(raw).alias("n_malformed"))
+    return seen.where(malformed == "").select(*names), bad
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """Write header CSV keeping leading/trailing spaces (the writer trims
     them by default)."""

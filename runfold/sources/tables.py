@@ -70,6 +70,20 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     amount.alias("amount"), "c_nationkey")
 
 
+def raw_customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_customers`` as lines of a delimited file, some with a field too many, some
+    cut after the second, some with a quote that is never closed."""
+    c = raw_customers(spark, sf_dir)
+    k, rest = F.col("id"), F.concat_ws(",", "customer_email", "amount", "c_nationkey")
+    line = (F.when(k % 10 == 3, F.concat_ws(",", "id", rest, F.lit("EXTRA")))
+             .when(k % 10 == 7, F.concat_ws(",", "id", "customer_email"))
+             .when(k % 20 == 9, F.concat(k.cast("string"), F.lit(',"'), rest))
+             .when(k % 20 == 1, F.concat(k.cast("string"), F.lit(',"'), F.col("customer_email"), F.lit('",'),
+                                         F.concat_ws(",", "amount", "c_nationkey")))
+             .otherwise(F.concat_ws(",", "id", rest)))
+    return c.select(line.alias("value"))
+
+
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as delimited-text rows: padded money text and ISO date text."""
     o = table(spark, sf_dir, "orders")
