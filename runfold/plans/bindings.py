@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from runfold.constants import (ALLOWED_PATHS, BLOCKED_COMMANDS, BLOCKED_PATTERNS, NOT_ALLOWED_EXTENSIONS,
                                READ_ONLY_FILES)
-from runfold.operators import clean, policy, registry, reports, state, storage, text
+from runfold.operators import clean, policy, registry, reports, search_index, state, storage, text
 from runfold.session import staging_path
 from runfold.sources import files, tables as tb
 from runfold.sources.kept import KeptTable
@@ -492,6 +492,18 @@ def regex_grep(spark, sf):
     return text.regex_grep(_doc_lines(spark, sf), GREP_PATTERN).select("path", "line_no", "match")
 
 
+INDEXED_PATTERN = "erwhon [a-z]+"
+
+
+@q("indexed_grep")
+def indexed_grep(spark, sf):
+    """F1 through a trigram index of the documents."""
+    d = tb.table(spark, sf, "documents")
+    corpus = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    index = search_index.write_index(corpus, staging_path(spark, "trigrams"))
+    return search_index.indexed_grep(corpus, index, INDEXED_PATTERN).select("path", "line_no", "match")
+
+
 CAPPED_PATTERN = "[0-9]"
 
 
@@ -781,6 +793,12 @@ def streaming_context(spark, sf):
     return streams.streaming_context(spark, sf)
 
 
+@q("streaming_messages")
+def streaming_messages(spark, sf):
+    from runfold.streaming import streams
+    return streams.streaming_messages(spark, sf)
+
+
 @q("incremental_copy")
 def incremental_copy(spark, sf):
     from runfold.streaming import streams

@@ -277,6 +277,8 @@ FROM i"""
 ORACLE["state_append"] = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
   turn, role, text FROM conversations"""
 
+ORACLE["streaming_messages"] = ORACLE["state_append"]
+
 ORACLE["state_last_nonnull"] = f"""WITH {STATE_LOG}
 SELECT session_id,
   coalesce(arg_max(current_step, seq) FILTER (WHERE current_step IS NOT NULL), 'reception') AS current_step,
@@ -559,6 +561,8 @@ SELECT concat('doc-', CAST(doc_id AS VARCHAR)) AS path, line_no,
   concat('doc-', CAST(doc_id AS VARCHAR), ':', CAST(line_no AS VARCHAR), ': ', {js_trim('line')}) AS match
 FROM lines WHERE regexp_matches(line, {lit(B.GREP_PATTERN)})"""
 
+ORACLE["indexed_grep"] = ORACLE["regex_grep"].replace(lit(B.GREP_PATTERN), lit(B.INDEXED_PATTERN))
+
 ORACLE["capped_matches"] = f"""WITH {CONVS_LINES}
 SELECT doc_id, line_no, concat(CAST(doc_id AS VARCHAR), ':', CAST(line_no AS VARCHAR), ': ', {js_trim('line')}) AS match
 FROM lines WHERE regexp_matches(line, {lit(B.CAPPED_PATTERN)}) ORDER BY doc_id, line_no LIMIT 50"""

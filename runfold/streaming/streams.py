@@ -317,3 +317,13 @@ def streaming_positions(spark: SparkSession, sf_dir: str, trigger: dict | None =
     src = file_stream(spark, sf_dir, "conversations", max_files)
     out = _append_sink(streaming_positions_df(src, "conv_id", "turn", ["role", "text"]), "positions", trigger)
     return spark.read.parquet(out)
+
+
+def streaming_messages(spark: SparkSession, sf_dir: str, trigger: dict | None = None,
+                       max_files: int | None = None) -> DataFrame:
+    """ST2's message channel without state: turns are appended to a sink once each as they
+    arrive, and readers number them by A7's scan, which cuts long sessions into pieces. A
+    late turn takes its place by ``turn``; those after it move up with the next read."""
+    src = file_stream(spark, sf_dir, "conversations", max_files).select("conv_id", "turn", "role", "text")
+    out = _append_sink(src, "messages", trigger)
+    return state.state_append(spark.read.parquet(out), "conv_id", "turn", ["role", "text"])
