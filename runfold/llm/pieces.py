@@ -31,17 +31,15 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from runfold.llm.common import table
 
@@ -128,15 +126,12 @@ class Vocabulary:
         for (s, c), to in step.items():
             if s == 0:
                 self.first[c] = to
-        self.surface = np.frombuffer(b"".join(surface), dtype=np.uint8)
+        self.surface = pa.array(surface, pa.binary())
         self.surface_n = np.array([len(x) for x in surface], dtype=np.int64)
-        self.surface_at = np.concatenate([[0], np.cumsum(self.surface_n)[:-1]])
-        apart = not any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece, _ in normal)
-        line = not any("\n" in piece for piece, _ in normal)
-        m = SPACE_MARK
-        self.word = re.compile(rf"\n|{m}+[^{m}\n]*|[^{m}\n]+" if apart and line else rf"{m}+[^{m}]*|[^{m}]+" if apart else r"(?s).+")
+        self.apart = not any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece, _ in normal)
+        self.line = self.apart and not any("\n" in piece for piece, _ in normal)
         probe = sp.decode(sp.encode("a"))
-        self.prefixed = probe == "a" and sp.normalize("a").startswith(m)
+        self.prefixed = probe == "a" and sp.normalize("a").startswith(SPACE_MARK)
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -158,11 +153,42 @@ class Vocabulary:
         # surrogates, which no UTF-8 holds, become "?"
         return self.sp.normalize(text.encode("utf-8", "replace").decode()) if text else ""
 
-    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
-        return self.surface[spread(self.surface_at[ids], self.surface_n[ids])]
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of normalised texts: their number per text, of each word its number
+        among the distinct ones, and of those, in order of their first place, the sizes
+        and the characters, a 0 behind each. A run of space marks begins a word, a line
+        break is one, where no piece reaches over that."""
+        joined = "".join(texts)
+        code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        bound = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))])
+        begins = np.zeros(len(code) + 1, dtype=bool)
+        if self.apart:
+            begins[:-1] = code == ord(SPACE_MARK)
+            begins[1:-1] &= code[:-1] != ord(SPACE_MARK)
+        if self.line:
+            breaks = code == ord("\n")
+            begins[:-1] |= breaks
+            begins[1:] |= breaks
+        begins[bound] = True
+        begins[-1] = False
+        at = np.flatnonzero(begins)
+        n_bytes = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
+        byte_at = np.concatenate([[0], np.cumsum(n_bytes, dtype=np.int32)])
+        spans = np.append(byte_at[at], byte_at[-1]).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(at), pa.py_buffer(spans), pa.py_buffer(joined.encode())).dictionary_encode()
+        word = found.indices.to_numpy().astype(np.int64)
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(word), prepend=-1))
+        size = np.diff(np.append(at, len(code)))[first]
+        chars = np.zeros(int(size.sum()) + len(size), dtype=np.int32)
+        chars[spread(np.cumsum(size + 1) - size - 1, size)] = code[spread(at[first], size)]
+        return np.diff(np.searchsorted(at, bound)), word, size, chars
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        found = self.surface.take(pa.array(ids))
+        return found.buffers()[2].to_pybytes() if len(ids) else b""
 
     def decode(self, ids: np.ndarray) -> str:
-        text = self.bytes_of(np.asarray(ids, dtype=np.int64)).tobytes().decode("utf-8", "replace").replace(SPACE_MARK, " ")
+        text = self.bytes_of(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace").replace(SPACE_MARK, " ")
         return text[1:] if self.prefixed and text.startswith(" ") else text
 
 
@@ -175,10 +201,8 @@ class Lattices:
     """The lattices of distinct words, in arrays. Nodes are characters, each word
     with one more at its end; edges are sorted by the node they leave."""
 
-    def __init__(self, v: Vocabulary, words: list[str]):
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        code = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
-        self.root = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if len(words) else size
+    def __init__(self, v: Vocabulary, size: np.ndarray, code: np.ndarray):
+        self.root = np.cumsum(size + 1) - size - 1
         self.size = size
         is_end = np.zeros(len(code), dtype=bool)
         is_end[self.root + size] = True
@@ -221,19 +245,27 @@ class Lattices:
             self.n_ids[self.piece < 0] = n_bytes
             logp[self.piece < 0] = n_bytes * v.byte_logp
         mass = np.zeros(len(code))  # log mass of all completions
-        by_size = np.argsort(-size, kind="stable")
-        ends, ordered = (self.root + size)[by_size], size[by_size]
-        for d in range(1, int(size.max(initial=0)) + 1):
-            node = ends[:np.searchsorted(-ordered, -d, side="right")] - d
-            n_edges = self.ptr[node + 1] - self.ptr[node]
-            e = spread(self.ptr[node], n_edges)
-            start = np.cumsum(n_edges) - n_edges
-            value = logp[e] + mass[self.dst[e]]
+        self.n_edges = np.diff(self.ptr)
+        # nodes by their distance from the word's end, and their edges in that order
+        far = np.repeat(self.root + size, size + 1) - np.arange(len(code))
+        far = far.astype(np.uint16 if int(size.max(initial=0)) < 1 << 16 else np.int64)
+        nodes = np.argsort(far, kind="stable")
+        level = np.cumsum(np.bincount(far))
+        n_edges = self.n_edges[nodes]
+        e = spread(self.ptr[nodes], n_edges)
+        behind = np.concatenate([[0], np.cumsum(n_edges)])
+        own, dst = logp[e], self.dst[e]
+        for lo, hi in zip(level[:-1], level[1:]):
+            node, n = nodes[lo:hi], n_edges[lo:hi]
+            part = slice(behind[lo], behind[hi])
+            start = behind[lo:hi] - behind[lo]
+            value = own[part] + mass[dst[part]]
             top = np.maximum.reduceat(value, start)
-            mass[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n_edges)), start))
+            value -= np.repeat(top, n)
+            mass[node] = top + np.log(np.add.reduceat(np.exp(value, out=value), start))
+        del far, nodes, e, behind, own, dst
         self.cond = np.minimum(logp + mass[self.dst] - mass[self.src], 0.0)  # log posterior of an edge at its node
         self.cum = np.concatenate([[0.0], np.cumsum(np.exp(self.cond))])
-        self.n_edges = np.diff(self.ptr)
 
     def rest(self, edges: np.ndarray) -> np.ndarray:
         """Log posterior of all other edges at an edge's node."""
@@ -315,14 +347,9 @@ def sample_unit(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed:
     """Per text up to ``k`` tuples (ids, log probability, log inclusion, perturbed
     value, whether the ids give the normalised text back)."""
     normal = [v.normalised(t) for t in texts]
-    words_of = [v.word.findall(t) for t in normal]
-    n_words = np.array([len(w) for w in words_of], dtype=np.int64)
-    number: dict[str, int] = {}  # word: its first place, which ranks the distinct words
-    place_of = np.fromiter(map(number.setdefault, chain.from_iterable(words_of), count()), dtype=np.int64, count=int(n_words.sum()))
-    word = (np.cumsum(place_of == np.arange(len(place_of))) - 1)[place_of]
-    del words_of, place_of
-    lat = Lattices(v, list(number))
-    del number
+    n_words, word, size, chars = v.words(normal)
+    lat = Lattices(v, size, chars)
+    del size, chars
     doc = np.repeat(np.arange(len(texts)), n_words)
     first_word = np.concatenate([[0], np.cumsum(n_words)])
     root = lat.root[word]
@@ -421,7 +448,7 @@ def sample_unit(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed:
             ratio = p.logp - kappa[d]
             incl = 0.0 if ratio > 30 else ratio if ratio < -30 else float(np.log(-np.expm1(-np.exp(ratio))))
             rows.append((ids[id_at[i]:id_at[i + 1]], float(p.logp), float(incl), float(p.value),
-                         back[byte_at[i]:byte_at[i + 1]].tobytes() == want))
+                         back[byte_at[i]:byte_at[i + 1]] == want))
             i += 1
         out.append(rows)
     return out
@@ -445,18 +472,29 @@ def read_model(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, k: int, seed: int = 0, key_col: str = "doc_id", text_col: str = "text",
-           model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
+           model: str = MODEL, keep: list[str] | None = None, one_row: bool = False) -> DataFrame:
     """Columns ``keep`` (the key by default) and, per sampled segmentation: ``sample``
     (from 0), ``ids``, ``n_pieces``, ``log_prob``, ``log_inclusion``, ``perturbed``,
-    ``round_trip``. The model file is read on the driver and sent along (its size is
+    ``round_trip``. ``one_row``: one row per text with these of its first segmentation,
+    those of the others as structs in the array ``more``. The model file is read on the driver and sent along (its size is
     that of the vocabulary, not of the data)."""
     keep = [key_col] if keep is None else keep
     proto = docs.sparkSession.sparkContext.broadcast(read_model(model))
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
                        F.coalesce(F.concat(F.lit("="), F.col(key_col).cast("string")), F.lit("")).alias("__key"), *keep)
-    found = StructType.fromDDL("sample int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, "
+    drawn = StructType.fromDDL("sample int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, "
                                "perturbed double, round_trip boolean")
-    out = StructType(rows.select(*keep).schema.fields + found.fields)
+    more = [StructField("more", ArrayType(drawn))] if one_row else []
+    out = StructType(rows.select(*keep).schema.fields + drawn.fields + more)
+
+    def samples(found, since=0):
+        rows = [x for xs in found for x in xs]
+        number = np.concatenate([np.zeros(0, dtype=np.int32), *(np.arange(since, since + len(xs), dtype=np.int32) for xs in found)])
+        size = np.array([len(x[0]) for x in rows], dtype=np.int64)
+        flat = np.concatenate([np.zeros(0, dtype=np.int32), *(x[0] for x in rows)])
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
+        return [pa.array(number, pa.int32()), ids, pa.array(size, pa.int64()), *(pa.array([x[i] for x in rows], pa.float64()) for i in (1, 2, 3)),
+                pa.array([bool(x[4]) for x in rows], pa.bool_())]
 
     def run(batches):
         v = vocabulary(proto.value)
@@ -464,17 +502,14 @@ def encode(docs: DataFrame, k: int, seed: int = 0, key_col: str = "doc_id", text
             for lo, hi in _units(pc.utf8_length(b.column(0)).to_pylist()):
                 texts, keys = (b.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
                 found = sample_unit(v, texts, keys, k, seed)
-                rows = [x for xs in found for x in xs]
-                n = np.array([len(xs) for xs in found])
-                size = np.array([len(x[0]) for x in rows], dtype=np.int64)
-                flat = np.concatenate([x[0] for x in rows]) if rows else np.zeros(0, dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
-                at = pa.array(np.repeat(np.arange(lo, hi), n))
-                number = np.concatenate([np.arange(x) for x in n]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(at) for c in b.columns[2:]), pa.array(number), ids, pa.array(size),
-                     *(pa.array([x[i] for x in rows], pa.float64()) for i in (1, 2, 3)),
-                     pa.array([bool(x[4]) for x in rows], pa.bool_())], names=out.names)
+                n, at = np.array([len(xs) for xs in found]), np.arange(lo, hi)
+                if one_row:
+                    others = pa.StructArray.from_arrays(samples([xs[1:] for xs in found], 1), names=drawn.names)
+                    bound = pa.array(np.concatenate([[0], np.cumsum(n - 1)]), pa.int32())
+                    columns = [*samples([xs[:1] for xs in found]), pa.ListArray.from_arrays(bound, others)]
+                else:
+                    at, columns = np.repeat(at, n), samples(found)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns[2:]), *columns], names=out.names)
     return rows.mapInArrow(run, out)
 
 

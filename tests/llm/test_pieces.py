@@ -109,3 +109,19 @@ def test_rows_do_not_depend_on_neighbours(spark):
     for r in two:
         o = one[r.doc_id, r.sample]
         assert o.ids == r.ids and abs(o.log_prob - r.log_prob) < 1e-6 and r.round_trip
+
+
+def test_words_and_their_distinct_characters(v):
+    m = pieces.SPACE_MARK
+    texts = [f"{m}a{m}{m}b\n\n{m}c", "", f"{m}a", "\n", f"x{m}", f"{m}{m}\nx\U0001d11e{m}a", "a\0b"]
+    want = [[f"{m}a", f"{m}{m}b", "\n", "\n", f"{m}c"], [], [f"{m}a"], ["\n"], ["x", m], [f"{m}{m}", "\n", "x\U0001d11e", f"{m}a"], ["a\0b"]]
+    for n in (len(texts), 2, 1, 0):
+        n_words, word, size, chars = v.words(texts[:n])
+        distinct, at = [], 0
+        for s in size:
+            distinct.append("".join(map(chr, chars[at:at + s])))
+            assert chars[at + s] == 0
+            at += s + 1
+        flat = [w for ws in want[:n] for w in ws]
+        assert n_words.tolist() == [len(ws) for ws in want[:n]] and [distinct[i] for i in word] == flat
+        assert distinct == list(dict.fromkeys(flat)) and at == len(chars)
