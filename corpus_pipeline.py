@@ -9,7 +9,8 @@ read again before the next:
    by steps of two differing bits at most, the smallest identifier stays;
 4. mixing: sources come to weights 3, 1, 2, repeating, within 150 % of all words and
    twice a source's own; a repeated document is several rows;
-5. SentencePiece: each row becomes a sampled segmentation, seeded by its identifier.
+5. SentencePiece: for each row two distinct segmentations are drawn by best-first
+   search, seeded by its identifier; the first stands in the row, the other in ``more``.
 
 Rows with nulls, ties, repeats and clashing column names are treated as the stages'
 operators state. The stages are not SQL (models, sampling, hashing): tests compare
@@ -41,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, k=1, keep=["doc_id", "lang", "source"])
+    return pieces.encode(docs, k=2, keep=["doc_id", "lang", "source"], one_row=True)
 
 
 STAGES = [

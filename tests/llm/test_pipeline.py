@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from runfold.llm import pieces
 from runfold.llm.common import settle
 from tests.conftest import SF_SMALL
 from tests.llm.test_simhash import fingerprint, groups
@@ -48,3 +49,16 @@ def test_stages_on_empty_and_null_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, SF_SMALL), "test-nulls")
     assert {r.doc_id for r in docs.collect()} <= {None, 2}
+
+
+def test_last_stage_searches_for_a_second_segmentation(spark):
+    schema = spark.read.parquet(f"{SF_SMALL}/documents.parquet").schema
+    docs = spark.createDataFrame([(1, "the river of those", "en", "a", 18), (1, "the river of those", "en", "a", 18), (2, "", None, None, 0)], schema)
+    got = corpus_pipeline.encode(spark, docs, SF_SMALL).collect()
+    want = {(r.doc_id, r.sample): r for r in pieces.encode(docs, k=2).collect()}
+    assert sorted(r.doc_id for r in got) == [1, 1, 2]
+    for r in got:
+        others = [want[r.doc_id, 1]] if r.doc_id == 1 else []
+        assert (r.sample, r.ids, r.perturbed) == (0, want[r.doc_id, 0].ids, want[r.doc_id, 0].perturbed)
+        assert [(m.sample, m.ids, m.log_prob, m.round_trip) for m in r.more] == [(1, o.ids, o.log_prob, True) for o in others]
+        assert all(m.ids != r.ids for m in r.more)
