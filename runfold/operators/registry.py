@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +159,11 @@ def uri_build_check(df: DataFrame, bucket: str = "bucket", key: str = "key", sch
 
 
 # ------------------------------------------------------------------ X9
+#: Defaults whose bits are in one number, and the least number of tasks that hold whole settings.
+MASK_BITS = 32
+LAYER_TASKS = 256
+
+
 def layered_defaults(settings: DataFrame, defaults: list[tuple[str, str, str]], tenants: DataFrame,
                      merge_sections: list[str], tenant: str = "tenant") -> DataFrame:
     """Effective settings per tenant.
@@ -165,25 +172,52 @@ def layered_defaults(settings: DataFrame, defaults: list[tuple[str, str, str]],
     ``defaults`` the base layer as ``(section, key, value)`` tuples. Sections in
     ``merge_sections`` merge one level (per key, the loaded value wins);
     any other section present in the loaded layer replaces the default
-    section whole. Defaults are a fixed small table: each tenant row is
-    expanded by a generator (no join of tenants × defaults)."""
-    arr = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"),
-                             F.lit(v).cast("string").alias("value")) for s, k, v in defaults])
-    base = (tenants.select(tenant, F.inline(arr))  # a tenant's repeats end in one row per key
-                   .withColumn("__layer", F.lit(0)))
-    return _layered(base, settings, merge_sections, tenant)
+    section whole. Defaults are a fixed small table: what a tenant's settings take
+    away is one bit per default, and a generator expands the rest behind the last
+    shuffle, so only tenants and settings are shuffled, never default values."""
+    top: dict[tuple, str | None] = {}  # of a key's repeats the greatest value counts
+    for s, k, v in defaults:
+        if (s, k) not in top or (v is not None and (top[s, k] is None or v > top[s, k])):
+            top[s, k] = v
+    rows = [(*at, v) for at, v in top.items()]
+    words = range(0, len(rows), MASK_BITS)
+
+    def hits(s, k):
+        """Whether a setting takes this default away: by its key, or its section whole."""
+        merged = F.coalesce(F.col("section").isin(*merge_sections), F.lit(False))
+        return F.col("section").eqNullSafe(F.lit(s)) & (~merged | F.col("key").eqNullSafe(F.lit(k)))
+
+    def mask(lo):
+        bits = [F.when(hits(s, k), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, (s, k, _) in enumerate(rows[lo:lo + MASK_BITS])]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits).alias(f"__m{lo}")
+
+    none = F.lit(0).cast("bigint")
+    marked = tenants.select(tenant, F.lit(True).alias("__own"), *[none.alias(f"__m{lo}") for lo in words]).unionByName(
+        settings.select(tenant, F.lit(False).alias("__own"), *[mask(lo) for lo in words]))
+    gone = marked.groupBy(tenant).agg(F.bool_or("__own").alias("__own"), *[F.bit_or(f"__m{lo}").alias(f"__m{lo}") for lo in words])
+    arr = F.array(*[F.struct(F.lit(s).cast("string").alias("section"), F.lit(k).cast("string").alias("key"),
+                             F.lit(v).cast("string").alias("value"), F.lit(i).alias("at")) for i, (s, k, v) in enumerate(rows)])
+    word = F.col("__m0") if len(words) == 1 else F.element_at(F.array(*[f"__m{lo}" for lo in words]), F.expr(f"at div {MASK_BITS} + 1").cast("int"))
+    base = (gone.where("__own").select(tenant, *[f"__m{lo}" for lo in words], F.inline(arr))
+                .where(F.expr("cast(1 as bigint)").bitwiseAND(F.call_function("shiftright", word, (F.col("at") % MASK_BITS).cast("int"))) == 0)
+                .select(tenant, "section", "key", "value", F.lit(0).alias("layer"))) if rows else None
+    own = settings.groupBy(tenant, "section", "key").agg(F.max("value").alias("value")).withColumn("layer", F.lit(1))
+    return own if base is None else base.unionByName(own)
 
 
 def _layered(base: DataFrame, over: DataFrame, merge_sections: list[str], tenant: str) -> DataFrame:
     """``base`` rows with ``over`` laid on top. A replaced section drops its base rows by
-    an anti join; then the higher layer wins per key, as a partial aggregate. Of a key's
-    repeated rows in a layer the greatest value counts."""
+    an anti join; then the higher layer wins per key. Of a key's repeated rows in a layer
+    the greatest value counts. Only the replaced sections are built into tables, and rows
+    are sorted once, in tasks whose number is given: values that compress well would
+    otherwise make few large ones."""
     merged = F.coalesce(F.col("section").isin(*merge_sections), F.lit(False))
-    gone = over.where(~merged).select(F.col(tenant).alias("__t"), F.col("section").alias("__s")).distinct()
+    gone = over.where(~merged).select(F.col(tenant).alias("__t"), F.col("section").alias("__s")).distinct().hint("shuffle_hash")
     kept = base.join(gone, F.col(tenant).eqNullSafe(F.col("__t")) & F.col("section").eqNullSafe(F.col("__s")), "left_anti")
+    tasks = max(LAYER_TASKS, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = kept.select(tenant, "section", "key", "value", F.lit(0).alias("layer")) \
         .unionByName(over.select(tenant, "section", "key", "value", F.lit(1).alias("layer")))
-    return both.groupBy(tenant, "section", "key").agg(F.max(F.struct("layer", "value")).alias("__top")) \
+    return both.repartition(tasks, tenant, "section", "key").groupBy(tenant, "section", "key").agg(F.max(F.struct("layer", "value")).alias("__top")) \
         .select(tenant, "section", "key", F.col("__top.value").alias("value"), F.col("__top.layer").alias("layer"))
 
 
