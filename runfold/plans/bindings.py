@@ -474,13 +474,13 @@ def text_line_scan(spark, sf):
 
 @q("text_file_scan")
 def text_file_scan(spark, sf):
-    """S3 on files: the documents written as one text file per language, scanned
-    line by line; lines, last line number and characters per file."""
+    """S3 on files: the documents written as one text file per language, in parts,
+    scanned line by line; lines, last line number and characters per file."""
     dst = staging_path(spark, "documents_text")
     d = tb.table(spark, sf, "documents").select("lang", "text")
-    d.repartition("lang").write.partitionBy("lang").text(dst)
-    lines = files.text_line_scan(spark, dst)
-    return lines.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(
+    d.write.partitionBy("lang").text(dst)
+    lines = files.text_line_scan(spark, dst, in_parts=True)
+    return lines.groupBy(F.regexp_extract("path", "lang=([^/]*)$", 1).alias("lang")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line"), F.sum(F.length("line")).alias("n_chars"))
 
 

@@ -101,7 +101,7 @@ def split_lines(df: DataFrame, path: str = "path", content: str = "content") ->
 
 
 def text_line_scan(spark: SparkSession, root: str, glob: str | None = None,
-                   whole_files: bool = False) -> DataFrame:
+                   whole_files: bool = False, in_parts: bool = False) -> DataFrame:
     """S3: ``(path, line_no, line)`` for every text file under ``root``,
     split on '\\n' only, numbered from 1, as ``content.split("\\n")`` does
     (a file ending in '\\n' has a last empty line). Zero-byte files are
@@ -111,26 +111,31 @@ def text_line_scan(spark: SparkSession, root: str, glob: str | None = None,
     split across tasks; line numbers are stitched together with a running
     count over (file, split start, position in split), where each split is
     one bucket of the scan. ``whole_files=True`` reads each file as one value
-    instead (small files only)."""
+    instead (small files only). ``in_parts=True``: a folder of part files, as Spark
+    writes them, is one file, its parts in order of their names; ``path`` is the folder.
+    Only after the last part can there be a last empty line."""
     if whole_files:
         return split_lines(text_files(spark, root, glob))
     from runfold.operators.scan import Run, running
     r = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    raw = r.text(root).select(F.col("_metadata.file_path").alias("path"),
+    part = F.col("_metadata.file_path")
+    raw = r.text(root).select((F.regexp_replace(part, "/[^/]*$", "") if in_parts else part).alias("path"),
+                              part.alias("__part"),
                               F.col("_metadata.file_block_start").alias("__blk"),
                               F.col("_metadata.file_size").alias("__size"),
                               F.monotonically_increasing_id().alias("__pos"),
                               F.col("value").alias("line"))
-    numbered = running(raw, ["path"], ["__blk", "__pos"], [Run("line_no", "count")], bucket=F.col("__blk"))
+    numbered = running(raw, ["path"], ["__part", "__blk", "__pos"], [Run("line_no", "count")], bucket=F.struct("__part", "__blk"))
     lines = numbered.select("path", F.col("line_no").cast("bigint").alias("line_no"), "line")
     # the reader drops the empty piece after a final '\n': add it back when the
     # line bytes plus one separator each add up to the file size
-    per_file = (raw.groupBy("path")
+    per_part = (raw.groupBy("path", "__part")
                    .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).alias("b"),
                         F.max("__size").alias("size")))
-    tail = per_file.where(F.col("b") == F.col("size")).select(
+    per_file = per_part.groupBy("path").agg(F.sum("n").alias("n"), F.max_by(F.col("b") == F.col("size"), "__part").alias("ended"))
+    tail = per_file.where("ended").select(
         "path", (F.col("n") + 1).cast("bigint").alias("line_no"), F.lit("").alias("line"))
     return lines.unionByName(tail)
 
